@@ -29,6 +29,7 @@ class ForeignKey:
     child_cols: tuple[str, ...]
     parent: str
     parent_cols: tuple[str, ...]
+    null_safe: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -115,7 +116,7 @@ def fk_issues(spark: SparkSession, tables: dict[str, DataFrame], fks: Sequence[F
                 "referential_integrity", "error", fk.child, col, "missing_parent_table", F.lit(None),
                 F.lit(None), F.lit(f"Parent table '{fk.parent}' does not exist"))))
             continue
-        cnt = orphan_count(tables[fk.child], fk.child_cols, tables[fk.parent], fk.parent_cols)
+        cnt = orphan_count(tables[fk.child], fk.child_cols, tables[fk.parent], fk.parent_cols, fk.null_safe)
         target = f"{fk.parent}.{', '.join(fk.parent_cols)}"
         out.append(cnt.filter(F.col("orphan_count") > 0).select(*_issue(
             "referential_integrity", "error", fk.child, col, "orphan_fk", F.lit(None), F.col("orphan_count"),

@@ -73,14 +73,20 @@ def _restrict(t: dict[str, DataFrame], codes: DataFrame) -> dict[str, DataFrame]
 
 
 def chemicals_per_material(t: dict[str, DataFrame]) -> DataFrame:
-    """Level 4 (J4 + A11): one row per material with its ordered chemicals array."""
+    """Level 4 (J4 + A11): one row per material with its ordered chemicals array.
+
+    Hazard JSON is parsed once per chemical (the dimension), before the join, not once
+    per composition row.
+    """
     mc, ch = t["material_chemicals"], t["chemicals"]
-    j = mc.join(ch.select("name", "cas", "hazard_flags", "default_hazard_level"), "cas")
     parsed, valid = parsed_hazard(F.col("hazard_flags"))
+    chp = ch.select("name", "cas", parsed.alias("_hf"), valid.alias("_hv"), F.col("hazard_flags").alias("_raw"),
+                    "default_hazard_level")
+    j = mc.join(chp, "cas")
     item = F.struct(hazard_level_key(F.col("default_hazard_level"), F.col("name")).alias("_k"),
                     F.struct(F.col("name"), F.col("cas"), F.col("pct_wt_low"), F.col("pct_wt_high"),
-                             parsed.alias("hazard_flags"), valid.alias("hazard_flags_valid"),
-                             F.col("hazard_flags").alias("hazard_flags_raw"), F.col("default_hazard_level"),
+                             F.col("_hf").alias("hazard_flags"), F.col("_hv").alias("hazard_flags_valid"),
+                             F.col("_raw").alias("hazard_flags_raw"), F.col("default_hazard_level"),
                              F.col("notes").alias("composition_notes")).alias("v"))
     g = j.groupBy("base_spec", "variant").agg(F.array_sort(F.collect_list(item)).alias("_c"))
     return g.select("base_spec", "variant", F.transform("_c", lambda x: x["v"]).alias("chemicals"))
@@ -220,23 +226,28 @@ def flat_tree(t: dict[str, DataFrame]) -> DataFrame:
     cs, st = t["finish_code_steps"].alias("cs"), t["sft_steps"].alias("st")
     links, mats = t["sft_material_links"].alias("l"), t["materials"].alias("m")
     mc, ch = t["material_chemicals"].alias("mc"), t["chemicals"].alias("c")
+    # Chemicals attach to the composition first (m LEFT (mc LEFT c) equals
+    # (m LEFT mc) LEFT c, as mc.cas = c.cas rejects NULL mc rows), so the chemical join
+    # runs on composition rows, not on the fanned-out tree rows.
+    comp = mc.join(ch, F.col("mc.cas") == F.col("c.cas"), "left").select(
+        F.col("mc.base_spec").alias("_cb"), F.col("mc.variant").alias("_cv"), F.col("mc.pct_wt_low"),
+        F.col("mc.pct_wt_high"), F.col("c.name"), F.col("c.cas"), F.col("c.hazard_flags")).alias("k")
     j = (e.join(cs, (F.col("e.code") == F.col("cs.finish_code")) & (F.col("e.program") == F.col("cs.program")))
           .join(st, F.col("cs.sft_code") == F.col("st.sft_code"))
           .join(links, F.col("st.sft_code") == F.col("l.sft_code"), "left")
           .join(mats, (F.col("l.base_spec") == F.col("m.base_spec")) & F.col("l.variant").eqNullSafe(F.col("m.variant")),
                 "left")
-          .join(mc, (F.col("m.base_spec") == F.col("mc.base_spec")) & F.col("m.variant").eqNullSafe(F.col("mc.variant")),
-                "left")
-          .join(ch, F.col("mc.cas") == F.col("c.cas"), "left"))
+          .join(comp, (F.col("m.base_spec") == F.col("k._cb")) & F.col("m.variant").eqNullSafe(F.col("k._cv")),
+                "left"))
     return j.select(
         F.col("e.code").alias("finish_code"), F.col("e.substrate_code"), F.col("e.substrate_description")
         .alias("substrate_desc"), F.col("e.finish_applied_code"),
         F.col("e.finish_applied_description").alias("finish_applied_desc"), F.col("e.seq_id"),
         F.col("st.sft_code").alias("sft_code"), F.col("st.description").alias("sft_desc"),
         F.col("cs.step_order").alias("step_order"), F.col("m.base_spec").alias("base_spec"),
-        F.col("m.variant").alias("variant"), F.col("c.name").alias("chemical_name"), F.col("c.cas").alias("cas"),
-        F.col("c.hazard_flags").alias("hazard_flags"), F.col("mc.pct_wt_low").alias("pct_wt_low"),
-        F.col("mc.pct_wt_high").alias("pct_wt_high"))
+        F.col("m.variant").alias("variant"), F.col("k.name").alias("chemical_name"), F.col("k.cas").alias("cas"),
+        F.col("k.hazard_flags").alias("hazard_flags"), F.col("k.pct_wt_low").alias("pct_wt_low"),
+        F.col("k.pct_wt_high").alias("pct_wt_high"))
 
 
 def code_materials(t: dict[str, DataFrame]) -> DataFrame:

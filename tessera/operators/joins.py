@@ -76,22 +76,24 @@ def resolve(child: DataFrame, parent: DataFrame, pairs: Sequence[tuple[str, str]
 
 
 def orphan_count(child: DataFrame, child_cols: Sequence[str], parent: DataFrame,
-                 parent_cols: Sequence[str]) -> DataFrame:
-    """J12 + A1: number of child rows whose non-null key is absent from the parent.
-
-    The child is first reduced to (key, rows) so each distinct key crosses the shuffle
-    once; ``left_anti`` (not ``NOT IN``) keeps NULL parent keys from hiding orphans.
-    Returns one row: ``orphan_count``.
+                 parent_cols: Sequence[str], null_safe: Sequence[str] = ()) -> DataFrame:
+    """J12 + A1: number of child rows whose key is absent from the parent.
+
+    A row takes part when its non-NULL-safe key columns are all non-NULL; columns named
+    in ``null_safe`` (child names) match NULL to NULL. The child is first reduced to
+    (key, rows) so each distinct key crosses the shuffle once; ``left_anti`` (not
+    ``NOT IN``) keeps NULL parent keys from hiding orphans. Returns one row:
+    ``orphan_count``.
     """
-    nn = None
+    nn = F.lit(True)
     for c in child_cols:
-        t = F.col(c).isNotNull()
-        nn = t if nn is None else (nn & t)
+        if c not in null_safe:
+            nn = nn & F.col(c).isNotNull()
     keyed = child.filter(nn).groupBy(*child_cols).agg(F.count(F.lit(1)).alias("_rows"))
     par = parent.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(parent_cols)])
     cond = None
     for i, c in enumerate(child_cols):
-        t = keyed[c] == par[f"_p{i}"]
+        t = keyed[c].eqNullSafe(par[f"_p{i}"]) if c in null_safe else (keyed[c] == par[f"_p{i}"])
         cond = t if cond is None else (cond & t)
     orphans = keyed.join(par, cond, "left_anti")
     return orphans.agg(F.coalesce(F.sum("_rows"), F.lit(0)).cast("long").alias("orphan_count"))

@@ -30,9 +30,10 @@ def latest_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     if first_seen:
         aggs.append(F.min(first_seen).alias("_first"))
     out = df.groupBy(*keys).agg(*aggs)
-    cols = [F.col(k) for k in keys] + [F.col(f"_w.{c}").alias(c) for c in payload]
+    keep = [c for c in payload if not (first_seen and c == first_seen_as)]
+    cols = [F.col(k) for k in keys] + [F.col(f"_w.{c}").alias(c) for c in keep]
     if first_seen:
-        cols = [c for c in cols] + [F.col("_first").alias(first_seen_as)]
+        cols.append(F.col("_first").alias(first_seen_as))
     return out.select(*cols)
 
 
