@@ -1,0 +1,20 @@
+"""Partitioning policy helpers.
+
+``spread`` is for row-local, CPU-heavy work (regex extraction, segmentation, hashing
+of long texts) whose input arrives in fewer splits than there are task slots: such an
+input is redistributed round-robin so the work runs on every core. Inputs that already
+have enough partitions (any large table) are returned unchanged, so at scale this adds
+no shuffle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

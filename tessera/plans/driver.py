@@ -504,7 +504,7 @@ def q_range_checks(spark, sf_dir):
     """V6, V7, V11 (P11, P12, P15): one issue per offending row."""
     t = _audit_tables(spark, sf_dir)
     out = None
-    for df in A.row_check_issues(t, ROW_CHECKS):
+    for df in A.batched_row_check_issues(t, ROW_CHECKS):
         out = df if out is None else out.unionByName(df)
     return _issue_rows(out)
 
@@ -514,7 +514,7 @@ def q_format_checks(spark, sf_dir):
     """V4, V5 (P13, P14): regex formats and JSON validity, one issue per row."""
     t = _audit_tables(spark, sf_dir)
     out = None
-    for df in A.row_check_issues(t, FORMAT_CHECKS):
+    for df in A.batched_row_check_issues(t, FORMAT_CHECKS):
         out = df if out is None else out.unionByName(df)
     return _issue_rows(out)
 

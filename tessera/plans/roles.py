@@ -12,6 +12,7 @@ hazard text built from its nation and a hazard level bucketed from the account b
 
 from __future__ import annotations
 
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,16 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+# Tables whose rows carry long texts processed by row-local regex jobs.
+TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXT_TABLES:
+        from tessera.operators.partitioning import spread
+        df = spread(df)
+    return df
 
 
 def read_all(spark: SparkSession, sf_dir: str, names=None) -> dict[str, DataFrame]:
