@@ -79,6 +79,14 @@ class Composition:
     width: int = 2
 
 
+@dataclass(frozen=True)
+class StepSequence:
+    """Documented rule: within each group the order values are exactly 1..n."""
+    table: str
+    group: tuple[str, ...]
+    order: str
+
+
 @dataclass
 class Rules:
     foreign_keys: list[ForeignKey] = field(default_factory=list)
@@ -87,6 +95,7 @@ class Rules:
     row_checks: list[RowCheck] = field(default_factory=list)
     sum_limits: list[SumLimit] = field(default_factory=list)
     compositions: list[Composition] = field(default_factory=list)
+    sequences: list[StepSequence] = field(default_factory=list)
 
 
 def _row_key(cols: Sequence[str]) -> Column:
@@ -237,6 +246,27 @@ def batched_row_check_issues(tables: dict[str, DataFrame], checks: Sequence[RowC
     return out
 
 
+def step_sequence_issues(tables: dict[str, DataFrame], rules: Sequence[StepSequence]) -> list[DataFrame]:
+    """``non_sequential_steps`` warnings: groups whose orders are not exactly 1..n.
+
+    Decided from four partial aggregates per group (count, distinct count, min, max),
+    so no group is sorted or collected.
+    """
+    out = []
+    for r in rules:
+        if r.table not in tables:
+            continue
+        g = tables[r.table].groupBy(*r.group).agg(
+            F.count(F.lit(1)).alias("_n"), F.count_distinct(r.order).alias("_d"),
+            F.min(r.order).alias("_lo"), F.max(r.order).alias("_hi"))
+        bad = g.filter(~((F.col("_lo") == 1) & (F.col("_hi") == F.col("_n")) & (F.col("_d") == F.col("_n"))))
+        out.append(bad.select(*_issue("format", "warning", r.table, r.order, "non_sequential_steps",
+                                      _row_key(r.group), F.col("_n"),
+                                      F.format_string("%d steps, orders %d..%d", F.col("_n"), F.col("_lo"),
+                                                      F.col("_hi")))))
+    return out
+
+
 def issues(spark: SparkSession, tables: dict[str, DataFrame], rules: Rules) -> DataFrame:
     """All issues of all rules as one DataFrame (``ISSUE_COLUMNS``)."""
     # Foreign-key and unique-key rules stay one plan per rule: each reads only its key
@@ -244,7 +274,8 @@ def issues(spark: SparkSession, tables: dict[str, DataFrame], rules: Rules) -> D
     parts = (fk_issues(spark, tables, rules.foreign_keys) + unique_issues(tables, rules.unique)
              + required_issues(tables, rules.required)
              + batched_row_check_issues(tables, rules.row_checks)
-             + sum_limit_issues(tables, rules.sum_limits) + composition_issues(tables, rules.compositions))
+             + sum_limit_issues(tables, rules.sum_limits) + composition_issues(tables, rules.compositions)
+             + step_sequence_issues(tables, rules.sequences))
     out = _empty(spark)
     for p in parts:
         out = out.unionByName(p)

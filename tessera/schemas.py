@@ -96,10 +96,14 @@ DDL = {
 }
 
 
-def domain_rules() -> A.Rules:
-    """V1-V12 for the published domain tables (natural keys)."""
+def domain_rules(extended: bool = False) -> A.Rules:
+    """V1-V12 for the published domain tables (natural keys).
+
+    ``extended`` adds the rule the reference documents but does not run: step orders of a
+    code are 1..n.
+    """
     fk = A.ForeignKey
-    return A.Rules(
+    rules = A.Rules(
         foreign_keys=[
             fk("finish_codes", ("substrate_code", "program"), "substrates", ("code", "program")),
             fk("finish_codes", ("finish_applied_code", "program"), "finish_applied", ("code", "program")),
@@ -149,3 +153,6 @@ def domain_rules() -> A.Rules:
         compositions=[A.Composition("finish_codes", "code", ("substrate_code", "finish_applied_code"), "seq_id",
                                     ("code", "program"), 2)],
     )
+    if extended:
+        rules.sequences.append(A.StepSequence("finish_code_steps", ("finish_code", "program"), "step_order"))
+    return rules

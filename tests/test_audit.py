@@ -68,3 +68,10 @@ def test_sum_exactly_100_is_fine(spark):
     df = spark.createDataFrame([("M", 60.0), ("M", 40.0), ("N", 60.0), ("N", 40.5)], "m string, v double")
     rules = A.Rules(sum_limits=[A.SumLimit("t", ("m",), "v", 100.0)])
     assert [r["row_key"] for r in A.issues(spark, {"t": df}, rules).collect()] == ["N"]
+
+
+def test_step_sequence_rule(spark):
+    df = spark.createDataFrame([("A", 1), ("A", 2), ("B", 1), ("B", 3), ("C", 2), ("D", 1), ("D", 1)],
+                               "code string, step_order int")
+    rules = A.Rules(sequences=[A.StepSequence("s", ("code",), "step_order")])
+    assert sorted(r["row_key"] for r in A.issues(spark, {"s": df}, rules).collect()) == ["B", "C", "D"]
