@@ -32,6 +32,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import split_list, strip_ws
+from tessera.operators.joins import broadcast_if_small
+
+# Chemicals are a dimension: broadcast them after a bounded row count, else shuffle.
+CHEMICAL_BROADCAST_ROWS = 2_000_000
 
 HAZARD_SCHEMA = "ghs array<string>, categories array<string>, signal_word string"
 _MAXINT = 2**31 - 1
@@ -82,7 +86,7 @@ def chemicals_per_material(t: dict[str, DataFrame]) -> DataFrame:
     parsed, valid = parsed_hazard(F.col("hazard_flags"))
     chp = ch.select("name", "cas", parsed.alias("_hf"), valid.alias("_hv"), F.col("hazard_flags").alias("_raw"),
                     "default_hazard_level")
-    j = mc.join(chp, "cas")
+    j = mc.join(broadcast_if_small(chp, CHEMICAL_BROADCAST_ROWS), "cas")
     item = F.struct(hazard_level_key(F.col("default_hazard_level"), F.col("name")).alias("_k"),
                     F.struct(F.col("name"), F.col("cas"), F.col("pct_wt_low"), F.col("pct_wt_high"),
                              F.col("_hf").alias("hazard_flags"), F.col("_hv").alias("hazard_flags_valid"),
@@ -229,6 +233,7 @@ def flat_tree(t: dict[str, DataFrame]) -> DataFrame:
     # Chemicals attach to the composition first (m LEFT (mc LEFT c) equals
     # (m LEFT mc) LEFT c, as mc.cas = c.cas rejects NULL mc rows), so the chemical join
     # runs on composition rows, not on the fanned-out tree rows.
+    ch = broadcast_if_small(ch, CHEMICAL_BROADCAST_ROWS).alias("c")
     comp = mc.join(ch, F.col("mc.cas") == F.col("c.cas"), "left").select(
         F.col("mc.base_spec").alias("_cb"), F.col("mc.variant").alias("_cv"), F.col("mc.pct_wt_low"),
         F.col("mc.pct_wt_high"), F.col("c.name"), F.col("c.cas"), F.col("c.hazard_flags")).alias("k")
@@ -268,7 +273,8 @@ def code_chemicals(t: dict[str, DataFrame]) -> DataFrame:
     cc = (cm.join(mc, (F.col("cm.base_spec") == F.col("mc.base_spec"))
                   & F.col("cm.variant").eqNullSafe(F.col("mc.variant")))
             .select(F.col("cm.finish_code").alias("finish_code"), F.col("mc.cas").alias("cas")).distinct())
-    ch = t["chemicals"].select("name", "cas", "hazard_flags", "default_hazard_level")
+    ch = broadcast_if_small(t["chemicals"].select("name", "cas", "hazard_flags", "default_hazard_level"),
+                            CHEMICAL_BROADCAST_ROWS)
     return cc.join(ch, "cas").select("finish_code", "name", "cas", "hazard_flags", "default_hazard_level")
 
 
