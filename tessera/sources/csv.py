@@ -59,8 +59,10 @@ def read_csv_text(spark: SparkSession, path: str, multiline: bool = False) -> tu
           .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
     too_long = F.col(OVERFLOW).isNotNull() | F.col(CORRUPT).isNull()
     order = F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-    df = df.select(*[F.col(n) for n in names], too_long.alias("_too_long"), order.alias("_order"),
-                   F.col(CORRUPT).alias("_raw"))
+    # Raw text of the record (a row with exactly one extra field is not flagged as
+    # corrupt, so its fields are joined back).
+    raw = F.coalesce(F.col(CORRUPT), F.concat_ws(",", *[F.col(n) for n in names], F.col(OVERFLOW)))
+    df = df.select(*[F.col(n) for n in names], too_long.alias("_too_long"), order.alias("_order"), raw.alias("_raw"))
     return df, names
 
 

@@ -13,11 +13,22 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import base_name, is_hex64
 
 
-def whole_text(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: (path, name, text)."""
+def whole_text(spark: SparkSession, path: str, universal_newlines: bool = True,
+               drop_undecodable: bool = True) -> DataFrame:
+    """One row per file: (path, name, text).
+
+    ``universal_newlines`` turns CR LF and lone CR into LF; ``drop_undecodable`` removes
+    bytes that are not valid UTF-8 (the reader yields U+FFFD for them) - together the
+    text equals a tolerant text-mode read of the file.
+    """
     df = spark.read.text(path, wholetext=True)
+    text = F.col("value")
+    if drop_undecodable:
+        text = F.regexp_replace(text, "\uFFFD", "")
+    if universal_newlines:
+        text = F.regexp_replace(text, "\r\n?", "\n")
     return df.select(F.col("_metadata.file_path").alias("path"), base_name(F.col("_metadata.file_path")).alias("name"),
-                     F.col("value").alias("text"))
+                     text.alias("text"))
 
 
 def file_hashes(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
