@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import split_list, strip_ws, truncate_text
+from tessera.functions.columns import first_k_with_ellipsis, split_list, strip_ws, truncate_text
 
 
 def spec_items(steps: DataFrame, step_col: str = "sft_code", spec_col: str = "associated_specs") -> DataFrame:
@@ -81,7 +81,16 @@ def total_specs(steps: DataFrame, step_col: str = "sft_code", spec_col: str = "a
 
 
 def catalogue_csv(catalogue: DataFrame) -> DataFrame:
-    """S15 row shape: specification, usage_count, sft_codes, finish_codes."""
+    """S15 row shape: specification, usage_count, sft_codes, finish_codes.
+
+    From the document form (``catalogue_lists``): every step code ';'-joined and the
+    first five finish codes plus '...' when there are more. From the bounded form
+    (``spec_catalogue``): both lists are its first-k columns.
+    """
+    if "sft_codes" in catalogue.columns:
+        return catalogue.select(F.col("spec").alias("specification"), "usage_count",
+                                F.array_join("sft_codes", ";").alias("sft_codes"),
+                                first_k_with_ellipsis(F.col("finish_codes"), 5, ";").alias("finish_codes"))
     return catalogue.select(F.col("spec").alias("specification"), "usage_count",
                             F.col("sft_codes_first").alias("sft_codes"),
                             F.col("finish_codes_first").alias("finish_codes"))

@@ -46,3 +46,11 @@ def test_sinks(spark, tmp_path):
         raise AssertionError("expected refusal")
     except ValueError:
         pass
+
+
+def test_catalogue_csv_document_form(spark, tmp_path):
+    from tessera.operators.catalogue import catalogue_csv
+    lists = spark.createDataFrame([("X", ["S1", "S2", "S3", "S4", "S5", "S6"], ["A", "B", "C", "D", "E", "F"], 6)],
+                                  "spec string, sft_codes array<string>, finish_codes array<string>, usage_count int")
+    row = catalogue_csv(lists).first()
+    assert row["sft_codes"] == "S1;S2;S3;S4;S5;S6" and row["finish_codes"] == "A;B;C;D;E..."
