@@ -77,7 +77,10 @@ def enrich_lists(df: DataFrame, id_cols: Sequence[str], field: str, mapping: Dat
     blank = F.col(field).isNull() | (strip_ws(F.col(field)) == "")
     ex = df.filter(~blank).select(*id_cols, F.posexplode(split_keep_blanks(F.col(field))).alias("_p", "_e"))
     m = mapping.select(F.col("spec").alias("_e"), F.col("full").alias("_f"))
-    j = ex.join(m, "_e", "left")
+    # Blank elements never match a dictionary key; keeping them out of the join keeps
+    # the most common value from forming one hot join partition.
+    j = ex.filter(F.col("_e") != "").join(m, "_e", "left").unionByName(
+        ex.filter(F.col("_e") == "").select("*", F.lit(None).cast("string").alias("_f")))
     val = F.coalesce(F.col("_f"), F.col("_e"))
     g = j.groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct("_p", val.alias("_v")))).alias("_a"),
                                 F.count_if(F.col("_f").isNotNull() & (F.col("_f") != F.col("_e"))).alias("n_replaced"))

@@ -64,3 +64,8 @@ def latest_load(manifest: DataFrame) -> DataFrame:
     number of source files)."""
     return manifest.agg(F.max("loaded_at").alias("loaded_at"),
                         F.map_from_entries(F.collect_list(F.struct("source_name", "sha256"))).alias("csv_shas"))
+
+
+def manifest_newest_first(manifest: DataFrame) -> DataFrame:
+    """Manifest rows, most recent load first."""
+    return manifest.orderBy(F.desc("loaded_at"), F.asc("source_name"))
