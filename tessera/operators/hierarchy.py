@@ -128,6 +128,22 @@ def steps_per_code(t: dict[str, DataFrame], order_cols: Sequence[str] = ("step_o
     return g.select("finish_code", "program", F.transform("_s", lambda x: x["v"]).alias("steps"))
 
 
+def step_documents(t: dict[str, DataFrame], codes: DataFrame | None = None) -> DataFrame:
+    """Q1 at step grain: one row per (code, step) with its materials and chemicals nested.
+
+    Each group holds one step's materials, so no code's whole tree is gathered in one
+    task; ``hierarchy`` is this collected per code.
+    """
+    if codes is not None:
+        t = _restrict(t, codes)
+    cs, st = t["finish_code_steps"], t["sft_steps"]
+    mps = materials_per_step(t)
+    j = cs.join(st, "sft_code").join(mps, "sft_code", "left")
+    return j.select("finish_code", "program", "sft_code", "step_order", "parent_group", "description",
+                    "associated_specs", "source_doc", "last_review", "notes",
+                    F.coalesce(F.col("materials"), F.array()).alias("materials"))
+
+
 def provenance(manifest: DataFrame) -> Column:
     """Q9 (A9 + A10): struct(csv_shas map, loaded_at) as an uncorrelated scalar subquery.
 

@@ -24,16 +24,18 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read(spark: SparkSession, sf_dir: str, name: str, spread_text: bool = True) -> DataFrame:
+    """A driver table; text tables are spread for row-local regex work unless
+    ``spread_text`` is off (jobs that only count or filter)."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in TEXT_TABLES:
+    if spread_text and name in TEXT_TABLES:
         from tessera.operators.partitioning import spread
         df = spread(df)
     return df
 
 
-def read_all(spark: SparkSession, sf_dir: str, names=None) -> dict[str, DataFrame]:
-    return {n: read(spark, sf_dir, n) for n in (names or TABLES)}
+def read_all(spark: SparkSession, sf_dir: str, names=None, spread_text: bool = True) -> dict[str, DataFrame]:
+    return {n: read(spark, sf_dir, n, spread_text) for n in (names or TABLES)}
 
 
 def _null(t: str = "string"):

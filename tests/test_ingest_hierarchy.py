@@ -59,6 +59,13 @@ def test_tree_sa12_variant(loaded):
         ("Test Acid A", 10.0, 20.0), ("Water", 60.0, 80.0)]
 
 
+def test_step_documents(loaded):
+    res, _, _ = loaded
+    rows = {(r["finish_code"], r["sft_code"]): r for r in H.step_documents(res.tables).collect()}
+    assert set(rows) == {("BP27", "SFT-DEGREASE"), ("BP27", "SFT-PASSIVATE"), ("SA12", "SFT-ANODIZE")}
+    assert [c["name"] for c in rows[("BP27", "SFT-DEGREASE")]["materials"][0]["chemicals"]] == ["Test Base B", "Water"]
+
+
 def test_code_list_and_lookup(loaded):
     res, _, _ = loaded
     assert [r["code"] for r in H.code_list(res.tables).collect()] == ["BP27", "SA12"]
