@@ -20,22 +20,24 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-# Tables whose rows carry long texts processed by row-local regex jobs.
-TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+# Fixed-size dimension tables: never worth a redistribution.
+FIXED_DIMENSIONS = {"region", "nation"}
 
 
-def read(spark: SparkSession, sf_dir: str, name: str, spread_text: bool = True) -> DataFrame:
-    """A driver table; text tables are spread for row-local regex work unless
-    ``spread_text`` is off (jobs that only count or filter)."""
+def read(spark: SparkSession, sf_dir: str, name: str, spread_input: bool = True) -> DataFrame:
+    """A driver table. A table that arrives in fewer splits than there are task slots
+    (a file with one row group) is spread round-robin so its scan-side work (decode,
+    regex, partial aggregation) uses every core; inputs with enough splits - any large
+    table - are read as they are."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if spread_text and name in TEXT_TABLES:
+    if spread_input and name not in FIXED_DIMENSIONS:
         from tessera.operators.partitioning import spread
         df = spread(df)
     return df
 
 
-def read_all(spark: SparkSession, sf_dir: str, names=None, spread_text: bool = True) -> dict[str, DataFrame]:
-    return {n: read(spark, sf_dir, n, spread_text) for n in (names or TABLES)}
+def read_all(spark: SparkSession, sf_dir: str, names=None, spread_input: bool = True) -> dict[str, DataFrame]:
+    return {n: read(spark, sf_dir, n, spread_input) for n in (names or TABLES)}
 
 
 def _null(t: str = "string"):
