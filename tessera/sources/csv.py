@@ -88,8 +88,9 @@ def scan(spark: SparkSession, path: str, contract: Contract, multiline: bool = F
     rejects = None
     for c, typ in contract.typed.items():
         cast = F.when(F.col(c) == "", F.lit(None).cast(typ)).otherwise(F.col(c).try_cast(typ))
-        bad = df.filter((F.col(c) != "") & cast.isNull()).select(
-            F.lit(c).alias("column"), F.col(c).alias("value"), "_order")
+        # A blank required value is a reject too; a blank optional value is NULL.
+        bad_when = cast.isNull() if c in contract.required else ((F.col(c) != "") & cast.isNull())
+        bad = df.filter(bad_when).select(F.lit(c).alias("column"), F.col(c).alias("value"), "_order")
         rejects = bad if rejects is None else rejects.unionByName(bad)
         df = df.withColumn(c, cast)
     if rejects is None:

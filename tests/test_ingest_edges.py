@@ -83,3 +83,24 @@ def test_manifest_states(spark, tmp_path):
     exp2 = spark.createDataFrame([("a.csv", a_sha.upper()), ("b.csv", "xyz")], "name string, sha string")
     got2 = {r["name"]: r["state"] for r in manifest_diff(cur, exp2).collect()}
     assert got2 == {"a.csv": "changed", "b.csv": "invalid_expected"}  # exact-case compare
+
+
+def test_ambiguous_code_and_blank_required_number(spark, tmp_path):
+    # BP27 exists in two programs; a code-only step row cannot pick one (D2), and a blank
+    # step_order is a reject: the steps file fails as a whole, the rest loads.
+    over = {"substrates.csv": [["code", "description", "program"], ["B", "BRASS", ""], ["B", "BRASS", "X"]],
+            "finish_applied.csv": [["code", "description", "program"], ["P", "PASS", ""], ["P", "PASS", "X"]],
+            "finish_codes.csv": [["finish_code", "substrate_code", "finish_applied_code", "seq_id", "program"],
+                                 ["BP27", "B", "P", "27", ""], ["BP27", "B", "P", "27", "X"]],
+            "finish_code_steps.csv": [["finish_code", "sft_code", "step_order"], ["BP27", "SFT-DEGREASE", "1"]]}
+    src = write(str(tmp_path / "in"), None, over)
+    res = ingest(spark, src, str(tmp_path / "s1"))
+    files = {r["source_name"]: (r["status"], r["error"]) for r in res.files.collect()}
+    assert files["finish_code_steps.csv"][0] == "failed" and "ambiguous" in files["finish_code_steps.csv"][1]
+    assert res.tables["finish_codes"].count() == 2
+    over2 = dict(over)
+    over2["finish_code_steps.csv"] = [["finish_code", "sft_code", "step_order"], ["BP27", "SFT-DEGREASE", ""]]
+    over2["finish_codes.csv"] = over["finish_codes.csv"][:2]
+    res2 = ingest(spark, write(str(tmp_path / "in2"), None, over2), str(tmp_path / "s2"))
+    files2 = {r["source_name"]: (r["status"], r["error"]) for r in res2.files.collect()}
+    assert files2["finish_code_steps.csv"][0] == "failed" and "cast" in files2["finish_code_steps.csv"][1]
