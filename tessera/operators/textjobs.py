@@ -70,12 +70,17 @@ def enrich_lists(df: DataFrame, id_cols: Sequence[str], field: str, mapping: Dat
     """Replace each comma-list element found in ``mapping`` (spec -> full).
 
     Elements are stripped and kept in order, unknown and blank elements stay; a NULL or
-    blank field is returned unchanged. Exploded elements are joined to the dictionary
-    (the planner picks broadcast or shuffle from runtime sizes; a hot element is split
-    by AQE's skew-join handling) and regrouped by row id.
+    blank field is returned unchanged. Returns id columns, ``out_col``, ``n_replaced``
+    and ``changed`` (X10: the new text differs from the old). Exploded elements are
+    joined to the dictionary (broadcast or shuffle chosen from runtime sizes, hot
+    elements split by AQE) and regrouped by row id - a group is one input row. The
+    original text is not shuffled: ``changed`` is decided from a row-local flag (is the
+    text already in stripped, comma-joined form) and the replacement count.
     """
     blank = F.col(field).isNull() | (strip_ws(F.col(field)) == "")
-    ex = df.filter(~blank).select(*id_cols, F.posexplode(split_keep_blanks(F.col(field))).alias("_p", "_e"))
+    parts = split_keep_blanks(F.col(field))
+    normalized = F.col(field) == F.array_join(parts, ",")
+    ex = df.filter(~blank).select(*id_cols, normalized.alias("_norm"), F.posexplode(parts).alias("_p", "_e"))
     m = mapping.select(F.col("spec").alias("_e"), F.col("full").alias("_f"))
     # Blank elements never match a dictionary key; keeping them out of the join keeps
     # the most common value from forming one hot join partition.
@@ -83,16 +88,19 @@ def enrich_lists(df: DataFrame, id_cols: Sequence[str], field: str, mapping: Dat
         ex.filter(F.col("_e") == "").select("*", F.lit(None).cast("string").alias("_f")))
     val = F.coalesce(F.col("_f"), F.col("_e"))
     g = j.groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct("_p", val.alias("_v")))).alias("_a"),
-                                F.count_if(F.col("_f").isNotNull() & (F.col("_f") != F.col("_e"))).alias("n_replaced"))
-    enriched = g.select(*id_cols, F.array_join(F.transform("_a", lambda x: x["_v"]), ",").alias(out_col), "n_replaced")
-    out = df.join(enriched, list(id_cols), "left")
-    return out.select(*df.columns, F.when(blank, F.col(field)).otherwise(F.col(out_col)).alias(out_col),
-                      F.coalesce(F.col("n_replaced"), F.lit(0)).alias("n_replaced"))
+                                F.count_if(F.col("_f").isNotNull() & (F.col("_f") != F.col("_e"))).alias("n_replaced"),
+                                F.min("_norm").alias("_norm"))
+    enriched = g.select(*id_cols, F.array_join(F.transform("_a", lambda x: x["_v"]), ",").alias(out_col),
+                        F.col("n_replaced").cast("long").alias("n_replaced"),
+                        ((F.col("n_replaced") > 0) | ~F.col("_norm")).alias("changed"))
+    unchanged = df.filter(blank).select(*id_cols, F.col(field).alias(out_col), F.lit(0).cast("long").alias("n_replaced"),
+                                        F.lit(False).alias("changed"))
+    return enriched.unionByName(unchanged)
 
 
-def changed_rows(enriched: DataFrame, field: str, out_col: str = "enriched") -> DataFrame:
+def changed_rows(enriched: DataFrame) -> DataFrame:
     """Rows whose enriched value differs from the original."""
-    return enriched.filter(~F.col(field).eqNullSafe(F.col(out_col)))
+    return enriched.filter(F.col("changed"))
 
 
 def quote_counts(df: DataFrame, id_cols: Sequence[str], text_col: str) -> DataFrame:
@@ -102,6 +110,16 @@ def quote_counts(df: DataFrame, id_cols: Sequence[str], text_col: str) -> DataFr
     return lines.select(*id_cols, (F.col("_i") + 1).alias("line_no"), n.alias("n_quotes"), "line")
 
 
+def quote_profile(df: DataFrame, id_cols: Sequence[str], text_col: str) -> DataFrame:
+    """X11 per row, row-local (no shuffle): number of lines, of double quotes, and of
+    lines holding an odd number of quotes."""
+    lines = F.split(F.col(text_col), r"\r\n|\r|\n")
+    per_line = F.transform(lines, lambda l: F.length(l) - F.length(F.regexp_replace(l, '"', "")))
+    n_quotes = F.length(F.col(text_col)) - F.length(F.regexp_replace(F.col(text_col), '"', ""))
+    return df.select(*id_cols, F.size(lines).cast("long").alias("n_lines"), n_quotes.cast("long").alias("n_quotes"),
+                     F.size(F.filter(per_line, lambda n: n % 2 == 1)).cast("long").alias("n_odd_lines"))
+
+
 def odd_quote_lines(df: DataFrame, id_cols: Sequence[str], text_col: str, skip_header: bool = False) -> DataFrame:
     """X11: lines holding an odd number of double quotes, with 1-based line numbers."""
     out = quote_counts(df, id_cols, text_col)

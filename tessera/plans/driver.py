@@ -778,7 +778,7 @@ def q_enrich_lists(spark, sf_dir):
         F.when(F.count_distinct("doc_id") >= 2, F.lit("shared")).otherwise(F.lit("-")).alias("Type / Class / Grade"))
     mapping = X.spec_type_map(types)
     enr = X.enrich_lists(d, ["doc_id"], "text", mapping)
-    return X.changed_rows(enr, "text").select("doc_id", "n_replaced", F.sha2("enriched", 256).alias("enriched_sha"))
+    return X.changed_rows(enr).select("doc_id", "n_replaced", F.sha2("enriched", 256).alias("enriched_sha"))
 
 
 @register("quote_audit", """
@@ -789,9 +789,7 @@ SELECT doc_id, count(*) AS n_lines, sum(length(line) - length(replace(line, '"',
 FROM e GROUP BY doc_id
 """)
 def q_quote_audit(spark, sf_dir):
-    """X11 per document: lines, double quotes, and lines with an odd number of quotes
-    (the offending lines themselves come from ``odd_quote_lines``)."""
+    """X11 per document, row-local: lines, double quotes, and lines with an odd number of
+    quotes (the offending lines themselves come from ``odd_quote_lines``)."""
     d = read(spark, sf_dir, "documents").select("doc_id", "text")
-    lines = X.quote_counts(d, ["doc_id"], "text")
-    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("n_quotes").alias("n_quotes"),
-                                       F.count_if(F.col("n_quotes") % 2 == 1).alias("n_odd_lines"))
+    return X.quote_profile(d, ["doc_id"], "text")

@@ -20,12 +20,16 @@ def test_enrich_lists_and_changes(spark):
     assert got == {"AMS2460": "AMS2460 Class 3", "MIL-A-8625": "MIL-A-8625", "P5": "P5"}
     docs = spark.createDataFrame([(1, "AMS2460, X,,MIL-A-8625"), (2, "  "), (3, "Y"), (4, None)],
                                  "id int, specs string")
-    out = {r["id"]: (r["enriched"], r["n_replaced"]) for r in X.enrich_lists(docs, ["id"], "specs", m).collect()}
-    assert out == {1: ("AMS2460 Class 3,X,,MIL-A-8625", 1), 2: ("  ", 0), 3: ("Y", 0), 4: (None, 0)}
+    out = {r["id"]: (r["enriched"], r["n_replaced"], r["changed"])
+           for r in X.enrich_lists(docs, ["id"], "specs", m).collect()}
+    assert out == {1: ("AMS2460 Class 3,X,,MIL-A-8625", 1, True), 2: ("  ", 0, False), 3: ("Y", 0, False),
+                   4: (None, 0, False)}
     # enriching again changes nothing (an enriched spec is not a dictionary key)
     again = X.enrich_lists(spark.createDataFrame([(1, out[1][0])], "id int, specs string"), ["id"], "specs", m)
-    assert X.changed_rows(again, "specs").count() == 0
-    assert {r["id"] for r in X.changed_rows(X.enrich_lists(docs, ["id"], "specs", m), "specs").collect()} == {1}
+    assert X.changed_rows(again).count() == 0
+    # stripping alone is a change: "A , B" becomes "A,B"
+    spaced = X.enrich_lists(spark.createDataFrame([(1, "Y , Z")], "id int, specs string"), ["id"], "specs", m)
+    assert [(r["enriched"], r["changed"]) for r in spaced.collect()] == [("Y,Z", True)]
 
 
 def test_extract_spec_column(spark):
@@ -37,3 +41,9 @@ def test_odd_quote_lines(spark):
     df = spark.createDataFrame([("f", 'h\nA,"ok"\nB,"bad\nC')], "name string, text string")
     rows = X.odd_quote_lines(df, ["name"], "text", skip_header=True).collect()
     assert [(r["line_no"], r["n_quotes"]) for r in rows] == [(3, 1)]
+
+
+def test_quote_profile(spark):
+    df = spark.createDataFrame([("f", 'h\nA,"ok"\r\nB,"bad\nC')], "name string, text string")
+    r = X.quote_profile(df, ["name"], "text").first()
+    assert (r["n_lines"], r["n_quotes"], r["n_odd_lines"]) == (4, 3, 1)
