@@ -71,31 +71,36 @@ def enrich_lists(df: DataFrame, id_cols: Sequence[str], field: str, mapping: Dat
 
     Elements are stripped and kept in order, unknown and blank elements stay; a NULL or
     blank field is returned unchanged. Returns id columns, ``out_col``, ``n_replaced``
-    and ``changed`` (X10: the new text differs from the old). Exploded elements are
-    joined to the dictionary (broadcast or shuffle chosen from runtime sizes, hot
-    elements split by AQE) and regrouped by row id - a group is one input row. The
-    original text is not shuffled: ``changed`` is decided from a row-local flag (is the
-    text already in stripped, comma-joined form) and the replacement count.
+    and ``changed`` (X10: the new text differs from the old).
+
+    One scan, one explode: per-row flags and the element array are computed in a
+    projection before the generator, so only ids, small flags and single elements travel
+    with exploded rows (never the whole text). Elements are joined to the dictionary
+    (broadcast or shuffle chosen from runtime sizes; a hot element, e.g. the blank one,
+    is split by AQE's skew-join handling) and regrouped by row id - a group is one input
+    row.
     """
     blank = F.col(field).isNull() | (strip_ws(F.col(field)) == "")
     parts = split_keep_blanks(F.col(field))
-    normalized = F.col(field) == F.array_join(parts, ",")
-    ex = df.filter(~blank).select(*id_cols, normalized.alias("_norm"), F.posexplode(parts).alias("_p", "_e"))
+    pre = df.select(*id_cols, blank.alias("_blank"), F.when(blank, F.col(field)).alias("_keep"),
+                    F.when(~blank, parts).alias("_parts"), F.col(field).alias("_f0"))
+    # is the text already in stripped, comma-joined form? (row-local, before the explode)
+    pre = pre.select(*id_cols, "_blank", "_keep", "_parts",
+                     F.coalesce(F.col("_f0") == F.array_join("_parts", ","), F.lit(True)).alias("_norm"))
+    ex = pre.select(*id_cols, "_blank", "_keep", "_norm", F.posexplode_outer("_parts").alias("_p", "_e"))
     m = mapping.select(F.col("spec").alias("_e"), F.col("full").alias("_f"))
-    # Blank elements never match a dictionary key; keeping them out of the join keeps
-    # the most common value from forming one hot join partition.
-    j = ex.filter(F.col("_e") != "").join(m, "_e", "left").unionByName(
-        ex.filter(F.col("_e") == "").select("*", F.lit(None).cast("string").alias("_f")))
+    j = ex.join(m, "_e", "left")
     val = F.coalesce(F.col("_f"), F.col("_e"))
-    g = j.groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct("_p", val.alias("_v")))).alias("_a"),
-                                F.count_if(F.col("_f").isNotNull() & (F.col("_f") != F.col("_e"))).alias("n_replaced"),
-                                F.min("_norm").alias("_norm"))
-    enriched = g.select(*id_cols, F.array_join(F.transform("_a", lambda x: x["_v"]), ",").alias(out_col),
-                        F.col("n_replaced").cast("long").alias("n_replaced"),
-                        ((F.col("n_replaced") > 0) | ~F.col("_norm")).alias("changed"))
-    unchanged = df.filter(blank).select(*id_cols, F.col(field).alias(out_col), F.lit(0).cast("long").alias("n_replaced"),
-                                        F.lit(False).alias("changed"))
-    return enriched.unionByName(unchanged)
+    item = F.when(F.col("_p").isNotNull(), F.struct(F.col("_p"), val.alias("_v")))
+    g = j.groupBy(*id_cols).agg(F.array_sort(F.collect_list(item)).alias("_a"),
+                                F.count_if(F.col("_f").isNotNull() & (F.col("_f") != F.col("_e"))).alias("_n"),
+                                F.min("_norm").alias("_norm"), F.max("_blank").alias("_blank"),
+                                F.max("_keep").alias("_keep"))
+    joined = F.array_join(F.transform("_a", lambda x: x["_v"]), ",")
+    return g.select(*id_cols,
+                    F.when(F.col("_blank"), F.col("_keep")).otherwise(joined).alias(out_col),
+                    F.col("_n").cast("long").alias("n_replaced"),
+                    (~F.col("_blank") & ((F.col("_n") > 0) | ~F.col("_norm"))).alias("changed"))
 
 
 def changed_rows(enriched: DataFrame) -> DataFrame:
