@@ -136,7 +136,7 @@ def q_material_profiles(spark, sf_dir):
     chemical (supplier) dimension, not by the fact table."""
     t = domain_tables(spark, sf_dir)
     cpm = H.chemicals_per_material(t)
-    return cpm.select("base_spec", F.size("chemicals").alias("n_chemicals"),
+    return cpm.select("base_spec", F.size("chemicals").cast("long").alias("n_chemicals"),
                       F.array_join(F.transform("chemicals", lambda x: x["name"]), ",").alias("chemical_names"),
                       F.col("chemicals")[0]["default_hazard_level"].alias("top_level"),
                       F.round(F.aggregate("chemicals", F.lit(0.0), lambda acc, x: acc + x["pct_wt_high"]), 2)
@@ -276,7 +276,7 @@ FROM rows LEFT JOIN counts ON rows.code = counts.code
 def q_code_specs(spark, sf_dir):
     steps, code_steps = _doc_steps(spark, sf_dir)
     r = C.code_specs(steps, code_steps)
-    return r.select("code", "sft_code", "step_order", F.size("associated_specs_list").alias("n_step_specs"),
+    return r.select("code", "sft_code", "step_order", F.size("associated_specs_list").cast("long").alias("n_step_specs"),
                     "description", "spec_count")
 
 
@@ -384,7 +384,7 @@ def _unique_sql() -> str:
     for u in UNIQUES:
         k = ", ".join(u.key)
         parts.append(f"SELECT '{u.table}' AS \"table\", '{k}' AS key, count(*) AS duplicate_keys, "
-                     f"coalesce(sum(n - 1), 0) AS surplus_rows FROM (SELECT {k}, count(*) AS n FROM {u.table} "
+                     f"CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS surplus_rows FROM (SELECT {k}, count(*) AS n FROM {u.table} "
                      f"GROUP BY {k} HAVING count(*) > 1)")
     return "\nUNION ALL\n".join(parts)
 
@@ -667,7 +667,8 @@ SELECT doc_id, item, max(pos) AS pos FROM e GROUP BY doc_id, item
 def q_list_to_steps(spark, sf_dir):
     """F9 + W2 + W3: embedded list text -> (row, element, last 1-based position)."""
     d = read(spark, sf_dir, "documents")
-    return last_position(list_positions(d, "text", ["doc_id"]), ["doc_id"])
+    lp = last_position(list_positions(d, "text", ["doc_id"]), ["doc_id"])
+    return lp.select("doc_id", "item", F.col("pos").cast("long").alias("pos"))
 
 
 @register("json_flags", """
@@ -721,7 +722,8 @@ def q_extract_specs(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = X.extract_spec_column(d, "text", "specs", bound="ascii")
     return out.select("doc_id", "specs",
-                      F.when(F.col("specs") == "", 0).otherwise(F.size(F.split("specs", ","))).alias("n_specs"))
+                      F.when(F.col("specs") == "", 0).otherwise(F.size(F.split("specs", ","))).cast("long")
+                      .alias("n_specs"))
 
 
 SEG_ANCHOR = "the"
@@ -732,8 +734,8 @@ SEG_STEP = f"{_ASCII_L}[A-Za-z]+tion{_ASCII_R}"
 WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents),
 w AS (SELECT doc_id, string_split(t, ' ') AS ws FROM d),
 tok AS (SELECT doc_id, unnest(ws) AS w, unnest(generate_series(1, len(ws))) AS i FROM w),
-seg AS (SELECT doc_id, w, i, sum(CASE WHEN w = '""" + SEG_ANCHOR + """' THEN 1 ELSE 0 END)
-               OVER (PARTITION BY doc_id ORDER BY i) AS seg_no FROM tok),
+seg AS (SELECT doc_id, w, i, CAST(sum(CASE WHEN w = '""" + SEG_ANCHOR + """' THEN 1 ELSE 0 END)
+               OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS seg_no FROM tok),
 blk AS (SELECT doc_id, seg_no, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (WHERE w <> '""" + SEG_ANCHOR + """'), '')
                AS block FROM seg WHERE seg_no > 0 GROUP BY doc_id, seg_no)
 SELECT doc_id, seg_no, '""" + SEG_ANCHOR + """' AS finish_code, 't' AS substrate_code, '0' AS finish_applied_code,
@@ -748,7 +750,7 @@ def q_segment_documents(spark, sf_dir):
     text before the first step word and the sorted unique step words."""
     d = read(spark, sf_dir, "documents").select("doc_id", "text")
     seg = X.segment_documents(d, ["doc_id"], "text", anchor=SEG_ANCHOR, step_pattern=SEG_STEP, clean=True)
-    return seg.select("doc_id", "seg_no", "finish_code", "substrate_code", "finish_applied_code", "seq_id",
+    return seg.select("doc_id", F.col("seg_no").cast("long").alias("seg_no"), "finish_code", "substrate_code", "finish_applied_code", "seq_id",
                       "finish_code_description", F.array_join("sft_steps", ",").alias("sft_steps"))
 
 
@@ -784,7 +786,7 @@ def q_enrich_lists(spark, sf_dir):
 @register("quote_audit", """
 WITH l AS (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS ls FROM documents),
 e AS (SELECT doc_id, unnest(ls) AS line, unnest(generate_series(1, len(ls))) AS line_no FROM l)
-SELECT doc_id, count(*) AS n_lines, sum(length(line) - length(replace(line, '"', ''))) AS n_quotes,
+SELECT doc_id, count(*) AS n_lines, CAST(sum(length(line) - length(replace(line, '"', ''))) AS BIGINT) AS n_quotes,
        count(*) FILTER (WHERE (length(line) - length(replace(line, '"', ''))) % 2 = 1) AS n_odd_lines
 FROM e GROUP BY doc_id
 """)

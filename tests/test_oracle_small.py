@@ -28,11 +28,12 @@ def test_entry_smoke(spark):
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, duck, name):
-    from tools.oracle_check import digest
+    from tools.oracle_check import digest, type_mismatches
     df = E.queries()[name](spark, SF)
     srows = [tuple(r) for r in df.collect()]
     rel = duck.sql(E.oracle_sql()[name])
     orows = rel.fetchall()
     assert sorted(df.columns) == sorted(rel.columns)
+    assert type_mismatches(df.dtypes, rel.columns, rel.types) == {}
     assert len(srows) == len(orows)
     assert digest(df.columns, srows)[0] == digest(rel.columns, orows)[0]
