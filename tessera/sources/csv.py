@@ -23,6 +23,11 @@ from pyspark.sql import types as T
 from tessera.functions.columns import strip_or_empty, strip_ws
 from tessera.schemas import Contract
 
+# The cell texts a pandas CSV read treats as missing by default (D11);
+# the reference reads every file that way, so such a cell ends up blank.
+NA_WORDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+            "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
 OVERFLOW = "_overflow"
 CORRUPT = "_corrupt_record"
 
@@ -66,8 +71,14 @@ def read_csv_text(spark: SparkSession, path: str, multiline: bool = False) -> tu
     return df, names
 
 
-def scan(spark: SparkSession, path: str, contract: Contract, multiline: bool = False) -> Scan:
-    """Read ``path`` under ``contract``; raise ``ContractError`` naming missing columns."""
+def scan(spark: SparkSession, path: str, contract: Contract, multiline: bool = False,
+         na_words: list[str] | None = None) -> Scan:
+    """Read ``path`` under ``contract``; raise ``ContractError`` naming missing columns.
+
+    Cells equal to one of ``na_words`` (default ``NA_WORDS``; pass ``[]`` to keep them)
+    count as missing and become ''.
+    """
+    na = NA_WORDS if na_words is None else na_words
     raw, names = read_csv_text(spark, path, multiline)
     present = set(names)
     missing = [c for c in contract.required if c not in present]
@@ -79,7 +90,10 @@ def scan(spark: SparkSession, path: str, contract: Contract, multiline: bool = F
         if c in contract.aliases:
             src = next((a for a in contract.aliases[c] if a in present), None)
         if src is not None and src in present:
-            cols.append(strip_or_empty(F.col(src)).alias(c))
+            v = F.col(src)
+            if na:
+                v = F.when(v.isin(na), F.lit(None)).otherwise(v)
+            cols.append(strip_or_empty(v).alias(c))
         else:
             cols.append(F.lit("").alias(c))
     df = raw.select(*cols, "_too_long", "_order", "_raw")

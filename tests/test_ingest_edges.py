@@ -104,3 +104,21 @@ def test_ambiguous_code_and_blank_required_number(spark, tmp_path):
     res2 = ingest(spark, write(str(tmp_path / "in2"), None, over2), str(tmp_path / "s2"))
     files2 = {r["source_name"]: (r["status"], r["error"]) for r in res2.files.collect()}
     assert files2["finish_code_steps.csv"][0] == "failed" and "cast" in files2["finish_code_steps.csv"][1]
+
+
+def test_last_row_wins_and_na_words(spark, tmp_path):
+    over = {"substrates.csv": [["code", "description", "source_doc"], ["B", "BRASS", "NA"], ["S", "STEEL", "doc"],
+                               ["B", "BRASS 2", "null"]]}
+    src = write(str(tmp_path / "in"), None, over)
+    res = ingest(spark, src, str(tmp_path / "s1"))
+    got = {r["code"]: (r["description"], r["source_doc"]) for r in res.tables["substrates"].collect()}
+    assert got["B"] == ("BRASS 2", "") and got["S"] == ("STEEL", "doc")
+    rows = {r["source_name"]: r["rows"] for r in res.files.collect()}
+    assert rows["substrates.csv"] == 3  # rows read, before the key dedupe (A13)
+    # a later run updates the row but keeps its creation time
+    over2 = {"substrates.csv": [["code", "description"], ["B", "BRASS 3"]]}
+    res2 = ingest(spark, write(str(tmp_path / "in2"), None, over2), str(tmp_path / "s2"), prev_dir=str(tmp_path / "s1"))
+    new = {r["code"]: r for r in res2.tables["substrates"].collect()}
+    old = {r["code"]: r for r in res.tables["substrates"].collect()}
+    assert new["B"]["description"] == "BRASS 3" and new["B"]["created_at"] == old["B"]["created_at"]
+    assert new["S"]["description"] == "STEEL"  # upsert keeps rows the new file does not mention
