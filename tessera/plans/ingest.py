@@ -16,7 +16,6 @@ the driver, to build the run report.
 from __future__ import annotations
 
 import datetime as _dt
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +24,9 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import blank_to_null, digits_or_zero, json_is_valid, strip_ws
 from tessera.operators import audit as A
 from tessera.operators.joins import resolve
-from tessera.operators.upsert import last_position, list_positions, upsert
+from tessera.operators.upsert import list_positions, upsert
 from tessera.schemas import COLUMNS, CONTRACTS, DDL, KEYS, domain_rules
+from tessera.sources import fs
 from tessera.sources.csv import ContractError, scan
 from tessera.sources.files import file_hashes
 
@@ -52,7 +52,7 @@ def read_snapshot(spark: SparkSession, snap_dir: str | None) -> dict[str, DataFr
     out = {}
     for t in DDL:
         p = f"{snap_dir}/{t}" if snap_dir else None
-        out[t] = spark.read.parquet(p) if p and os.path.exists(p) else _empty(spark, t)
+        out[t] = spark.read.parquet(p) if p and fs.exists(spark, p) else _empty(spark, t)
     return out
 
 
@@ -81,7 +81,7 @@ def ingest(spark: SparkSession, in_dir: str, out_dir: str, prev_dir: str | None
            run_ts: _dt.datetime | None = None, multiline: bool = False) -> IngestResult:
     """Q13: ingest the nine CSVs of ``in_dir`` on top of snapshot ``prev_dir`` and publish
     the new snapshot to ``out_dir``."""
-    if prev_dir and os.path.abspath(prev_dir) == os.path.abspath(out_dir):
+    if prev_dir and fs.qualified(spark, prev_dir) == fs.qualified(spark, out_dir):
         raise ValueError("out_dir must be a new snapshot directory, not the previous one")
     run_ts = run_ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     prev = read_snapshot(spark, prev_dir)
@@ -90,8 +90,8 @@ def ingest(spark: SparkSession, in_dir: str, out_dir: str, prev_dir: str | None
     warnings: list[DataFrame] = []
     scans = {}
     for c in CONTRACTS:
-        path = os.path.join(in_dir, c.file)
-        if not os.path.exists(path):
+        path = fs.join(in_dir, c.file)
+        if not fs.exists(spark, path):
             facts[c.file] = {"status": "failed", "error": "File not found", "rows": None}
             continue
         try:
@@ -162,11 +162,12 @@ def ingest(spark: SparkSession, in_dir: str, out_dir: str, prev_dir: str | None
             new["finish_codes"] = _upsert(prev["finish_codes"], _ord(_with_created(r2, run_ts), 1), "finish_codes")
             # Embedded ordered step lists (F9, W2, W3), resolved leniently.
             emb = r2.filter((strip_ws("sft_steps") != "") & (strip_ws("sft_steps") != "[]"))
-            pos = last_position(list_positions(emb, "sft_steps", ["code", "program", "_order"], "sft_code", "pos"),
-                                ["code", "program", "_order"], "sft_code", "pos")
-            # A code listed twice in the file: its later row's list wins, whole.
-            latest = pos.groupBy("code", "program").agg(F.max("_order").alias("_lo"))
-            pos = pos.join(latest, ["code", "program"]).filter(F.col("_order") == F.col("_lo")).drop("_lo")
+            # Every row's list is applied in file order: per (code, step) the latest row,
+            # and within a list the last position, wins (W3); steps of an earlier row that
+            # a later row does not repeat stay.
+            pos = list_positions(emb, "sft_steps", ["code", "program", "_order"], "sft_code", "pos")
+            pos = pos.groupBy("code", "program", "sft_code").agg(
+                F.max_by("pos", F.struct("_order", "pos")).alias("pos"), F.max("_order").alias("_order"))
             good, missing = resolve(pos, new["sft_steps"], [("sft_code", "sft_code")], row_key=["code", "sft_code"])
             warnings.append(missing.select(F.lit("finish_codes.csv").alias("source_name"), "row_key",
                                            F.lit("unknown_step_skipped").alias("reason")))

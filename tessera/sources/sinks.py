@@ -3,12 +3,11 @@ nothing is gathered on the driver."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.catalogue import catalogue_csv
+from tessera.sources import fs
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -28,7 +27,8 @@ def write_documents(df: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str, source: str | None = None) -> None:
     """Rewritten CSV with header, to a new path (never over its own source)."""
-    if source and os.path.abspath(source) == os.path.abspath(path):
+    spark = df.sparkSession
+    if source and fs.qualified(spark, source) == fs.qualified(spark, path):
         raise ValueError("refusing to write a CSV over its own source")
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 

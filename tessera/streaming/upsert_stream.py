@@ -9,7 +9,6 @@ exactly-once progress. The checkpoint lives under the session's
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,23 +17,20 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tessera.functions.columns import strip_or_empty
 from tessera.operators.upsert import upsert
+from tessera.sources import fs
 from tessera.session import checkpoint_dir
 
 
-def _versions(out_dir: str) -> list[int]:
-    if not os.path.isdir(out_dir):
-        return []
-    vs = []
-    for name in os.listdir(out_dir):
-        if name.startswith("v=") and os.path.exists(os.path.join(out_dir, name, "_SUCCESS")):
-            vs.append(int(name[2:]))
-    return sorted(vs)
+def _versions(spark: SparkSession, out_dir: str) -> list[int]:
+    """Complete versions (their writer left ``_SUCCESS``), oldest first."""
+    return sorted(int(n[2:]) for n in fs.list_names(spark, out_dir)
+                  if n.startswith("v=") and fs.exists(spark, fs.join(out_dir, n, "_SUCCESS")))
 
 
 def latest_snapshot(spark: SparkSession, out_dir: str) -> DataFrame | None:
     """The newest complete version of the table, or None before the first batch."""
-    vs = _versions(out_dir)
-    return spark.read.parquet(os.path.join(out_dir, f"v={vs[-1]}")) if vs else None
+    vs = _versions(spark, out_dir)
+    return spark.read.parquet(fs.join(out_dir, f"v={vs[-1]}")) if vs else None
 
 
 def start_upsert_stream(spark: SparkSession, in_dir: str, columns: Sequence[str], keys: Sequence[str],
@@ -48,7 +44,7 @@ def start_upsert_stream(spark: SparkSession, in_dir: str, columns: Sequence[str]
     stream = (spark.readStream.schema(schema).option("header", True).option("escape", '"').csv(in_dir)
               .select(*[strip_or_empty(F.col(c)).alias(c) for c in columns],
                       F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b")))
-    ckpt = checkpoint or os.path.join(checkpoint_dir(spark), "upsert_stream", os.path.basename(out_dir.rstrip("/")))
+    ckpt = checkpoint or fs.join(checkpoint_dir(spark), "upsert_stream", out_dir.rstrip("/").split("/")[-1])
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         cur = latest_snapshot(spark, out_dir)
@@ -58,7 +54,7 @@ def start_upsert_stream(spark: SparkSession, in_dir: str, columns: Sequence[str]
             cur = cur.select(*columns, "created_at", F.lit(0).alias("_s"), F.lit("").alias("_f"),
                              F.lit(0).cast("long").alias("_b"), F.lit(0).cast("long").alias("_i"))
         merged = upsert(cur, inc, keys, ["_s", "_f", "_b", "_i"], created_col="created_at")
-        merged.select(*columns, "created_at").write.mode("overwrite").parquet(os.path.join(out_dir, f"v={batch_id}"))
+        merged.select(*columns, "created_at").write.mode("overwrite").parquet(fs.join(out_dir, f"v={batch_id}"))
 
     w = stream.writeStream.foreachBatch(apply).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -24,7 +24,8 @@ def test_embedded_steps_first_ingest(spark, tmp_path):
     over = {"finish_codes.csv": _codes_with_lists([
                 ("BP27", "[SFT-DEGREASE, SFT-NOPE, SFT-PASSIVATE]"),      # unknown in the middle: gap kept
                 ("BP28", '["SFT-ANODIZE", "", "SFT-DEGREASE"]'),           # JSON: blank still takes a slot
-                ("BP29", "[SFT-DEGREASE, SFT-PASSIVATE, SFT-DEGREASE]")]),  # repeat: last position wins
+                ("BP29", "[SFT-DEGREASE, SFT-PASSIVATE, SFT-DEGREASE]"),  # repeat: last position wins
+                ("BP30", "[SFT-DEGREASE]"), ("BP30", "[SFT-NOPE, SFT-PASSIVATE]")]),  # lists of one code add up
             "finish_code_steps.csv": None}
     src = write(str(tmp_path / "in"), {k: v for k, v in FILES.items() if k != "finish_code_steps.csv"}, over)
     res = ingest(spark, src, str(tmp_path / "s1"))
@@ -32,9 +33,10 @@ def test_embedded_steps_first_ingest(spark, tmp_path):
     steps = {(r["finish_code"], r["sft_code"]): r["step_order"] for r in res.tables["finish_code_steps"].collect()}
     assert steps == {("BP27", "SFT-DEGREASE"): 1, ("BP27", "SFT-PASSIVATE"): 3,
                      ("BP28", "SFT-ANODIZE"): 1, ("BP28", "SFT-DEGREASE"): 3,
-                     ("BP29", "SFT-PASSIVATE"): 2, ("BP29", "SFT-DEGREASE"): 3}
+                     ("BP29", "SFT-PASSIVATE"): 2, ("BP29", "SFT-DEGREASE"): 3,
+                     ("BP30", "SFT-DEGREASE"): 1, ("BP30", "SFT-PASSIVATE"): 2}
     warn = [r["row_key"] for r in res.warnings.filter(F.col("reason") == "unknown_step_skipped").collect()]
-    assert warn == ["BP27|SFT-NOPE"]
+    assert sorted(warn) == ["BP27|SFT-NOPE", "BP30|SFT-NOPE"]
     seq = {r["code"]: r["seq_id"] for r in res.tables["finish_codes"].collect()}
     assert seq["BP27"] == 7  # '07' -> 7
     files = {r["source_name"]: (r["status"], r["error"]) for r in res.files.collect()}
