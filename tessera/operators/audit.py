@@ -190,15 +190,16 @@ def row_check_issues(tables: dict[str, DataFrame], checks: Sequence[RowCheck]) -
 
 
 def sum_limit_issues(tables: dict[str, DataFrame], rules: Sequence[SumLimit]) -> list[DataFrame]:
-    """V8 / A3: groups whose non-null total exceeds a limit (total rounded to 2 places)."""
+    """V8 / A3: groups whose non-null total exceeds a limit (compared exactly; the total
+    is shown rounded to 2 places)."""
     out = []
     for r in rules:
         if r.table not in tables:
             continue
         tot = (tables[r.table].filter(F.col(r.value).isNotNull()).groupBy(*r.group)
-               .agg(F.round(F.sum(r.value), 2).alias("total")).filter(F.col("total") > r.limit))
+               .agg(F.sum(r.value).alias("total")).filter(F.col("total") > r.limit))
         out.append(tot.select(*_issue("format", r.severity, r.table, r.value, r.issue, _row_key(r.group), F.lit(1),
-                                      F.concat(F.lit("total "), F.col("total").cast("string")))))
+                                      F.concat(F.lit("total "), F.round("total", 2).cast("string")))))
     return out
 
 

@@ -49,7 +49,13 @@ def segment_documents(df: DataFrame, id_cols: Sequence[str], text_col: str, anch
     return seg.select(*id_cols, "seg_no", "finish_code", parts["substrate"].alias("substrate_code"),
                       parts["finish_applied"].alias("finish_applied_code"), parts["seq"].alias("seq_id"),
                       F.regexp_replace(desc, r"\s+", " ").alias("finish_code_description"),
-                      steps.alias("sft_steps"), F.to_json(steps).alias("sft_steps_json"))
+                      steps.alias("sft_steps"), _py_json_list(steps).alias("sft_steps_json"))
+
+
+def _py_json_list(arr) -> F.Column:
+    """JSON text of a string array with ', ' between elements (Python's default
+    separator, which the reference's output files use)."""
+    return F.regexp_replace(F.to_json(arr), '","', '", "')
 
 
 def spec_type_map(types: DataFrame, spec_col: str = "specification", type_col: str = "Type / Class / Grade",

@@ -473,7 +473,7 @@ FROM chemicals WHERE hazard_flags IS NOT NULL AND NOT json_valid(hazard_flags)""
 _SUM_SQL = """
 SELECT 'format' AS type, 'warning' AS severity, 'composition' AS "table", 'pct_wt_high' AS "column",
        'exceeds_100_percent' AS issue, CAST(base_spec AS VARCHAR) AS row_key
-FROM composition WHERE pct_wt_high IS NOT NULL GROUP BY base_spec HAVING round(sum(pct_wt_high), 2) > 100"""
+FROM composition WHERE pct_wt_high IS NOT NULL GROUP BY base_spec HAVING sum(pct_wt_high) > 100"""
 
 _COMPOSITION_SQL = """
 SELECT 'format' AS type, 'warning' AS severity, 'part_code' AS "table", 'p_brand' AS "column",
@@ -521,13 +521,14 @@ def q_format_checks(spark, sf_dir):
 
 @register("sum_over_limit", _AUDIT_CTES + """
 SELECT base_spec, round(sum(pct_wt_high), 2) AS total_high FROM composition
-WHERE pct_wt_high IS NOT NULL GROUP BY base_spec HAVING round(sum(pct_wt_high), 2) > 100
+WHERE pct_wt_high IS NOT NULL GROUP BY base_spec HAVING sum(pct_wt_high) > 100
 """)
 def q_sum_over_limit(spark, sf_dir):
     """V8 / A3: materials whose maximum weights add up to more than 100 percent."""
     comp = domain_tables(spark, sf_dir)["material_chemicals"]
     return (comp.filter(F.col("pct_wt_high").isNotNull()).groupBy("base_spec")
-            .agg(F.round(F.sum("pct_wt_high"), 2).alias("total_high")).filter(F.col("total_high") > 100))
+            .agg(F.sum("pct_wt_high").alias("_t")).filter(F.col("_t") > 100)
+            .select("base_spec", F.round("_t", 2).alias("total_high")))
 
 
 @register("code_composition", _COMPOSITION_SQL)

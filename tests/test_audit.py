@@ -65,9 +65,11 @@ def test_missing_parent_table_and_nulls_in_parent(spark):
 
 
 def test_sum_exactly_100_is_fine(spark):
-    df = spark.createDataFrame([("M", 60.0), ("M", 40.0), ("N", 60.0), ("N", 40.5)], "m string, v double")
+    df = spark.createDataFrame([("M", 60.0), ("M", 40.0), ("N", 60.0), ("N", 40.5), ("P", 60.0), ("P", 40.004)],
+                               "m string, v double")
     rules = A.Rules(sum_limits=[A.SumLimit("t", ("m",), "v", 100.0)])
-    assert [r["row_key"] for r in A.issues(spark, {"t": df}, rules).collect()] == ["N"]
+    got = {r["row_key"]: r["details"] for r in A.issues(spark, {"t": df}, rules).collect()}
+    assert got == {"N": "total 100.5", "P": "total 100.0"}  # compared exactly, shown rounded
 
 
 def test_step_sequence_rule(spark):

@@ -8,7 +8,7 @@ def test_segment_documents(spark):
     rows = X.segment_documents(df, ["id"], "t", clean=True).orderBy("seg_no").collect()
     assert [(r["finish_code"], r["finish_code_description"], r["sft_steps"]) for r in rows] == [
         ("BP27", "brass passivate", ["SFT0001", "SFT0102"]), ("SA12", "steel", [])]
-    assert rows[0]["sft_steps_json"] == '["SFT0001","SFT0102"]'
+    assert rows[0]["sft_steps_json"] == '["SFT0001", "SFT0102"]'
     assert (rows[0]["substrate_code"], rows[0]["finish_applied_code"], rows[0]["seq_id"]) == ("B", "P", "27")
 
 
