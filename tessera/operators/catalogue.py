@@ -123,3 +123,21 @@ def code_spec_sets(code_specs_rows: DataFrame) -> DataFrame:
     return (code_specs_rows.select("code", F.explode("associated_specs_list").alias("spec"))
             .groupBy("code").agg(F.array_sort(F.collect_set("spec")).alias("specifications"))
             .select("code", "specifications", F.size("specifications").alias("spec_count")))
+
+
+def code_specs_lookup(t: dict, requested: DataFrame, available_k: int = 10) -> DataFrame:
+    """Q5 for a request list (column ``code``): per requested code its sorted unique
+    specifications and count, or ``error`` plus the first codes when it is unknown.
+    The per-step rows are ``code_specs`` filtered to the same codes."""
+    from tessera.operators.hierarchy import available_codes
+    req = requested.select(F.col("code").alias("requested")).distinct()
+    codes = t["finish_codes"].select(F.col("code").alias("_c")).distinct()
+    cs = t["finish_code_steps"].join(req, F.col("finish_code") == F.col("requested"), "left_semi")
+    sets = code_spec_sets(code_specs(t["sft_steps"], cs))
+    j = req.join(codes, req["requested"] == codes["_c"], "left").join(sets, F.col("requested") == F.col("code"), "left")
+    missing = F.col("_c").isNull()
+    return j.select("requested", F.when(missing, F.lit("Finish code not found")).alias("error"),
+                    F.when(missing, available_codes(t, available_k)).alias("available_codes"),
+                    F.when(~missing, F.coalesce("specifications", F.array().cast("array<string>")))
+                    .alias("specifications"),
+                    F.when(~missing, F.coalesce("spec_count", F.lit(0))).alias("spec_count"))

@@ -151,7 +151,7 @@ def provenance(manifest: DataFrame) -> Column:
     """
     return manifest.agg(F.struct(
         F.map_from_entries(F.collect_list(F.struct("source_name", "sha256"))).alias("csv_shas"),
-        F.max("loaded_at").alias("loaded_at"))).scalar()
+        F.coalesce(F.max("loaded_at"), F.current_timestamp()).alias("loaded_at"))).scalar()
 
 
 def hierarchy(t: dict[str, DataFrame], codes: DataFrame | None = None,
@@ -195,6 +195,13 @@ def _spec_list(c: Column) -> Column:
     return F.when(c.isNotNull() & (strip_ws(c) != ""), split_list(c)).otherwise(F.array().cast("array<string>"))
 
 
+def available_codes(t: dict[str, DataFrame], k: int = 10) -> Column:
+    """P2 + O2: the first ``k`` codes ascending, as one scalar subquery (a bounded
+    top-k: each task keeps k candidates)."""
+    return (t["finish_codes"].select("code").distinct().orderBy("code").limit(k)
+            .agg(F.array_sort(F.collect_list("code")).alias("a")).scalar())
+
+
 def lookup(t: dict[str, DataFrame], requested: DataFrame, available_k: int = 10,
            order_cols: Sequence[str] = ("step_order",)) -> DataFrame:
     """P1 + P2 + O2: answer a request list (column ``code``).
@@ -204,8 +211,7 @@ def lookup(t: dict[str, DataFrame], requested: DataFrame, available_k: int = 10,
     subquery).
     """
     docs = hierarchy(t, requested, order_cols)
-    avail = (t["finish_codes"].select("code").distinct().orderBy("code").limit(available_k)
-             .agg(F.array_sort(F.collect_list("code")).alias("a")).scalar())
+    avail = available_codes(t, available_k)
     req = requested.select(F.col("code").alias("requested")).distinct()
     j = req.join(docs, req["requested"] == docs["finish_code"], "left")
     missing = F.col("finish_code").isNull()

@@ -135,3 +135,11 @@ def test_reingest_is_idempotent(spark, loaded, tmp_path_factory):
     c1 = {r["code"]: r["created_at"] for r in res.tables["finish_codes"].collect()}
     c2 = {r["code"]: r["created_at"] for r in res2.tables["finish_codes"].collect()}
     assert c1 == c2
+
+
+def test_code_specs_lookup(loaded, spark):
+    res, _, _ = loaded
+    req = spark.createDataFrame([("BP27",), ("NOPE",)], "code string")
+    rows = {r["requested"]: r for r in C.code_specs_lookup(res.tables, req).collect()}
+    assert rows["BP27"]["specifications"] == ["TEST-SPEC-001", "TEST-SPEC-003"] and rows["BP27"]["spec_count"] == 2
+    assert rows["NOPE"]["error"] == "Finish code not found" and rows["NOPE"]["available_codes"] == ["BP27", "SA12"]

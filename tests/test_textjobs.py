@@ -47,3 +47,24 @@ def test_quote_profile(spark):
     df = spark.createDataFrame([("f", 'h\nA,"ok"\r\nB,"bad\nC')], "name string, text string")
     r = X.quote_profile(df, ["name"], "text").first()
     assert (r["n_lines"], r["n_quotes"], r["n_odd_lines"]) == (4, 3, 1)
+
+
+def test_text_file_jobs(spark, tmp_path):
+    from tessera.plans.textfiles import enrich_step_specs, finish_codes_from_rtf, with_extracted_specs
+    rtf = tmp_path / "spec.rtf"
+    rtf.write_text(r"{\rtf1 intro {\b AA01} hard anodize SFT0103 SFT0901 0000 none SFT0001}")
+    rows = [r.asDict() for r in finish_codes_from_rtf(spark, str(rtf)).collect()]
+    assert rows == [
+        {"finish_code": "AA01", "substrate_code": "A", "finish_applied_code": "A", "seq_id": "01",
+         "finish_code_description": "HARD ANODIZE", "sft_steps": '["SFT0103", "SFT0901"]'},
+        {"finish_code": "0000", "substrate_code": "0", "finish_applied_code": "0", "seq_id": "00",
+         "finish_code_description": "NONE", "sft_steps": '["SFT0001"]'}]
+    steps = spark.createDataFrame([("S1", "CLEAN IAW LMA-PG101, P57004 OR MIL-DTL-5002"), ("S2", "DRY")],
+                                  "sft_code string, description string")
+    got = {r["sft_code"]: r["associated_specs"] for r in with_extracted_specs(steps).collect()}
+    assert got == {"S1": "P57004,LMA-PG101,MIL-DTL-5002", "S2": ""}
+    types = spark.createDataFrame([("P57004", "Type II")], "specification string, `Type / Class / Grade` string")
+    out, changed = enrich_step_specs(with_extracted_specs(steps), types)
+    assert {r["sft_code"]: r["associated_specs"] for r in out.collect()}["S1"] == \
+        "P57004 Type II,LMA-PG101,MIL-DTL-5002"
+    assert [(r["sft_code"], r["new"]) for r in changed.collect()] == [("S1", "P57004 Type II,LMA-PG101,MIL-DTL-5002")]
