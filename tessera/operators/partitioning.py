@@ -13,8 +13,13 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    """Round-robin ``df`` over ``min_partitions`` (default: the default parallelism) when it
+    has fewer input partitions; otherwise return it unchanged. Spark sorts rows before a
+    round-robin repartition (``spark.sql.execution.sortBeforeRepartition``), so a retried
+    stage reproduces the same assignment after an executor loss."""
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # no RDD API (e.g. a Spark Connect session): leave the input as is
         return df
-    return df.repartition(target)
+    return df if n >= target else df.repartition(target)
