@@ -278,9 +278,13 @@ def flat_tree(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def code_materials(t: dict[str, DataFrame]) -> DataFrame:
-    """Distinct (finish_code, base_spec, variant) reached through the code's steps."""
-    cs = t["finish_code_steps"].select("finish_code", "sft_code").distinct()
-    links = t["sft_material_links"].select("sft_code", "base_spec", "variant").distinct()
+    """Distinct (finish_code, base_spec, variant) reached through the code's steps.
+
+    One join and one distinct: the distinct after the join removes repeated links, so
+    the inputs are not de-duplicated first (that would be two more shuffles).
+    """
+    cs = t["finish_code_steps"].select("finish_code", "sft_code")
+    links = t["sft_material_links"].select("sft_code", "base_spec", "variant")
     return cs.join(links, "sft_code").select("finish_code", "base_spec", "variant").distinct()
 
 
@@ -291,7 +295,7 @@ def code_chemicals(t: dict[str, DataFrame]) -> DataFrame:
     chemical attributes are joined, so the material fan-out is paid on keys only.
     """
     cm = code_materials(t).alias("cm")
-    mc = t["material_chemicals"].select("base_spec", "variant", "cas").distinct().alias("mc")
+    mc = t["material_chemicals"].select("base_spec", "variant", "cas").alias("mc")
     cc = (cm.join(mc, (F.col("cm.base_spec") == F.col("mc.base_spec"))
                   & F.col("cm.variant").eqNullSafe(F.col("mc.variant")))
             .select(F.col("cm.finish_code").alias("finish_code"), F.col("mc.cas").alias("cas")).distinct())
