@@ -26,37 +26,41 @@ def spec_items(steps: DataFrame, step_col: str = "sft_code", spec_col: str = "as
              .distinct())
 
 
-def _first_k(pairs: DataFrame, group: str, item: str, k: int, out: str) -> DataFrame:
-    """First k distinct items (ascending as text) per group, joined with ';' plus '...'
-    when the group has more. Bounded per group (WindowGroupLimit)."""
-    d = pairs.select(F.col(group), F.col(item).cast("string").alias("_i")).distinct()
-    w = Window.partitionBy(group).orderBy("_i")
-    top = d.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k + 1)
-    agg = top.groupBy(group).agg(
-        F.array_sort(F.collect_list(F.struct("_r", "_i"))).alias("_a"), F.max("_r").alias("_n"))
-    items = F.transform(F.slice(F.col("_a"), 1, k), lambda x: x["_i"])
-    return agg.select(F.col(group), F.concat(F.array_join(items, ";"),
-                                             F.when(F.col("_n") > k, F.lit("...")).otherwise(F.lit(""))).alias(out))
-
-
 def spec_catalogue(steps: DataFrame, code_steps: DataFrame, step_col: str = "sft_code",
                    spec_col: str = "associated_specs", code_col: str = "finish_code", k: int = 5) -> DataFrame:
     """Q4: one row per specification.
 
     Columns: spec, usage_count (distinct codes reaching it; 0 stays, A6), step_count
-    (distinct steps listing it), sft_codes_first / finish_codes_first (k smallest,
+    (distinct steps listing it), sft_codes_first / finish_codes_first (k smallest as text,
     ';'-joined, '...' when more: the S15 CSV shape). Ordered by usage desc, spec asc.
+
+    Plan: the lists are split once into distinct (spec, kind, value) rows - kind 's' for
+    a step, 'c' for a code reaching it. Both counts are ``count_if`` over those distinct
+    rows (partial aggregates), and both first-k lists come from one
+    ``row_number() <= k + 1`` window per (spec, kind), which Spark runs as a
+    WindowGroupLimit before its shuffle, so a hot specification never gathers in one task.
     """
     items = spec_items(steps, step_col, spec_col)
     cs = code_steps.select(F.col(step_col).alias("step"), F.col(code_col).alias("code")).distinct()
     usage = items.join(cs, "step", "left")
-    counts = usage.groupBy("spec").agg(F.count_distinct("code").alias("usage_count"),
-                                       F.count_distinct("step").alias("step_count"))
-    first_steps = _first_k(items, "spec", "step", k, "sft_codes_first")
-    first_codes = _first_k(usage.filter(F.col("code").isNotNull()), "spec", "code", k, "finish_codes_first")
-    return (counts.join(first_steps, "spec", "left").join(first_codes, "spec", "left")
-            .select("spec", "usage_count", "step_count", "sft_codes_first",
-                    F.coalesce(F.col("finish_codes_first"), F.lit("")).alias("finish_codes_first"))
+    kv = (usage.select("spec", F.explode(F.array(
+              F.struct(F.lit("s").alias("k"), F.col("step").cast("string").alias("v")),
+              F.struct(F.lit("c").alias("k"), F.col("code").cast("string").alias("v")))).alias("x"))
+          .select("spec", "x.k", "x.v").filter(F.col("v").isNotNull()).distinct())
+    counts = kv.groupBy("spec").agg(F.count_if(F.col("k") == "c").alias("usage_count"),
+                                    F.count_if(F.col("k") == "s").alias("step_count"))
+    w = Window.partitionBy("spec", "k").orderBy("v")
+    top = kv.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1)
+    lists = top.groupBy("spec").agg(F.array_sort(F.collect_list(F.struct("k", "r", "v"))).alias("_a"))
+
+    def first(kind: str):
+        xs = F.filter("_a", lambda x: x["k"] == kind)
+        return F.concat(F.array_join(F.transform(F.slice(xs, 1, k), lambda x: x["v"]), ";"),
+                        F.when(F.size(xs) > k, F.lit("...")).otherwise(F.lit("")))
+
+    return (counts.join(lists.select("spec", first("s").alias("sft_codes_first"),
+                                     first("c").alias("finish_codes_first")), "spec")
+            .select("spec", "usage_count", "step_count", "sft_codes_first", "finish_codes_first")
             .orderBy(F.desc("usage_count"), F.asc("spec")))
 
 
