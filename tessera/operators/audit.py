@@ -283,10 +283,71 @@ def issues(spark: SparkSession, tables: dict[str, DataFrame], rules: Rules) -> D
     return out
 
 
+COUNT_KEYS = ["type", "severity", "table", "column", "issue"]
+
+
+def _count_rows(items: list[tuple[str, str, str, str, str, Column]]) -> Column:
+    """Array of (rule key..., n_issues) structs for an aggregate row."""
+    return F.array(*[F.struct(F.lit(a).alias("type"), F.lit(b).alias("severity"), F.lit(c).alias("table"),
+                              F.lit(d).alias("column"), F.lit(e).alias("issue"), n.cast("long").alias("n_issues"))
+                     for a, b, c, d, e, n in items])
+
+
+def issue_counts(spark: SparkSession, tables: dict[str, DataFrame], rules: Rules) -> DataFrame:
+    """Number of issues per rule key (``COUNT_KEYS`` + ``n_issues``) without building the
+    issue rows: row checks become ``count_if`` columns of one aggregate per table,
+    duplicate keys and over-limit groups are counted after their partial aggregates.
+    Equal to ``issues(...).groupBy(COUNT_KEYS).count()``."""
+    parts: list[DataFrame] = []
+    for df in fk_issues(spark, tables, rules.foreign_keys) + required_issues(tables, rules.required):
+        parts.append(df.select(*COUNT_KEYS, F.lit(1).cast("long").alias("n_issues")))
+    for u in rules.unique:
+        if u.table in tables:
+            n = duplicate_keys(tables[u.table], u.key).agg(F.count(F.lit(1)).alias("n"))
+            parts.append(n.select(F.explode(_count_rows([("uniqueness", "error", u.table, ", ".join(u.key),
+                                                          "duplicate_key", F.col("n"))])).alias("_r")).select("_r.*"))
+    by_table: dict[str, list[RowCheck]] = {}
+    for ck in rules.row_checks:
+        if ck.table in tables:
+            by_table.setdefault(ck.table, []).append(ck)
+    for table, cks in by_table.items():
+        df = tables[table]
+        agg = df.agg(*[F.count_if(F.coalesce(ck.violates(df), F.lit(False))).alias(f"_c{i}") for i, ck in enumerate(cks)])
+        rows = _count_rows([(ck.kind, ck.severity, ck.table, ck.column, ck.issue, F.col(f"_c{i}"))
+                            for i, ck in enumerate(cks)])
+        parts.append(agg.select(F.explode(rows).alias("_r")).select("_r.*"))
+    for df in sum_limit_issues(tables, rules.sum_limits) + step_sequence_issues(tables, rules.sequences):
+        parts.append(df.groupBy(*COUNT_KEYS).agg(F.count(F.lit(1)).alias("n_issues")))
+    for r in rules.compositions:
+        if r.table in tables:
+            d = tables[r.table]
+            exp = composed_expectation(F.col(r.code), [F.col(p) for p in r.parts], F.col(r.seq), r.width)
+            agg = d.agg(F.count_if(exp.isNotNull()).alias("n"))
+            parts.append(agg.select(F.explode(_count_rows([("format", "warning", r.table, r.code, "code_mismatch",
+                                                            F.col("n"))])).alias("_r")).select("_r.*"))
+    out = spark.createDataFrame([], "type string, severity string, table string, column string, issue string, "
+                                    "n_issues long")
+    for p in parts:
+        out = out.unionByName(p)
+    return (out.groupBy(*COUNT_KEYS).agg(F.sum("n_issues").cast("long").alias("n_issues"))
+            .filter(F.col("n_issues") > 0))
+
+
+def report_from_counts(counts: DataFrame) -> DataFrame:
+    """A12 from ``issue_counts``: same row as ``report`` over the issue rows."""
+    e = F.coalesce(F.sum(F.when(F.col("severity") == "error", F.col("n_issues"))), F.lit(0)).cast("long")
+    w = F.coalesce(F.sum(F.when(F.col("severity") == "warning", F.col("n_issues"))), F.lit(0)).cast("long")
+    return _report(counts.agg(e.alias("error_count"), w.alias("warning_count")))
+
+
 def report(issue_df: DataFrame) -> DataFrame:
     """One row with status (pass / warnings / errors), counts and summary text."""
     agg = issue_df.agg(F.count_if(F.col("severity") == "error").cast("long").alias("error_count"),
                        F.count_if(F.col("severity") == "warning").cast("long").alias("warning_count"))
+    return _report(agg)
+
+
+def _report(agg: DataFrame) -> DataFrame:
     e, w = F.col("error_count"), F.col("warning_count")
     status = F.when(e > 0, "errors").when(w > 0, "warnings").otherwise("pass")
     summary = (F.when(e > 0, F.format_string("Validation FAILED: %d error(s), %d warning(s)", e, w))

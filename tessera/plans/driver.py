@@ -589,9 +589,9 @@ SELECT type, severity, "table", "column", issue, count(*) AS n_issues FROM issue
 GROUP BY type, severity, "table", "column", issue
 """)
 def q_audit_summary(spark, sf_dir):
-    """All rules' issues unioned, counted per rule."""
-    iss = A.issues(spark, _audit_tables(spark, sf_dir), _all_rules())
-    return iss.groupBy("type", "severity", "table", "column", "issue").agg(F.count(F.lit(1)).alias("n_issues"))
+    """Issues of all rules counted per rule key (counted directly, the issue
+    rows themselves are not built)."""
+    return A.issue_counts(spark, _audit_tables(spark, sf_dir), _all_rules())
 
 
 @register("audit_report", _ALL_ISSUES_SQL + """,
@@ -606,7 +606,7 @@ FROM c
 """)
 def q_audit_report(spark, sf_dir):
     """Status, error and warning counts, summary."""
-    return A.report(A.issues(spark, _audit_tables(spark, sf_dir), _all_rules()))
+    return A.report_from_counts(A.issue_counts(spark, _audit_tables(spark, sf_dir), _all_rules()))
 
 
 # --------------------------------------------------------- ingest semantics ----

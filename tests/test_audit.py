@@ -52,6 +52,11 @@ def test_fault_seeds(spark):
     assert lv == {"A", "B"}
     rep = A.report(iss).first()
     assert rep["status"] == "errors" and rep["summary"].startswith("Validation FAILED")
+    counts = A.issue_counts(spark, t, domain_rules())
+    direct = {tuple(r[:5]): r["n_issues"] for r in counts.collect()}
+    grouped = {tuple(r[:5]): r["count"] for r in iss.groupBy(*A.COUNT_KEYS).count().collect()}
+    assert direct == grouped
+    assert A.report_from_counts(counts).first().asDict() == rep.asDict()
 
 
 def test_missing_parent_table_and_nulls_in_parent(spark):
