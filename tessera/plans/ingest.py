@@ -100,12 +100,11 @@ def ingest(spark: SparkSession, in_dir: str, out_dir: str, prev_dir: str | None
             facts[c.file] = {"status": "failed", "error": str(e), "rows": None}
             continue
         scans[c.file] = s
-        facts[c.file] = {"status": "loaded", "error": None, "rows": s.rows.count()}
-        n_bad = s.cast_rejects.count()
-        if n_bad:
-            facts[c.file].update(status="failed", error=f"{n_bad} values do not cast to the column type")
-        n_long = s.too_long.count()
-        if n_long:
+        cnt = s.counts.first()  # one pass: rows read, over-long rows, cast rejects
+        facts[c.file] = {"status": "loaded", "error": None, "rows": cnt["rows"]}
+        if cnt["rejects"]:
+            facts[c.file].update(status="failed", error=f"{cnt['rejects']} values do not cast to the column type")
+        if cnt["too_long"]:
             warnings.append(s.too_long.select(F.lit(c.file).alias("source_name"),
                                               F.col("_raw").alias("row_key"), F.lit("too_many_fields").alias("reason")))
 
@@ -155,7 +154,7 @@ def ingest(spark: SparkSession, in_dir: str, out_dir: str, prev_dir: str | None
                            row_key=["code", "program"])
         r2, rej2 = resolve(r1, new["finish_applied"], [("finish_applied_code", "code"), ("program", "program")],
                            row_key=["code", "program"])
-        n_rej = rej1.count() + rej2.count()
+        n_rej = _count(rej1, rej2)
         if n_rej:
             fail("finish_codes.csv", f"{n_rej} rows reference unknown substrate or finish_applied codes")
         else:
@@ -185,7 +184,7 @@ def ingest(spark: SparkSession, in_dir: str, out_dir: str, prev_dir: str | None
         r1, rej1 = resolve(r, codes, [("finish_code", "code")], take=[("program", "program")],
                            row_key=["finish_code", "sft_code"])
         r2, rej2 = resolve(r1, new["sft_steps"], [("sft_code", "sft_code")], row_key=["finish_code", "sft_code"])
-        n_rej = rej1.count() + rej2.count()
+        n_rej = _count(rej1, rej2)
         if n_rej:
             fail("finish_code_steps.csv", f"{n_rej} rows reference unknown or ambiguous codes")
         else:
@@ -204,7 +203,7 @@ def ingest(spark: SparkSession, in_dir: str, out_dir: str, prev_dir: str | None
         r1, rej1 = resolve(r, new["sft_steps"], [("sft_code", "sft_code")], row_key=["sft_code", "base_spec"])
         r2, rej2 = resolve(r1, new["materials"], [("base_spec", "base_spec"), ("variant", "variant")],
                            null_safe=["variant"], row_key=["sft_code", "base_spec", "variant"])
-        n_rej = rej1.count() + rej2.count()
+        n_rej = _count(rej1, rej2)
         if n_rej:
             fail("sft_material_links.csv", f"{n_rej} rows reference unknown steps or materials")
         else:
@@ -216,7 +215,7 @@ def ingest(spark: SparkSession, in_dir: str, out_dir: str, prev_dir: str | None
                            null_safe=["variant"], row_key=["base_spec", "variant", "cas"])
         r2, rej2 = resolve(r1, new["chemicals"].filter(F.col("cas").isNotNull()), [("cas", "cas")],
                            row_key=["base_spec", "variant", "cas"])
-        n_rej = rej1.count() + rej2.count()
+        n_rej = _count(rej1, rej2)
         if n_rej:
             fail("material_chemicals.csv", f"{n_rej} rows reference unknown materials or chemicals")
         else:
@@ -262,6 +261,14 @@ def ingest(spark: SparkSession, in_dir: str, out_dir: str, prev_dir: str | None
     return IngestResult(new, files, warn, issues_df, report, status)
 
 
+def _count(*rejects: DataFrame) -> int:
+    """Total rows of several reject frames in one job."""
+    u = rejects[0].select("row_key")
+    for r in rejects[1:]:
+        u = u.unionByName(r.select("row_key"))
+    return u.count()
+
+
 def _publish(spark: SparkSession, df: DataFrame, out_dir: str, table: str) -> DataFrame:
     """Write the table snapshot and return it read back (a written table cuts lineage)."""
     path = f"{out_dir}/{table}"

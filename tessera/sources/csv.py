@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.columns import strip_or_empty, strip_ws
 from tessera.schemas import Contract
+from tessera.sources import fs
 
 # The cell texts a pandas CSV read treats as missing by default (D11);
 # the reference reads every file that way, so such a cell ends up blank.
@@ -38,16 +39,23 @@ class ContractError(ValueError):
 
 @dataclass
 class Scan:
-    """Result of a contract scan: normalized rows, rows dropped as too long, cast rejects."""
+    """Result of a contract scan: normalized rows, rows dropped as too long, cast rejects,
+    and ``counts``: one lazy row (rows, too_long, rejects) computed in a single pass."""
     rows: DataFrame
     too_long: DataFrame
     cast_rejects: DataFrame
     columns: list[str]
+    counts: DataFrame
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
-    """Header names (a one-line read; a UTF-8 BOM is stripped by the reader, S3)."""
-    return [c.strip() for c in spark.read.option("header", True).option("inferSchema", False).csv(path).columns]
+    """Header names, parsed with CSV quoting from the file's first line (read through the
+    filesystem, not a Spark job; a UTF-8 BOM is dropped, S3)."""
+    import csv as _csv
+    line = fs.first_line(spark, path)
+    if line is None:
+        return []
+    return [c.strip() for c in next(_csv.reader([line]))]
 
 
 def read_csv_text(spark: SparkSession, path: str, multiline: bool = False) -> tuple[DataFrame, list[str]]:
@@ -98,18 +106,25 @@ def scan(spark: SparkSession, path: str, contract: Contract, multiline: bool = F
             cols.append(F.lit("").alias(c))
     df = raw.select(*cols, "_too_long", "_order", "_raw")
     too_long = df.filter("_too_long").select("_order", "_raw")
+    everything = df
     df = df.filter(~F.col("_too_long"))
     rejects = None
+    any_bad = F.lit(False)
     for c, typ in contract.typed.items():
         cast = F.when(F.col(c) == "", F.lit(None).cast(typ)).otherwise(F.col(c).try_cast(typ))
         # A blank required value is a reject too; a blank optional value is NULL.
         bad_when = cast.isNull() if c in contract.required else ((F.col(c) != "") & cast.isNull())
+        any_bad = any_bad | bad_when
         bad = df.filter(bad_when).select(F.lit(c).alias("column"), F.col(c).alias("value"), "_order")
         rejects = bad if rejects is None else rejects.unionByName(bad)
         df = df.withColumn(c, cast)
     if rejects is None:
         rejects = spark.createDataFrame([], "column string, value string, _order struct<b:long,i:long>")
-    return Scan(df.drop("_too_long", "_raw"), too_long, rejects, list(contract.required + contract.optional))
+    ok = ~F.col("_too_long")
+    counts = everything.agg(F.count_if(ok).cast("long").alias("rows"),
+                            F.count_if(F.col("_too_long")).cast("long").alias("too_long"),
+                            F.count_if(ok & any_bad).cast("long").alias("rejects"))
+    return Scan(df.drop("_too_long", "_raw"), too_long, rejects, list(contract.required + contract.optional), counts)
 
 
 def odd_quote_file_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -33,3 +33,15 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 def join(base: str, *parts: str) -> str:
     return "/".join([base.rstrip("/")] + [x.strip("/") for x in parts])
+
+
+def first_line(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str | None:
+    """First line of a file (no Spark job; a UTF-8 byte-order mark is dropped)."""
+    fs, p = _fs_path(spark, path)
+    jvm = spark.sparkContext._jvm
+    stream = fs.open(p)
+    try:
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, encoding)).readLine()
+    finally:
+        stream.close()
+    return None if line is None else line.lstrip("\ufeff")
