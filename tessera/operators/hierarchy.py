@@ -277,24 +277,29 @@ def flat_tree(t: dict[str, DataFrame]) -> DataFrame:
         F.col("k.pct_wt_high").alias("pct_wt_high"))
 
 
-def code_materials(t: dict[str, DataFrame]) -> DataFrame:
-    """Distinct (finish_code, base_spec, variant) reached through the code's steps.
-
-    One join and one distinct: the distinct after the join removes repeated links, so
-    the inputs are not de-duplicated first (that would be two more shuffles).
-    """
+def code_material_links(t: dict[str, DataFrame]) -> DataFrame:
+    """(finish_code, base_spec, variant, n_links): each material a code reaches through
+    its steps, with the number of link rows behind it. One join and one partial
+    aggregate; the inputs are not de-duplicated first (that would be two more shuffles)."""
     cs = t["finish_code_steps"].select("finish_code", "sft_code")
     links = t["sft_material_links"].select("sft_code", "base_spec", "variant")
-    return cs.join(links, "sft_code").select("finish_code", "base_spec", "variant").distinct()
+    return (cs.join(links, "sft_code").groupBy("finish_code", "base_spec", "variant")
+            .agg(F.count(F.lit(1)).alias("n_links")))
 
 
-def code_chemicals(t: dict[str, DataFrame]) -> DataFrame:
+def code_materials(t: dict[str, DataFrame]) -> DataFrame:
+    """Distinct (finish_code, base_spec, variant) reached through the code's steps."""
+    return code_material_links(t).select("finish_code", "base_spec", "variant")
+
+
+def code_chemicals(t: dict[str, DataFrame], materials: DataFrame | None = None) -> DataFrame:
     """Q11 (J15): distinct chemicals of each code.
 
     Reduced to distinct (code, material) and then distinct (code, cas) before the
     chemical attributes are joined, so the material fan-out is paid on keys only.
+    ``materials`` may pass an already computed ``code_materials``.
     """
-    cm = code_materials(t).alias("cm")
+    cm = (materials if materials is not None else code_materials(t)).alias("cm")
     mc = t["material_chemicals"].select("base_spec", "variant", "cas").alias("mc")
     cc = (cm.join(mc, (F.col("cm.base_spec") == F.col("mc.base_spec"))
                   & F.col("cm.variant").eqNullSafe(F.col("mc.variant")))

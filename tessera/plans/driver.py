@@ -86,10 +86,11 @@ def q_hierarchy_flat(spark, sf_dir):
 st AS (SELECT finish_code, count(*) AS n_steps, arg_min(sft_code, (step_order, sft_code)) AS first_step,
               arg_max(sft_code, (step_order, sft_code)) AS last_step
        FROM finish_code_steps GROUP BY finish_code),
-lk AS (SELECT cs.finish_code, count(*) AS n_links, count(DISTINCT l.base_spec) AS n_materials
-       FROM finish_code_steps cs JOIN sft_material_links l ON cs.sft_code = l.sft_code GROUP BY cs.finish_code),
-cm AS (SELECT DISTINCT cs.finish_code, l.base_spec, l.variant
-       FROM finish_code_steps cs JOIN sft_material_links l ON cs.sft_code = l.sft_code),
+cml AS (SELECT cs.finish_code, l.base_spec, l.variant, count(*) AS n
+        FROM finish_code_steps cs JOIN sft_material_links l ON cs.sft_code = l.sft_code
+        GROUP BY cs.finish_code, l.base_spec, l.variant),
+lk AS (SELECT finish_code, CAST(sum(n) AS BIGINT) AS n_links, count(*) AS n_materials FROM cml GROUP BY finish_code),
+cm AS (SELECT finish_code, base_spec, variant FROM cml),
 cc AS (SELECT DISTINCT cm.finish_code, mc.cas FROM cm JOIN material_chemicals mc
        ON cm.base_spec = mc.base_spec AND cm.variant IS NOT DISTINCT FROM mc.variant),
 ch AS (SELECT cc.finish_code, count(*) AS n_chemicals, max(c.default_hazard_level) AS max_level
@@ -101,19 +102,21 @@ FROM finish_codes fc LEFT JOIN st ON fc.code = st.finish_code LEFT JOIN lk ON fc
 LEFT JOIN ch ON fc.code = ch.finish_code
 """)
 def q_hierarchy_summary(spark, sf_dir):
-    """Per code: step count, first/last step in order, link/material/chemical counts and
-    the highest hazard level. All partial aggregates (no per-code collection)."""
+    """Per code: step count, first/last step in order, link/material (distinct (base_spec,
+    variant)) /chemical counts and the highest hazard level. All partial aggregates (no
+    per-code collection)."""
     t = domain_tables(spark, sf_dir)
     cs = t["finish_code_steps"]
     order = F.struct("step_order", "sft_code")
     st = cs.groupBy("finish_code").agg(F.count(F.lit(1)).alias("n_steps"),
                                        F.min_by("sft_code", order).alias("first_step"),
                                        F.max_by("sft_code", order).alias("last_step"))
-    lk = (cs.select("finish_code", "sft_code").join(t["sft_material_links"], "sft_code")
-          .groupBy("finish_code").agg(F.count(F.lit(1)).alias("n_links"),
-                                      F.count_distinct("base_spec").alias("n_materials")))
-    ch = H.code_chemicals(t).groupBy("finish_code").agg(F.count(F.lit(1)).alias("n_chemicals"),
-                                                        F.max("default_hazard_level").alias("max_level"))
+    # One (code, material) aggregate feeds the link and material counts and the chemicals.
+    cml = H.code_material_links(t)
+    lk = cml.groupBy("finish_code").agg(F.sum("n_links").alias("n_links"),
+                                        F.count(F.lit(1)).alias("n_materials"))
+    ch = (H.code_chemicals(t, cml.select("finish_code", "base_spec", "variant")).groupBy("finish_code")
+          .agg(F.count(F.lit(1)).alias("n_chemicals"), F.max("default_hazard_level").alias("max_level")))
     fc = t["finish_codes"].select(F.col("code").alias("finish_code"))
     j = fc.join(st, "finish_code", "left").join(lk, "finish_code", "left").join(ch, "finish_code", "left")
     return j.select("finish_code", F.coalesce("n_steps", F.lit(0)).alias("n_steps"), "first_step", "last_step",
