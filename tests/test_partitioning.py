@@ -1,0 +1,37 @@
+"""Scale helpers: spreading only under-partitioned inputs, bounded broadcast checks,
+and the bounded first-k plan."""
+
+from pyspark.sql import functions as F
+
+from tessera.operators.catalogue import spec_catalogue
+from tessera.operators.joins import broadcast_if_small
+from tessera.operators.partitioning import spread
+
+
+def test_spread_only_when_under_partitioned(spark):
+    small = spark.range(0, 100, numPartitions=1)
+    assert spread(small, 4).rdd.getNumPartitions() == 4
+    wide = spark.range(0, 100, numPartitions=8)
+    assert spread(wide, 4) is wide  # enough splits: no shuffle added
+    assert sorted(r.id for r in spread(small, 4).collect()) == list(range(100))
+
+
+def test_broadcast_only_within_bound(spark):
+    df = spark.range(10)
+    plan_small = spark.range(1000).join(broadcast_if_small(df, 10), "id")._jdf.queryExecution() \
+        .optimizedPlan().toString()
+    assert "broadcast" in plan_small.lower()
+    over = broadcast_if_small(df, 9)
+    assert over is df  # over the bound: left to the planner
+
+
+def test_first_k_is_a_group_limit_before_the_shuffle(spark):
+    steps = spark.createDataFrame([(i, "A,B") for i in range(50)], "sft_code int, associated_specs string")
+    codes = spark.createDataFrame([("C%02d" % (i % 7), i) for i in range(50)], "finish_code string, sft_code int")
+    cat = spec_catalogue(steps, codes)
+    plan = cat._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    rows = {r["spec"]: r for r in cat.collect()}
+    assert rows["A"]["usage_count"] == 7 and rows["A"]["step_count"] == 50
+    assert rows["A"]["finish_codes_first"] == "C00;C01;C02;C03;C04..."
+    assert rows["A"]["sft_codes_first"] == "0;1;10;11;12..."  # text order
