@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import array_text, collapse_ws, is_hex64, json_is_valid, short_hash
+from tessera.functions.columns import json_is_valid, short_hash
 from tessera.functions.text import SPEC_PREFIXES, boundary
 from tessera.operators import audit as A
 from tessera.operators import catalogue as C
