@@ -7,11 +7,26 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import scratch_dir, table
 
 
+def op1_chunk_recipe_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.dedup import exact_duplicates
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_bloom_cascade_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.urlfilter import RULES, judge, rule_table
+    return judge(table(spark, sf_dir, "pages"), rule_table(spark, RULES))
+
+
 def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.packing import pack
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mixing import mix
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op7_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.wavelet import read_documents, write_tokens
     path = scratch_dir(spark)
@@ -19,6 +34,53 @@ def op7_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op3_cost_balanced_packing, op7_wavelet_token_files)}
+def op8_entropy_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.secrets import scan
+    return scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_chunk_recipe_exact_dedup, op2_bloom_cascade_url_filter, op3_cost_balanced_packing, op5_source_mix,
+    op7_wavelet_token_files, op8_entropy_secret_scan)}
+
+SQL_OP1 = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
+                  regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents),
+k AS (SELECT doc_id, norm, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+             row_number() OVER w = 1 AS kept
+      FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, group_size, kept, sha256(norm) AS text_sha256 FROM k
+"""
+
+SQL_OP5 = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT)
+                  AS size FROM documents),
+p AS (SELECT source, sum(size)::BIGINT AS source_size,
+             [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+      FROM d GROUP BY source),
+o AS (SELECT *, 3 * source_size AS cap, sum(source_size) OVER () AS total, sum(w) OVER () AS w_all,
+             coalesce(sum(3 * source_size) OVER l, 0) AS full_, coalesce(sum(w) OVER l, 0.0) AS w_full
+      FROM p WINDOW l AS (ORDER BY 3 * source_size / w, source NULLS LAST
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT *, (total - full_)::DOUBLE / (w_all - w_full) AS own FROM o),
+c AS (SELECT arg_min(own, w_full) AS common FROM v WHERE own * w <= cap),
+t AS (SELECT source, source_size, least(cap::DOUBLE, common * w) AS target FROM v, c),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM t),
+j AS (SELECT d.doc_id, d.size, r.*, sha256('mix|' || coalesce(CAST(d.doc_id AS VARCHAR), '')) AS hash
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+e AS (SELECT j.*, i AS draw, CAST(floor(rate) AS BIGINT)
+             + CASE WHEN CAST('0x' || substr(hash, 1 + 8 * i, 8) AS BIGINT) / 4294967296.0::DOUBLE
+                         < rate - floor(rate) THEN 1 ELSE 0 END AS copies
+      FROM j, range(8) AS x(i)),
+b AS (SELECT source, draw, abs(sum(size * copies)::DOUBLE - min(target)) AS off_ FROM e GROUP BY source, draw),
+n AS (SELECT source, arg_min(draw, (off_, draw)) AS draw FROM b GROUP BY source)
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, copies
+FROM e JOIN n ON e.source IS NOT DISTINCT FROM n.source AND e.draw = n.draw
+"""
+
+def _oracle() -> dict[str, str]:
+    from tessera.llm.urlfilter import SQL
+    return {"op1_chunk_recipe_exact_dedup": SQL_OP1, "op2_bloom_cascade_url_filter": SQL, "op5_source_mix": SQL_OP5}
+
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = _oracle()

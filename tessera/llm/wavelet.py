@@ -61,7 +61,8 @@ class Shard:
         if not self.n:
             return np.zeros_like(at)
         bits = np.unpackbits(self.planes[level].reshape(-1, BLOCK // 8)[block], axis=1, bitorder="little")
-        return self.ranks[level][block] + (bits * (np.arange(BLOCK) < (at - block * BLOCK)[:, None])).sum(1)
+        inside = np.arange(BLOCK) < (at - block * BLOCK)[:, None]
+        return self.ranks[level][block].astype(np.int64) + (bits * inside).sum(1, dtype=np.int64)
 
     def access(self, at) -> np.ndarray:
         """Ids at the given positions."""
@@ -70,7 +71,7 @@ class Shard:
         for level in range(self.levels):
             bit, ones = self._bit(level, at), self._ones(level, at)
             out = out << 1 | bit
-            at = np.where(bit == 1, self.zeros[level] + ones, at - ones)
+            at = np.where(bit == 1, self.zeros[level] + ones, at - ones).astype(np.int64)
         return out
 
     def rank(self, token: int, at: int) -> int:
