@@ -27,6 +27,12 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op6_lempel_ziv_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.substrings import remove_duplicate_spans
+    out = remove_duplicate_spans(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.wavelet import read_documents, write_tokens
     path = scratch_dir(spark)
@@ -41,7 +47,7 @@ def op8_entropy_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_chunk_recipe_exact_dedup, op2_bloom_cascade_url_filter, op3_cost_balanced_packing, op5_source_mix,
-    op7_wavelet_token_files, op8_entropy_secret_scan)}
+    op6_lempel_ziv_substring_dedup, op7_wavelet_token_files, op8_entropy_secret_scan)}
 
 SQL_OP1 = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
