@@ -22,6 +22,11 @@ def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.jaccard import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.mixing import mix
     return mix(table(spark, sf_dir, "documents"))
@@ -46,7 +51,8 @@ def op8_entropy_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_chunk_recipe_exact_dedup, op2_bloom_cascade_url_filter, op3_cost_balanced_packing, op5_source_mix,
+    op1_chunk_recipe_exact_dedup, op2_bloom_cascade_url_filter, op3_cost_balanced_packing, op4_ngram_jaccard_join,
+    op5_source_mix,
     op6_lempel_ziv_substring_dedup, op7_wavelet_token_files, op8_entropy_secret_scan)}
 
 SQL_OP1 = r"""
