@@ -10,7 +10,7 @@ All of it is DataFrame expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import SPACE, settled
@@ -84,3 +84,20 @@ def exact_duplicates(docs: DataFrame, chunk_hash=F.xxhash64) -> DataFrame:
         F.coalesce("g.group_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("k._row") == F.col("g._first._row"))).alias("kept"),
         F.col("k.text_sha256").alias("text_sha256"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, without the rows that ``exact_duplicates`` doesn't keep."""
+    found = settled(exact_duplicates(docs))
+    sha = F.sha2(normalised(F.col("d.text")).cast("binary"), 256)
+    gone = found.filter("not kept and not (doc_id <=> keep_id)").select("doc_id", "text_sha256").distinct()
+    out = docs.alias("d").join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id") & (sha == F.col("g.text_sha256")),
+                               "left_anti")
+    if found.filter("not kept and doc_id <=> keep_id").isEmpty():
+        return out.select("d.*")
+    # Rows that repeat an id and a text: the first of them by what decides within a group.
+    text = F.coalesce("_doc.text", F.lit(""))
+    rows = out.select(F.struct("d.*").alias("_doc")).withColumn(
+        "_sha", F.sha2(normalised(F.col("_doc.text")).cast("binary"), 256))
+    order = Window.partitionBy("_doc.doc_id", "_sha").orderBy(F.length(text).desc(), text)
+    return rows.withColumn("_k", F.row_number().over(order)).filter("_k = 1").select("_doc.*")

@@ -250,3 +250,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, t: float = 0.75) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"),
                       F.when(own.isNotNull(), F.coalesce("component", own)).alias("component_id"),
                       F.when(own.isNotNull(), F.coalesce("class_id", own)).alias("class_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, t: float = 0.75) -> DataFrame:
+    """``docs``, all columns, with only the smallest ``doc_id`` of each group of near duplicates."""
+    gone = settled(near_duplicates(docs, n, t).filter("component_id <> doc_id").select("doc_id").distinct())
+    return docs.alias("d").join(gone.alias("g"), F.expr("d.doc_id = g.doc_id"), "left_anti").select("d.*")

@@ -94,10 +94,8 @@ def mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, most: int = MOST) -
 def repeated(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """``docs`` with each row as many times as ``mix`` takes it; all columns stay."""
     per = rates(settled(sized(docs).select("doc_id", "source", "size")), seed, weights, most)
-    names = docs.columns
     j = docs.alias("d").join(per.select(F.col("source").alias("_s"), "rate", "draw").alias("s"),
                              F.expr("d.source <=> s._s"))
     n = copies(F.col("s.rate"), F.col("s.draw"), F.col("d.doc_id"), seed)
-    return (j.select("d.*", n.alias("_n")).filter("_n > 0")
-            .select(*[F.col(f"`{c}`") for c in names], F.explode(F.sequence(F.lit(1), "_n")).alias("_copy"))
-            .select(*[F.col(f"`{c}`") for c in names]))
+    return (j.select(F.struct("d.*").alias("_doc"), n.alias("_n")).filter("_n > 0")
+            .select("_doc", F.explode(F.sequence(F.lit(1), "_n"))).select("_doc.*"))

@@ -50,10 +50,21 @@ def op8_entropy_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op9_collision_counting_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.neighbours import nearest
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op10_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import scored
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chunk_recipe_exact_dedup, op2_bloom_cascade_url_filter, op3_cost_balanced_packing, op4_ngram_jaccard_join,
     op5_source_mix,
-    op6_lempel_ziv_substring_dedup, op7_wavelet_token_files, op8_entropy_secret_scan)}
+    op6_lempel_ziv_substring_dedup, op7_wavelet_token_files, op8_entropy_secret_scan,
+    op9_collision_counting_neighbours, op10_positive_unlabelled_quality)}
 
 SQL_OP1 = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
