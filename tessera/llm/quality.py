@@ -15,6 +15,7 @@ whole texts.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,10 @@ from tessera.llm.common import slices, split_words
 
 SAMPLE = 10_000
 SHAPES = 256
-ROUNDS, RATE, SHRINK = 400, 0.05, 1e-4
+ROUNDS, RATE, SHRINK = 400, 0.05, 5e-3
+
+#: Features are scaled by their deviation, at least LEAST_SCALE (rare shapes would dominate else), and cut at +-CLIP.
+LEAST_SCALE, CLIP = 0.05, 4.0
 
 #: Score of every text when there is no positive to learn from.
 NO_MODEL = 0.5
@@ -50,10 +54,10 @@ def features(texts: pa.Array) -> np.ndarray:
         return pc.match_substring_regex(vocab, pattern).to_numpy(zero_copy_only=False).astype(np.float64)
 
     shape = vocab
-    for pattern, by in ((r"\p{Lu}+", "A"), (r"[\p{Ll}\p{Lo}\p{Lt}\p{M}]+", "a"), (r"\p{N}+", "9"), (r"([^Aa9])[^Aa9]+", r"\1+")):
+    for pattern, by in ((r"\p{Lu}+", "A"), (r"[\p{Ll}\p{Lo}\p{Lt}\p{M}]+", "a"), (r"\p{N}+", "9"),
+                        (r"([^Aa9])[^Aa9]+", r"\1+")):
         shape = pc.replace_substring_regex(shape, pattern, by)
     shape = shape.dictionary_encode()
-    import zlib
     bucket = np.array([zlib.crc32(s.encode()) % SHAPES for s in shape.dictionary.to_pylist()], np.int64)
     bucket = bucket[shape.indices.to_numpy(zero_copy_only=False)] if len(vocab) else np.zeros(0, np.int64)
     words = np.maximum(n, 1)
@@ -62,10 +66,10 @@ def features(texts: pa.Array) -> np.ndarray:
         same[1:] = (codes[1:] == codes[:-1]) & (rows[1:] == rows[:-1])
     pairs = np.unique(rows * np.int64(len(vocab) + 1) + codes) // (len(vocab) + 1) if len(codes) else rows
     distinct = np.bincount(pairs, minlength=len(n)).astype(np.float64)
-    columns = [np.log1p(n), distinct / words, np.log1p(distinct) / np.maximum(np.log1p(n), 1), _per_row(same, offsets) / words,
-               np.log1p(_per_row(length[codes], offsets) / words)]
-    for pattern in (r"^\p{Lu}\p{Lu}+", r"[\p{L}\p{N}]$", r"[.,;:?!]$", r"[^\p{L}\p{N}.,;:?!'\"()-]", r"\p{N}", r"^[^\p{L}\p{N}]+$",
-                    r"(.)[.!?,;:]{2,}$", r"https?:|www\.|@"):
+    columns = [np.log1p(n), distinct / words, np.log1p(distinct) / np.maximum(np.log1p(n), 1),
+               _per_row(same, offsets) / words, np.log1p(_per_row(length[codes], offsets) / words)]
+    for pattern in (r"^\p{Lu}\p{Lu}+", r"[\p{L}\p{N}]$", r"[.,;:?!]$", r"[^\p{L}\p{N}.,;:?!'\"()-]", r"\p{N}",
+                    r"^[^\p{L}\p{N}]+$", r"(.)[.!?,;:]{2,}$", r"https?:|www\.|@"):
         columns.append(_per_row(share(pattern)[codes], offsets) / words)
     counts = np.bincount(rows * SHAPES + bucket[codes], minlength=len(n) * SHAPES).reshape(len(n), SHAPES)
     return np.column_stack([*columns, np.sqrt(counts / words[:, None])])
@@ -98,6 +102,10 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _scaled(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip((x - mean) / scale, -CLIP, CLIP)
+
+
 def descend(gradient, size: int, rounds: int = ROUNDS) -> np.ndarray:
     """Adam from zero."""
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
@@ -138,8 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict | No
     pos, unl = _collect(some), _collect(_sample(learn, ids, n_docs, 2))
     if not len(pos) or not len(unl):
         return None
-    mean, scale = unl.mean(0), unl.std(0) + 1e-3
-    pos, unl = (np.column_stack([np.clip((x - mean) / scale, -8, 8), np.ones(len(x))]) for x in (pos, unl))
+    mean, scale = unl.mean(0), np.maximum(unl.std(0), LEAST_SCALE)
+    pos, unl = (np.column_stack([_scaled(x, mean, scale), np.ones(len(x))]) for x in (pos, unl))
     prior = estimate_prior(pos, unl)
 
     def gradient(w):
@@ -176,7 +184,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
 def scores(texts: pa.Array, model: dict | None) -> np.ndarray:
     if model is None:
         return np.full(len(texts), NO_MODEL)
-    x = np.clip((features(texts) - model["mean"]) / model["scale"], -8, 8)
+    x = _scaled(features(texts), model["mean"], model["scale"])
     return _sigmoid(x @ model["w"][:-1] + model["w"][-1])
 
 
