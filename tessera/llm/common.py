@@ -6,8 +6,12 @@ text (one longer text makes a slice of its own), so a task's memory follows the
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+import time
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -24,7 +28,22 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the Python workers, once per Spark application: they may have neither the driver's
+    folder nor its ``PYTHONPATH``."""
+    global _shipped
+    if _shipped != spark.sparkContext.applicationId:
+        package = Path(__file__).resolve().parent.parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(archive)
+        _shipped = spark.sparkContext.applicationId
+
+
+_shipped: str | None = None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,14 +53,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+def settled(df: DataFrame, partition_by: str | None = None, large: bool = False) -> DataFrame:
     """``df`` written as a Parquet table in the shared scratch folder and read back: its lineage is cut, a lost
-    executor costs only running tasks, and later joins see the table's true size. The JVM is then asked to collect
-    garbage, which lets Spark's cleaner drop the shuffle files that nothing refers to any more."""
+    executor costs only running tasks, and later joins see the table's true size. ``large``: its shuffles moved a good
+    part of the corpus, so the JVM is asked to collect garbage, on which Spark's cleaner drops the shuffle files that
+    nothing refers to any more (it takes the second call, after the listeners have seen the query end)."""
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    if large:
+        for _ in range(2):
+            time.sleep(0.5)
+            spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 

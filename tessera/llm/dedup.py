@@ -53,7 +53,7 @@ def exact_duplicates(docs: DataFrame, chunk_hash=F.xxhash64) -> DataFrame:
     """
     rows = recipes(docs, chunk_hash).withColumn("_row", F.monotonically_increasing_id())
     rows = settled(rows)
-    doubtful = settled(ambiguous_hashes(docs, chunk_hash))
+    doubtful = settled(ambiguous_hashes(docs, chunk_hash), large=True)
     no_text = F.lit(None).cast("string")
     if doubtful.isEmpty():
         keyed = rows.withColumn("_text", no_text)

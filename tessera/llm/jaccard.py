@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import (hash_words, mixed, settled, slices, split_words, text_bytes, window_hashes)
 from tessera.llm.graph import components
 
+#: Text bytes that a task hashes at once.
+SLICE = 4 << 20
+
 #: Text bytes whose prefixes make a fragment for candidates (about 2 million n-grams), and fragments of whole sets.
 FRAGMENT_BYTES = 48 << 20
 SEGMENTS = 8
@@ -75,7 +78,7 @@ def survey(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """Per document its set's size and digest; and, per slice, n-grams that several of its sets hold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 grams = ngram_sets(part.column("text"), n)
                 d1, d2 = digests(grams)
                 k = part.num_rows
@@ -114,7 +117,7 @@ def postings(docs: DataFrame, frequent: np.ndarray, n: int, t: float) -> DataFra
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 grams = ngram_sets(part.column("text"), n)
                 d1, d2 = digests(grams)
                 sizes = np.array([len(g) for g in grams], np.int64)
@@ -208,14 +211,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, t: float = 0.75) -> DataFrame:
     p = round(t * 100)
     classes = settled(sets.filter("n > 0 and doc_id is not null").groupBy("d1", "d2", "n")
                       .agg(F.min("doc_id").alias("doc")))
-    found = settled(postings(docs.filter("doc_id is not null"), frequent_grams(grams, n_docs), n, t))
+    found = settled(postings(docs.filter("doc_id is not null"), frequent_grams(grams, n_docs), n, t), large=True)
     # From here on a set is its class's smallest document. (Two sets of one d1 both get its postings.)
     posts = settled(found.join(classes.select("d1", "n", "doc"), ["d1", "n"]).select("gram", "doc", "n"))
     shared = posts.groupBy("doc").agg((F.count("*") / F.first("n")).alias("score"))
     scored = settled(posts.join(shared, "doc"))
     wanted = settled(posts.select(F.col("doc").alias("doc_id")).distinct())
     segs = settled(segments(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-                            .dropDuplicates(["doc_id"]), n))
+                            .dropDuplicates(["doc_id"]), n), large=True)
     near = (F.lit(100) * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b"))
 
     hubs = settled(scored.groupBy("gram").agg(F.max(F.struct("score", "doc", "n")).alias("hub"))
