@@ -65,7 +65,7 @@ def settled(df: DataFrame, partition_by: str | None = None, large: bool = False)
         for _ in range(2):
             time.sleep(0.5)
             spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
