@@ -27,10 +27,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import hash_words, settled, slices, split_words, text_bytes, window_hashes
 
-#: Text bytes whose windows make a reference block (about 2.5 million of them).
-BLOCK_BYTES = 16 << 20
+#: Text bytes whose windows make a reference block (about 4 million of them).
+BLOCK_BYTES = 24 << 20
 
-_ENTRIES = "block int, hashes binary, docs binary, known_hashes binary, known_docs binary"
+#: Text bytes that a task hashes at once.
+SLICE = 4 << 20
+
+_ENTRIES = "block int, hashes binary, docs binary, counts binary, known_hashes binary, known_docs binary"
 _FOUND = "doc_id long, hashes binary"
 
 
@@ -51,6 +54,12 @@ def _by_doc(docs: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, bytes]]
         yield int(docs[a]), hashes[a:b].tobytes()
 
 
+def _cut(width: np.uint64, blocks: int, hashes: np.ndarray, owner: np.ndarray):
+    """Both arrays, ascending in ``hashes``, cut into the blocks."""
+    at = np.searchsorted(hashes // width, np.arange(blocks + 1))
+    return ((hashes[a:b], owner[a:b]) for a, b in zip(at[:-1], at[1:]))
+
+
 def duplicate_windows(docs: DataFrame, window: int = 13) -> DataFrame:
     """Per document and block: hashes (8 bytes each) of its windows that also begin in a document of smaller id."""
     blocks = max(24, math.ceil(text_bytes(docs) / BLOCK_BYTES))
@@ -58,7 +67,7 @@ def duplicate_windows(docs: DataFrame, window: int = 13) -> DataFrame:
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.filter(pc.is_valid(batch.column("doc_id")))):
+            for part in slices(batch.filter(pc.is_valid(batch.column("doc_id"))), limit=SLICE):
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
                 hashes, rows, _ = windows_of(part.column("text"), window)
                 owner = ids[rows]
@@ -67,12 +76,15 @@ def duplicate_windows(docs: DataFrame, window: int = 13) -> DataFrame:
                 first = np.diff(hashes, prepend=~hashes[:1]) != 0
                 smallest = owner[np.maximum.accumulate(np.where(first, np.arange(len(owner)), 0))]
                 known = owner > smallest  # duplicates within the slice
-                cut = np.searchsorted(hashes[first] // width, np.arange(blocks + 1))
-                cut_known = np.searchsorted(hashes[known] // width, np.arange(blocks + 1))
-                columns = [[x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-                           for x in (hashes[first], owner[first])]
-                columns += [[x[a:b].tobytes() for a, b in zip(cut_known[:-1], cut_known[1:])]
-                            for x in (hashes[known], owner[known])]
+                columns = [[], [], []]
+                for block_hashes, block_docs in _cut(width, blocks, hashes[first], owner[first]):
+                    # by document, each id once with its number of windows: 8 bytes a window and little more
+                    order = np.argsort(block_docs, kind="stable")
+                    listed, count = np.unique(block_docs, return_counts=True)
+                    for column, x in zip(columns, (block_hashes[order], listed, count.astype("<u4"))):
+                        column.append(x.tobytes())
+                columns += zip(*((h.tobytes(), d.tobytes())
+                                 for h, d in _cut(width, blocks, hashes[known], owner[known])))
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)),
                                                   *(pa.array(c, pa.binary()) for c in columns)],
                                                  [c.split()[0] for c in _ENTRIES.split(", ")])
@@ -81,7 +93,7 @@ def duplicate_windows(docs: DataFrame, window: int = 13) -> DataFrame:
         def column(name, kind):
             return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
 
-        hashes, owner = column("hashes", np.uint64), column("docs", np.int64)
+        hashes, owner = column("hashes", np.uint64), np.repeat(column("docs", np.int64), column("counts", "<u4"))
         order = np.argsort(hashes, kind="stable")
         hashes, owner = hashes[order], owner[order]
         heads = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1]) != 0)
@@ -103,12 +115,12 @@ def remove_duplicate_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     Null and empty texts have no words. A document without id neither gives nor loses words; rows with one id are
     judged alike, none being earlier than the other. An empty table gives no rows; other columns are not read.
     """
-    found = settled(duplicate_windows(docs, window))
+    found = settled(duplicate_windows(docs, window), large=True)
     per_doc = found.groupBy("doc_id").agg(F.collect_list("hashes").alias("_found"))  # at most the document's windows
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 texts = part.column("text")
                 hashes, rows, offsets = windows_of(texts, window)
                 codes, _, vocab = split_words(texts)
