@@ -11,20 +11,18 @@ from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
 
-# Whitespace class used by strip/collapse. Java's ``\s`` is the ASCII set
-# [ \t\n\x0B\f\r]; pass ``unicode=True`` to use the Unicode White_Space set instead.
-_WS = r"\s"
-_UWS = r"(?U)\s"
+# White space of strip and collapse: Unicode White_Space and the four separators U+001C to
+# U+001F, the set that Python's str.strip and ``\s`` use (Java's own ``\s`` is ASCII only).
+_WS = r"[\s\x1c-\x1f]"
 
 
 def _c(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def strip_ws(c: ColumnOrName, unicode: bool = False) -> Column:
+def strip_ws(c: ColumnOrName) -> Column:
     """remove all leading and trailing whitespace (``trim`` only removes spaces)."""
-    ws = _UWS if unicode else _WS
-    return F.regexp_replace(_c(c), rf"^{ws}+|{ws}+$", "")
+    return F.regexp_replace(_c(c), rf"(?U)^{_WS}+|{_WS}+$", "")
 
 
 def blank_to_null(c: ColumnOrName) -> Column:
@@ -110,12 +108,12 @@ def first_k_with_ellipsis(arr: ColumnOrName, k: int = 5, sep: str = ";", more: s
 
 def upper_collapse(c: ColumnOrName) -> Column:
     """collapse whitespace runs to one space and upper-case."""
-    return F.upper(F.regexp_replace(_c(c), r"\s+", " "))
+    return F.upper(F.regexp_replace(_c(c), rf"(?U){_WS}+", " "))
 
 
 def collapse_ws(c: ColumnOrName) -> Column:
     """Whitespace runs to one space, then strip (F13 without the case change)."""
-    return strip_ws(F.regexp_replace(_c(c), r"\s+", " "))
+    return strip_ws(F.regexp_replace(_c(c), rf"(?U){_WS}+", " "))
 
 
 def base_name(c: ColumnOrName) -> Column:

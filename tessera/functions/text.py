@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import ColumnOrName, _c, strip_ws
+from tessera.functions.columns import ColumnOrName, _c, strip_ws, upper_collapse
 
 # Fixed values that must equal the reference's for equal results.
 # Specification prefix families, in the reference's order:
@@ -22,7 +22,11 @@ P_SPEC_BODY = r"P\d{4,6}"
 # Finish-code token: one or two capital letters and two digits, or 0000.
 CODE_TOKEN = r"[A-Z]{1,2}\d{2}|0000"
 # Process-step token: SFT followed by four digits (matched case-insensitively).
-STEP_TOKEN = r"(?i)SFT\d{4}"
+STEP_TOKEN = r"(?i)\bSFT\d{4}\b"
+# RTF cleanup: hex escapes, control words with the space that ends them, group marks.
+RTF_HEX = r"\\'[0-9a-fA-F]{2}"
+RTF_WORD = r"\\[a-zA-Z]+-?\d*(?:\s|)"
+RTF_GROUP = r"[{}\\]"
 
 # Word boundaries. ``unicode``: Java's \b (letters like ä count as word characters, as in
 # Python). ``ascii``: only [A-Za-z0-9_] are word characters (what RE2/DuckDB use).
@@ -63,11 +67,10 @@ def extract_specs(c: ColumnOrName, prefixes: list[str] | None = None, bound: str
 def clean_rtf(c: ColumnOrName) -> Column:
     """Drop RTF hex escapes and control words, braces and backslashes; collapse
     whitespace; upper-case; strip."""
-    s = F.regexp_replace(_c(c), r"\\'[0-9a-fA-F]{2}", " ")
-    s = F.regexp_replace(s, r"\\[a-zA-Z]+-?\d*(?:\s|)", " ")
-    s = F.regexp_replace(s, r"[{}\\]", " ")
-    s = F.regexp_replace(s, r"\s+", " ")
-    return strip_ws(F.upper(s))
+    s = F.regexp_replace(_c(c), RTF_HEX, " ")
+    s = F.regexp_replace(s, RTF_WORD, " ")
+    s = F.regexp_replace(s, RTF_GROUP, " ")
+    return strip_ws(upper_collapse(s))
 
 
 def segment_boundary(anchor: str = CODE_TOKEN) -> str:

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import json_is_valid, zero_pad
-from tessera.operators.joins import orphan_count
 
 ISSUE_COLUMNS = ["type", "severity", "table", "column", "issue", "row_key", "n", "details"]
 ISSUE_DDL = ("type string, severity string, table string, column string, issue string, "
@@ -113,32 +112,75 @@ def _empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], ISSUE_DDL)
 
 
+def _tagged_keys(df: DataFrame, rules: Sequence[tuple[int, Sequence[str], Sequence[str]]]) -> DataFrame:
+    """(rule, key) of every row of ``df`` for each (rule number, columns, columns that match NULL to
+    NULL): one scan for all rules of a table. A row whose other key columns hold NULL takes no part."""
+    items = []
+    for number, cols, null_safe in rules:
+        text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols])
+        present = F.lit(True)
+        for c in cols:
+            if c not in null_safe:
+                present = present & F.col(c).isNotNull()
+        items.append(F.when(present, F.struct(F.lit(number).alias("rule"), text.alias("key"))))
+    return df.select(F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("k")).select("k.*")
+
+
+def orphan_counts(tables: dict[str, DataFrame], fks: Sequence[ForeignKey]) -> DataFrame:
+    """V1 + A1 for many foreign keys at once: ``rule`` (place in ``fks``) and ``orphan_count``, for
+    those with orphans. One scan per child and per parent table, one aggregate of all child keys
+    (a key's rows are counted map-side, so a hot key crosses once per task) and one anti join."""
+    by_child: dict[str, list] = {}
+    by_parent: dict[str, list] = {}
+    for i, fk in enumerate(fks):
+        safe_parents = [p for c, p in zip(fk.child_cols, fk.parent_cols) if c in fk.null_safe]
+        by_child.setdefault(fk.child, []).append((i, fk.child_cols, fk.null_safe))
+        by_parent.setdefault(fk.parent, []).append((i, fk.parent_cols, safe_parents))
+    child = parent = None
+    for name, rules in by_child.items():
+        keys = _tagged_keys(tables[name], rules)
+        child = keys if child is None else child.unionAll(keys)
+    for name, rules in by_parent.items():
+        keys = _tagged_keys(tables[name], rules)
+        parent = keys if parent is None else parent.unionAll(keys)
+    counted = child.groupBy("rule", "key").agg(F.count(F.lit(1)).alias("n"))
+    return (counted.join(parent, ["rule", "key"], "left_anti").groupBy("rule")
+            .agg(F.sum("n").cast("long").alias("orphan_count")))
+
+
+def _of_rule(values: Sequence[str]) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), F.col("rule"))
+
+
 def fk_issues(spark: SparkSession, tables: dict[str, DataFrame], fks: Sequence[ForeignKey]) -> list[DataFrame]:
     """V1 + V2: one ``orphan_fk`` issue per foreign key with orphans (count in ``n``)."""
-    out = []
+    out, fks = [], [fk for fk in fks if fk.child in tables]
     for fk in fks:
-        col = ", ".join(fk.child_cols)
-        if fk.child not in tables:
-            continue
         if fk.parent not in tables:
             out.append(spark.range(1).select(*_issue(
-                "referential_integrity", "error", fk.child, col, "missing_parent_table", F.lit(None),
-                F.lit(None), F.lit(f"Parent table '{fk.parent}' does not exist"))))
-            continue
-        cnt = orphan_count(tables[fk.child], fk.child_cols, tables[fk.parent], fk.parent_cols, fk.null_safe)
-        target = f"{fk.parent}.{', '.join(fk.parent_cols)}"
-        out.append(cnt.filter(F.col("orphan_count") > 0).select(*_issue(
-            "referential_integrity", "error", fk.child, col, "orphan_fk", F.lit(None), F.col("orphan_count"),
-            F.format_string(f"%d rows reference non-existent {target} values", F.col("orphan_count")))))
+                "referential_integrity", "error", fk.child, ", ".join(fk.child_cols), "missing_parent_table",
+                F.lit(None), F.lit(None), F.lit(f"Parent table '{fk.parent}' does not exist"))))
+    fks = [fk for fk in fks if fk.parent in tables]
+    if fks:
+        targets = _of_rule([f"{fk.parent}.{', '.join(fk.parent_cols)}" for fk in fks])
+        out.append(orphan_counts(tables, fks).select(
+            F.lit("referential_integrity").alias("type"), F.lit("error").alias("severity"),
+            _of_rule([fk.child for fk in fks]).alias("table"),
+            _of_rule([", ".join(fk.child_cols) for fk in fks]).alias("column"), F.lit("orphan_fk").alias("issue"),
+            F.lit(None).cast("string").alias("row_key"), F.col("orphan_count").alias("n"),
+            F.format_string("%d rows reference non-existent %s values", F.col("orphan_count"), targets)
+            .alias("details")))
     return out
 
 
+def _missing(c: str, blank_is_null: bool) -> Column:
+    m = F.col(c).isNull()
+    return (m | (F.col(c).cast("string") == "")) if blank_is_null else m
+
+
 def null_counts(df: DataFrame, columns: Sequence[str], blank_is_null: bool = False) -> DataFrame:
     """A2: (column, null_count) for all ``columns`` of one table in a single pass."""
-    def missing(c: str) -> Column:
-        m = F.col(c).isNull()
-        return (m | (F.col(c).cast("string") == "")) if blank_is_null else m
-    wide = df.agg(*[F.count_if(missing(c)).alias(c) for c in columns])
+    wide = df.agg(*[F.count_if(_missing(c, blank_is_null)).alias(c) for c in columns])
     return wide.unpivot([], list(columns), "column", "null_count")
 
 
@@ -175,20 +217,6 @@ def unique_issues(tables: dict[str, DataFrame], uniques: Sequence[Unique]) -> li
     return out
 
 
-def row_check_issues(tables: dict[str, DataFrame], checks: Sequence[RowCheck]) -> list[DataFrame]:
-    """One issue per offending row."""
-    out = []
-    for ck in checks:
-        if ck.table not in tables:
-            continue
-        df = tables[ck.table]
-        val = ck.value(df) if ck.value is not None else F.col(ck.column).cast("string")
-        bad = df.filter(F.coalesce(ck.violates(df), F.lit(False)))
-        out.append(bad.select(*_issue(ck.kind, ck.severity, ck.table, ck.column, ck.issue, _row_key(ck.row_key),
-                                      F.lit(1), F.concat(F.lit("value: "), F.coalesce(val, F.lit("<null>"))))))
-    return out
-
-
 def sum_limit_issues(tables: dict[str, DataFrame], rules: Sequence[SumLimit]) -> list[DataFrame]:
     """V8 / A3: groups whose non-null total exceeds a limit (compared exactly; the total
     is shown rounded to 2 places)."""
@@ -270,8 +298,8 @@ def step_sequence_issues(tables: dict[str, DataFrame], rules: Sequence[StepSeque
 
 def issues(spark: SparkSession, tables: dict[str, DataFrame], rules: Rules) -> DataFrame:
     """All issues of all rules as one DataFrame (``ISSUE_COLUMNS``)."""
-    # Foreign-key and unique-key rules stay one plan per rule: each reads only its key
-    # columns (columnar scan) and reduces them map-side before its shuffle.
+    # Unique-key rules stay one plan per rule: each reads only its key columns (columnar scan)
+    # and reduces them map-side before its shuffle.
     parts = (fk_issues(spark, tables, rules.foreign_keys) + unique_issues(tables, rules.unique)
              + required_issues(tables, rules.required)
              + batched_row_check_issues(tables, rules.row_checks)
@@ -299,32 +327,35 @@ def issue_counts(spark: SparkSession, tables: dict[str, DataFrame], rules: Rules
     duplicate keys and over-limit groups are counted after their partial aggregates.
     Equal to ``issues(...).groupBy(COUNT_KEYS).count()``."""
     parts: list[DataFrame] = []
-    for df in fk_issues(spark, tables, rules.foreign_keys) + required_issues(tables, rules.required):
+    for df in fk_issues(spark, tables, rules.foreign_keys):
         parts.append(df.select(*COUNT_KEYS, F.lit(1).cast("long").alias("n_issues")))
     for u in rules.unique:
         if u.table in tables:
             n = duplicate_keys(tables[u.table], u.key).agg(F.count(F.lit(1)).alias("n"))
             parts.append(n.select(F.explode(_count_rows([("uniqueness", "error", u.table, ", ".join(u.key),
                                                           "duplicate_key", F.col("n"))])).alias("_r")).select("_r.*"))
-    by_table: dict[str, list[RowCheck]] = {}
+    # Missing values, row checks and composed codes: one aggregate per table.
+    by_table: dict[str, list[tuple[str, str, str, str, Column]]] = {}
+    for r in rules.required:
+        for c in r.columns:
+            found = F.least(F.count_if(_missing(c, r.blank_is_null)), F.lit(1))  # one issue per column
+            by_table.setdefault(r.table, []).append(("completeness", "error", c, "null_value", found))
     for ck in rules.row_checks:
         if ck.table in tables:
-            by_table.setdefault(ck.table, []).append(ck)
-    for table, cks in by_table.items():
-        df = tables[table]
-        agg = df.agg(*[F.count_if(F.coalesce(ck.violates(df), F.lit(False))).alias(f"_c{i}") for i, ck in enumerate(cks)])
-        rows = _count_rows([(ck.kind, ck.severity, ck.table, ck.column, ck.issue, F.col(f"_c{i}"))
-                            for i, ck in enumerate(cks)])
-        parts.append(agg.select(F.explode(rows).alias("_r")).select("_r.*"))
+            found = F.count_if(F.coalesce(ck.violates(tables[ck.table]), F.lit(False)))
+            by_table.setdefault(ck.table, []).append((ck.kind, ck.severity, ck.column, ck.issue, found))
+    for r in rules.compositions:
+        exp = composed_expectation(F.col(r.code), [F.col(p) for p in r.parts], F.col(r.seq), r.width)
+        by_table.setdefault(r.table, []).append(("format", "warning", r.code, "code_mismatch",
+                                                 F.count_if(exp.isNotNull())))
+    for table, checks in by_table.items():
+        if table in tables:
+            agg = tables[table].agg(*[c[4].alias(f"_c{i}") for i, c in enumerate(checks)])
+            rows = _count_rows([(kind, severity, table, column, issue, F.col(f"_c{i}"))
+                                for i, (kind, severity, column, issue, _) in enumerate(checks)])
+            parts.append(agg.select(F.explode(rows).alias("_r")).select("_r.*"))
     for df in sum_limit_issues(tables, rules.sum_limits) + step_sequence_issues(tables, rules.sequences):
         parts.append(df.groupBy(*COUNT_KEYS).agg(F.count(F.lit(1)).alias("n_issues")))
-    for r in rules.compositions:
-        if r.table in tables:
-            d = tables[r.table]
-            exp = composed_expectation(F.col(r.code), [F.col(p) for p in r.parts], F.col(r.seq), r.width)
-            agg = d.agg(F.count_if(exp.isNotNull()).alias("n"))
-            parts.append(agg.select(F.explode(_count_rows([("format", "warning", r.table, r.code, "code_mismatch",
-                                                            F.col("n"))])).alias("_r")).select("_r.*"))
     out = spark.createDataFrame([], "type string, severity string, table string, column string, issue string, "
                                     "n_issues long")
     for p in parts:
@@ -348,6 +379,7 @@ def report(issue_df: DataFrame) -> DataFrame:
 
 
 def _report(agg: DataFrame) -> DataFrame:
+    # The report's status words and sentences.
     e, w = F.col("error_count"), F.col("warning_count")
     status = F.when(e > 0, "errors").when(w > 0, "warnings").otherwise("pass")
     summary = (F.when(e > 0, F.format_string("Validation FAILED: %d error(s), %d warning(s)", e, w))

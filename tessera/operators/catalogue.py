@@ -1,19 +1,14 @@
 """Specification catalogue and per-code specification lists.
 
-The catalogue is one explode + join + aggregate for all specifications at once (the
-reference issues one query per specification). Usage counts go through a distinct
-(spec, code) stage, so a specification used by a large share of codes is counted by
-partial aggregates. Lists come in two forms:
-
-* ``*_first`` columns: the first k items ascending, taken with a ``row_number() <= k``
-  filter that Spark plans as a WindowGroupLimit before the shuffle (bounded per group);
-* ``catalogue_lists``: the full sorted arrays (the reference's document form). Use it
-  only where each group is known to be small.
+The catalogue is one explode and join for all specifications at once, in two forms: complete
+exploded rows with counts, in which no specification's lists gather in one task, and
+``catalogue_lists``, the full sorted arrays (the reference's document form), for tables whose
+groups are known to be small.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import first_k_with_ellipsis, split_list, strip_ws, truncate_text
@@ -27,40 +22,24 @@ def spec_items(steps: DataFrame, step_col: str = "sft_code", spec_col: str = "as
 
 
 def spec_catalogue(steps: DataFrame, code_steps: DataFrame, step_col: str = "sft_code",
-                   spec_col: str = "associated_specs", code_col: str = "finish_code", k: int = 5) -> DataFrame:
-    """Q4: one row per specification.
-
-    Columns: spec, usage_count (distinct codes reaching it; 0 stays, A6), step_count
-    (distinct steps listing it), sft_codes_first / finish_codes_first (k smallest as text,
-    ';'-joined, '...' when more: the S15 CSV shape). Ordered by usage desc, spec asc.
-
-    Plan: the lists are split once into distinct (spec, kind, value) rows - kind 's' for
-    a step, 'c' for a code reaching it. Both counts are ``count_if`` over those distinct
-    rows (partial aggregates), and both first-k lists come from one
-    ``row_number() <= k + 1`` window per (spec, kind), which Spark runs as a
-    WindowGroupLimit before its shuffle, so a hot specification never gathers in one task.
-    """
+                   spec_col: str = "associated_specs", code_col: str = "finish_code") -> DataFrame:
+    """Q4 in exploded form, complete: distinct (spec, kind, value) rows, kind ``step`` for a step
+    that lists the specification and ``code`` for a code that reaches it through its steps."""
     items = spec_items(steps, step_col, spec_col)
     cs = code_steps.select(F.col(step_col).alias("step"), F.col(code_col).alias("code")).distinct()
-    usage = items.join(cs, "step", "left")
-    kv = (usage.select("spec", F.explode(F.array(
-              F.struct(F.lit("s").alias("k"), F.col("step").cast("string").alias("v")),
-              F.struct(F.lit("c").alias("k"), F.col("code").cast("string").alias("v")))).alias("x"))
-          .select("spec", "x.k", "x.v").filter(F.col("v").isNotNull()).distinct())
-    counts = kv.groupBy("spec").agg(F.count_if(F.col("k") == "c").alias("usage_count"),
-                                    F.count_if(F.col("k") == "s").alias("step_count"))
-    w = Window.partitionBy("spec", "k").orderBy("v")
-    top = kv.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1)
-    lists = top.groupBy("spec").agg(F.array_sort(F.collect_list(F.struct("k", "r", "v"))).alias("_a"))
-
-    def first(kind: str):
-        xs = F.filter("_a", lambda x: x["k"] == kind)
-        return F.concat(F.array_join(F.transform(F.slice(xs, 1, k), lambda x: x["v"]), ";"),
-                        F.when(F.size(xs) > k, F.lit("...")).otherwise(F.lit("")))
-
-    return (counts.join(lists.select("spec", first("s").alias("sft_codes_first"),
-                                     first("c").alias("finish_codes_first")), "spec")
-            .select("spec", "usage_count", "step_count", "sft_codes_first", "finish_codes_first")
+    reached = items.join(cs, "step").select("spec", F.lit("code").alias("kind"), F.col("code").cast("string").alias("value"))
+    listed = items.select("spec", F.lit("step").alias("kind"), F.col("step").cast("string").alias("value"))
+    return listed.unionByName(reached.filter(F.col("value").isNotNull()).distinct())
+
+
+def spec_usage(steps: DataFrame, code_steps: DataFrame, step_col: str = "sft_code",
+               spec_col: str = "associated_specs", code_col: str = "finish_code") -> DataFrame:
+    """Q4 counts: per specification ``usage_count`` (distinct codes reaching it; 0 stays, A6) and
+    ``step_count`` (distinct steps listing it), by usage descending and then spec (O5). The rows
+    of ``spec_catalogue`` are distinct, so both are partial aggregates."""
+    rows = spec_catalogue(steps, code_steps, step_col, spec_col, code_col)
+    return (rows.groupBy("spec").agg(F.count_if(F.col("kind") == "code").alias("usage_count"),
+                                     F.count_if(F.col("kind") == "step").alias("step_count"))
             .orderBy(F.desc("usage_count"), F.asc("spec")))
 
 
@@ -85,40 +64,41 @@ def total_specs(steps: DataFrame, step_col: str = "sft_code", spec_col: str = "a
 
 
 def catalogue_csv(catalogue: DataFrame) -> DataFrame:
-    """S15 row shape: specification, usage_count, sft_codes, finish_codes.
-
-    From the document form (``catalogue_lists``): every step code ';'-joined and the
-    first five finish codes plus '...' when there are more. From the bounded form
-    (``spec_catalogue``): both lists are its first-k columns.
-    """
-    if "sft_codes" in catalogue.columns:
-        return catalogue.select(F.col("spec").alias("specification"), "usage_count",
-                                F.array_join("sft_codes", ";").alias("sft_codes"),
-                                first_k_with_ellipsis(F.col("finish_codes"), 5, ";").alias("finish_codes"))
+    """S15 row shape, from ``catalogue_lists``: specification, usage_count, every step code
+    ';'-joined, and the first five finish codes plus '...' when there are more."""
     return catalogue.select(F.col("spec").alias("specification"), "usage_count",
-                            F.col("sft_codes_first").alias("sft_codes"),
-                            F.col("finish_codes_first").alias("finish_codes"))
+                            F.array_join("sft_codes", ";").alias("sft_codes"),
+                            first_k_with_ellipsis(F.col("finish_codes"), 5, ";").alias("finish_codes"))
 
 
-def code_specs(steps: DataFrame, code_steps: DataFrame, step_col: str = "sft_code",
-               spec_col: str = "associated_specs", desc_col: str = "description",
-               code_col: str = "finish_code", order_col: str = "step_order", width: int = 80) -> DataFrame:
-    """Q5 for all codes: one row per (code, step with specs).
-
-    Columns: code, sft_code, step_order, associated_specs (stripped),
-    associated_specs_list, description (truncated to ``width``: 77 chars + '...'),
-    and the code-level spec_count (distinct specs over all its steps).
-    """
+def code_spec_rows(steps: DataFrame, code_steps: DataFrame, step_col: str = "sft_code",
+                   spec_col: str = "associated_specs", desc_col: str = "description",
+                   code_col: str = "finish_code", order_col: str = "step_order", width: int = 80) -> DataFrame:
+    """Q5 rows: one per (code, step with specs): code, sft_code, step_order, associated_specs
+    (stripped), associated_specs_list, description (truncated to ``width``: 77 chars + '...').
+    One join by step; the lists are row-local."""
     s = steps.filter(F.col(spec_col).isNotNull() & (strip_ws(F.col(spec_col)) != ""))
     cs = code_steps.select(F.col(code_col).alias("code"), F.col(step_col).alias("step"), F.col(order_col))
     j = cs.join(s.select(F.col(step_col).alias("step"), F.col(spec_col).alias("_specs"), F.col(desc_col).alias("_d")),
                 "step")
-    rows = j.select("code", F.col("step").alias("sft_code"), F.col(order_col).alias("step_order"),
+    return j.select("code", F.col("step").alias("sft_code"), F.col(order_col).alias("step_order"),
                     strip_ws(F.col("_specs")).alias("associated_specs"),
                     split_list(F.col("_specs")).alias("associated_specs_list"),
                     truncate_text(F.col("_d"), width).alias("description"))
-    counts = (rows.select("code", F.explode("associated_specs_list").alias("spec")).groupBy("code")
-              .agg(F.count_distinct("spec").alias("spec_count")))
+
+
+def code_spec_list(rows: DataFrame) -> DataFrame:
+    """Q5 / U2 as rows: the distinct (code, spec) pairs of ``code_spec_rows``."""
+    return rows.select("code", F.explode("associated_specs_list").alias("spec")).distinct()
+
+
+def code_specs(steps: DataFrame, code_steps: DataFrame, step_col: str = "sft_code",
+               spec_col: str = "associated_specs", desc_col: str = "description",
+               code_col: str = "finish_code", order_col: str = "step_order", width: int = 80) -> DataFrame:
+    """Q5 for all codes: ``code_spec_rows`` with the code-level spec_count (distinct specs over all
+    the code's steps)."""
+    rows = code_spec_rows(steps, code_steps, step_col, spec_col, desc_col, code_col, order_col, width)
+    counts = code_spec_list(rows).groupBy("code").agg(F.count(F.lit(1)).alias("spec_count"))
     return rows.join(counts, "code", "left")
 
 

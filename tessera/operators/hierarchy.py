@@ -32,12 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import split_list, strip_ws
-from tessera.operators.joins import broadcast_if_small
 
-# Chemicals are a dimension: broadcast them after a bounded row count, else shuffle.
-CHEMICAL_BROADCAST_ROWS = 2_000_000
-
-HAZARD_SCHEMA = "ghs array<string>, categories array<string>, signal_word string"
 _MAXINT = 2**31 - 1
 
 
@@ -55,15 +50,22 @@ def hazard_level_key(level: Column, name: Column) -> Column:
 
 
 def parsed_hazard(raw: Column) -> tuple[Column, Column]:
-    """F8: (parsed struct or NULL, validity flag). Invalid JSON keeps the raw text apart."""
-    valid = F.when(raw.isNull(), F.lit(None).cast("boolean")).otherwise(F.try_parse_json(raw).isNotNull())
-    parsed = F.when(valid, F.from_json(raw, HAZARD_SCHEMA))
+    """F8: (the whole document as a VARIANT, or NULL; validity flag). The raw text stays apart."""
+    parsed = F.try_parse_json(raw)
+    valid = F.when(raw.isNull(), F.lit(None).cast("boolean")).otherwise(parsed.isNotNull())
     return parsed, valid
 
 
+def in_order(arr: Column) -> Column:
+    """The ``v`` fields of an array of (``_k``, ``v``) structs, by ``_k``. The elements are
+    compared by their keys alone (a VARIANT in ``v`` has no order)."""
+    by_key = F.array_sort(arr, lambda a, b: F.when(a["_k"] < b["_k"], -1).when(a["_k"] > b["_k"], 1).otherwise(0))
+    return F.transform(by_key, lambda x: x["v"])
+
+
 def _restrict(t: dict[str, DataFrame], codes: DataFrame) -> dict[str, DataFrame]:
     """Narrow every level to what the requested codes reach (semi joins only)."""
-    t = dict(t)
+    t = {name: t[name] for name in t.keys()}
     req = codes.select(F.col("code").alias("_rq")).distinct()
     t["finish_codes"] = t["finish_codes"].join(req, F.col("code") == F.col("_rq"), "left_semi")
     t["finish_code_steps"] = t["finish_code_steps"].join(req, F.col("finish_code") == F.col("_rq"), "left_semi")
@@ -86,14 +88,14 @@ def chemicals_per_material(t: dict[str, DataFrame]) -> DataFrame:
     parsed, valid = parsed_hazard(F.col("hazard_flags"))
     chp = ch.select("name", "cas", parsed.alias("_hf"), valid.alias("_hv"), F.col("hazard_flags").alias("_raw"),
                     "default_hazard_level")
-    j = mc.join(broadcast_if_small(chp, CHEMICAL_BROADCAST_ROWS), "cas")
+    j = mc.join(chp, "cas")
     item = F.struct(hazard_level_key(F.col("default_hazard_level"), F.col("name")).alias("_k"),
                     F.struct(F.col("name"), F.col("cas"), F.col("pct_wt_low"), F.col("pct_wt_high"),
                              F.col("_hf").alias("hazard_flags"), F.col("_hv").alias("hazard_flags_valid"),
                              F.col("_raw").alias("hazard_flags_raw"), F.col("default_hazard_level"),
                              F.col("notes").alias("composition_notes")).alias("v"))
-    g = j.groupBy("base_spec", "variant").agg(F.array_sort(F.collect_list(item)).alias("_c"))
-    return g.select("base_spec", "variant", F.transform("_c", lambda x: x["v"]).alias("chemicals"))
+    g = j.groupBy("base_spec", "variant").agg(F.collect_list(item).alias("_c"))
+    return g.select("base_spec", "variant", in_order(F.col("_c")).alias("chemicals"))
 
 
 def materials_per_step(t: dict[str, DataFrame]) -> DataFrame:
@@ -109,8 +111,8 @@ def materials_per_step(t: dict[str, DataFrame]) -> DataFrame:
                     F.struct(links["base_spec"].alias("base_spec"), links["variant"].alias("variant"),
                              full["description"].alias("description"), full["notes"].alias("notes"),
                              full["chemicals"].alias("chemicals")).alias("v"))
-    g = j.groupBy(links["sft_code"]).agg(F.array_sort(F.collect_list(item)).alias("_m"))
-    return g.select("sft_code", F.transform("_m", lambda x: x["v"]).alias("materials"))
+    g = j.groupBy(links["sft_code"]).agg(F.collect_list(item).alias("_m"))
+    return g.select("sft_code", in_order(F.col("_m")).alias("materials"))
 
 
 def steps_per_code(t: dict[str, DataFrame], order_cols: Sequence[str] = ("step_order",)) -> DataFrame:
@@ -124,8 +126,8 @@ def steps_per_code(t: dict[str, DataFrame], order_cols: Sequence[str] = ("step_o
                     F.coalesce(F.col("materials"), F.array()).alias("materials"))
     key = F.struct(*[F.col(o).alias(f"k{i}") for i, o in enumerate(order_cols)], F.col("sft_code").alias("kz"))
     g = j.groupBy("finish_code", "program").agg(
-        F.array_sort(F.collect_list(F.struct(key.alias("_k"), step.alias("v")))).alias("_s"))
-    return g.select("finish_code", "program", F.transform("_s", lambda x: x["v"]).alias("steps"))
+        F.collect_list(F.struct(key.alias("_k"), step.alias("v"))).alias("_s"))
+    return g.select("finish_code", "program", in_order(F.col("_s")).alias("steps"))
 
 
 def step_documents(t: dict[str, DataFrame], codes: DataFrame | None = None) -> DataFrame:
@@ -252,27 +254,29 @@ def flat_tree(t: dict[str, DataFrame]) -> DataFrame:
     cs, st = t["finish_code_steps"].alias("cs"), t["sft_steps"].alias("st")
     links, mats = t["sft_material_links"].alias("l"), t["materials"].alias("m")
     mc, ch = t["material_chemicals"].alias("mc"), t["chemicals"].alias("c")
-    # Chemicals attach to the composition first (m LEFT (mc LEFT c) equals
-    # (m LEFT mc) LEFT c, as mc.cas = c.cas rejects NULL mc rows), so the chemical join
-    # runs on composition rows, not on the fanned-out tree rows.
-    ch = broadcast_if_small(ch, CHEMICAL_BROADCAST_ROWS).alias("c")
+    # Chemicals attach to the composition, and both to the materials, before the links meet
+    # them: m LEFT (mc LEFT c) equals (m LEFT mc) LEFT c as mc.cas = c.cas rejects NULL mc rows,
+    # and (l LEFT m) LEFT mc by m's key equals l LEFT (m LEFT mc). The widest frame is thus
+    # joined once by its material key. The codes' texts come last.
     comp = mc.join(ch, F.col("mc.cas") == F.col("c.cas"), "left").select(
         F.col("mc.base_spec").alias("_cb"), F.col("mc.variant").alias("_cv"), F.col("mc.pct_wt_low"),
         F.col("mc.pct_wt_high"), F.col("c.name"), F.col("c.cas"), F.col("c.hazard_flags")).alias("k")
-    j = (e.join(cs, (F.col("e.code") == F.col("cs.finish_code")) & (F.col("e.program") == F.col("cs.program")))
-          .join(st, F.col("cs.sft_code") == F.col("st.sft_code"))
-          .join(links, F.col("st.sft_code") == F.col("l.sft_code"), "left")
-          .join(mats, (F.col("l.base_spec") == F.col("m.base_spec")) & F.col("l.variant").eqNullSafe(F.col("m.variant")),
-                "left")
-          .join(comp, (F.col("m.base_spec") == F.col("k._cb")) & F.col("m.variant").eqNullSafe(F.col("k._cv")),
-                "left"))
+    full = mats.join(comp, (F.col("m.base_spec") == F.col("k._cb")) & F.col("m.variant").eqNullSafe(F.col("k._cv")),
+                     "left").select("m.base_spec", "m.variant", "k.name", "k.cas", "k.hazard_flags",
+                                    "k.pct_wt_low", "k.pct_wt_high").alias("k")
+    j = (cs.join(st, F.col("cs.sft_code") == F.col("st.sft_code"))
+         .select("cs.finish_code", "cs.program", "cs.step_order", "st.sft_code", "st.description").alias("st")
+         .join(links, F.col("st.sft_code") == F.col("l.sft_code"), "left")
+         .join(full, (F.col("l.base_spec") == F.col("k.base_spec"))
+               & F.col("l.variant").eqNullSafe(F.col("k.variant")), "left")
+         .join(e, (F.col("e.code") == F.col("st.finish_code")) & (F.col("e.program") == F.col("st.program"))))
     return j.select(
         F.col("e.code").alias("finish_code"), F.col("e.substrate_code"), F.col("e.substrate_description")
         .alias("substrate_desc"), F.col("e.finish_applied_code"),
         F.col("e.finish_applied_description").alias("finish_applied_desc"), F.col("e.seq_id"),
         F.col("st.sft_code").alias("sft_code"), F.col("st.description").alias("sft_desc"),
-        F.col("cs.step_order").alias("step_order"), F.col("m.base_spec").alias("base_spec"),
-        F.col("m.variant").alias("variant"), F.col("k.name").alias("chemical_name"), F.col("k.cas").alias("cas"),
+        F.col("st.step_order").alias("step_order"), F.col("k.base_spec").alias("base_spec"),
+        F.col("k.variant").alias("variant"), F.col("k.name").alias("chemical_name"), F.col("k.cas").alias("cas"),
         F.col("k.hazard_flags").alias("hazard_flags"), F.col("k.pct_wt_low").alias("pct_wt_low"),
         F.col("k.pct_wt_high").alias("pct_wt_high"))
 
@@ -304,18 +308,17 @@ def code_chemicals(t: dict[str, DataFrame], materials: DataFrame | None = None)
     cc = (cm.join(mc, (F.col("cm.base_spec") == F.col("mc.base_spec"))
                   & F.col("cm.variant").eqNullSafe(F.col("mc.variant")))
             .select(F.col("cm.finish_code").alias("finish_code"), F.col("mc.cas").alias("cas")).distinct())
-    ch = broadcast_if_small(t["chemicals"].select("name", "cas", "hazard_flags", "default_hazard_level"),
-                            CHEMICAL_BROADCAST_ROWS)
+    ch = t["chemicals"].select("name", "cas", "hazard_flags", "default_hazard_level")
     return cc.join(ch, "cas").select("finish_code", "name", "cas", "hazard_flags", "default_hazard_level")
 
 
 def tag_exposure(t: dict[str, DataFrame], tag: str, tag_col: str = "hazard_flags") -> DataFrame:
     """Q12 (A8 + P8): count of distinct tagged chemicals per code, most exposed first.
 
-    The tag test is a case-insensitive substring match (``ilike``), applied to the
+    The tag test is a case-insensitive substring match (no wildcards), applied to the
     chemical table before the join.
     """
-    ch = t["chemicals"].filter(F.col(tag_col).ilike(f"%{tag}%")).select("cas")
+    ch = t["chemicals"].filter(F.lower(F.col(tag_col)).contains(tag.lower())).select("cas")
     cm = code_materials(t).alias("cm")
     mc = t["material_chemicals"].select("base_spec", "variant", "cas").join(ch, "cas", "left_semi").alias("mc")
     j = cm.join(mc, (F.col("cm.base_spec") == F.col("mc.base_spec")) & F.col("cm.variant").eqNullSafe(F.col("mc.variant")))

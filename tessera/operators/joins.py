@@ -1,8 +1,8 @@
-"""Join building blocks: size-checked broadcast, key resolution, orphan detection.
+"""Join building blocks: key resolution that stands hot keys, orphan detection.
 
-Resolution and orphan checks pre-aggregate the child side by key before any shuffle
-join, so a hot key (one value holding a large share of the rows) is collapsed by the
-map-side partial aggregate instead of landing whole in one join task.
+Orphan checks reduce the child to (key, rows) before any shuffle, so a hot key is one row
+per task. Resolution needs every child row, so there the key is salted: child rows of one
+key go to ``SALTS`` join keys and each aggregated parent row is repeated for all of them.
 """
 
 from __future__ import annotations
@@ -12,18 +12,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_ROWS = 1_000_000
+# Join keys that one key's rows are dealt over. Fixed, whatever the size: a key with a third
+# of all rows then loads a task with a fiftieth of them, and both sides' exchanges stand
+# directly below the join, which lets AQE split them further.
+SALTS = 16
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
+def salt(*cols: str) -> Column:
+    """Salt of a row, by the hash of ``cols`` (the same for a retried task)."""
+    return F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int")
 
-    The check is a bounded scan (``limit(max_rows + 1).count()``); beyond the bound the
-    frame is returned unchanged and the planner (with AQE's runtime statistics) chooses
-    a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+
+def salted(df: DataFrame) -> DataFrame:
+    """``df`` once for every salt, in column ``_salt``."""
+    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def key_condition(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]],
@@ -57,8 +59,10 @@ def resolve(child: DataFrame, parent: DataFrame, pairs: Sequence[tuple[str, str]
     pk = parent.groupBy(*pkeys).agg(*agg)
     pk = pk.select(*[F.col(p).alias(f"_pk_{i}") for i, p in enumerate(pkeys)], *pk.columns[len(pkeys):])
     renamed = [(lc, f"_pk_{i}") for i, (lc, _) in enumerate(pairs)]
-    joined = child.join(pk, key_condition(child, pk, renamed, null_safe), "left")
-    joined = joined.drop(*[r for _, r in renamed])
+    pk = salted(pk).withColumnRenamed("_salt", "_pk_salt")
+    dealt = child.withColumn("_salt", salt(*child.columns))
+    on = key_condition(dealt, pk, renamed, null_safe) & (dealt["_salt"] == pk["_pk_salt"])
+    joined = dealt.join(pk, on, "left").drop("_salt", "_pk_salt", *[r for _, r in renamed])
     out_cols = list(child.columns)
     resolved = joined.filter(F.col("_n_parent") == 1)
     if take:

@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import collapse_ws, split_keep_blanks, strip_ws
 from tessera.functions.text import CODE_TOKEN, STEP_TOKEN, code_parts, extract_specs, segments
+from tessera.operators.joins import salt, salted
 from tessera.operators.upsert import latest_by_key
 
 
 def extract_spec_column(df: DataFrame, text_col: str = "description", out_col: str = "associated_specs",
                         prefixes: list[str] | None = None, bound: str = "unicode") -> DataFrame:
-    """Add ``out_col`` = comma-joined X1 specifications of ``text_col``."""
-    return df.withColumn(out_col, F.array_join(extract_specs(F.col(text_col), prefixes, bound), ","))
+    """Add ``out_col`` = comma-joined X1 specifications of ``text_col``
+    (empty for a NULL text)."""
+    return df.withColumn(out_col, F.array_join(extract_specs(F.coalesce(F.col(text_col), F.lit("")), prefixes, bound), ","))
 
 
 def segment_documents(df: DataFrame, id_cols: Sequence[str], text_col: str, anchor: str = CODE_TOKEN,
@@ -81,10 +83,9 @@ def enrich_lists(df: DataFrame, id_cols: Sequence[str], field: str, mapping: Dat
 
     One scan, one explode: per-row flags and the element array are computed in a
     projection before the generator, so only ids, small flags and single elements travel
-    with exploded rows (never the whole text). Elements are joined to the dictionary
-    (broadcast or shuffle chosen from runtime sizes; a hot element, e.g. the blank one,
-    is split by AQE's skew-join handling) and regrouped by row id - a group is one input
-    row.
+    with exploded rows (never the whole text). Elements are joined to the dictionary by
+    salted keys (an aggregated dictionary keeps AQE from splitting the join itself) and
+    regrouped by row id - a group is one input row.
     """
     blank = F.col(field).isNull() | (strip_ws(F.col(field)) == "")
     parts = split_keep_blanks(F.col(field))
@@ -94,8 +95,11 @@ def enrich_lists(df: DataFrame, id_cols: Sequence[str], field: str, mapping: Dat
     pre = pre.select(*id_cols, "_blank", "_keep", "_parts",
                      F.coalesce(F.col("_f0") == F.array_join("_parts", ","), F.lit(True)).alias("_norm"))
     ex = pre.select(*id_cols, "_blank", "_keep", "_norm", F.posexplode_outer("_parts").alias("_p", "_e"))
-    m = mapping.select(F.col("spec").alias("_e"), F.col("full").alias("_f"))
-    j = ex.join(m, "_e", "left")
+    # A hot element is dealt over SALTS keys by its row, and the dictionary is repeated for
+    # each; blank elements find nothing and need no key of their own.
+    ex = ex.withColumn("_key", F.when(F.col("_e") != "", F.col("_e"))).withColumn("_salt", salt(*id_cols, "_p"))
+    m = salted(mapping.select(F.col("spec").alias("_key"), F.col("full").alias("_f")).filter(F.col("_key") != ""))
+    j = ex.join(m, ["_key", "_salt"], "left")
     val = F.coalesce(F.col("_f"), F.col("_e"))
     item = F.when(F.col("_p").isNotNull(), F.struct(F.col("_p"), val.alias("_v")))
     g = j.groupBy(*id_cols).agg(F.array_sort(F.collect_list(item)).alias("_a"),

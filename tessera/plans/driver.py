@@ -18,9 +18,9 @@ from tessera.operators import audit as A
 from tessera.operators import catalogue as C
 from tessera.operators import hierarchy as H
 from tessera.operators import textjobs as X
-from tessera.operators.joins import orphan_count, resolve
+from tessera.operators.joins import resolve
 from tessera.operators.upsert import last_position, latest_by_key, list_positions
-from tessera.plans.roles import ROLE_SQL, domain_tables, read, read_all
+from tessera.plans.roles import ROLE_SQL, LazyTables, domain_tables, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -126,20 +126,19 @@ def q_hierarchy_summary(spark, sf_dir):
 
 
 @register("material_profiles", ROLE_SQL + """
-SELECT mc.base_spec, count(*) AS n_chemicals,
+SELECT mc.base_spec, mc.variant, count(*) AS n_chemicals,
        string_agg(c.name, ',' ORDER BY c.default_hazard_level DESC NULLS LAST, c.name) AS chemical_names,
        max(c.default_hazard_level) AS top_level,
        round(sum(mc.pct_wt_high), 2) AS total_high
 FROM material_chemicals mc JOIN chemicals c ON mc.cas = c.cas
-GROUP BY mc.base_spec
+GROUP BY mc.base_spec, mc.variant
 """)
 def q_material_profiles(spark, sf_dir):
     """The nested chemical level of the hierarchy (A11, O3) per material: one array per
-    material, ordered level desc (NULL last), name asc. Its size is bounded by the
-    chemical (supplier) dimension, not by the fact table."""
+    material (part in one variant), ordered level desc (NULL last), name asc."""
     t = domain_tables(spark, sf_dir)
     cpm = H.chemicals_per_material(t)
-    return cpm.select("base_spec", F.size("chemicals").cast("long").alias("n_chemicals"),
+    return cpm.select("base_spec", "variant", F.size("chemicals").cast("long").alias("n_chemicals"),
                       F.array_join(F.transform("chemicals", lambda x: x["name"]), ",").alias("chemical_names"),
                       F.col("chemicals")[0]["default_hazard_level"].alias("top_level"),
                       F.round(F.aggregate("chemicals", F.lit(0.0), lambda acc, x: acc + x["pct_wt_high"]), 2)
@@ -175,13 +174,16 @@ def q_code_lookup(spark, sf_dir):
 
 
 @register("hazard_filter", ROLE_SQL + """
-SELECT name, cas, hazard_flags, json_valid(hazard_flags) AS hazard_flags_valid, default_hazard_level
+SELECT name, cas, hazard_flags, json_valid(hazard_flags) AS hazard_flags_valid,
+       json_extract_string(hazard_flags, '$.un_number') AS un_number, default_hazard_level
 FROM chemicals WHERE default_hazard_level >= 3
 ORDER BY default_hazard_level DESC, name
 """)
 def q_hazard_filter(spark, sf_dir):
     c = H.chemicals_by_hazard(domain_tables(spark, sf_dir)["chemicals"], 3)
-    return c.select("name", "cas", "hazard_flags", "hazard_flags_valid", "default_hazard_level")
+    return c.select("name", "cas", "hazard_flags", "hazard_flags_valid",
+                    F.try_variant_get("hazard_flags_parsed", "$.un_number", "string").alias("un_number"),
+                    "default_hazard_level")
 
 
 @register("hazard_view", ROLE_SQL + """
@@ -213,7 +215,7 @@ FROM finish_code_steps cs
 JOIN sft_material_links l ON cs.sft_code = l.sft_code
 JOIN material_chemicals mc ON l.base_spec = mc.base_spec AND l.variant IS NOT DISTINCT FROM mc.variant
 JOIN chemicals c ON mc.cas = c.cas
-WHERE c.hazard_flags ILIKE '%{TAG}%'
+WHERE contains(lower(c.hazard_flags), lower('{TAG}'))
 GROUP BY cs.finish_code ORDER BY tagged_count DESC, cs.finish_code
 """)
 def q_tag_exposure(spark, sf_dir):
@@ -235,86 +237,109 @@ def _doc_steps(spark, sf_dir):
     return steps, code_steps
 
 
-_FIRST_K_SQL = """
-{name} AS (SELECT spec, string_agg(v, ';' ORDER BY v) FILTER (WHERE r <= 5)
-                  || CASE WHEN max(r) > 5 THEN '...' ELSE '' END AS {out}
-           FROM (SELECT spec, v, row_number() OVER (PARTITION BY spec ORDER BY v) AS r
-                 FROM (SELECT DISTINCT spec, CAST({col} AS VARCHAR) AS v FROM {src} WHERE {col} IS NOT NULL))
-           GROUP BY spec)"""
-
-
-@register("spec_catalogue", """
+_CATALOGUE_SQL = """
 WITH items AS (SELECT DISTINCT doc_id AS step, unnest(""" + _F4.format(c="text") + """) AS spec
                FROM documents WHERE text IS NOT NULL AND text <> ''),
 cs AS (SELECT DISTINCT doc_id AS step, source AS code FROM documents),
-usage AS (SELECT i.spec, i.step, cs.code FROM items i LEFT JOIN cs ON i.step = cs.step),
-counts AS (SELECT spec, count(DISTINCT code) AS usage_count, count(DISTINCT step) AS step_count
-           FROM usage GROUP BY spec),""" + _FIRST_K_SQL.format(name="fs", out="sft_codes_first", col="step",
-                                                             src="items") + "," +
-          _FIRST_K_SQL.format(name="fc", out="finish_codes_first", col="code", src="usage") + """
-SELECT counts.spec, usage_count, step_count, fs.sft_codes_first, coalesce(fc.finish_codes_first, '')
-       AS finish_codes_first
-FROM counts LEFT JOIN fs ON counts.spec = fs.spec LEFT JOIN fc ON counts.spec = fc.spec
-ORDER BY usage_count DESC, counts.spec
-""")
+cat AS (SELECT spec, 'step' AS kind, CAST(step AS VARCHAR) AS value FROM items
+        UNION ALL SELECT DISTINCT spec, 'code', CAST(code AS VARCHAR) FROM items JOIN cs USING (step)
+        WHERE code IS NOT NULL)
+"""
+
+
+@register("spec_catalogue", _CATALOGUE_SQL + "SELECT spec, kind, value FROM cat")
 def q_spec_catalogue(spark, sf_dir):
-    """Q4 on documents: comma pieces are the specifications, a document is a step and
-    its source the code that uses it."""
-    steps, code_steps = _doc_steps(spark, sf_dir)
-    return C.spec_catalogue(steps, code_steps)
+    """Q4 on documents, complete: comma pieces are the specifications, a document is a step
+    and its source the code that uses it."""
+    return C.spec_catalogue(*_doc_steps(spark, sf_dir))
+
+
+@register("spec_usage", _CATALOGUE_SQL + """
+SELECT spec, count(*) FILTER (WHERE kind = 'code') AS usage_count, count(*) FILTER (WHERE kind = 'step') AS step_count
+FROM cat GROUP BY spec ORDER BY usage_count DESC, spec
+""")
+def q_spec_usage(spark, sf_dir):
+    """Specifications by number of codes that reach them."""
+    return C.spec_usage(*_doc_steps(spark, sf_dir))
+
+
+@register("total_specs", _CATALOGUE_SQL + "SELECT count(DISTINCT spec) AS total_specs FROM cat")
+def q_total_specs(spark, sf_dir):
+    """Number of distinct specifications."""
+    return C.total_specs(_doc_steps(spark, sf_dir)[0])
 
 
 @register("code_specs", """
 WITH s AS (SELECT doc_id, source, text FROM documents
-           WHERE text IS NOT NULL AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''),
-rows AS (SELECT source AS code, doc_id AS sft_code, doc_id AS step_order,
-                """ + _F4.format(c="text") + """ AS l,
-                CASE WHEN length(text) > 80 THEN substring(text, 1, 77) || '...' ELSE text END AS description
-         FROM s),
-counts AS (SELECT code, count(DISTINCT spec) AS spec_count FROM (SELECT code, unnest(l) AS spec FROM rows)
-           GROUP BY code)
-SELECT rows.code, sft_code, step_order, len(l) AS n_step_specs, description, counts.spec_count
-FROM rows LEFT JOIN counts ON rows.code = counts.code
+           WHERE text IS NOT NULL AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '')
+SELECT source AS code, doc_id AS sft_code, doc_id AS step_order,
+       array_to_string(""" + _F4.format(c="text") + """, ',') AS specs,
+       CASE WHEN length(text) > 80 THEN substring(text, 1, 77) || '...' ELSE text END AS description
+FROM s
 """)
 def q_code_specs(spark, sf_dir):
-    steps, code_steps = _doc_steps(spark, sf_dir)
-    r = C.code_specs(steps, code_steps)
-    return r.select("code", "sft_code", "step_order", F.size("associated_specs_list").cast("long").alias("n_step_specs"),
-                    "description", "spec_count")
+    """Q5 per step: the step's specification list and its shortened description."""
+    rows = C.code_spec_rows(*_doc_steps(spark, sf_dir))
+    return rows.select("code", "sft_code", "step_order", F.array_join("associated_specs_list", ",").alias("specs"),
+                       "description")
+
+
+@register("code_spec_list", """
+SELECT DISTINCT source AS code, unnest(""" + _F4.format(c="text") + """) AS spec
+FROM documents WHERE text IS NOT NULL
+""")
+def q_code_spec_list(spark, sf_dir):
+    """Q5 per code (U2): the distinct specifications of all its steps, as rows."""
+    return C.code_spec_list(C.code_spec_rows(*_doc_steps(spark, sf_dir)))
 
 
 # -------------------------------------------------------------------- audits ----
 
 def _audit_tables(spark, sf_dir) -> dict[str, DataFrame]:
-    t = read_all(spark, sf_dir, ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-                                 "events", "documents", "labels", "pages", "conversations"])
+    """The driver tables and some tables derived from them so that every rule finds something;
+    each is opened when a rule asks for it."""
+    def raw(name):
+        return read(spark, sf_dir, name)
+
     dom = domain_tables(spark, sf_dir)
-    t["fulfilled_orders"] = t["orders"].filter(F.col("o_orderstatus") == "F")
-    t["documents_labeled"] = t["documents"].join(t["labels"], "doc_id", "left")
-    t["composition"] = dom["material_chemicals"]
-    t["chemicals"] = dom["chemicals"]
-    t["orders_level"] = t["orders"].select(
-        "o_orderkey", F.substring("o_orderpriority", 1, 1).try_cast("int").alias("priority_level"))
-    t["part_code"] = t["part"].select("p_partkey", "p_brand", F.lit("Brand#").alias("brand_prefix"), "p_size")
-    t["customer_code"] = t["customer"].select("c_custkey", "c_name", F.lit("Customer#").alias("name_prefix"))
-    t["supplier_code"] = t["supplier"].select("s_suppkey", "s_name", F.lit("Supplier#").alias("name_prefix"))
-    return t
+    makers = {n: (lambda n=n: raw(n)) for n in (
+        "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels",
+        "pages", "conversations")}
+    makers |= {
+        "fulfilled_orders": lambda: raw("orders").filter(F.col("o_orderstatus") == "F"),
+        "small_parts": lambda: raw("part").filter(F.col("p_size") <= 25),
+        "long_documents": lambda: raw("documents").filter(F.col("n_chars") > 1000),
+        "documents_labeled": lambda: raw("documents").join(raw("labels"), "doc_id", "left"),
+        "composition": lambda: dom["material_chemicals"], "chemicals": lambda: dom["chemicals"],
+        "orders_level": lambda: raw("orders").select(
+            "o_orderkey", F.substring("o_orderpriority", 1, 1).try_cast("int").alias("priority_level")),
+        "events_cut": lambda: raw("events").select("event_id", F.when(
+            F.col("event_id") % 50 == 0, F.expr("substring(props, 1, length(props) - 1)"))
+            .otherwise(F.col("props")).alias("props")),
+        "part_code": lambda: raw("part").select("p_partkey", "p_brand", F.lit("Brand#").alias("brand_prefix"), "p_size"),
+        "customer_code": lambda: raw("customer").select(
+            "c_custkey", "c_name", F.when(F.col("c_custkey") % 7 == 0, F.lit("Client#"))
+            .otherwise(F.lit("Customer#")).alias("name_prefix")),
+        "supplier_code": lambda: raw("supplier").select("s_suppkey", "s_name", F.lit("Supplier#").alias("name_prefix"))}
+    return LazyTables(makers)
 
 
 FKS = [
     A.ForeignKey("orders", ("o_custkey",), "customer", ("c_custkey",)),
     A.ForeignKey("lineitem", ("l_orderkey",), "orders", ("o_orderkey",)),
-    A.ForeignKey("lineitem", ("l_partkey",), "part", ("p_partkey",)),
+    A.ForeignKey("lineitem", ("l_partkey",), "small_parts", ("p_partkey",)),
     A.ForeignKey("lineitem", ("l_suppkey",), "supplier", ("s_suppkey",)),
     A.ForeignKey("customer", ("c_nationkey",), "nation", ("n_nationkey",)),
     A.ForeignKey("supplier", ("s_nationkey",), "nation", ("n_nationkey",)),
     A.ForeignKey("nation", ("n_regionkey",), "region", ("r_regionkey",)),
-    A.ForeignKey("labels", ("doc_id",), "documents", ("doc_id",)),
+    A.ForeignKey("labels", ("doc_id",), "long_documents", ("doc_id",)),
     A.ForeignKey("events", ("user_id",), "customer", ("c_custkey",)),
     A.ForeignKey("lineitem", ("l_orderkey",), "fulfilled_orders", ("o_orderkey",)),
 ]
 
-_PARENT_SQL = {"fulfilled_orders": "(SELECT * FROM orders WHERE o_orderstatus = 'F')"}
+_PARENT_SQL = {"fulfilled_orders": "(SELECT * FROM orders WHERE o_orderstatus = 'F')",
+               "small_parts": "(SELECT * FROM part WHERE p_size <= 25)",
+               "long_documents": "(SELECT * FROM documents WHERE n_chars > 1000)"}
 
 
 def _fk_sql() -> str:
@@ -331,14 +356,15 @@ def _fk_sql() -> str:
 @register("fk_orphans", _fk_sql())
 def q_fk_orphans(spark, sf_dir):
     """V1 counts for every foreign key, zeros included (the audit keeps only > 0)."""
-    t = _audit_tables(spark, sf_dir)
-    out = None
-    for fk in FKS:
-        cnt = orphan_count(t[fk.child], fk.child_cols, t[fk.parent], fk.parent_cols).select(
-            F.lit(fk.child).alias("child_table"), F.lit(fk.child_cols[0]).alias("child_column"),
-            F.lit(fk.parent).alias("parent_table"), F.lit(fk.parent_cols[0]).alias("parent_column"), "orphan_count")
-        out = cnt if out is None else out.unionByName(cnt)
-    return out
+    found = A.orphan_counts(_audit_tables(spark, sf_dir), FKS)
+    names = [(fk.child, fk.child_cols[0], fk.parent, fk.parent_cols[0]) for fk in FKS]
+    columns = ("child_table", "child_column", "parent_table", "parent_column")
+    rules = spark.range(len(FKS)).select(
+        F.col("id").cast("int").alias("rule"),
+        *[F.get(F.array(*[F.lit(n[k]) for n in names]), F.col("id").cast("int")).alias(c)
+          for k, c in enumerate(columns)])
+    return (rules.join(found, "rule", "left")
+            .select(*columns, F.coalesce("orphan_count", F.lit(0)).cast("long").alias("orphan_count")))
 
 
 REQUIRED = [
@@ -408,18 +434,18 @@ def q_unique_keys(spark, sf_dir):
 
 
 ROW_CHECKS = [
-    A.range_check("orders_level", "priority_level", 1, 5, ["o_orderkey"]),
-    A.range_check("chemicals", "default_hazard_level", 1, 5, ["cas"]),
-    A.range_check("lineitem", "l_quantity", 1, 50, ["l_orderkey", "l_linenumber"]),
-    A.range_check("composition", "pct_wt_low", 0, 100, ["base_spec", "cas"], issue="check_failed"),
-    A.range_check("composition", "pct_wt_high", 0, 100, ["base_spec", "cas"], issue="check_failed"),
+    A.range_check("orders_level", "priority_level", 2, 5, ["o_orderkey"]),
+    A.range_check("chemicals", "default_hazard_level", 1, 4, ["cas"]),
+    A.range_check("lineitem", "l_quantity", 1, 45, ["l_orderkey", "l_linenumber"]),
+    A.range_check("composition", "pct_wt_low", 0, 9, ["base_spec", "cas"], issue="check_failed"),
+    A.range_check("composition", "pct_wt_high", 0, 7, ["base_spec", "cas"], issue="check_failed"),
     A.inverted_range_check("composition", "pct_wt_low", "pct_wt_high", ["base_spec", "cas"]),
 ]
 FORMAT_CHECKS = [
     A.regex_check("part", "p_brand", r"^Brand#[0-9]{2}$", "invalid_format", "warning", ["p_partkey"]),
     A.regex_check("pages", "url", r"^https://", "insecure_url", "warning", ["page_id"]),
     A.regex_check("chemicals", "hazard_flags", r'^\{"ghs":\[', "invalid_format", "warning", ["cas"]),
-    A.json_check("events", "props", ["event_id"]),
+    A.json_check("events_cut", "props", ["event_id"]),
     A.json_check("chemicals", "hazard_flags", ["cas"]),
 ]
 SUM_LIMITS = [A.SumLimit("composition", ("base_spec",), "pct_wt_high", 100.0)]
@@ -432,25 +458,27 @@ COMPOSITIONS = [
 _AUDIT_CTES = ROLE_SQL + """,
 composition AS (SELECT * FROM material_chemicals),
 orders_level AS (SELECT o_orderkey, TRY_CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS priority_level
-                 FROM orders)"""
+                 FROM orders),
+events_cut AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN substring(props, 1, length(props) - 1) ELSE props END
+                      AS props FROM events)"""
 
 _RANGE_SQL = """
 SELECT 'format' AS type, 'error' AS severity, 'orders_level' AS "table", 'priority_level' AS "column",
        'out_of_range' AS issue, CAST(o_orderkey AS VARCHAR) AS row_key
-FROM orders_level WHERE priority_level IS NOT NULL AND NOT (priority_level BETWEEN 1 AND 5)
+FROM orders_level WHERE priority_level IS NOT NULL AND NOT (priority_level BETWEEN 2 AND 5)
 UNION ALL
 SELECT 'format', 'error', 'chemicals', 'default_hazard_level', 'out_of_range', CAST(cas AS VARCHAR)
-FROM chemicals WHERE default_hazard_level IS NOT NULL AND NOT (default_hazard_level BETWEEN 1 AND 5)
+FROM chemicals WHERE default_hazard_level IS NOT NULL AND NOT (default_hazard_level BETWEEN 1 AND 4)
 UNION ALL
 SELECT 'format', 'error', 'lineitem', 'l_quantity', 'out_of_range',
        CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR)
-FROM lineitem WHERE l_quantity IS NOT NULL AND NOT (l_quantity BETWEEN 1 AND 50)
+FROM lineitem WHERE l_quantity IS NOT NULL AND NOT (l_quantity BETWEEN 1 AND 45)
 UNION ALL
 SELECT 'format', 'error', 'composition', 'pct_wt_low', 'check_failed', CAST(base_spec AS VARCHAR) || '|' || CAST(cas AS VARCHAR)
-FROM composition WHERE pct_wt_low IS NOT NULL AND NOT (pct_wt_low BETWEEN 0 AND 100)
+FROM composition WHERE pct_wt_low IS NOT NULL AND NOT (pct_wt_low BETWEEN 0 AND 9)
 UNION ALL
 SELECT 'format', 'error', 'composition', 'pct_wt_high', 'check_failed', CAST(base_spec AS VARCHAR) || '|' || CAST(cas AS VARCHAR)
-FROM composition WHERE pct_wt_high IS NOT NULL AND NOT (pct_wt_high BETWEEN 0 AND 100)
+FROM composition WHERE pct_wt_high IS NOT NULL AND NOT (pct_wt_high BETWEEN 0 AND 7)
 UNION ALL
 SELECT 'format', 'error', 'composition', 'pct_wt_low, pct_wt_high', 'invalid_range',
        CAST(base_spec AS VARCHAR) || '|' || CAST(cas AS VARCHAR)
@@ -467,8 +495,8 @@ UNION ALL
 SELECT 'format', 'warning', 'chemicals', 'hazard_flags', 'invalid_format', CAST(cas AS VARCHAR)
 FROM chemicals WHERE hazard_flags IS NOT NULL AND NOT regexp_matches(hazard_flags, '^\\{"ghs":\\[')
 UNION ALL
-SELECT 'format', 'error', 'events', 'props', 'invalid_json', CAST(event_id AS VARCHAR)
-FROM events WHERE props IS NOT NULL AND NOT json_valid(props)
+SELECT 'format', 'error', 'events_cut', 'props', 'invalid_json', CAST(event_id AS VARCHAR)
+FROM events_cut WHERE props IS NOT NULL AND NOT json_valid(props)
 UNION ALL
 SELECT 'format', 'error', 'chemicals', 'hazard_flags', 'invalid_json', CAST(cas AS VARCHAR)
 FROM chemicals WHERE hazard_flags IS NOT NULL AND NOT json_valid(hazard_flags)"""
@@ -486,9 +514,9 @@ FROM part WHERE NOT (p_brand = 'Brand#' || CASE WHEN length(CAST(p_size AS VARCH
                   OR p_brand = 'Brand#' || CAST(p_size AS VARCHAR))
 UNION ALL
 SELECT 'format', 'warning', 'customer_code', 'c_name', 'code_mismatch', CAST(c_custkey AS VARCHAR)
-FROM customer WHERE NOT (c_name = 'Customer#' || CASE WHEN length(CAST(c_custkey AS VARCHAR)) < 9
+FROM customer WHERE NOT (c_name = CASE WHEN c_custkey % 7 = 0 THEN 'Client#' ELSE 'Customer#' END || CASE WHEN length(CAST(c_custkey AS VARCHAR)) < 9
                                   THEN lpad(CAST(c_custkey AS VARCHAR), 9, '0') ELSE CAST(c_custkey AS VARCHAR) END
-                  OR c_name = 'Customer#' || CAST(c_custkey AS VARCHAR))
+                  OR c_name = CASE WHEN c_custkey % 7 = 0 THEN 'Client#' ELSE 'Customer#' END || CAST(c_custkey AS VARCHAR))
 UNION ALL
 SELECT 'format', 'warning', 'supplier_code', 's_name', 'code_mismatch', CAST(s_suppkey AS VARCHAR)
 FROM supplier WHERE NOT (s_name = 'Supplier#' || CASE WHEN length(CAST(s_suppkey AS VARCHAR)) < 9

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,12 +63,11 @@ def read_csv_text(spark: SparkSession, path: str, multiline: bool = False) -> tu
     file-order column ``_order``."""
     # Malformed-row detection needs every row fully tokenized; with CSV column pruning
     # a count() would parse only the spare columns and flag every row.
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
     names = header(spark, path)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names]
                           + [T.StructField(OVERFLOW, T.StringType()), T.StructField(CORRUPT, T.StringType())])
     df = (spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-          .option("escape", '"').option("multiLine", multiline).option("mode", "PERMISSIVE")
+          .option("escape", '"').option("columnPruning", False).option("multiLine", multiline).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
     too_long = F.col(OVERFLOW).isNotNull() | F.col(CORRUPT).isNull()
     order = F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
@@ -129,11 +128,16 @@ def scan(spark: SparkSession, path: str, contract: Contract, multiline: bool = F
 
 def odd_quote_file_lines(spark: SparkSession, path: str) -> DataFrame:
     """X11 on a text file: lines (after the header) with an odd number of double quotes."""
-    from tessera.operators.textjobs import odd_quote_lines
-    from tessera.sources.files import whole_text
-    return odd_quote_lines(whole_text(spark, path), ["name"], "text", skip_header=True)
-
-
-def blank_to_none(c: str):
-    """Loader rule for optional text stored as NULL when blank (D7, per table)."""
-    return F.nullif(strip_ws(F.col(c)), F.lit(""))
+    lines = spark.read.text(path)  # by lines, so a file of any size is split over tasks
+    n_quotes = F.length("value") - F.length(F.regexp_replace("value", '"', ""))
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                         F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"),
+                         n_quotes.alias("n_quotes"))
+    # Ids rise by one within a block; a block's first line number is what the blocks before hold.
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    odd = lines.filter(F.col("n_quotes") % 2 == 1).join(blocks, ["file", "block"])
+    return odd.select(F.element_at(F.split("file", "/"), -1).alias("name"),
+                      (F.col("before") + F.col("id") - F.col("first_id") + 1).alias("line_no"), "n_quotes",
+                      "line").filter(F.col("line_no") > 1)

@@ -14,7 +14,7 @@ from domain_fixture import FILES, write
 def _codes_with_lists(lists):
     rows = [["finish_code", "finish_code_description", "substrate_code", "finish_applied_code", "seq_id",
              "sft_steps"]]
-    rows += [[code, "desc", "B", "P", "07", lst] for code, lst in lists]
+    rows += [[code, "desc", "K", "M", "07", lst] for code, lst in lists]
     return rows
 
 
@@ -22,23 +22,23 @@ def test_embedded_steps_first_ingest(spark, tmp_path):
     # finish_codes lists steps; finish_code_steps.csv absent -> the run is partial, but the
     # embedded steps resolve on the very first ingest (order independence, D1).
     over = {"finish_codes.csv": _codes_with_lists([
-                ("BP27", "[SFT-DEGREASE, SFT-NOPE, SFT-PASSIVATE]"),      # unknown in the middle: gap kept
-                ("BP28", '["SFT-ANODIZE", "", "SFT-DEGREASE"]'),           # JSON: blank still takes a slot
-                ("BP29", "[SFT-DEGREASE, SFT-PASSIVATE, SFT-DEGREASE]"),  # repeat: last position wins
-                ("BP30", "[SFT-DEGREASE]"), ("BP30", "[SFT-NOPE, SFT-PASSIVATE]")]),  # lists of one code add up
+                ("KM41", "[ST-WASH, ST-NOPE, ST-LACQUER]"),      # unknown in the middle: gap kept
+                ("KM28", '["ST-ETCH", "", "ST-WASH"]'),           # JSON: blank still takes a slot
+                ("KM29", "[ST-WASH, ST-LACQUER, ST-WASH]"),  # repeat: last position wins
+                ("KM30", "[ST-WASH]"), ("KM30", "[ST-NOPE, ST-LACQUER]")]),  # lists of one code add up
             "finish_code_steps.csv": None}
     src = write(str(tmp_path / "in"), {k: v for k, v in FILES.items() if k != "finish_code_steps.csv"}, over)
     res = ingest(spark, src, str(tmp_path / "s1"))
     assert res.status == "partial"
     steps = {(r["finish_code"], r["sft_code"]): r["step_order"] for r in res.tables["finish_code_steps"].collect()}
-    assert steps == {("BP27", "SFT-DEGREASE"): 1, ("BP27", "SFT-PASSIVATE"): 3,
-                     ("BP28", "SFT-ANODIZE"): 1, ("BP28", "SFT-DEGREASE"): 3,
-                     ("BP29", "SFT-PASSIVATE"): 2, ("BP29", "SFT-DEGREASE"): 3,
-                     ("BP30", "SFT-DEGREASE"): 1, ("BP30", "SFT-PASSIVATE"): 2}
+    assert steps == {("KM41", "ST-WASH"): 1, ("KM41", "ST-LACQUER"): 3,
+                     ("KM28", "ST-ETCH"): 1, ("KM28", "ST-WASH"): 3,
+                     ("KM29", "ST-LACQUER"): 2, ("KM29", "ST-WASH"): 3,
+                     ("KM30", "ST-WASH"): 1, ("KM30", "ST-LACQUER"): 2}
     warn = [r["row_key"] for r in res.warnings.filter(F.col("reason") == "unknown_step_skipped").collect()]
-    assert sorted(warn) == ["BP27|SFT-NOPE", "BP30|SFT-NOPE"]
+    assert sorted(warn) == ["KM30|ST-NOPE", "KM41|ST-NOPE"]
     seq = {r["code"]: r["seq_id"] for r in res.tables["finish_codes"].collect()}
-    assert seq["BP27"] == 7  # '07' -> 7
+    assert seq["KM41"] == 7  # '07' -> 7
     files = {r["source_name"]: (r["status"], r["error"]) for r in res.files.collect()}
     assert files["finish_code_steps.csv"] == ("failed", "File not found")
 
@@ -58,7 +58,7 @@ def test_long_rows_skipped_short_rows_kept(spark, tmp_path):
 
 def test_missing_column_and_bad_json_fail_only_their_file(spark, tmp_path):
     over = {"substrates.csv": [["code"], ["B"]],
-            "chemicals.csv": [["name", "cas", "hazard_flags", "default_hazard_level"], ["W", "7732-18-5", "{bad", "1"]]}
+            "chemicals.csv": [["name", "cas", "hazard_flags", "default_hazard_level"], ["W", "10001-11-1", "{bad", "1"]]}
     src = write(str(tmp_path / "in"), None, over)
     res = ingest(spark, src, str(tmp_path / "s1"))
     files = {r["source_name"]: (r["status"], r["error"]) for r in res.files.collect()}
@@ -88,20 +88,20 @@ def test_manifest_states(spark, tmp_path):
 
 
 def test_ambiguous_code_and_blank_required_number(spark, tmp_path):
-    # BP27 exists in two programs; a code-only step row cannot pick one (D2), and a blank
+    # KM41 exists in two programs; a code-only step row cannot pick one (D2), and a blank
     # step_order is a reject: the steps file fails as a whole, the rest loads.
-    over = {"substrates.csv": [["code", "description", "program"], ["B", "BRASS", ""], ["B", "BRASS", "X"]],
+    over = {"substrates.csv": [["code", "description", "program"], ["B", "COPPER", ""], ["B", "COPPER", "X"]],
             "finish_applied.csv": [["code", "description", "program"], ["P", "PASS", ""], ["P", "PASS", "X"]],
             "finish_codes.csv": [["finish_code", "substrate_code", "finish_applied_code", "seq_id", "program"],
-                                 ["BP27", "B", "P", "27", ""], ["BP27", "B", "P", "27", "X"]],
-            "finish_code_steps.csv": [["finish_code", "sft_code", "step_order"], ["BP27", "SFT-DEGREASE", "1"]]}
+                                 ["KM41", "B", "P", "27", ""], ["KM41", "B", "P", "27", "X"]],
+            "finish_code_steps.csv": [["finish_code", "sft_code", "step_order"], ["KM41", "ST-WASH", "1"]]}
     src = write(str(tmp_path / "in"), None, over)
     res = ingest(spark, src, str(tmp_path / "s1"))
     files = {r["source_name"]: (r["status"], r["error"]) for r in res.files.collect()}
     assert files["finish_code_steps.csv"][0] == "failed" and "ambiguous" in files["finish_code_steps.csv"][1]
     assert res.tables["finish_codes"].count() == 2
     over2 = dict(over)
-    over2["finish_code_steps.csv"] = [["finish_code", "sft_code", "step_order"], ["BP27", "SFT-DEGREASE", ""]]
+    over2["finish_code_steps.csv"] = [["finish_code", "sft_code", "step_order"], ["KM41", "ST-WASH", ""]]
     over2["finish_codes.csv"] = over["finish_codes.csv"][:2]
     res2 = ingest(spark, write(str(tmp_path / "in2"), None, over2), str(tmp_path / "s2"))
     files2 = {r["source_name"]: (r["status"], r["error"]) for r in res2.files.collect()}
@@ -109,18 +109,18 @@ def test_ambiguous_code_and_blank_required_number(spark, tmp_path):
 
 
 def test_last_row_wins_and_na_words(spark, tmp_path):
-    over = {"substrates.csv": [["code", "description", "source_doc"], ["B", "BRASS", "NA"], ["S", "STEEL", "doc"],
-                               ["B", "BRASS 2", "null"]]}
+    over = {"substrates.csv": [["code", "description", "source_doc"], ["K", "COPPER", "NA"], ["T", "TITANIUM", "doc"],
+                               ["K", "COPPER 2", "null"]]}
     src = write(str(tmp_path / "in"), None, over)
     res = ingest(spark, src, str(tmp_path / "s1"))
     got = {r["code"]: (r["description"], r["source_doc"]) for r in res.tables["substrates"].collect()}
-    assert got["B"] == ("BRASS 2", "") and got["S"] == ("STEEL", "doc")
+    assert got["K"] == ("COPPER 2", "") and got["T"] == ("TITANIUM", "doc")
     rows = {r["source_name"]: r["rows"] for r in res.files.collect()}
     assert rows["substrates.csv"] == 3  # rows read, before the key dedupe (A13)
     # a later run updates the row but keeps its creation time
-    over2 = {"substrates.csv": [["code", "description"], ["B", "BRASS 3"]]}
+    over2 = {"substrates.csv": [["code", "description"], ["K", "COPPER 3"]]}
     res2 = ingest(spark, write(str(tmp_path / "in2"), None, over2), str(tmp_path / "s2"), prev_dir=str(tmp_path / "s1"))
     new = {r["code"]: r for r in res2.tables["substrates"].collect()}
     old = {r["code"]: r for r in res.tables["substrates"].collect()}
-    assert new["B"]["description"] == "BRASS 3" and new["B"]["created_at"] == old["B"]["created_at"]
-    assert new["S"]["description"] == "STEEL"  # upsert keeps rows the new file does not mention
+    assert new["K"]["description"] == "COPPER 3" and new["K"]["created_at"] == old["K"]["created_at"]
+    assert new["T"]["description"] == "TITANIUM"  # upsert keeps rows the new file does not mention

@@ -29,95 +29,98 @@ def test_ingest_status_and_rows(loaded):
     assert all(len(r["sha256"]) == 64 for r in res.files.collect())
 
 
-def test_tree_bp27(loaded):
+def test_tree_of_a_code(loaded):
     res, _, _ = loaded
-    doc = H.hierarchy(res.tables, res.tables["finish_codes"].filter(F.col("code") == "BP27").select("code")).first()
+    doc = H.hierarchy(res.tables, res.tables["finish_codes"].filter(F.col("code") == "KM41").select("code")).first()
     p = doc["parsed"]
-    assert (p["substrate"]["code"], p["substrate"]["description"]) == ("B", "BRASS")
-    assert (p["finish_applied"]["code"], p["finish_applied"]["description"]) == ("P", "PASSIVATE")
-    assert p["seq_id"] == 27
+    assert (p["substrate"]["code"], p["substrate"]["description"]) == ("K", "COPPER")
+    assert (p["finish_applied"]["code"], p["finish_applied"]["description"]) == ("M", "MATTE LACQUER")
+    assert p["seq_id"] == 41
     steps = doc["steps"]
-    assert [(s["sft_code"], s["step_order"]) for s in steps] == [("SFT-DEGREASE", 1), ("SFT-PASSIVATE", 2)]
+    assert [(s["sft_code"], s["step_order"]) for s in steps] == [("ST-WASH", 1), ("ST-LACQUER", 2)]
     m1 = steps[0]["materials"]
-    assert [(m["base_spec"], m["variant"]) for m in m1] == [("TEST-SPEC-001", None)]
+    assert [(m["base_spec"], m["variant"]) for m in m1] == [("FX-100", None)]
     chems = [(c["name"], c["pct_wt_low"], c["pct_wt_high"], c["default_hazard_level"]) for c in m1[0]["chemicals"]]
-    assert chems == [("Test Base B", 10.0, 20.0, 4), ("Water", 50.0, 70.0, 1)]
-    assert [c["name"] for c in steps[1]["materials"][0]["chemicals"]] == ["Test Acid A"]
-    assert steps[1]["materials"][0]["chemicals"][0]["hazard_flags"]["categories"] == ["CORROSIVE"]
+    assert chems == [("Lye Blend", 12.0, 22.0, 4), ("Rinse Oil", 40.0, 60.0, 1)]
+    assert [c["name"] for c in steps[1]["materials"][0]["chemicals"]] == ["Iron Salt"]
+    assert steps[1]["materials"][0]["chemicals"][0]["hazard_flags"].toPython()["categories"] == ["IRRITANT"]
     assert doc["provenance"]["csv_shas"]["substrates.csv"]
     assert doc["direct_specs"] == [] and doc["finish_applied_specs"] == []
 
 
-def test_tree_sa12_variant(loaded):
+def test_tree_with_variant(loaded):
     res, _, _ = loaded
-    doc = H.hierarchy(res.tables).filter(F.col("finish_code") == "SA12").first()
+    doc = H.hierarchy(res.tables).filter(F.col("finish_code") == "TE35").first()
     (step,) = doc["steps"]
-    assert step["sft_code"] == "SFT-ANODIZE"
+    assert step["sft_code"] == "ST-ETCH"
     (mat,) = step["materials"]
-    assert (mat["base_spec"], mat["variant"]) == ("TEST-SPEC-002", "TYPE A")
+    assert (mat["base_spec"], mat["variant"]) == ("FX-200", "GRADE 2")
     assert [(c["name"], c["pct_wt_low"], c["pct_wt_high"]) for c in mat["chemicals"]] == [
-        ("Test Acid A", 10.0, 20.0), ("Water", 60.0, 80.0)]
+        ("Iron Salt", 8.0, 15.0), ("Rinse Oil", 65.0, 85.0)]
 
 
 def test_step_documents(loaded):
     res, _, _ = loaded
     rows = {(r["finish_code"], r["sft_code"]): r for r in H.step_documents(res.tables).collect()}
-    assert set(rows) == {("BP27", "SFT-DEGREASE"), ("BP27", "SFT-PASSIVATE"), ("SA12", "SFT-ANODIZE")}
-    assert [c["name"] for c in rows[("BP27", "SFT-DEGREASE")]["materials"][0]["chemicals"]] == ["Test Base B", "Water"]
+    assert set(rows) == {("KM41", "ST-WASH"), ("KM41", "ST-LACQUER"), ("TE35", "ST-ETCH")}
+    assert [c["name"] for c in rows[("KM41", "ST-WASH")]["materials"][0]["chemicals"]] == ["Lye Blend", "Rinse Oil"]
 
 
 def test_code_list_and_lookup(loaded):
     res, _, _ = loaded
-    assert [r["code"] for r in H.code_list(res.tables).collect()] == ["BP27", "SA12"]
-    req = res.tables["finish_codes"].sparkSession.createDataFrame([("ZZ99",), ("SA12",)], "code string")
+    assert [r["code"] for r in H.code_list(res.tables).collect()] == ["KM41", "TE35"]
+    req = res.tables["finish_codes"].sparkSession.createDataFrame([("ZZ99",), ("TE35",)], "code string")
     rows = {r["requested"]: r for r in H.lookup(res.tables, req).collect()}
     assert rows["ZZ99"]["error"] == "Finish code not found"
-    assert rows["ZZ99"]["available_codes"] == ["BP27", "SA12"]
-    assert rows["SA12"]["error"] is None and rows["SA12"]["steps"][0]["sft_code"] == "SFT-ANODIZE"
+    assert rows["ZZ99"]["available_codes"] == ["KM41", "TE35"]
+    assert rows["TE35"]["error"] is None and rows["TE35"]["steps"][0]["sft_code"] == "ST-ETCH"
 
 
 def test_hazard_filter(loaded):
     res, _, _ = loaded
     assert [r["name"] for r in H.chemicals_by_hazard(res.tables["chemicals"], 4).collect()] == [
-        "Test Acid A", "Test Base B"]
+        "Iron Salt", "Lye Blend"]
     assert [r["name"] for r in H.chemicals_by_hazard(res.tables["chemicals"], 1).collect()] == [
-        "Test Acid A", "Test Base B", "Water"]
+        "Iron Salt", "Lye Blend", "Rinse Oil"]
     with pytest.raises(ValueError):
         H.chemicals_by_hazard(res.tables["chemicals"], 6)
 
 
 def test_tag_exposure(loaded):
     res, _, _ = loaded
-    got = {r["finish_code"]: r["tagged_count"] for r in H.tag_exposure(res.tables, "CORROSIVE").collect()}
-    assert got == {"BP27": 2, "SA12": 1}
+    got = {r["finish_code"]: r["tagged_count"] for r in H.tag_exposure(res.tables, "IRRITANT").collect()}
+    assert got == {"KM41": 2, "TE35": 1}
     assert H.tag_exposure(res.tables, "CARCINOGEN").count() == 0
 
 
 def test_catalogue_and_code_specs(loaded):
     res, _, _ = loaded
     t = res.tables
-    cat = C.spec_catalogue(t["sft_steps"], t["finish_code_steps"]).collect()
-    assert [(r["spec"], r["usage_count"]) for r in cat] == [
-        ("TEST-SPEC-001", 1), ("TEST-SPEC-002", 1), ("TEST-SPEC-003", 1)]
+    cat = C.spec_usage(t["sft_steps"], t["finish_code_steps"]).collect()
+    assert [(r["spec"], r["usage_count"], r["step_count"]) for r in cat] == [
+        ("FX-100", 1, 1), ("FX-200", 1, 1), ("FX-300", 1, 1)]
+    rows = C.spec_catalogue(t["sft_steps"], t["finish_code_steps"]).filter("spec = 'FX-100'").collect()
+    assert {(r["kind"], r["value"]) for r in rows} == {("step", "ST-WASH"), ("code", "KM41")}
+    assert C.total_specs(t["sft_steps"]).first()["total_specs"] == 3
     lists = {r["spec"]: r for r in C.catalogue_lists(t["sft_steps"], t["finish_code_steps"]).collect()}
-    assert lists["TEST-SPEC-001"]["finish_codes"] == ["BP27"]
-    cs = C.code_specs(t["sft_steps"], t["finish_code_steps"]).filter(F.col("code") == "BP27") \
+    assert lists["FX-100"]["finish_codes"] == ["KM41"]
+    cs = C.code_specs(t["sft_steps"], t["finish_code_steps"]).filter(F.col("code") == "KM41") \
         .orderBy("step_order").collect()
-    assert [r["sft_code"] for r in cs] == ["SFT-DEGREASE", "SFT-PASSIVATE"]
+    assert [r["sft_code"] for r in cs] == ["ST-WASH", "ST-LACQUER"]
     assert all(r["spec_count"] == 2 for r in cs)
     assert all(len(r["description"]) == 80 and r["description"].endswith("...") for r in cs)
     sets = {r["code"]: r["specifications"] for r in C.code_spec_sets(
         C.code_specs(t["sft_steps"], t["finish_code_steps"])).collect()}
-    assert sets["BP27"] == ["TEST-SPEC-001", "TEST-SPEC-003"]
+    assert sets["KM41"] == ["FX-100", "FX-300"]
 
 
 def test_flat_and_code_chemicals(loaded):
     res, _, _ = loaded
-    flat = H.flat_tree(res.tables).filter(F.col("finish_code") == "BP27").collect()
+    flat = H.flat_tree(res.tables).filter(F.col("finish_code") == "KM41").collect()
     assert sorted((r["sft_code"], r["chemical_name"]) for r in flat) == [
-        ("SFT-DEGREASE", "Test Base B"), ("SFT-DEGREASE", "Water"), ("SFT-PASSIVATE", "Test Acid A")]
-    cc = H.code_chemicals(res.tables).filter(F.col("finish_code") == "SA12").collect()
-    assert sorted(r["name"] for r in cc) == ["Test Acid A", "Water"]
+        ("ST-LACQUER", "Iron Salt"), ("ST-WASH", "Lye Blend"), ("ST-WASH", "Rinse Oil")]
+    cc = H.code_chemicals(res.tables).filter(F.col("finish_code") == "TE35").collect()
+    assert sorted(r["name"] for r in cc) == ["Iron Salt", "Rinse Oil"]
 
 
 def test_reingest_is_idempotent(spark, loaded, tmp_path_factory):
@@ -139,7 +142,7 @@ def test_reingest_is_idempotent(spark, loaded, tmp_path_factory):
 
 def test_code_specs_lookup(loaded, spark):
     res, _, _ = loaded
-    req = spark.createDataFrame([("BP27",), ("NOPE",)], "code string")
+    req = spark.createDataFrame([("KM41",), ("NOPE",)], "code string")
     rows = {r["requested"]: r for r in C.code_specs_lookup(res.tables, req).collect()}
-    assert rows["BP27"]["specifications"] == ["TEST-SPEC-001", "TEST-SPEC-003"] and rows["BP27"]["spec_count"] == 2
-    assert rows["NOPE"]["error"] == "Finish code not found" and rows["NOPE"]["available_codes"] == ["BP27", "SA12"]
+    assert rows["KM41"]["specifications"] == ["FX-100", "FX-300"] and rows["KM41"]["spec_count"] == 2
+    assert rows["NOPE"]["error"] == "Finish code not found" and rows["NOPE"]["available_codes"] == ["KM41", "TE35"]

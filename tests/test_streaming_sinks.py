@@ -33,16 +33,16 @@ def test_upsert_stream(spark, tmp_path):
 
 
 def test_sinks(spark, tmp_path):
-    df = spark.createDataFrame([("X", 2, "a;b", "c...")], "spec string, usage_count int, sft_codes_first string, "
-                                                         "finish_codes_first string")
+    df = spark.createDataFrame([("X", 2, ["a", "b"], ["c"])], "spec string, usage_count int, sft_codes array<string>, "
+                                                              "finish_codes array<string>")
     sinks.write_catalogue_csv(df, str(tmp_path / "cat"))
     back = spark.read.option("header", True).csv(str(tmp_path / "cat")).first()
-    assert back.asDict() == {"specification": "X", "usage_count": "2", "sft_codes": "a;b", "finish_codes": "c..."}
+    assert back.asDict() == {"specification": "X", "usage_count": "2", "sft_codes": "a;b", "finish_codes": "c"}
     nested = spark.createDataFrame([(1, [("a", 2)])], "id int, items array<struct<k:string,v:int>>")
     sinks.write_documents(nested, str(tmp_path / "docs"))
     assert spark.read.text(str(tmp_path / "docs")).first()["value"] == '{"id":1,"items":[{"k":"a","v":2}]}'
     try:
-        sinks.write_csv(df, str(tmp_path / "cat"), source=str(tmp_path / "cat"))
+        sinks.write_csv(df.select("spec"), str(tmp_path / "cat"), source=str(tmp_path / "cat"))
         raise AssertionError("expected refusal")
     except ValueError:
         pass
