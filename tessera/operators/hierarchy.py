@@ -168,15 +168,23 @@ def hierarchy(t: dict[str, DataFrame], codes: DataFrame | None = None,
     """
     if codes is not None:
         t = _restrict(t, codes)
+    head = code_headers(t)
+    spc = steps_per_code(t, order_cols).select(F.col("finish_code").alias("_fc"), F.col("program").alias("_pr"), "steps")
+    j = head.join(spc, (head["finish_code"] == spc["_fc"]) & (head["program"] == spc["_pr"]), "left")
+    kept = [c for c in head.columns if c != "provenance"]
+    return j.select(*kept, F.coalesce(F.col("steps"), F.array()).alias("steps"),
+                    *[c for c in head.columns if c == "provenance"])
+
+
+def code_headers(t: dict[str, DataFrame]) -> DataFrame:
+    """Q1 without its steps, with Q8 and Q9: one row per code, its dimensions parsed out, its own
+    and its finish's specifications as lists, and the load it comes from."""
     fc = t["finish_codes"].alias("fc")
     s = t["substrates"].alias("s")
     fa = t["finish_applied"].alias("fa")
     base = (fc.join(s, (F.col("fc.substrate_code") == F.col("s.code")) & (F.col("fc.program") == F.col("s.program")))
               .join(fa, (F.col("fc.finish_applied_code") == F.col("fa.code"))
                     & (F.col("fc.program") == F.col("fa.program"))))
-    spc = steps_per_code(t, order_cols).alias("sp")
-    j = base.join(spc, (F.col("fc.code") == F.col("sp.finish_code")) & (F.col("fc.program") == F.col("sp.program")),
-                  "left")
     parsed = F.struct(
         F.struct(F.col("s.code").alias("code"), F.col("s.description").alias("description")).alias("substrate"),
         F.struct(F.col("fa.code").alias("code"), F.col("fa.description").alias("description")).alias("finish_applied"),
@@ -185,11 +193,10 @@ def hierarchy(t: dict[str, DataFrame], codes: DataFrame | None = None,
         F.col("fc.program").alias("program"), F.col("fc.associated_specs").alias("associated_specs"))
     cols = [F.col("fc.code").alias("finish_code"), F.col("fc.program").alias("program"), parsed.alias("parsed"),
             _spec_list(F.col("fc.associated_specs")).alias("direct_specs"),
-            _spec_list(F.col("fa.associated_specs")).alias("finish_applied_specs"),
-            F.coalesce(F.col("sp.steps"), F.array()).alias("steps")]
+            _spec_list(F.col("fa.associated_specs")).alias("finish_applied_specs")]
     if "metadata_versions" in t:
         cols.append(provenance(t["metadata_versions"]).alias("provenance"))
-    return j.select(*cols)
+    return base.select(*cols)
 
 
 def _spec_list(c: Column) -> Column:

@@ -3,7 +3,8 @@ ordered lists (F9, W2, W3).
 
 Last-write-wins is an aggregate, not a window: ``max_by(struct(payload), struct(order))``
 per key is partially aggregated map-side, so a hot key never gathers all of its rows in
-one task, and no per-key sort is needed.
+one task. (Spark runs it as a sort aggregate, as a struct has no fixed-width buffer: each task
+sorts its rows by key before it combines them.)
 """
 
 from __future__ import annotations

@@ -125,6 +125,57 @@ def q_hierarchy_summary(spark, sf_dir):
                     F.coalesce("n_chemicals", F.lit(0)).alias("n_chemicals"), "max_level")
 
 
+@register("hierarchy_steps", ROLE_SQL + """,
+ch AS (SELECT mc.base_spec, mc.variant,
+              string_agg(c.name, ',' ORDER BY c.default_hazard_level DESC NULLS LAST, c.name) AS names
+       FROM material_chemicals mc JOIN chemicals c ON mc.cas = c.cas GROUP BY mc.base_spec, mc.variant),
+m AS (SELECT l.sft_code, CAST(l.base_spec AS VARCHAR) || '/' || coalesce(l.variant, '') AS key, l.base_spec, l.variant,
+             coalesce(ch.names, '') AS names
+      FROM sft_material_links l JOIN materials k ON l.base_spec = k.base_spec AND l.variant IS NOT DISTINCT FROM k.variant
+      LEFT JOIN ch ON l.base_spec = ch.base_spec AND l.variant IS NOT DISTINCT FROM ch.variant),
+g AS (SELECT sft_code, string_agg(key || '[' || names || ']', ';' ORDER BY base_spec, variant NULLS FIRST) AS materials
+      FROM m GROUP BY sft_code)
+SELECT cs.finish_code, cs.sft_code, CAST(cs.step_order AS VARCHAR) AS step_order, st.parent_group,
+       coalesce(g.materials, '') AS materials
+FROM finish_code_steps cs JOIN sft_steps st ON cs.sft_code = st.sft_code LEFT JOIN g ON cs.sft_code = g.sft_code
+""")
+def q_hierarchy_steps(spark, sf_dir):
+    """Q1 at step grain (J5, A11, O3): per (code, step) its materials in order, each with its
+    chemicals in order, written out from the nested column; a step without links has none."""
+    d = H.step_documents(domain_tables(spark, sf_dir))
+    material = F.transform("materials", lambda m: F.concat(
+        m["base_spec"].cast("string"), F.lit("/"), F.coalesce(m["variant"], F.lit("")), F.lit("["),
+        F.array_join(F.transform(m["chemicals"], lambda c: c["name"]), ","), F.lit("]")))
+    return d.select("finish_code", "sft_code", F.col("step_order").cast("string").alias("step_order"), "parent_group",
+                    F.array_join(material, ";").alias("materials"))
+
+
+@register("code_headers", ROLE_SQL + """
+SELECT fc.code AS finish_code, s.description AS substrate, fa.description AS finish_applied,
+       CASE WHEN fc.associated_specs IS NULL THEN '' ELSE array_to_string(list_filter(list_transform(
+            string_split(fc.associated_specs, ','), lambda x: trim(x)), lambda x: x <> ''), '|') END AS direct_specs,
+       array_to_string(list_filter(list_transform(string_split(fa.associated_specs, ','), lambda x: trim(x)),
+                                   lambda x: x <> ''), '|') AS finish_applied_specs,
+       (SELECT CAST(1700000000 + max(r_regionkey) * 60 AS BIGINT) FROM region) AS loaded_s,
+       (SELECT sha256(r_name) FROM region WHERE r_regionkey = 0) AS first_sha
+FROM finish_codes fc
+JOIN substrates s ON fc.substrate_code = s.code AND fc.program = s.program
+JOIN finish_applied fa ON fc.finish_applied_code = fa.code AND fc.program = fa.program
+""")
+def q_code_headers(spark, sf_dir):
+    """Q8 and Q9: a code's own and its finish's specifications, and the load behind them."""
+    t = domain_tables(spark, sf_dir)
+    first = F.concat(F.lower("r_name"), F.lit(".csv"))
+    name = read(spark, sf_dir, "region").filter("r_regionkey = 0").select(first).scalar()
+    return H.code_headers(t).select(
+        "finish_code", F.col("parsed.substrate.description").alias("substrate"),
+        F.col("parsed.finish_applied.description").alias("finish_applied"),
+        F.array_join("direct_specs", "|").alias("direct_specs"),
+        F.array_join("finish_applied_specs", "|").alias("finish_applied_specs"),
+        F.unix_seconds("provenance.loaded_at").alias("loaded_s"),
+        F.try_element_at("provenance.csv_shas", name).alias("first_sha"))
+
+
 @register("material_profiles", ROLE_SQL + """
 SELECT mc.base_spec, mc.variant, count(*) AS n_chemicals,
        string_agg(c.name, ',' ORDER BY c.default_hazard_level DESC NULLS LAST, c.name) AS chemical_names,
@@ -671,6 +722,34 @@ def q_resolve_strict(spark, sf_dir):
     return rejects.select("l_orderkey", "l_linenumber", "reason", "row_key")
 
 
+@register("resolve_lenient", """
+WITH p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'A' END AS program, o_custkey FROM orders
+           WHERE o_orderstatus <> 'P'
+           UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'A' END, o_custkey FROM orders
+           WHERE o_orderstatus <> 'P' AND o_orderkey % 10 = 0),
+g AS (SELECT o_orderkey, program, count(*) AS n, min(o_custkey) AS o_custkey FROM p GROUP BY o_orderkey, program),
+c AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 <> 0 AND l_orderkey % 2 = 0 THEN 'A' END AS program
+      FROM lineitem)
+SELECT c.l_orderkey, c.l_linenumber, CASE WHEN g.n IS NULL THEN 'missing_parent' WHEN g.n > 1 THEN 'ambiguous_key'
+       ELSE 'resolved' END AS outcome, CASE WHEN g.n = 1 THEN g.o_custkey END AS o_custkey
+FROM c LEFT JOIN g ON c.l_orderkey = g.o_orderkey AND c.program IS NOT DISTINCT FROM g.program
+""")
+def q_resolve_lenient(spark, sf_dir):
+    """Line items resolve by (order, program), NULL meeting NULL; what finds no or
+    several parents becomes a warning and the rest stays with its line number (gaps kept)."""
+    program = F.when(F.col("o_orderkey") % 2 == 0, F.lit("A"))
+    p = (read(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'")
+         .select("o_orderkey", program.alias("program"), "o_custkey"))
+    parent = p.unionAll(p.filter("o_orderkey % 10 = 0"))
+    child = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(
+        (F.col("l_linenumber") % 3 != 0) & (F.col("l_orderkey") % 2 == 0), F.lit("A")).alias("program"))
+    resolved, rejects = resolve(child, parent, [("l_orderkey", "o_orderkey"), ("program", "program")],
+                                take=[("o_custkey", "o_custkey")], null_safe=["program"])
+    kept = resolved.select("l_orderkey", "l_linenumber", F.lit("resolved").alias("outcome"), "o_custkey")
+    return kept.unionAll(rejects.select("l_orderkey", "l_linenumber", F.col("reason"),
+                                        F.lit(None).cast(kept.schema["o_custkey"].dataType)))
+
+
 @register("resolve_nullsafe", """
 WITH dl AS (SELECT d.doc_id, d.lang, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 cls AS (SELECT lang, quality, count(*) AS class_size FROM dl GROUP BY lang, quality)
@@ -717,7 +796,9 @@ def q_json_flags(spark, sf_dir):
 
 @register("manifest_diff", """
 WITH cur AS (SELECT doc_id AS name, sha256(text) AS sha FROM documents),
-prev AS (SELECT item_id AS name, sha256(text) AS sha FROM benchmark)
+prev AS (SELECT doc_id AS name, CASE WHEN doc_id % 5 = 0 THEN 'xyz' WHEN doc_id % 5 = 1 THEN upper(sha256(text))
+                                     ELSE sha256(text) END AS sha FROM documents WHERE doc_id % 7 < 5
+         UNION ALL SELECT doc_id + 1000000000, sha256(text) FROM documents WHERE doc_id % 11 = 0)
 SELECT coalesce(cur.name, prev.name) AS name,
        CASE WHEN prev.name IS NULL THEN 'new' WHEN cur.name IS NULL THEN 'missing'
             WHEN NOT regexp_matches(prev.sha, '^[0-9a-fA-F]{64}$') THEN 'invalid_expected'
@@ -726,11 +807,14 @@ SELECT coalesce(cur.name, prev.name) AS name,
 FROM cur FULL OUTER JOIN prev ON cur.name = prev.name
 """)
 def q_manifest_diff(spark, sf_dir):
-    """S18-S20 (F10): content fingerprints of the current table against a previous
-    manifest keyed by name -> new / missing / unchanged / changed."""
+    """S18-S20 (F10): content fingerprints of the current table against an earlier manifest in
+    which some names are absent, gone since, not a digest, or in other case: all five states."""
     from tessera.sources.files import manifest_diff
     cur = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), F.sha2("text", 256).alias("sha"))
-    prev = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("name"), F.sha2("text", 256).alias("sha"))
+    n = F.col("name")
+    sha = F.when(n % 5 == 0, F.lit("xyz")).when(n % 5 == 1, F.upper("sha")).otherwise(F.col("sha"))
+    prev = cur.filter(n % 7 < 5).select("name", sha.alias("sha")).unionAll(
+        cur.filter(n % 11 == 0).select((n + 1000000000).alias("name"), "sha"))
     return manifest_diff(cur, prev).select("name", "state", short_hash("sha").alias("sha_short"))
 
 
@@ -786,6 +870,54 @@ def q_segment_documents(spark, sf_dir):
                       "finish_code_description", F.array_join("sft_steps", ",").alias("sft_steps"))
 
 
+_RTF_SQL = """
+WITH r AS (SELECT doc_id, '{\\rtf1\\ansi{\\b head} X' || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') || ' coat\\''e9 of '
+              || lang || ' \\par SFT01023 XSFT0102 sft' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') || ' then SFT'
+              || lpad(CAST(doc_id * 7 % 10000 AS VARCHAR), 4, '0') || '  0000 none AB'
+              || lpad(CAST((doc_id + 1) % 100 AS VARCHAR), 2, '0') || ' ' || source || ' A1B22 SFT0001}' AS rtf
+           FROM documents),
+d AS (SELECT doc_id, upper(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(rtf,
+             '\\\\''[0-9a-fA-F]{2}', ' ', 'g'), '\\\\[a-zA-Z]+-?\\d*(?:\\s|)', ' ', 'g'), '[{}\\\\]', ' ', 'g'),
+             '\\s+', ' ', 'g'))) AS t FROM r),
+w AS (SELECT doc_id, string_split(t, ' ') AS ws FROM d),
+tok AS (SELECT doc_id, unnest(ws) AS w, unnest(generate_series(1, len(ws))) AS i FROM w),
+seg AS (SELECT doc_id, w, i, regexp_matches(w, '^([A-Z]{1,2}\\d{2}|0000)$') AS anchor,
+               CAST(sum(CASE WHEN regexp_matches(w, '^([A-Z]{1,2}\\d{2}|0000)$') THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS seg_no FROM tok),
+blk AS (SELECT doc_id, seg_no, max(w) FILTER (WHERE anchor) AS code,
+               coalesce(string_agg(w, ' ' ORDER BY i) FILTER (WHERE NOT anchor), '') AS block
+        FROM seg WHERE seg_no > 0 GROUP BY doc_id, seg_no)
+SELECT doc_id, seg_no, code AS finish_code,
+       CASE WHEN code = '0000' THEN '0' ELSE code[1] END AS substrate_code,
+       CASE WHEN code = '0000' OR length(code) = 3 THEN '0' ELSE code[2] END AS finish_applied_code,
+       CASE WHEN code = '0000' THEN '00' ELSE right(code, 2) END AS seq_id,
+       CASE WHEN regexp_matches(block, '\\bSFT\\d{4}\\b') THEN trim(regexp_extract(block, '^(.*?)\\bSFT\\d{4}\\b', 1))
+            ELSE block END AS finish_code_description,
+       array_to_string(list_sort(list_distinct(regexp_extract_all(block, '\\bSFT\\d{4}\\b'))), ',') AS sft_steps
+FROM blk
+"""
+
+
+@register("rtf_codes", _RTF_SQL)
+def q_rtf_codes(spark, sf_dir):
+    """An RTF text per document, cleaned and cut into codes with their parts, description
+    and steps by the real tokens (SFT01023 and XSFT0102 are no steps, A1B22 is no code)."""
+    from tessera.functions.text import clean_rtf
+
+    def two(c, width=2):
+        return F.lpad(c.cast("string"), width, "0")
+
+    n = F.col("doc_id")
+    rtf = F.concat(F.lit(r"{\rtf1\ansi{\b head} X"), two(n % 100), F.lit(r" coat\'e9 of "), F.col("lang"),
+                   F.lit(r" \par SFT01023 XSFT0102 sft"), two(n % 10000, 4), F.lit(" then SFT"), two(n * 7 % 10000, 4),
+                   F.lit("  0000 none AB"), two((n + 1) % 100), F.lit(" "), F.col("source"), F.lit(" A1B22 SFT0001}"))
+    d = read(spark, sf_dir, "documents").select("doc_id", clean_rtf(rtf).alias("t"))
+    seg = X.segment_documents(d, ["doc_id"], "t")
+    return seg.select("doc_id", F.col("seg_no").cast("long").alias("seg_no"), "finish_code", "substrate_code",
+                      "finish_applied_code", "seq_id", "finish_code_description",
+                      F.array_join("sft_steps", ",").alias("sft_steps"))
+
+
 @register("enrich_lists", """
 WITH pieces AS (SELECT doc_id, unnest(""" + _F4.format(c="text") + """) AS e FROM documents),
 dict AS (SELECT e AS spec, CASE WHEN count(DISTINCT doc_id) >= 2 THEN e || ' shared' ELSE e END AS "full"
@@ -816,14 +948,15 @@ def q_enrich_lists(spark, sf_dir):
 
 
 @register("quote_audit", """
-WITH l AS (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS ls FROM documents),
-e AS (SELECT doc_id, unnest(ls) AS line, unnest(generate_series(1, len(ls))) AS line_no FROM l)
-SELECT doc_id, count(*) AS n_lines, CAST(sum(length(line) - length(replace(line, '"', ''))) AS BIGINT) AS n_quotes,
+WITH l AS (SELECT page_id, regexp_split_to_array(replace(html, '=', chr(10)), '\\r\\n|\\r|\\n') AS ls FROM pages),
+e AS (SELECT page_id, unnest(ls) AS line FROM l)
+SELECT page_id, count(*) AS n_lines, CAST(sum(length(line) - length(replace(line, '"', ''))) AS BIGINT) AS n_quotes,
        count(*) FILTER (WHERE (length(line) - length(replace(line, '"', ''))) % 2 = 1) AS n_odd_lines
-FROM e GROUP BY doc_id
+FROM e GROUP BY page_id
 """)
 def q_quote_audit(spark, sf_dir):
-    """X11 per document, row-local: lines, double quotes, and lines with an odd number of
-    quotes (the offending lines themselves come from ``odd_quote_lines``)."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return X.quote_profile(d, ["doc_id"], "text")
+    """X11 per page, row-local: lines, double quotes, and lines with an odd number of quotes (the
+    offending lines themselves come from ``odd_quote_lines``). Every ``=`` is made a line end
+    here, which splits quoted attributes over lines."""
+    d = read(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("="), F.lit("\n")).alias("html"))
+    return X.quote_profile(d, ["page_id"], "html")

@@ -124,8 +124,15 @@ def domain_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
                      (F.round(F.max("l_tax") * 100, 2) + F.lit(0.0)).alias("pct_wt_high"))
                 .withColumn("notes", _null()))
 
+    def metadata_versions():
+        return t("region").select(F.concat(F.lower("r_name"), F.lit(".csv")).alias("source_name"),
+                                  F.sha2("r_name", 256).alias("sha256"), F.lit(1).cast("long").alias("rows_loaded"),
+                                  F.timestamp_seconds(F.lit(1_700_000_000) + F.col("r_regionkey") * 60)
+                                  .alias("loaded_at"))
+
     return LazyTables({f.__name__: f for f in (substrates, finish_applied, finish_codes, sft_steps, finish_code_steps,
-                                               materials, sft_material_links, chemicals, material_chemicals)})
+                                               materials, sft_material_links, chemicals, material_chemicals,
+                                               metadata_versions)})
 
 
 ROLE_SQL = r"""

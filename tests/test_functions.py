@@ -78,3 +78,10 @@ def test_segments_and_parts(spark):
     df = spark.createDataFrame([("0000",), ("BP27",), ("A05",)], "c string")
     parts = [tuple(r["p"]) for r in df.select(T.code_parts("c").alias("p")).collect()]
     assert parts == [("0", "0", "00"), ("B", "P", "27"), ("A", "0", "05")]
+
+
+def test_strip_is_unicode_and_step_tokens_stand_alone(spark):
+    assert one(spark, C.strip_ws("s"), "\u00a0 a b\u2003\x1c") == "a b"
+    assert one(spark, C.split_list("s"), "\u00a0x , ,y\u3000") == ["x", "y"]
+    found = F.regexp_extract_all("s", F.lit(T.STEP_TOKEN), 0)
+    assert one(spark, found, "SFT01023 XSFT0102 sft0007 SFT0102.") == ["sft0007", "SFT0102"]

@@ -54,3 +54,23 @@ def test_catalogue_csv_document_form(spark, tmp_path):
                                   "spec string, sft_codes array<string>, finish_codes array<string>, usage_count int")
     row = catalogue_csv(lists).first()
     assert row["sft_codes"] == "S1;S2;S3;S4;S5;S6" and row["finish_codes"] == "A;B;C;D;E..."
+
+
+def test_table_json_and_manifest_order(spark, tmp_path):
+    from tessera.sources.files import latest_load, manifest_newest_first
+    df = spark.createDataFrame([("a.csv", "s1", 1), ("b.csv", "s2", 3), ("c.csv", "s3", 2)],
+                               "source_name string, sha256 string, loaded_at long")
+    for mode, n in (("overwrite", 3), ("append", 6), ("overwrite", 3)):
+        sinks.write_table(df, str(tmp_path / "t"), mode)
+        assert spark.read.parquet(str(tmp_path / "t")).count() == n
+    sinks.write_json(df, str(tmp_path / "j"))
+    assert {r["source_name"] for r in spark.read.json(str(tmp_path / "j")).collect()} == {"a.csv", "b.csv", "c.csv"}
+    assert [r["source_name"] for r in manifest_newest_first(df).collect()] == ["b.csv", "c.csv", "a.csv"]
+    assert latest_load(df).first()["csv_shas"]["c.csv"] == "s3"
+
+
+def test_odd_quote_lines_of_files_by_line(spark, tmp_path):
+    from tessera.sources.csv import odd_quote_file_lines
+    (tmp_path / "a.csv").write_text('h"ead\n' + 'x,"y"\n' * 5 + 'bad"\n' + "z\n" * 3 + '"\n')
+    assert [(r["name"], r["line_no"]) for r in odd_quote_file_lines(spark, str(tmp_path)).orderBy("line_no").collect()] \
+        == [("a.csv", 7), ("a.csv", 11)]
