@@ -101,9 +101,45 @@ SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken
 FROM e JOIN n ON e.source IS NOT DISTINCT FROM n.source AND e.draw = n.draw
 """
 
+SQL_OP4 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY doc_id),
+c AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY k) AS class_id FROM n),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM o JOIN n x ON o.a = x.doc_id JOIN n y ON o.b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a AS x, b AS y FROM l UNION ALL SELECT b, a FROM l),
+r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+m AS (SELECT x, min(y) AS y FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.y, d.doc_id)) AS component_id,
+       coalesce(c.class_id, d.doc_id) AS class_id
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m ON d.doc_id = m.x
+"""
+
+SQL_OP6 = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                                      lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT k, min(doc_id) AS first_doc FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(13)) AS p FROM win JOIN f USING (k) WHERE first_doc < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t
+         FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(g.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def _oracle() -> dict[str, str]:
     from tessera.llm.urlfilter import SQL
-    return {"op1_chunk_recipe_exact_dedup": SQL_OP1, "op2_bloom_cascade_url_filter": SQL, "op5_source_mix": SQL_OP5}
+    return {"op1_chunk_recipe_exact_dedup": SQL_OP1, "op2_bloom_cascade_url_filter": SQL,
+            "op4_ngram_jaccard_join": SQL_OP4, "op5_source_mix": SQL_OP5, "op6_lempel_ziv_substring_dedup": SQL_OP6}
 
 
 ORACLE: dict[str, str] = _oracle()
