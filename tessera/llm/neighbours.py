@@ -3,8 +3,9 @@
 Vectors are scaled to length 1 and projected on ``PROJECTIONS`` directions, random orthonormal bases one after another.
 A block of vectors keeps one sorted array per direction. Around a query's own projection a window is opened in every
 array; a vector collides as often as it lies in a window. Windows widen by virtual rehashing, each time by ``WIDEN``,
-until enough vectors (``VERIFIED`` of the block, ``LEAST_VERIFIED`` at least) collide in ``THRESHOLD`` of the arrays or the windows
-hold everything; those vectors are verified by their cosine. Every row is indexed; nothing is fitted to the data.
+until enough vectors (``VERIFIED`` of the block, ``LEAST_VERIFIED`` at least) collide in ``THRESHOLD`` of the
+arrays or the windows hold everything; those vectors are verified by their cosine. Every row is indexed; nothing is
+fitted to the data.
 
 The queries meet all vectors in blocks: each pair of a block of vectors and a chunk of queries is one group of bounded
 size, and only its best ``k`` per query leave it.

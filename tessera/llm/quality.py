@@ -90,8 +90,8 @@ def _collect(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for part in slices(batch):
                 x = features(part.column("text")).astype("<f4")
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())],
-                                                 ["doc_id", "x"])
+                packed = pa.array([r.tobytes() for r in x], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), packed], ["doc_id", "x"])
 
     rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x binary").collect()
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["x"]))

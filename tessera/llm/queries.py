@@ -131,7 +131,8 @@ words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FR
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t
          FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
 g AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(g.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(g.n, 0) AS n_removed,
+       sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 

@@ -74,7 +74,7 @@ def best_window(candidate: Column, window: int = WINDOW) -> Column:
         n_out = F.when(old >= 0, F.get(counts, F.greatest(old, F.lit(0)))).otherwise(F.lit(1))
         total = F.when(same, state["total"]).otherwise(
             state["total"] + _term(n_in + 1) - _term(n_in) + _term(n_out - 1) - _term(n_out))
-        after = F.transform(counts, lambda n, k: n + F.when(k == new, 1).otherwise(0) - F.when(k == old, 1).otherwise(0))
+        after = F.transform(counts, lambda n, k: n + (k == new).cast("int") - (k == old).cast("int"))
         digits = F.aggregate(F.slice(after, 53, 10), F.lit(0), lambda a, n: a + n)
         low_af = F.aggregate(F.slice(after, 27, 6), F.lit(0), lambda a, n: a + n)
         marks = F.aggregate(F.slice(after, 63, 5), F.lit(0), lambda a, n: a + n)

@@ -2,7 +2,8 @@
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept string, _n int, rank string"
+SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, size string, kept string, _n int, "
+          "rank string")
 
 
 def rows(pairs, source=lambda i: f"s{i % 3}"):
