@@ -203,7 +203,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                (r,) = batch.slice(i, 1).to_pylist()  # one shard's planes at a time
                 ids = Shard(r["n_tokens"], r["zeros"], r["planes"], r["ranks"]).decode()
                 ends = np.cumsum(r["doc_lengths"])
                 starts = ends - r["doc_lengths"]
