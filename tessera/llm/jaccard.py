@@ -10,9 +10,9 @@ the segments that fall into them. Two things are counted per fragment and summed
 
 Groups of near copies aren't expanded into pairs. First, every posting is paired only with a hub, the set of its n-gram
 whose own prefix is shared most, which links nearly all of such a group. Then the remaining candidates are only pairs
-whose sets are in different groups by then; the number of prefix n-grams that a pair shares bounds its overlap from
-above and drops most of those before their sets are read. Links that could join no groups are thus never computed; all
-others are. Equal sets are one class throughout.
+whose sets are in different groups by then, found by the rarest n-grams of their prefixes. The number of prefix n-grams
+that a pair shares bounds its overlap from above, which drops most pairs of either kind before their texts are read.
+Links that could join no groups are thus never computed; all others are. Equal sets are one class throughout.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import (hash_words, mixed, settled, slices, split_words, text_bytes, window_hashes)
@@ -36,9 +36,10 @@ SLICE = 4 << 20
 FRAGMENT_BYTES = 48 << 20
 SEGMENTS = 8
 
-#: An n-gram is frequent if slices in which ``SLICE_LEAST`` sets hold it add up to one in ``FREQUENT`` documents. Their
-#: number is bounded by ``FREQUENT`` times the n-grams of a mean document, whatever the number of documents.
-SLICE_LEAST, FREQUENT, FREQUENT_LEAST = 3, 2500, 20
+#: An n-gram is frequent if the slices in which ``SLICE_LEAST`` sets or more hold it count it ``FREQUENT`` times. The
+#: ``MOST_FREQUENT`` most frequent ones go last in the order (8 bytes each, to every task). The order decides how
+#: much work there is, never which pairs are found.
+SLICE_LEAST, FREQUENT, MOST_FREQUENT = 2, 20, 1_000_000
 
 
 def ngram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -102,17 +103,18 @@ def survey(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
             out.filter("kind = 'gram'").select(F.col("d1").alias("gram"), "n"))
 
 
-def frequent_grams(grams: DataFrame, n_docs: int) -> np.ndarray:
-    least = max(FREQUENT_LEAST, n_docs // FREQUENT)
-    rows = grams.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("gram")
-    return np.sort(np.array([r[0] for r in rows.collect()], np.int64).view(np.uint64))
+def frequent_grams(grams: DataFrame) -> np.ndarray:
+    counted = grams.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
+    rows = counted.orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).select("gram").toArrow()
+    return np.sort(rows.column("gram").to_numpy().view(np.uint64))
 
 
 def postings(docs: DataFrame, frequent: np.ndarray, n: int, t: float) -> DataFrame:
-    """``gram``, ``d1`` and ``n`` of the sets whose prefix holds an n-gram that another set's prefix holds too."""
+    """``gram``, ``d1`` and ``n`` of the sets whose prefix holds an n-gram that another set's prefix holds too, and how
+    many do (``df``)."""
     fragments = max(24, math.ceil(text_bytes(docs) / FRAGMENT_BYTES))
     width = np.uint64((1 << 64) // fragments + 1)
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # bounded, see FREQUENT
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
@@ -156,12 +158,15 @@ def postings(docs: DataFrame, frequent: np.ndarray, n: int, t: float) -> DataFra
         new = (np.diff(grams, prepend=~grams[:1]) != 0) | (np.diff(d1, prepend=d1[:1]) != 0)
         grams, d1, n_of = grams[new], d1[new], n_of[new]  # one set from several slices
         heads = np.flatnonzero(np.diff(grams, prepend=~grams[:1]) != 0)
-        several = np.repeat(np.diff(np.append(heads, len(grams))), np.diff(np.append(heads, len(grams)))) > 1
+        count = np.diff(np.append(heads, len(grams)))
+        df = np.repeat(count, count)
+        several = df > 1
         return pa.table([pa.array(grams[several].view(np.int64)), pa.array(d1[several]),
-                         pa.array(n_of[several].astype(np.int64))], ["gram", "d1", "n"])
+                         pa.array(n_of[several].astype(np.int64)), pa.array(df[several].astype(np.int64))],
+                        ["gram", "d1", "n", "df"])
 
     return (docs.select("text").mapInArrow(prefixes, "fragment int, grams binary, owners binary, d1 binary, n binary")
-            .groupBy("fragment").applyInArrow(collisions, "gram long, d1 long, n long"))
+            .groupBy("fragment").applyInArrow(collisions, "gram long, d1 long, n long, df long"))
 
 
 def segments(docs: DataFrame, n: int) -> DataFrame:
@@ -172,7 +177,8 @@ def segments(docs: DataFrame, n: int) -> DataFrame:
             for part in slices(batch, limit=1 << 20):
                 ids, seg, lists = [], [], []
                 for doc, g in zip(part.column("doc_id").to_pylist(), ngram_sets(part.column("text"), n)):
-                    for k, (a, b) in enumerate(zip(np.searchsorted(g, edges), [*np.searchsorted(g, edges[1:]), len(g)])):
+                    cut = [*np.searchsorted(g, edges), len(g)]
+                    for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
                         if b > a:
                             ids.append(doc)
                             seg.append(k)
@@ -183,15 +189,35 @@ def segments(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc long, segment int, grams array<long>")
 
 
-def linked(pairs: DataFrame, segs: DataFrame, t: float) -> DataFrame:
-    """Those of ``pairs`` (``a``, ``b``, ``n_a``, ``n_b``) whose Jaccard is ``t`` or more."""
+def least_shared(t: float):
+    """Prefix n-grams that a pair of Jaccard ``t`` shares at least: beyond the prefixes, at most ``ceil(t n) - 1``
+    n-grams of the larger set can be common."""
+    p = round(t * 100)
+    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * p / (100 + p) - 1e-9)
+    return F.greatest(F.lit(1), overlap - F.ceil(F.greatest("n_a", "n_b") * p / 100 - 1e-9) + 1)
+
+
+def linked(docs: DataFrame, pairs: DataFrame, n: int, t: float) -> DataFrame:
+    """Those of ``pairs`` (``a``, ``b``, ``n_a``, ``n_b``) whose Jaccard is ``t`` or more. Only the texts of documents
+    in a pair are moved and cut into segments."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    segs = settled(segments(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+                            .dropDuplicates(["doc_id"]), n), large=True)
     left = segs.select(F.col("doc").alias("a"), "segment", F.col("grams").alias("grams_a"))
     right = segs.select(F.col("doc").alias("b"), "segment", F.col("grams").alias("grams_b"))
     partial = (pairs.join(left, "a").join(right, ["b", "segment"])
                .select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("part")))
     both = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("both"))
     p = round(t * 100)
-    return both.filter(100 * F.col("both") >= p * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+    return settled(both.filter(100 * F.col("both") >= p * (F.col("n_a") + F.col("n_b") - F.col("both")))
+                   .select("a", "b"), large=True)
+
+
+def with_shared(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """``pairs`` with ``c``, the prefix n-grams that both documents have."""
+    return (pairs.join(own.select(F.col("doc").alias("a"), F.col("grams").alias("grams_a")), "a")
+            .join(own.select(F.col("doc").alias("b"), F.col("grams").alias("grams_b")), "b")
+            .withColumn("c", F.size(F.array_intersect("grams_a", "grams_b"))))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, t: float = 0.75) -> DataFrame:
@@ -204,21 +230,23 @@ def near_duplicates(docs: DataFrame, n: int = 5, t: float = 0.75) -> DataFrame:
     are not read.
     """
     sets, grams = survey(docs, n)
-    n_docs = sets.count()
-    if not n_docs:
+    if sets.isEmpty():
         return sets.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
                            F.col("doc_id").alias("class_id"))
     p = round(t * 100)
     classes = settled(sets.filter("n > 0 and doc_id is not null").groupBy("d1", "d2", "n")
                       .agg(F.min("doc_id").alias("doc")))
-    found = settled(postings(docs.filter("doc_id is not null"), frequent_grams(grams, n_docs), n, t), large=True)
+    found = settled(postings(docs.filter("doc_id is not null"), frequent_grams(grams), n, t), large=True)
     # From here on a set is its class's smallest document. (Two sets of one d1 both get its postings.)
-    posts = settled(found.join(classes.select("d1", "n", "doc"), ["d1", "n"]).select("gram", "doc", "n"))
-    shared = posts.groupBy("doc").agg((F.count("*") / F.first("n")).alias("score"))
-    scored = settled(posts.join(shared, "doc"))
-    wanted = settled(posts.select(F.col("doc").alias("doc_id")).distinct())
-    segs = settled(segments(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-                            .dropDuplicates(["doc_id"]), n), large=True)
+    posts = found.join(classes.select("d1", "n", "doc"), ["d1", "n"]).select("gram", "doc", "n", "df")
+    # ``rank``: place of the n-gram in its document's prefix by rarity, from 0; those that no other set has come first.
+    prefix = F.col("n") - F.ceil(F.col("n") * p / 100 - 1e-9) + 1
+    alone = prefix - F.count("*").over(Window.partitionBy("doc"))
+    posts = settled(posts.withColumn("rank", alone + F.row_number().over(Window.partitionBy("doc")
+                                                                         .orderBy("df", "gram")) - 1).drop("df"))
+    own = settled(posts.groupBy("doc").agg(F.collect_list("gram").alias("grams"),  # at most a document's prefix
+                                           (F.count("*") / F.first("n")).alias("score")))
+    scored = posts.join(own.select("doc", "score"), "doc")
     near = (F.lit(100) * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b"))
 
     hubs = settled(scored.groupBy("gram").agg(F.max(F.struct("score", "doc", "n")).alias("hub"))
@@ -228,31 +256,34 @@ def near_duplicates(docs: DataFrame, n: int = 5, t: float = 0.75) -> DataFrame:
                      F.when(F.col("doc") < F.col("hub"), F.col("n")).otherwise(F.col("hub_n")).alias("n_a"),
                      F.when(F.col("doc") < F.col("hub"), F.col("hub_n")).otherwise(F.col("n")).alias("n_b"))
              .filter(near).distinct())
-    links = settled(linked(settled(first), segs, t))
+    counted = with_shared(first, own)
+    links = linked(docs, settled(counted.filter(F.col("c") >= least_shared(t)).select("a", "b", "n_a", "n_b")), n, t)
 
     groups = components(links)
     rest = posts.join(groups, posts["doc"] == groups["node"], "left").select(
-        "gram", "doc", "n", F.coalesce("component", "doc").alias("group"))
+        "gram", "doc", "n", "rank", F.coalesce("component", "doc").alias("group"))
     mixed_grams = rest.groupBy("gram").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x <> y")
     rest = settled(rest.join(mixed_grams.select("gram"), "gram", "left_semi"))
-    x = rest.select("gram", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("group").alias("group_a"))
+    # A linked pair shares least_shared of the prefix's n-grams, so one of them is among all but so many less one of
+    # the first document's rarest: common ones only bring documents together that share nearly nothing else.
+    x = rest.select("gram", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("group").alias("group_a"),
+                    (F.col("n") - F.ceil(F.col("n") * p / 100 - 1e-9) + 1 - F.col("rank")).alias("left_a"))
     y = rest.select("gram", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("group").alias("group_b"))
-    counted = (x.join(y, (x["gram"] == y["gram"]) & (x["a"] < y["b"]) & (x["group_a"] != y["group_b"])
-                      & (F.lit(100) * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b")))
-               .groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("c")))
-    # Beyond the prefixes that both share, at most ceil(t n) - 1 n-grams of the larger set can be common.
-    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * p / (100 + p) - 1e-9)
-    counted = counted.filter(F.col("c") + F.ceil(F.greatest("n_a", "n_b") * p / 100 - 1e-9) - 1 >= overlap)
-    more = settled(linked(settled(counted.select("a", "b", "n_a", "n_b")), segs, t))
+    second = (x.join(y, (x["gram"] == y["gram"]) & (x["a"] < y["b"]) & (x["group_a"] != y["group_b"])
+                     & near & (F.col("left_a") >= least_shared(t)))
+              .select("a", "b", "n_a", "n_b").distinct())
+    counted = with_shared(second, own)
+    more = linked(docs, settled(counted.filter(F.col("c") >= least_shared(t)).select("a", "b", "n_a", "n_b")), n, t)
 
-    final = settled(components(links.unionByName(more)))
+    final = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = (classes.join(final, classes["doc"] == final["node"], "left")
-             .select("d1", "d2", "n", F.col("doc").alias("class_id"), F.coalesce("component", "doc").alias("component")))
+             .select("d1", "d2", "n", F.col("doc").alias("class_id"),
+                     F.coalesce("component", "doc").alias("component")))
     out = sets.join(settled(named), ["d1", "d2", "n"], "left")
-    own = F.col("doc_id")
+    doc = F.col("doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"),
-                      F.when(own.isNotNull(), F.coalesce("component", own)).alias("component_id"),
-                      F.when(own.isNotNull(), F.coalesce("class_id", own)).alias("class_id"))
+                      F.when(doc.isNotNull(), F.coalesce("component", doc)).alias("component_id"),
+                      F.when(doc.isNotNull(), F.coalesce("class_id", doc)).alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, t: float = 0.75) -> DataFrame:
