@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task handles at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 #: The white space of the contracts, as a regular expression class and its complement.
 SPACE = r"[\x20\x09-\x0D]"

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.common import slices
-from tessera.llm.tokens import word_table
+from tessera.llm.tokens import SLICE, word_table
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "seq_tokens long, padded long, cost double, row_in_split long")
@@ -62,7 +62,7 @@ def assign(lengths: np.ndarray, seq_len: int, quadratic: float) -> list[tuple[in
 
 
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", drops_space: bool = False, end_id: int = 1,
-         seq_len: int = 2048, quadratic: float = 0.5, block_tokens: int = 4_000_000) -> DataFrame:
+         seq_len: int = 2048, quadratic: float = 0.5, block_tokens: int = 2_000_000) -> DataFrame:
     """One row per piece of a document: its place in the document (``start``, ``length``), in its sequence
     (``sequence_id``, ``offset``), the crc32 of its ids, and what its sequence holds (``seq_tokens``; ``padded``:
     tokens after padding to ``seq_len``, or none at a power of two) and costs.
@@ -95,7 +95,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", drops_space: boo
         table = word_table(tokenizer, drops_space)
         seq, row, held, ids, doc_ids = TaskContext.get().partitionId() << 32, 0, 0, [], []
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 got, at = table.encode(part.column("text"), end_id)
                 ids += [got[a:b].astype(np.uint32) for a, b in zip(at[:-1], at[1:])]
                 doc_ids += part.column("doc_id").to_pylist()

@@ -14,8 +14,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct pieces that one task remembers.
-MAX_PIECES = 1_000_000
+#: Text bytes that a task encodes at once.
+SLICE = 2 << 20
+
+#: Distinct pieces that a worker remembers between its tasks.
+MAX_PIECES = 300_000
 
 #: How byte-level vocabularies write a space.
 _SPACE = "\u0120"

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import slices
-from tessera.llm.tokens import word_table
+from tessera.llm.tokens import SLICE, word_table
 
 BLOCK = 512  # bits between two stored ranks
 
@@ -156,7 +156,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
             return pa.RecordBatch.from_pylist([out], schema)
 
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, limit=SLICE):
                 got, at = table.encode(piece.column("text"), end_id)
                 for doc_id, a, b in zip(piece.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
                     start, first = a, True
