@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import scratch_dir, table
 
@@ -60,11 +61,28 @@ def op10_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFr
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.divergence import source_divergence
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.tensored import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.periodic import described, periodic_runs, with_planted_tails
+    docs = table(spark, sf_dir, "documents")
+    return described(periodic_runs(docs.withColumn("text", with_planted_tails(F.col("doc_id"), F.col("text")))))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chunk_recipe_exact_dedup, op2_bloom_cascade_url_filter, op3_cost_balanced_packing, op4_ngram_jaccard_join,
     op5_source_mix,
     op6_lempel_ziv_substring_dedup, op7_wavelet_token_files, op8_entropy_secret_scan,
-    op9_collision_counting_neighbours, op10_positive_unlabelled_quality)}
+    op9_collision_counting_neighbours, op10_positive_unlabelled_quality, op11_source_divergence_audit,
+    op12_tensored_minhash, op13_periodic_runs)}
 
 SQL_OP1 = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -138,9 +156,10 @@ FROM d LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
 
 
 def _oracle() -> dict[str, str]:
-    from tessera.llm.urlfilter import SQL
-    return {"op1_chunk_recipe_exact_dedup": SQL_OP1, "op2_bloom_cascade_url_filter": SQL,
-            "op4_ngram_jaccard_join": SQL_OP4, "op5_source_mix": SQL_OP5, "op6_lempel_ziv_substring_dedup": SQL_OP6}
+    from tessera.llm import divergence, tensored, urlfilter
+    return {"op1_chunk_recipe_exact_dedup": SQL_OP1, "op2_bloom_cascade_url_filter": urlfilter.SQL,
+            "op4_ngram_jaccard_join": SQL_OP4, "op5_source_mix": SQL_OP5, "op6_lempel_ziv_substring_dedup": SQL_OP6,
+            "op11_source_divergence_audit": divergence.SQL, "op12_tensored_minhash": tensored.SQL}
 
 
 ORACLE: dict[str, str] = _oracle()
