@@ -1,9 +1,9 @@
 """Near duplicates by MinHash with tensored banding; every link is verified on the full sets.
 
-A table key of ordinary banding joins ``2 K`` minhashes. Here a document has two small collections of ``SIDE`` half keys
-of ``K`` minhashes each, and the ``SIDE * SIDE`` tables are all pairs of a half key of the one and one of the other: 400
-tables from 160 minhashes instead of 3,200. A pair of Jaccard ``j`` meets in none with a probability below
-``2 (1 - j^K)^SIDE`` (8 in 10 million at 0.85, 4 in 100 million at 0.9). Half keys that no other document has are
+A table key of ordinary banding joins ``2 k`` minhashes. Here a document has two small collections of ``SIDE`` half keys
+of ``k`` minhashes each, and the ``SIDE * SIDE`` tables are all pairs of a half key of the one and one of the other: at
+a threshold of 0.85, where ``k`` is 4, 400 tables from 160 minhashes instead of 3,200. A pair of Jaccard ``j`` meets in
+none with a probability below ``2 (1 - j^k)^SIDE`` (8 in 10 million at 0.85, 4 in 100 million at 0.9). Half keys that no other document has are
 dropped before pairs are formed, so a document without near copies leaves no row in any table.
 
 Buckets aren't expanded into pairs. Each is compared with its hub, the smallest set in it: whoever links with the hub is
@@ -16,6 +16,7 @@ rounds come to an end. No link between groups is lost that the tables found.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,28 +28,33 @@ from tessera.llm.common import mixed, settled, slices
 from tessera.llm.graph import components
 from tessera.llm.jaccard import digests, ngram_sets
 
-#: Minhashes in a half key, and half keys in each of the two collections.
-K, SIDE = 4, 20
+#: Half keys in each of the two collections.
+SIDE = 20
 
 
-def half_keys(grams: list[np.ndarray]) -> np.ndarray:
+def width(t: float) -> int:
+    """Minhashes in a half key: as many as leave a pair at the threshold about every second half key."""
+    return max(1, math.floor(math.log(0.5) / math.log(t))) if t < 1 else 16
+
+
+def half_keys(grams: list[np.ndarray], k: int) -> np.ndarray:
     """One row of ``2 * SIDE`` half keys (64 bits, different for each place) per non-empty set of 64-bit hashes. A
     minhash is the least of ``a h + b`` over the upper 32 bits ``h`` of a set's hashes, ``a`` odd."""
     size = np.array([len(g) for g in grams])
     starts = np.cumsum(size) - size
     flat = (np.concatenate(grams) >> np.uint64(32)).astype(np.uint32)
-    seeds = mixed(np.arange(1, 4 * K * SIDE + 1, dtype=np.uint64)).astype(np.uint32).reshape(2, -1)
+    seeds = mixed(np.arange(1, 4 * k * SIDE + 1, dtype=np.uint64)).astype(np.uint32).reshape(2, -1)
     out = np.empty((len(grams), 2 * SIDE), np.uint64)
     for place in range(2 * SIDE):
         key = np.full(len(grams), place, np.uint64)
-        for j in range(place * K, place * K + K):
+        for j in range(place * k, place * k + k):
             least = np.minimum.reduceat(flat * (seeds[0, j] | np.uint32(1)) + seeds[1, j], starts)
             key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least)
         out[:, place] = key
     return out
 
 
-def signed(docs: DataFrame, n: int) -> DataFrame:
+def signed(docs: DataFrame, n: int, k: int) -> DataFrame:
     """Per document its set's size and digest, and the half keys (none for an empty set)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,7 +63,7 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
                 d1, d2 = digests(grams)
                 size = np.array([len(g) for g in grams], np.int64)
                 full = np.flatnonzero(size)
-                keys = half_keys([grams[i] for i in full]) if len(full) else np.zeros((0, 2 * SIDE), np.uint64)
+                keys = half_keys([grams[i] for i in full], k) if len(full) else np.zeros((0, 2 * SIDE), np.uint64)
                 ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(size > 0))) * 2 * SIDE
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(size), pa.array(d1), pa.array(d2),
@@ -127,7 +133,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, t: float = 0.85) -> DataFrame:
     are not read, whatever their names. Texts may be of any length; one longer than a slice is handled alone.
     """
     p = round(t * 100)
-    signs = settled(signed(docs, n))
+    signs = settled(signed(docs, n, width(t)))
     classes = settled(signs.filter("n > 0 and doc_id is not null").groupBy("d1", "d2", "n")
                       .agg(F.min("doc_id").alias("doc"), F.first("halves").alias("halves"))
                       .withColumn("node", F.monotonically_increasing_id()))

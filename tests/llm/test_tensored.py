@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tessera.llm.tensored import K, SIDE, half_keys, near_duplicates
+from tessera.llm.tensored import SIDE, half_keys, near_duplicates, width
 from tests.llm.cases import SCHEMA, corpus, rows
 from tests.llm.test_text_joins import near_group, shingles
 
@@ -75,12 +75,13 @@ def test_repeated_ids_and_empty_table(spark):
 
 def test_half_keys_meet_as_often_as_they_should():
     rng = np.random.default_rng(4)
-    sets, meet, j = [], 0, 0.85
+    sets, k = [], width(0.85)
     for _ in range(400):
         x = rng.integers(0, 1 << 63, 370, dtype=np.uint64)
         sets += [np.sort(x[:340]), np.sort(np.concatenate((x[:310], x[340:])))]  # 310 of 370 in common
-    keys = half_keys(sets).reshape(400, 2, 2 * SIDE)
+    keys = half_keys(sets, k).reshape(400, 2, 2 * SIDE)
     meet = (keys[:, 0] == keys[:, 1]).mean()
-    assert abs(meet - (310 / 370) ** K) < 0.03
+    assert abs(meet - (310 / 370) ** k) < 0.03
     assert ((keys[:, 0] == keys[:, 1])[:, :SIDE].any(1) & (keys[:, 0] == keys[:, 1])[:, SIDE:].any(1)).all()
-    assert 2 * (1 - j ** K) ** SIDE < 1e-6
+    assert [width(t) for t in (0.5, 0.75, 0.85, 0.95, 1)] == [1, 2, 4, 13, 16]
+    assert 2 * (1 - 0.85 ** k) ** SIDE < 1e-6
