@@ -45,3 +45,29 @@ def first_line(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str |
     finally:
         stream.close()
     return None if line is None else line.lstrip("\ufeff")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as UTF-8 text (no Spark job)."""
+    fs, p = _fs_path(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file that must not exist yet (an error if it does)."""
+    fs, p = _fs_path(spark, path)
+    stream = fs.create(p, False)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of this library's own making, with all it holds."""
+    fs, p = _fs_path(spark, path)
+    fs.delete(p, True)
