@@ -9,13 +9,14 @@ one issue per offending row; nothing is collected.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import json_is_valid, zero_pad
+from tessera.operators.joins import common_type
 
 ISSUE_COLUMNS = ["type", "severity", "table", "column", "issue", "row_key", "n", "details"]
 ISSUE_DDL = ("type string, severity string, table string, column string, issue string, "
@@ -112,55 +113,132 @@ def _empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], ISSUE_DDL)
 
 
-def _tagged_keys(df: DataFrame, rules: Sequence[tuple[int, Sequence[str], Sequence[str]]]) -> DataFrame:
-    """(rule, key) of every row of ``df`` for each (rule number, columns, columns that match NULL to
-    NULL): one scan for all rules of a table. A row whose other key columns hold NULL takes no part."""
-    items = []
-    for number, cols, null_safe in rules:
-        text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols])
-        present = F.lit(True)
-        for c in cols:
-            if c not in null_safe:
-                present = present & F.col(c).isNotNull()
-        items.append(F.when(present, F.struct(F.lit(number).alias("rule"), text.alias("key"))))
-    return df.select(F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("k")).select("k.*")
-
-
-def orphan_counts(tables: dict[str, DataFrame], fks: Sequence[ForeignKey]) -> DataFrame:
-    """V1 + A1 for many foreign keys at once: ``rule`` (place in ``fks``) and ``orphan_count``, for
-    those with orphans. One scan per child and per parent table, one aggregate of all child keys
-    (a key's rows are counted map-side, so a hot key crosses once per task) and one anti join."""
-    by_child: dict[str, list] = {}
-    by_parent: dict[str, list] = {}
-    for i, fk in enumerate(fks):
-        safe_parents = [p for c, p in zip(fk.child_cols, fk.parent_cols) if c in fk.null_safe]
-        by_child.setdefault(fk.child, []).append((i, fk.child_cols, fk.null_safe))
-        by_parent.setdefault(fk.parent, []).append((i, fk.parent_cols, safe_parents))
-    child = parent = None
-    for name, rules in by_child.items():
-        keys = _tagged_keys(tables[name], rules)
-        child = keys if child is None else child.unionAll(keys)
-    for name, rules in by_parent.items():
-        keys = _tagged_keys(tables[name], rules)
-        parent = keys if parent is None else parent.unionAll(keys)
-    counted = child.groupBy("rule", "key").agg(F.count(F.lit(1)).alias("n"))
-    return (counted.join(parent, ["rule", "key"], "left_anti").groupBy("rule")
-            .agg(F.sum("n").cast("long").alias("orphan_count")))
+class KeyProfile:
+    """All rules that count rows or keys, in one scan per table and one aggregate.
+
+    Every table's row is expanded to the (tag, key) items that the rules take from it; a tag stands for one child key
+    column set, one unique key or one row-local check. A key's columns keep their types: each goes to a slot of its
+    type. Child rows count (``n``), parent rows set the bit of their rule (``bits``), so a child key's orphans are its
+    rows under keys without that bit: no join, and a hot key is one row per task after the map side's aggregate.
+    """
+
+    def __init__(self, tables: Mapping[str, DataFrame]):
+        self.tables: Mapping[str, DataFrame] = tables
+        self.slots: dict[str, str] = {}  # name -> type
+        self.items: dict[str, list[tuple]] = {}
+        self.n_tags = self.n_bits = 0
+
+    def _item(self, table: str, tag: int, cols: Sequence[tuple[str, str]], wanted: Column, n: int, bit: int) -> None:
+        used: dict[str, Column] = {}
+        for c, t in cols:
+            slot = next(s for s in (f"k{i}_{t}" for i in range(len(cols) + 1)) if s not in used)
+            self.slots[slot] = t
+            used[slot] = F.col(c).cast(t)
+        self.items.setdefault(table, []).append((tag, used, wanted, n, bit))
+
+    def check(self, table: str, wanted: Column) -> int:
+        """Counts the rows for which ``wanted`` is true."""
+        self.n_tags += 1
+        self._item(table, self.n_tags, [], F.coalesce(wanted, F.lit(False)), 1, 0)
+        return self.n_tags
+
+    def key(self, table: str, cols: Sequence[str], types: Sequence[str] | None = None,
+            null_safe: Sequence[str] | None = None) -> int:
+        """Counts the rows of each key; rows with NULL in a column that isn't ``null_safe`` (default: all are) take no
+        part."""
+        self.n_tags += 1
+        schema = self.tables[table].schema
+        types = types or [schema[c].dataType.simpleString() for c in cols]
+        self._item(table, self.n_tags, list(zip(cols, types)), _present(cols, null_safe), 1, 0)
+        return self.n_tags
+
+    def parent(self, table: str, cols: Sequence[str], types: Sequence[str], null_safe: Sequence[str], tag: int,
+               bit: int) -> None:
+        """Marks the keys of ``tag`` that ``table`` holds."""
+        self.n_bits = max(self.n_bits, bit + 1)
+        self._item(table, tag, list(zip(cols, types)), _present(cols, null_safe), 0, 1 << bit)
+
+    def result(self) -> DataFrame:
+        """Per tag with rows: ``tag``, ``total`` rows, ``duplicate_keys``, ``surplus_rows``, and ``without_<bit>``, the
+        rows under keys that the bit's parent lacks."""
+        out = None
+        for table, items in self.items.items():
+            structs = [F.when(wanted, F.struct(
+                F.lit(tag).alias("tag"),
+                *[used.get(s, F.lit(None).cast(t)).alias(s) for s, t in self.slots.items()],
+                F.lit(n).cast("long").alias("n"), F.lit(bits).cast("long").alias("bits")))
+                for tag, used, wanted, n, bits in items]
+            rows = self.tables[table].select(F.explode(F.filter(F.array(*structs), lambda x: x.isNotNull())).alias("k"))
+            out = rows.select("k.*") if out is None else out.unionAll(rows.select("k.*"))
+        keys = out.groupBy("tag", *self.slots).agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits"))
+        return keys.groupBy("tag").agg(
+            F.sum("n").alias("total"), F.count_if(F.col("n") > 1).alias("duplicate_keys"),
+            F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n") - 1)), F.lit(0)).alias("surplus_rows"),
+            *[F.coalesce(F.sum(F.when(F.col("bits").bitwiseAND(1 << b) == 0, F.col("n"))), F.lit(0))
+              .alias(f"without_{b}") for b in range(self.n_bits)])
+
+
+def _present(cols: Sequence[str], null_safe: Sequence[str] | None) -> Column:
+    out = F.lit(True)
+    for c in cols:
+        if null_safe is not None and c not in null_safe:
+            out = out & F.col(c).isNotNull()
+    return out
+
+
+def profile_foreign_keys(profile: KeyProfile, fks: Sequence[ForeignKey]) -> list[tuple[int, int]]:
+    """Adds ``fks`` and returns each one's tag and bit. Keys that several rules look up are counted once."""
+    tables, tags, out = profile.tables, {}, []
+    for fk in fks:
+        child, parent = tables[fk.child], tables[fk.parent]
+        types = tuple(common_type(child.sparkSession, [child.schema[c].dataType.simpleString(),
+                                                       parent.schema[p].dataType.simpleString()])
+                      for c, p in zip(fk.child_cols, fk.parent_cols))
+        key = fk.child, fk.child_cols, types, tuple(sorted(fk.null_safe))
+        if key not in tags:
+            tags[key] = [profile.key(fk.child, fk.child_cols, types, fk.null_safe), 0]
+        tag, bit = tags[key]
+        tags[key][1] += 1
+        safe = [p for c, p in zip(fk.child_cols, fk.parent_cols) if c in fk.null_safe]
+        profile.parent(fk.parent, fk.parent_cols, types, safe, tag, bit)
+        out.append((tag, bit))
+    return out
+
+
+def _per_rule(result: DataFrame, tags: Sequence[tuple[int, Column]], name: str) -> DataFrame:
+    """``rule`` (place in ``tags``) and the value that each rule reads from its tag's row of a profile."""
+    items = [F.when(F.col("tag") == tag, F.struct(F.lit(i).alias("rule"), value.cast("long").alias(name)))
+             for i, (tag, value) in enumerate(tags)]
+    return result.select(F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("r")).select("r.*")
+
+
+def orphan_counts(tables: Mapping[str, DataFrame], fks: Sequence[ForeignKey]) -> DataFrame:
+    """V1 + A1 for many foreign keys at once: ``rule`` (place in ``fks``) and ``orphan_count``, for those with orphans.
+    Keys are compared in the common type of their two columns; one scan per table and one aggregate for all rules."""
+    profile = KeyProfile(tables)
+    at = profile_foreign_keys(profile, fks)
+    found = _per_rule(profile.result(), [(tag, F.col(f"without_{bit}")) for tag, bit in at], "orphan_count")
+    return found.filter(F.col("orphan_count") > 0)
+
+
+def unique_counts(tables: Mapping[str, DataFrame], uniques: Sequence[Unique]) -> DataFrame:
+    """V10 for many keys at once: ``rule`` (place in ``uniques``), ``duplicate_keys`` and ``surplus_rows`` of tables
+    with rows. One scan per table, one aggregate for all keys."""
+    profile = KeyProfile(tables)
+    tags = [profile.key(u.table, u.key) for u in uniques]
+    result = profile.result()
+    return _per_rule(result, [(t, F.col("duplicate_keys")) for t in tags], "duplicate_keys").join(
+        _per_rule(result, [(t, F.col("surplus_rows")) for t in tags], "surplus_rows"), "rule")
 
 
 def _of_rule(values: Sequence[str]) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), F.col("rule"))
 
 
-def fk_issues(spark: SparkSession, tables: dict[str, DataFrame], fks: Sequence[ForeignKey]) -> list[DataFrame]:
+def fk_issues(spark: SparkSession, tables: Mapping[str, DataFrame], fks: Sequence[ForeignKey]) -> list[DataFrame]:
     """V1 + V2: one ``orphan_fk`` issue per foreign key with orphans (count in ``n``)."""
-    out, fks = [], [fk for fk in fks if fk.child in tables]
-    for fk in fks:
-        if fk.parent not in tables:
-            out.append(spark.range(1).select(*_issue(
-                "referential_integrity", "error", fk.child, ", ".join(fk.child_cols), "missing_parent_table",
-                F.lit(None), F.lit(None), F.lit(f"Parent table '{fk.parent}' does not exist"))))
-    fks = [fk for fk in fks if fk.parent in tables]
+    out = missing_parents(spark, tables, fks)
+    fks = [fk for fk in fks if fk.child in tables and fk.parent in tables]
     if fks:
         targets = _of_rule([f"{fk.parent}.{', '.join(fk.parent_cols)}" for fk in fks])
         out.append(orphan_counts(tables, fks).select(
@@ -173,6 +251,14 @@ def fk_issues(spark: SparkSession, tables: dict[str, DataFrame], fks: Sequence[F
     return out
 
 
+def missing_parents(spark: SparkSession, tables: Mapping[str, DataFrame], fks: Sequence[ForeignKey]) -> list[DataFrame]:
+    """V2: an issue per foreign key whose parent table is absent."""
+    return [spark.range(1).select(*_issue(
+        "referential_integrity", "error", fk.child, ", ".join(fk.child_cols), "missing_parent_table",
+        F.lit(None), F.lit(None), F.lit(f"Parent table '{fk.parent}' does not exist")))
+        for fk in fks if fk.child in tables and fk.parent not in tables]
+
+
 def _missing(c: str, blank_is_null: bool) -> Column:
     m = F.col(c).isNull()
     return (m | (F.col(c).cast("string") == "")) if blank_is_null else m
@@ -314,46 +400,42 @@ def issues(spark: SparkSession, tables: dict[str, DataFrame], rules: Rules) -> D
 COUNT_KEYS = ["type", "severity", "table", "column", "issue"]
 
 
-def _count_rows(items: list[tuple[str, str, str, str, str, Column]]) -> Column:
-    """Array of (rule key..., n_issues) structs for an aggregate row."""
-    return F.array(*[F.struct(F.lit(a).alias("type"), F.lit(b).alias("severity"), F.lit(c).alias("table"),
-                              F.lit(d).alias("column"), F.lit(e).alias("issue"), n.cast("long").alias("n_issues"))
-                     for a, b, c, d, e, n in items])
-
-
-def issue_counts(spark: SparkSession, tables: dict[str, DataFrame], rules: Rules) -> DataFrame:
-    """Number of issues per rule key (``COUNT_KEYS`` + ``n_issues``) without building the
-    issue rows: row checks become ``count_if`` columns of one aggregate per table,
-    duplicate keys and over-limit groups are counted after their partial aggregates.
+def issue_counts(spark: SparkSession, tables: Mapping[str, DataFrame], rules: Rules) -> DataFrame:
+    """Number of issues per rule key (``COUNT_KEYS`` + ``n_issues``) without building the issue rows: foreign and
+    unique keys, missing values, row checks and composed codes are one ``KeyProfile``, a scan per table; over-limit
+    groups and step sequences are counted after their own partial aggregates.
     Equal to ``issues(...).groupBy(COUNT_KEYS).count()``."""
-    parts: list[DataFrame] = []
-    for df in fk_issues(spark, tables, rules.foreign_keys):
-        parts.append(df.select(*COUNT_KEYS, F.lit(1).cast("long").alias("n_issues")))
+    profile = KeyProfile(tables)
+    named: list[tuple[int, tuple, Column]] = []  # tag, rule key, number of issues
+    one_if_any = F.least(F.lit(1), F.col("total"))
+    fks = [fk for fk in rules.foreign_keys if fk.child in tables and fk.parent in tables]
+    for fk, (tag, bit) in zip(fks, profile_foreign_keys(profile, fks)):
+        named.append((tag, ("referential_integrity", "error", fk.child, ", ".join(fk.child_cols), "orphan_fk"),
+                      F.least(F.lit(1), F.col(f"without_{bit}"))))
     for u in rules.unique:
         if u.table in tables:
-            n = duplicate_keys(tables[u.table], u.key).agg(F.count(F.lit(1)).alias("n"))
-            parts.append(n.select(F.explode(_count_rows([("uniqueness", "error", u.table, ", ".join(u.key),
-                                                          "duplicate_key", F.col("n"))])).alias("_r")).select("_r.*"))
-    # Missing values, row checks and composed codes: one aggregate per table.
-    by_table: dict[str, list[tuple[str, str, str, str, Column]]] = {}
+            named.append((profile.key(u.table, u.key),
+                          ("uniqueness", "error", u.table, ", ".join(u.key), "duplicate_key"),
+                          F.col("duplicate_keys")))
     for r in rules.required:
-        for c in r.columns:
-            found = F.least(F.count_if(_missing(c, r.blank_is_null)), F.lit(1))  # one issue per column
-            by_table.setdefault(r.table, []).append(("completeness", "error", c, "null_value", found))
+        for c in r.columns if r.table in tables else ():
+            named.append((profile.check(r.table, _missing(c, r.blank_is_null)),
+                          ("completeness", "error", r.table, c, "null_value"), one_if_any))
     for ck in rules.row_checks:
         if ck.table in tables:
-            found = F.count_if(F.coalesce(ck.violates(tables[ck.table]), F.lit(False)))
-            by_table.setdefault(ck.table, []).append((ck.kind, ck.severity, ck.column, ck.issue, found))
+            named.append((profile.check(ck.table, ck.violates(tables[ck.table])),
+                          (ck.kind, ck.severity, ck.table, ck.column, ck.issue), F.col("total")))
     for r in rules.compositions:
-        exp = composed_expectation(F.col(r.code), [F.col(p) for p in r.parts], F.col(r.seq), r.width)
-        by_table.setdefault(r.table, []).append(("format", "warning", r.code, "code_mismatch",
-                                                 F.count_if(exp.isNotNull())))
-    for table, checks in by_table.items():
-        if table in tables:
-            agg = tables[table].agg(*[c[4].alias(f"_c{i}") for i, c in enumerate(checks)])
-            rows = _count_rows([(kind, severity, table, column, issue, F.col(f"_c{i}"))
-                                for i, (kind, severity, column, issue, _) in enumerate(checks)])
-            parts.append(agg.select(F.explode(rows).alias("_r")).select("_r.*"))
+        if r.table in tables:
+            exp = composed_expectation(F.col(r.code), [F.col(p) for p in r.parts], F.col(r.seq), r.width)
+            named.append((profile.check(r.table, exp.isNotNull()),
+                          ("format", "warning", r.table, r.code, "code_mismatch"), F.col("total")))
+    parts = [df.select(*COUNT_KEYS, F.lit(1).cast("long").alias("n_issues"))
+             for df in missing_parents(spark, tables, rules.foreign_keys)]
+    if named:
+        found = _per_rule(profile.result(), [(tag, n) for tag, _, n in named], "n_issues")
+        parts.append(found.select(*[_of_rule([key[i] for _, key, _ in named]).alias(c)
+                                    for i, c in enumerate(COUNT_KEYS)], "n_issues"))
     for df in sum_limit_issues(tables, rules.sum_limits) + step_sequence_issues(tables, rules.sequences):
         parts.append(df.groupBy(*COUNT_KEYS).agg(F.count(F.lit(1)).alias("n_issues")))
     out = spark.createDataFrame([], "type string, severity string, table string, column string, issue string, "

@@ -26,7 +26,7 @@ distinct keys before each fan-out join.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,9 +63,40 @@ def in_order(arr: Column) -> Column:
     return F.transform(by_key, lambda x: x["v"])
 
 
-def _restrict(t: dict[str, DataFrame], codes: DataFrame) -> dict[str, DataFrame]:
-    """Narrow every level to what the requested codes reach (semi joins only)."""
+#: Keys that a lookup hands to a level's scan as values; beyond, the level is narrowed by a semi join.
+PUSHED_KEYS = 1000
+
+
+def _narrowed(df: DataFrame, cols: Sequence[str], keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``cols`` are among ``keys``, NULLs alike. Few keys become a condition on the first column
+    in the scan, which skips files and row groups of a table sorted by it; the exact match is a semi join."""
+    keys = keys.toDF(*[f"_k{i}" for i in range(len(cols))]).distinct()
+    first = [r[0] for r in keys.select("_k0").distinct().limit(PUSHED_KEYS + 1).collect()]
+    if len(first) <= PUSHED_KEYS and all(v is not None for v in first):
+        df = df.filter(F.col(cols[0]).isin(first))
+    on = F.lit(True)
+    for i, c in enumerate(cols):
+        on = on & df[c].eqNullSafe(keys[f"_k{i}"])
+    return df.join(keys, on, "left_semi")
+
+
+def _restrict(t: Mapping[str, DataFrame], codes: DataFrame | Sequence) -> dict[str, DataFrame]:
+    """Narrow every level to what the requested codes reach. A list of codes is a condition in every level's scan, with
+    the keys that the level above reaches; a table of codes narrows by semi joins only."""
     t = {name: t[name] for name in t.keys()}
+    if not isinstance(codes, DataFrame):
+        t["finish_codes"] = t["finish_codes"].filter(F.col("code").isin(list(codes)))
+        t["finish_code_steps"] = t["finish_code_steps"].filter(F.col("finish_code").isin(list(codes)))
+        for level, col, above, key in (("substrates", "code", "finish_codes", "substrate_code"),
+                                       ("finish_applied", "code", "finish_codes", "finish_applied_code"),
+                                       ("sft_steps", "sft_code", "finish_code_steps", "sft_code"),
+                                       ("sft_material_links", "sft_code", "finish_code_steps", "sft_code")):
+            t[level] = _narrowed(t[level], [col], t[above].select(key))
+        mats = t["sft_material_links"].select("base_spec", "variant")
+        t["materials"] = _narrowed(t["materials"], ["base_spec", "variant"], mats)
+        t["material_chemicals"] = _narrowed(t["material_chemicals"], ["base_spec", "variant"], mats)
+        t["chemicals"] = _narrowed(t["chemicals"], ["cas"], t["material_chemicals"].select("cas"))
+        return t
     req = codes.select(F.col("code").alias("_rq")).distinct()
     t["finish_codes"] = t["finish_codes"].join(req, F.col("code") == F.col("_rq"), "left_semi")
     t["finish_code_steps"] = t["finish_code_steps"].join(req, F.col("finish_code") == F.col("_rq"), "left_semi")
@@ -156,11 +187,12 @@ def provenance(manifest: DataFrame) -> Column:
         F.coalesce(F.max("loaded_at"), F.current_timestamp()).alias("loaded_at"))).scalar()
 
 
-def hierarchy(t: dict[str, DataFrame], codes: DataFrame | None = None,
+def hierarchy(t: dict[str, DataFrame], codes: DataFrame | Sequence | None = None,
               order_cols: Sequence[str] = ("step_order",)) -> DataFrame:
     """Q1 + Q8 + Q9: one nested document per code.
 
-    ``codes`` (column ``code``) restricts the work to those codes (lookup). Columns:
+    ``codes`` restricts the work to those codes (lookup): a list of a few, whose keys then go into the scan of every
+    level, or a table of any size (column ``code``). Columns:
     finish_code, program, parsed{substrate{code,description}, finish_applied{...},
     seq_id, finish_description, notes, source_doc, program, associated_specs},
     direct_specs, finish_applied_specs, steps[...], provenance (when a

@@ -1,8 +1,10 @@
 """Join building blocks: key resolution that stands hot keys, orphan detection.
 
 Orphan checks reduce the child to (key, rows) before any shuffle, so a hot key is one row
-per task. Resolution needs every child row, so there the key is salted: child rows of one
-key go to ``SALTS`` join keys and each aggregated parent row is repeated for all of them.
+per task. Resolution needs every child row. There a sketch over the child's keys finds those
+that hold a good part of its rows, and only these are salted: their child rows go to
+``SALTS`` join keys and their parent row is repeated for all of them. All other keys, and a
+child without hot keys, are joined as they are.
 """
 
 from __future__ import annotations
@@ -11,21 +13,60 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
-# Join keys that one key's rows are dealt over. Fixed, whatever the size: a key with a third
-# of all rows then loads a task with a fiftieth of them, and both sides' exchanges stand
-# directly below the join, which lets AQE split them further.
+#: A key is hot from a share of 1 / HOT of all rows on, so there are at most HOT of them. The sketch's error is far
+#: below that share. A key below it is a task's load of at most that share.
+HOT, TRACKED = 64, 4096
+
+#: Join keys that a hot key's rows are dealt over.
 SALTS = 16
 
 
-def salt(*cols: str) -> Column:
-    """Salt of a row, by the hash of ``cols`` (the same for a retried task)."""
-    return F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int")
+def hot_keys(df: DataFrame, key: Column) -> Column:
+    """Hashes (``xxhash64``) of the hot values of ``key`` in ``df``, as a scalar subquery: one aggregate over that
+    column alone, a sketch of bounded size per task."""
+    seen = df.select(F.xxhash64(key).alias("k")).agg(
+        F.expr(f"approx_top_k(k, {HOT}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("n"))
+    hot = F.filter("top", lambda x: x["count"] * HOT >= F.col("n"))
+    return seen.select(F.transform(hot, lambda x: x["item"])).scalar()
+
+
+def is_hot(hot: Column, key: Column) -> Column:
+    return F.coalesce(F.array_contains(hot, F.xxhash64(key)), F.lit(False))
+
+
+def salt(df: DataFrame, hot: Column, key: Column, *by: str) -> Column:
+    """Salt of a row: by the hash of the columns ``by`` (the same for a retried task) under a hot key, else 0. Columns
+    that can't be hashed are left out."""
+    by = [c for c in by if _hashable(df.schema[c].dataType)]
+    dealt = F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int") if by else F.lit(0)
+    return F.when(is_hot(hot, key), dealt).otherwise(F.lit(0))
+
+
+def salted(df: DataFrame, hot: Column, key: Column) -> DataFrame:
+    """``df`` with column ``_salt``: rows of hot keys once for every salt, others once."""
+    every = F.when(is_hot(hot, key), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return df.withColumn("_salt", F.explode(every))
+
+
+def _hashable(t) -> bool:
+    if isinstance(t, ArrayType):
+        return _hashable(t.elementType)
+    if isinstance(t, StructType):
+        return all(_hashable(f.dataType) for f in t.fields)
+    return not isinstance(t, (MapType, VariantType))
 
 
-def salted(df: DataFrame) -> DataFrame:
-    """``df`` once for every salt, in column ``_salt``."""
-    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def common_type(spark, types: Sequence[str]) -> str:
+    """The type in which values of ``types`` are compared: Spark's own common type, or text where only some are text."""
+    several = sorted(set(types))
+    if len(several) == 1:
+        return several[0]
+    if "string" in several:
+        return "string"
+    nulls = ", ".join(f"CAST(NULL AS {t})" for t in several)
+    return spark.sql(f"SELECT coalesce({nulls}) AS c").schema["c"].dataType.simpleString()
 
 
 def key_condition(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]],
@@ -51,16 +92,20 @@ def resolve(child: DataFrame, parent: DataFrame, pairs: Sequence[tuple[str, str]
     rejects as warnings and keep ``resolved``.
     """
     pkeys = [p for _, p in pairs]
+    types = [common_type(child.sparkSession, [child.schema[c].dataType.simpleString(),
+                                              parent.schema[p].dataType.simpleString()]) for c, p in pairs]
     # One row per parent key: count for ambiguity, payload of a fixed row (the minimum
     # payload struct, so the choice is deterministic). Partial aggregation map-side.
     agg = [F.count(F.lit(1)).alias("_n_parent")]
     if take:
         agg.append(F.min(F.struct(*[F.col(p).alias(o) for p, o in take])).alias("_take"))
-    pk = parent.groupBy(*pkeys).agg(*agg)
-    pk = pk.select(*[F.col(p).alias(f"_pk_{i}") for i, p in enumerate(pkeys)], *pk.columns[len(pkeys):])
+    pk = parent.groupBy(*[F.col(p).cast(t).alias(f"_pk_{i}") for i, (p, t) in enumerate(zip(pkeys, types))]).agg(*agg)
+    # A NULL in a column that isn't NULL-safe finds no parent: such rows count as one key, which may be hot, too.
+    child_key = F.struct(*[F.col(c).cast(t) for (c, _), t in zip(pairs, types)])
+    hot = hot_keys(child, child_key)
+    pk = salted(pk, hot, F.struct(*[f"_pk_{i}" for i in range(len(pairs))])).withColumnRenamed("_salt", "_pk_salt")
+    dealt = child.withColumn("_salt", salt(child, hot, child_key, *child.columns))
     renamed = [(lc, f"_pk_{i}") for i, (lc, _) in enumerate(pairs)]
-    pk = salted(pk).withColumnRenamed("_salt", "_pk_salt")
-    dealt = child.withColumn("_salt", salt(*child.columns))
     on = key_condition(dealt, pk, renamed, null_safe) & (dealt["_salt"] == pk["_pk_salt"])
     joined = dealt.join(pk, on, "left").drop("_salt", "_pk_salt", *[r for _, r in renamed])
     out_cols = list(child.columns)

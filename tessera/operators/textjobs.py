@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import collapse_ws, split_keep_blanks, strip_ws
 from tessera.functions.text import CODE_TOKEN, STEP_TOKEN, code_parts, extract_specs, segments
-from tessera.operators.joins import salt, salted
+from tessera.operators.joins import hot_keys, salt, salted
 from tessera.operators.upsert import latest_by_key
 
 
@@ -83,8 +83,8 @@ def enrich_lists(df: DataFrame, id_cols: Sequence[str], field: str, mapping: Dat
 
     One scan, one explode: per-row flags and the element array are computed in a
     projection before the generator, so only ids, small flags and single elements travel
-    with exploded rows (never the whole text). Elements are joined to the dictionary by
-    salted keys (an aggregated dictionary keeps AQE from splitting the join itself) and
+    with exploded rows (never the whole text). Hot elements are joined to the dictionary by
+    salted keys (an aggregated dictionary keeps AQE from splitting the join itself); all are
     regrouped by row id - a group is one input row.
     """
     blank = F.col(field).isNull() | (strip_ws(F.col(field)) == "")
@@ -95,10 +95,13 @@ def enrich_lists(df: DataFrame, id_cols: Sequence[str], field: str, mapping: Dat
     pre = pre.select(*id_cols, "_blank", "_keep", "_parts",
                      F.coalesce(F.col("_f0") == F.array_join("_parts", ","), F.lit(True)).alias("_norm"))
     ex = pre.select(*id_cols, "_blank", "_keep", "_norm", F.posexplode_outer("_parts").alias("_p", "_e"))
-    # A hot element is dealt over SALTS keys by its row, and the dictionary is repeated for
-    # each; blank elements find nothing and need no key of their own.
-    ex = ex.withColumn("_key", F.when(F.col("_e") != "", F.col("_e"))).withColumn("_salt", salt(*id_cols, "_p"))
-    m = salted(mapping.select(F.col("spec").alias("_key"), F.col("full").alias("_f")).filter(F.col("_key") != ""))
+    # A hot element is dealt over several keys by its row, and its dictionary row is repeated for
+    # each. Blank elements find nothing: as rows without a key they are one hot key at most.
+    ex = ex.withColumn("_key", F.when(F.col("_e") != "", F.col("_e")))
+    hot = hot_keys(ex, F.col("_key"))
+    ex = ex.withColumn("_salt", salt(ex, hot, F.col("_key"), *id_cols, "_p"))
+    m = salted(mapping.select(F.col("spec").alias("_key"), F.col("full").alias("_f")).filter(F.col("_key") != ""),
+               hot, F.col("_key"))
     j = ex.join(m, ["_key", "_salt"], "left")
     val = F.coalesce(F.col("_f"), F.col("_e"))
     item = F.when(F.col("_p").isNotNull(), F.struct(F.col("_p"), val.alias("_v")))

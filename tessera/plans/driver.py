@@ -7,9 +7,7 @@ bounded where the group is not (first-k), and timestamps as epoch microseconds.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import json_is_valid, short_hash
@@ -20,21 +18,9 @@ from tessera.operators import hierarchy as H
 from tessera.operators import textjobs as X
 from tessera.operators.joins import resolve
 from tessera.operators.upsert import last_position, latest_by_key, list_positions
+from tessera.plans.registry import QUERIES, register  # noqa: F401
 from tessera.plans.roles import ROLE_SQL, LazyTables, domain_tables, read
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
-
-
 # ---------------------------------------------------------------- hierarchy ----
 
 @register("expanded_codes", ROLE_SQL + """
@@ -471,17 +457,17 @@ def _unique_sql() -> str:
 
 @register("unique_keys", _unique_sql())
 def q_unique_keys(spark, sf_dir):
-    """Duplicated natural keys per table (number of keys and surplus rows)."""
-    t = _audit_tables(spark, sf_dir)
-    out = None
-    for u in UNIQUES:
-        d = A.duplicate_keys(t[u.table], u.key).agg(
-            F.count(F.lit(1)).alias("duplicate_keys"),
-            F.coalesce(F.sum(F.col("rows") - 1), F.lit(0)).cast("long").alias("surplus_rows"))
-        d = d.select(F.lit(u.table).alias("table"), F.lit(", ".join(u.key)).alias("key"), "duplicate_keys",
-                     "surplus_rows")
-        out = d if out is None else out.unionByName(d)
-    return out
+    """Duplicated natural keys per table (number of keys and surplus rows), zeros included."""
+    found = A.unique_counts(_audit_tables(spark, sf_dir), UNIQUES)
+    names = [[u.table for u in UNIQUES], [", ".join(u.key) for u in UNIQUES]]
+    rule = F.col("id").cast("int")
+    rules = spark.range(len(UNIQUES)).select(
+        rule.alias("rule"), *[F.get(F.array(*[F.lit(x) for x in n]), rule).alias(c)
+                              for c, n in zip(("table", "key"), names)])
+    zero = F.lit(0).cast("long")
+    return rules.join(found, "rule", "left").select(
+        "table", "key", F.coalesce("duplicate_keys", zero).alias("duplicate_keys"),
+        F.coalesce("surplus_rows", zero).alias("surplus_rows"))
 
 
 ROW_CHECKS = [

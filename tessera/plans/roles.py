@@ -12,6 +12,7 @@ hazard text built from its nation and a hazard level bucketed from the account b
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,22 +25,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-class LazyTables(dict):
+class LazyTables(Mapping):
     """Tables that are opened when they are first asked for."""
 
     def __init__(self, makers: dict):
-        super().__init__()
-        self.makers = makers
+        self.makers, self.opened = makers, {}
 
-    def __missing__(self, name: str) -> DataFrame:
-        self[name] = self.makers[name]()
-        return self[name]
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.opened:
+            self.opened[name] = self.makers[name]()
+        return self.opened[name]
 
     def __contains__(self, name) -> bool:
-        return name in self.makers or super().__contains__(name)
+        return name in self.makers
 
-    def keys(self):
-        return self.makers.keys()
+    def __iter__(self):
+        return iter(self.makers)
+
+    def __len__(self) -> int:
+        return len(self.makers)
 
 
 def _null(t: str = "string"):

@@ -82,3 +82,51 @@ def test_step_sequence_rule(spark):
                                "code string, step_order int")
     rules = A.Rules(sequences=[A.StepSequence("s", ("code",), "step_order")])
     assert sorted(r["row_key"] for r in A.issues(spark, {"s": df}, rules).collect()) == ["B", "C", "D"]
+
+
+def test_foreign_keys_compare_values_in_a_common_type(spark):
+    t = {"child": spark.createDataFrame([(1, "1", "a\x1fb"), (2, "2", "a"), (3, "x", None)], "i int, s string, u string"),
+         "doubles": spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "d double"),
+         "longs": spark.createDataFrame([(1,), (2,)], "l long"),
+         "pairs": spark.createDataFrame([("a", "b\x1fc"), (None, "c")], "p string, q string"),
+         "twos": spark.createDataFrame([("a\x1fb", "c"), ("a", "c"), (None, "c"), (None, None)], "p string, q string")}
+    fks = [A.ForeignKey("child", ("i",), "doubles", ("d",)), A.ForeignKey("child", ("i",), "longs", ("l",)),
+           A.ForeignKey("child", ("s",), "longs", ("l",)),
+           A.ForeignKey("twos", ("p", "q"), "pairs", ("p", "q")),
+           A.ForeignKey("twos", ("p", "q"), "pairs", ("p", "q"), null_safe=("p",)),
+           A.ForeignKey("twos", ("p", "q"), "pairs", ("p", "q"), null_safe=("p", "q"))]
+    got = {r["rule"]: r["orphan_count"] for r in A.orphan_counts(t, fks).collect()}
+    assert got == {1: 1, 2: 1, 3: 2, 4: 2, 5: 3}
+
+
+def test_unique_counts_and_counts_equal_issue_rows(spark):
+    t = {"a": spark.createDataFrame([(1, "x", 2), (1, "x", 3), (1, None, 4), (1, None, 5), (2, "y", None)],
+                                    "k int, s string, v int"),
+         "b": spark.createDataFrame([(1,), (1,), (9,)], "k long"), "e": spark.createDataFrame([], "k date")}
+    rules = A.Rules(foreign_keys=[A.ForeignKey("b", ("k",), "a", ("k",)), A.ForeignKey("b", ("k",), "gone", ("k",))],
+                    required=[A.Required("a", ("s", "v", "k")), A.Required("gone", ("x",))],
+                    unique=[A.Unique("a", ("k", "s")), A.Unique("a", ("v",)), A.Unique("b", ("k",)),
+                            A.Unique("e", ("k",)), A.Unique("gone", ("x",))],
+                    row_checks=[A.range_check("a", "v", 3, 4, ["k"])])
+    got = {r["rule"]: (r["duplicate_keys"], r["surplus_rows"]) for r in A.unique_counts(t, rules.unique[:4]).collect()}
+    assert got == {0: (2, 2), 1: (0, 0), 2: (1, 1)}
+    counted = {tuple(r) for r in A.issue_counts(spark, t, rules).collect()}
+    rows = A.issues(spark, t, rules).groupBy(A.COUNT_KEYS).count()
+    assert counted == {tuple(r) for r in rows.collect()} and len(counted) == 7
+
+
+def test_audit_counts_read_each_table_once(spark, tmp_path):
+    from tessera.plans.driver import _all_rules, _audit_tables
+    t = _audit_tables(spark, "/root/testdata/sf0.001")
+    rules = _all_rules()
+    rules.sum_limits = []
+    plan = A.issue_counts(spark, t, rules)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(set(t)) == len(t) and "orders" in t and t.get("none") is None
+    # Derived tables (joins, filtered copies) read their sources, too.
+    assert plan.count("Relation [") <= len(rules_tables(rules)) + 10
+
+
+def rules_tables(rules):
+    return ({x for fk in rules.foreign_keys for x in (fk.child, fk.parent)} | {r.table for r in rules.required}
+            | {u.table for u in rules.unique} | {c.table for c in rules.row_checks}
+            | {c.table for c in rules.compositions})
