@@ -1,16 +1,22 @@
 """File-level sources: whole-text documents (S17), SHA-256 fingerprints (S18, S19) and
 manifest comparison (S20, A9, A10).
 
-``binaryFile`` yields one row per file (content must stay below 2 GB per file); the
-digest is the built-in ``sha2`` over the bytes, computed inside the executors.
+``binaryFile`` lists the files. The digest of a file below ``WHOLE_BYTES`` is the built-in
+``sha2`` over its content; a larger one (a row can't hold 2 GB) is read in blocks by the
+task that has its row, so memory stays at one block whatever the file's size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import base_name, is_hex64
+from tessera.sources import fs
 
 
 def whole_text(spark: SparkSession, path: str, universal_newlines: bool = True,
@@ -31,17 +37,52 @@ def whole_text(spark: SparkSession, path: str, universal_newlines: bool = True,
                      text.alias("text"))
 
 
+#: Files up to this size are hashed as one row by ``sha2``; larger ones by blocks of ``BLOCK_BYTES``.
+WHOLE_BYTES, BLOCK_BYTES = 256 << 20, 8 << 20
+
+
 def file_hashes(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """S18 + S19: (source_name, path, sha256, size) for every file under ``path``.
+    """S18 + S19: (source_name, path, sha256, size) for every file under ``path``, of any size.
 
     Keyed by base name, as the reference's multi-file fingerprint is.
     """
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    df = reader.load(path)
-    return df.select(base_name(F.col("path")).alias("source_name"), F.col("path"),
-                     F.sha2(F.col("content"), 256).alias("sha256"), F.col("length").alias("size"))
+    listed = reader.load(path)
+    small = listed.filter(F.col("length") <= WHOLE_BYTES).select(
+        "path", F.sha2(F.col("content"), 256).alias("sha256"), F.col("length").alias("size"))
+    large = listed.filter(F.col("length") > WHOLE_BYTES).select("path", F.col("length").alias("size"))
+    # Spark lists no files without content; their digest is that of nothing.
+    empty = spark.createDataFrame([(p,) for p in fs.empty_files(spark, path, glob or "*")], "path string").select(
+        "path", F.sha2(F.lit(""), 256).alias("sha256"), F.lit(0).cast("long").alias("size"))
+    found = small.unionByName(block_hashes(large)).unionByName(empty)
+    return found.select(base_name(F.col("path")).alias("source_name"), "path", "sha256", "size")
+
+
+def block_hashes(files: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``path``, ``sha256``, ``size`` of the listed files (``path``, ``size``), each read in blocks through the file
+    system of its URI. A file is one task's work, as its digest depends on all bytes in order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+        from urllib.parse import urlsplit
+
+        from pyarrow import fs as afs
+        for batch in batches:
+            for path, size in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist()):
+                if urlsplit(path).scheme in ("", "file"):
+                    store, name = afs.LocalFileSystem(), path.removeprefix("file:").replace("///", "/", 1)
+                else:
+                    store, name = afs.FileSystem.from_uri(path)
+                digest = hashlib.sha256()
+                with store.open_input_stream(name, buffer_size=0) as stream:
+                    while block := stream.read(block_bytes):
+                        digest.update(block)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path]), pa.array([digest.hexdigest()]), pa.array([size], pa.int64())],
+                    ["path", "sha256", "size"])
+
+    return files.select("path", "size").mapInArrow(run, "path string, sha256 string, size long")
 
 
 def manifest_diff(current: DataFrame, expected: DataFrame, name: str = "name", sha: str = "sha") -> DataFrame:

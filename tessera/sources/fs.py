@@ -25,6 +25,17 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return [st.getPath().getName() for st in fs.listStatus(p)]
 
 
+def empty_files(spark: SparkSession, path: str, glob: str = "*") -> list[str]:
+    """Full paths of the files of no bytes that ``path`` is or holds (Spark's file readers leave them out)."""
+    fs, p = _fs_path(spark, path)
+    if not fs.exists(p):
+        return []
+    if fs.getFileStatus(p).isDirectory():
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, glob)
+    return [str(st.getPath()) for st in fs.globStatus(p) or [] if st.isFile() and st.getLen() == 0
+            and st.getPath().getName()[0] not in "._"]
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """Fully qualified form of ``path`` (scheme and authority), for comparing locations."""
     fs, p = _fs_path(spark, path)
