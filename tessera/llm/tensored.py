@@ -6,12 +6,17 @@ a threshold of 0.85, where ``k`` is 4, 400 tables from 160 minhashes instead of
 none with a probability below ``2 (1 - j^k)^SIDE`` (8 in 10 million at 0.85, 4 in 100 million at 0.9). Half keys that no other document has are
 dropped before pairs are formed, so a document without near copies leaves no row in any table.
 
-Buckets aren't expanded into pairs. Each is compared with its hub, the smallest set in it: whoever links with the hub is
-in its group. If ``x`` doesn't, and ``y`` is as large as the hub or larger, ``x`` and ``y`` can only link if they share
-n-grams that the hub lacks; how many at least follows from the sizes. So each set leaves so many of its n-grams that the
-hub lacks that a linked pair meets in one of them, and these are the buckets of the next round, each again with the
-smallest set in it as hub. Buckets whose sets are all in one group by then are done. Hubs grow from round to round, so
-rounds come to an end. No link between groups is lost that the tables found.
+Sets that a table brings together mostly differ too much to link. Without looking at pairs, the number of n-grams that
+no other candidate has bounds how large a set's partner can be; sets that no partner fits are candidates no more.
+
+Buckets aren't expanded into pairs. Each is compared with its hub, the smallest set in it that can have a larger
+partner: whoever links with the hub is in its group. If ``x`` doesn't, and ``y`` is as large as the hub or larger, ``x`` and ``y`` can only link if they share
+n-grams that the hub lacks; how many at least follows from the sizes. A set that shares fewer with all others of the
+bucket is done there. The others keep so many of these n-grams, the rarest, that a linked pair meets in one of them, and
+these are the buckets of the next round. Buckets of the same sets
+count once, and those whose sets are all in one group by then are done. Where at most ``SMALL`` sets are outside the
+bucket's largest group, these are compared with all others there; else the bucket again has a hub. Hubs grow from round to round, so rounds come to an end. No link between groups
+is lost that the tables found.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import mixed, settled, slices
@@ -31,6 +36,9 @@ from tessera.llm.jaccard import digests, ngram_sets
 #: Half keys in each of the two collections.
 SIDE = 20
 
+#: Sets outside a bucket's largest group that are compared with all others there: so many pairs a set at most.
+SMALL = 32
+
 
 def width(t: float) -> int:
     """Minhashes in a half key: as many as leave a pair at the threshold about every second half key."""
@@ -90,36 +98,105 @@ def whole_sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def hubs_of(members: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct pairs ``x``, ``hub`` of ``members`` (``keys``, ``x``, ``n``): each with the smallest set of its bucket.
-    The hubs are a written table, so that a join partition with a hot bucket can be split."""
-    hub = settled(members.groupBy(*keys).agg(F.min(F.struct("n", "x")).alias("hub"), F.count("*").alias("c"))
-                  .filter("c > 1").select(*keys, F.col("hub.x").alias("hub")))
-    return settled(members.join(hub, keys).filter("x <> hub").select("x", "hub").distinct())
-
-
-def table_pairs(classes: DataFrame) -> DataFrame:
-    """``x`` and ``hub`` for the buckets of all tables, out of shared half keys."""
+    """Distinct pairs ``x``, ``hub`` (``go_on``: true) of ``members`` (``keys``, ``x``, ``n``, ``most``): each with the hub of its bucket,
+    if the hub isn't too large for it. In a linked pair the smaller set can have a larger partner, so smaller ones than
+    the hub link with nothing here. The hubs are a written table, so that a join partition with a hot bucket can be
+    split."""
+    me = F.struct("n", "x")
+    hub = settled(members.groupBy(*keys).agg(F.min(F.when(F.col("most") >= F.col("n"), me)).alias("hub"),
+                                             F.max(me).alias("last")).filter("hub < last").select(*keys, "hub"))
+    return settled(members.join(hub, keys).filter((me > F.col("hub")) & (F.col("most") >= F.col("hub.n")))
+                   .select("x", F.col("hub.x").alias("hub")).distinct().withColumn("go_on", F.lit(True)))
+
+
+def shared_halves(classes: DataFrame) -> DataFrame:
+    """``x``, ``n`` and the half keys ``a`` and ``b`` of either collection that another set has, too; only sets that
+    have some of both, as others meet nobody in any table."""
     halves = classes.select(F.col("node").alias("x"), "n", F.posexplode("halves").alias("place", "half"))
     shared = settled(halves.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half"))
-    mine = settled(halves.join(shared, "half", "left_semi").groupBy("x", "n").agg(
+    mine = halves.join(shared, "half", "left_semi").groupBy("x", "n").agg(
         F.collect_list(F.when(F.col("place") < SIDE, F.col("half"))).alias("a"),
-        F.collect_list(F.when(F.col("place") >= SIDE, F.col("half"))).alias("b")))
-    tables = (mine.filter("size(a) > 0 and size(b) > 0").select("x", "n", "b", F.explode("a").alias("a"))
-              .select("x", "n", "a", F.explode("b").alias("b")).select("x", "n", F.xxhash64("a", "b").alias("key")))
+        F.collect_list(F.when(F.col("place") >= SIDE, F.col("half"))).alias("b"))
+    return settled(mine.filter("size(a) > 0 and size(b) > 0"))
+
+
+def possible(sets: DataFrame, p: int) -> DataFrame:
+    """``x`` and ``most``, the size of the largest partner that a set can link with, for the sets that can have one.
+
+    Of its ``n`` n-grams, a set shares at most those that another one of ``sets`` has, too. Every pass leaves some sets
+    out, whose n-grams then are nobody else's; passes go on while a tenth goes.
+    """
+    now = sets.select(F.col("node").alias("x"), "n", "grams")
+    before = now.count()
+    while True:
+        alone = (now.select("x", F.explode("grams").alias("gram")).groupBy("gram")
+                 .agg(F.count("*").alias("c"), F.min("x").alias("x")).filter("c = 1")
+                 .groupBy("x").agg(F.count("*").alias("alone")))
+        most = now.select("x", "n").join(alone, "x", "left").select("x", (F.floor(
+            (F.col("n") - F.coalesce("alone", F.lit(0))) * (100 + p) / p + 1e-9) - F.col("n")).alias("most"),
+            F.ceil(F.col("n") * p / 100 - 1e-9).alias("least"))
+        left = settled(most.filter("most >= least").drop("least"))
+        after = left.count()
+        if after > 0.9 * before:
+            return left
+        now, before = now.join(left.select("x"), "x", "left_semi"), after
+
+
+def table_pairs(mine: DataFrame, left: DataFrame) -> DataFrame:
+    """``x`` and ``hub`` for the buckets of all tables."""
+    tables = (mine.join(left, "x").select("x", "n", "most", "b", F.explode("a").alias("a"))
+              .select("x", "n", "most", "a", F.explode("b").alias("b"))
+              .select("x", "n", "most", F.xxhash64("a", "b").alias("key")))
     return hubs_of(tables, ["key"])
 
 
+def next_pairs(own: DataFrame, left: DataFrame) -> DataFrame:
+    """Pairs to compare after a round: ``own`` says which n-grams (``gram``) beyond its ``hub`` a set has, how many of
+    them it must share (``need``), and its ``group`` so far."""
+    def across(rows: DataFrame, *more) -> DataFrame:
+        """Buckets (``hub``, ``gram``) that hold sets of several groups."""
+        found = rows.groupBy("hub", "gram").agg(F.min("group").alias("low"), F.max("group").alias("high"),
+                                                F.count("*").alias("c"), *more)
+        return found.filter("low <> high").drop("low", "high")
+
+    mine = Window.partitionBy("hub", "x")  # at most a set
+    own = (own.join(settled(across(own)), ["hub", "gram"])
+           .withColumn("shared", F.count("*").over(mine))
+           .withColumn("place", F.row_number().over(mine.orderBy("c", "gram")))
+           .filter("place <= shared - need + 1").drop("c", "shared", "place"))
+    own = settled(own)
+    buckets = across(own, F.bit_xor(F.xxhash64("x")).alias("s1"), F.bit_xor(F.xxhash64("x", F.lit(1))).alias("s2"))
+    buckets = buckets.groupBy("c", "s1", "s2").agg(F.min(F.struct("hub", "gram")).alias("k"))
+    buckets = settled(buckets.select("k.hub", "k.gram"))
+    members = settled(own.join(buckets, ["hub", "gram"]).join(left, "x")
+                      .select(F.xxhash64("hub", "gram").alias("bucket"), "x", "n", "most", "group"))
+    main = members.groupBy("bucket", "group").agg(F.count("*").alias("m")).groupBy("bucket").agg(
+        F.max(F.struct("m", "group")).alias("main"), F.sum("m").alias("all"))
+    members = members.join(settled(main.select("bucket", "main.group", (F.col("all") - F.col("main.m")).alias("outside"))
+                                   .withColumnRenamed("group", "main")), "bucket")
+    few = members.filter(F.col("outside") <= SMALL)
+    other = few.select("bucket", F.col("x").alias("hub"), F.col("n").alias("n_y"), F.col("most").alias("most_y"),
+                       F.col("group").alias("group_y"))
+    both = (few.filter("group <> main").join(other, "bucket")
+            .filter("group <> group_y and (group_y = main or x > hub) and most >= n_y and most_y >= n")
+            .select("x", "hub").distinct().withColumn("go_on", F.lit(False)))
+    return (hubs_of(members.filter(F.col("outside") > SMALL), ["bucket"]).unionByName(both)
+            .groupBy("x", "hub").agg(F.max("go_on").alias("go_on")))
+
+
 def compared(pairs: DataFrame, sets: DataFrame, p: int) -> DataFrame:
-    """``pairs`` with ``linked``, and those n-grams of ``x`` that another set has to share with it to link with it."""
+    """``pairs`` with ``linked`` and, where they ``go_on``, ``own``: the n-grams of ``x`` that the hub lacks, if they are
+    the ``need`` or more that another set of the bucket has to share to link with it."""
     x = sets.select(F.col("node").alias("x"), F.col("n"), F.col("grams").alias("grams_x"))
     h = sets.select(F.col("node").alias("hub"), F.col("n").alias("n_hub"), F.col("grams").alias("grams_hub"))
     both = F.col("n") - F.size("own")
     least = F.greatest(F.ceil(F.col("n") * p / 100 - 1e-9),
                        F.ceil((F.col("n") + F.col("n_hub")) * p / (100 + p) - 1e-9))
-    keys = F.size("own") - F.greatest(F.lit(1), least - both) + 1
+    need = F.greatest(F.lit(1), least - both)
     return (pairs.join(x, "x").join(h, "hub").withColumn("own", F.array_except("grams_x", "grams_hub"))
-            .select("x", "hub", "n", (100 * both >= p * (F.col("n") + F.col("n_hub") - both)).alias("linked"),
-                    F.slice("own", F.lit(1), F.greatest(F.lit(0), keys).cast("int")).alias("own")))
+            .select("x", "hub", "n", need.alias("need"),
+                    (100 * both >= p * (F.col("n") + F.col("n_hub") - both)).alias("linked"),
+                    F.when(F.col("go_on") & (need <= F.size("own")), F.col("own")).alias("own")))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, t: float = 0.85) -> DataFrame:
@@ -137,26 +214,25 @@ def near_duplicates(docs: DataFrame, n: int = 5, t: float = 0.85) -> DataFrame:
     classes = settled(signs.filter("n > 0 and doc_id is not null").groupBy("d1", "d2", "n")
                       .agg(F.min("doc_id").alias("doc"), F.first("halves").alias("halves"))
                       .withColumn("node", F.monotonically_increasing_id()))
-    pairs = table_pairs(classes)
-    wanted = settled(pairs.select(F.explode(F.array("x", "hub")).alias("node")).distinct()
-                     .join(classes.drop("halves"), "node"))
+    mine = shared_halves(classes)
+    wanted = settled(mine.select(F.col("x").alias("node")).join(classes.drop("halves"), "node"))
     texts = docs.select("doc_id", "text").join(wanted.select(F.col("doc").alias("doc_id")).distinct(), "doc_id",
                                                "left_semi")
     sets = settled(whole_sets(texts, n).join(wanted.select("d1", "d2", "n", "node"), ["d1", "d2", "n"])
                    .dropDuplicates(["node"]).select("node", "n", "grams"), large=True)
+    left = possible(sets, p)
 
     groups = components(same_document(signs, classes))
+    pairs = table_pairs(mine, left)
     while not pairs.isEmpty():
         done = settled(compared(pairs, sets, p), large=True)
         groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
                             .unionByName(done.filter("linked").select(F.col("x").alias("a"), F.col("hub").alias("b"))))
+        if pairs.filter("go_on").isEmpty():
+            break
         own = (done.join(groups, done["x"] == groups["node"], "left")
-               .select("hub", "x", "n", F.coalesce("component", "x").alias("group"), F.explode("own").alias("gram")))
-        open_ = settled(own.groupBy("hub", "gram").agg(F.min("group").alias("low"), F.max("group").alias("high"))
-                        .filter("low <> high").select("hub", "gram"))
-        members = settled(own.join(open_, ["hub", "gram"], "left_semi")
-                          .select(F.xxhash64("hub", "gram").alias("bucket"), "x", "n"))
-        pairs = hubs_of(members, ["bucket"])
+               .select("hub", "x", "n", "need", F.coalesce("component", "x").alias("group"), F.explode("own").alias("gram")))
+        pairs = settled(next_pairs(own, left))
 
     named = classes.join(groups, "node", "left").select("d1", "d2", "n", "doc",
                                                         F.coalesce("component", "node").alias("component"))
