@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 #: Text bytes that a task encodes at once.
 SLICE = 2 << 20
 
-#: Distinct pieces that a worker remembers between its tasks.
+#: Distinct pieces that a worker remembers between its tasks, where its operator doesn't say otherwise.
 MAX_PIECES = 300_000
 
 #: How byte-level vocabularies write a space.
@@ -51,26 +51,26 @@ def _parts(texts: pa.Array, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes()))
 
 
-_tables: dict[tuple[str, bool], WordTable] = {}
+_tables: dict[tuple[str, bool, int], WordTable] = {}
 
 
-def word_table(file: str, drops_space: bool) -> WordTable:
+def word_table(file: str, drops_space: bool, max_pieces: int = MAX_PIECES) -> WordTable:
     """This worker's table, kept between its tasks."""
-    key = (file, drops_space)
+    key = (file, drops_space, max_pieces)
     if key not in _tables:
-        _tables[key] = WordTable(file, drops_space)
+        _tables[key] = WordTable(file, drops_space, max_pieces)
     return _tables[key]
 
 
 class WordTable:
     """Encodes texts to ids; ``drops_space``: the tokenizer itself drops white space and never joins across it."""
 
-    def __init__(self, file: str, drops_space: bool):
+    def __init__(self, file: str, drops_space: bool, max_pieces: int = MAX_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(file if os.path.sep in file else vocabulary(file))
         self.tokenizer.encode_special_tokens = True
-        self.drops_space = drops_space
+        self.drops_space, self.max_pieces = drops_space, max_pieces
         (self.mark,) = self._encode([_MARK])[0].ids
         self._clear()
 
@@ -81,7 +81,7 @@ class WordTable:
 
     def _numbers(self, units: pa.Array) -> np.ndarray:
         """Place of each unit in the table; those not in it yet are encoded and added."""
-        if len(self.known) + len(units) > max(MAX_PIECES, len(units)):
+        if len(self.known) + len(units) > max(self.max_pieces, len(units)):
             self._clear()
         number = pc.index_in(units, value_set=self.known).to_numpy(zero_copy_only=False)
         missing = np.isnan(number) if number.dtype.kind == "f" else np.zeros(len(units), bool)

@@ -17,10 +17,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import slices
-from tessera.llm.tokens import SLICE, word_table
+from tessera.llm.tokens import word_table
 
 BLOCK = 512  # bits between two stored ranks
 
+#: Text bytes that a task encodes at once, and distinct pieces that a worker remembers between its tasks.
+SLICE, PIECES = 8 << 20, 1_000_000
+
 SHARDS = ("part int, shard int, part_offset long, first_row long, n_tokens long, zeros array<long>, planes binary, "
           "ranks binary, doc_ids array<long>, doc_starts array<long>, doc_lengths array<long>")
 
@@ -136,7 +139,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        table, part = word_table(tokenizer, drops_space), TaskContext.get().partitionId()
+        table, part = word_table(tokenizer, drops_space, PIECES), TaskContext.get().partitionId()
         schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("part_offset", pa.int64()),
                             ("first_row", pa.int64()), ("n_tokens", pa.int64()), ("zeros", pa.list_(pa.int64())),
                             ("planes", pa.binary()), ("ranks", pa.binary()), ("doc_ids", pa.list_(pa.int64())),
