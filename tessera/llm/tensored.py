@@ -214,6 +214,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, t: float = 0.85) -> DataFrame:
     classes = settled(signs.filter("n > 0 and doc_id is not null").groupBy("d1", "d2", "n")
                       .agg(F.min("doc_id").alias("doc"), F.first("halves").alias("halves"))
                       .withColumn("node", F.monotonically_increasing_id()))
+    doc = F.col("doc_id")
+    if classes.isEmpty():
+        own = F.when(doc.isNotNull(), doc)
+        return signs.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"),
+                            own.alias("class_id"), F.lit(True).alias("kept"))
     mine = shared_halves(classes)
     wanted = settled(mine.select(F.col("x").alias("node")).join(classes.drop("halves"), "node"))
     texts = docs.select("doc_id", "text").join(wanted.select(F.col("doc").alias("doc_id")).distinct(), "doc_id",
@@ -239,7 +244,6 @@ def near_duplicates(docs: DataFrame, n: int = 5, t: float = 0.85) -> DataFrame:
     least = settled(named.groupBy("component").agg(F.min("doc").alias("component_id")))
     named = settled(named.join(least, "component").select("d1", "d2", "n", F.col("doc").alias("class_id"),
                                                           "component_id"))
-    doc = F.col("doc_id")
     return (signs.drop("halves").join(named, ["d1", "d2", "n"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(doc.isNotNull(), F.coalesce("component_id", doc)).alias("component_id"),

@@ -32,7 +32,7 @@ def brute(pairs, percent):
 def families(seed=2):
     """Originals with chains and stars of edits, some of them between originals only; every size of difference."""
     rng, out, at = random.Random(seed), [], 5000
-    for f in range(12):
+    for f in range(8):
         words = [f"f{f}w{k}" for k in range(rng.choice([12, 40, 90, 200]))]
         line = [words]
         for _ in range(14):
@@ -50,27 +50,30 @@ def families(seed=2):
 
 
 def test_components(spark):
+    """One run over everything: families of edits, edge cases, and ids that repeat with other texts."""
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
     pairs = corpus() + near_group(40) + families()
+    pairs += [(9001, a), (9002, b), (9002, a + " one"), (9003, b + " two"), (9003, None), (9004, "else")]
     want = brute(pairs, 85)
     out = near_duplicates(spark.createDataFrame(rows(pairs), SCHEMA).repartition(3)).collect()
     assert len(out) == len(pairs)
     for r in out:
         if r.doc_id is None:
             assert (r.component_id, r.class_id, r.kept) == (None, None, True)
+        elif (r.doc_id, r.n_shingles) == (9003, 0):
+            assert r.component_id == 9003  # a wordless row stands alone
         else:
             assert (r.component_id, r.kept) == (want[r.doc_id], want[r.doc_id] == r.doc_id), r
-    sizes = [len(shingles(t)) for _, t in pairs]
-    assert sorted(r.n_shingles for r in out) == sorted(sizes)
+    assert {want[i] for i in (9001, 9002, 9003)} == {9001}
+    assert sorted(r.n_shingles for r in out) == sorted(len(shingles(t)) for _, t in pairs)
     assert len(set(want.values())) < len(want) - 60
 
 
-def test_repeated_ids_and_empty_table(spark):
-    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
-    docs = spark.createDataFrame([(1, a), (2, b), (2, a + " one"), (3, b + " two"), (3, None), (4, "else")],
-                                 "doc_id long, text string")
-    out = {(r.doc_id, r.n_shingles > 0): r.component_id for r in near_duplicates(docs).collect()}
-    assert out == {(1, True): 1, (2, True): 1, (3, True): 1, (3, False): 3, (4, True): 4}
+def test_tables_without_words(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+    docs = spark.createDataFrame([(1, None), (2, " "), (None, "a b")], "doc_id long, text string")
+    out = sorted(((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect()))
+    assert out == [(0, 1, None, True), (1, 0, 1, True), (2, 0, 2, True)]
 
 
 def test_half_keys_meet_as_often_as_they_should():
