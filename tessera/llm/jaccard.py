@@ -4,72 +4,36 @@ The global n-gram order (frequent n-grams last, else by hash) is cut into fragme
 the segments that fall into them. Two things are counted per fragment and summed per pair:
 
 * For candidates only a document's prefix counts, the first ``n - ceil(t n) + 1`` n-grams of its set: sets of Jaccard
-  ``t`` or more share one of them. A task packs the prefixes of a slice of documents by fragment, equal sets once; a
-  fragment's n-grams that several sets hold become postings.
+  ``t`` or more share one of them. A prefix n-gram that several sets hold is a bucket of candidates.
 * For the overlap of a candidate pair, the segments of both sets are intersected fragment by fragment.
 
-Groups of near copies aren't expanded into pairs. First, every posting is paired only with a hub, the set of its n-gram
-whose own prefix is shared most, which links nearly all of such a group. Then the remaining candidates are only pairs
-whose sets are in different groups by then, found by the rarest n-grams of their prefixes. The number of prefix n-grams
-that a pair shares bounds its overlap from above, which drops most pairs of either kind before their texts are read.
-Links that could join no groups are thus never computed; all others are. Equal sets are one class throughout.
+Buckets aren't expanded into pairs; ``groups`` says how links are found and verified in them. Links that could join no
+groups are never computed; all others are. Equal sets are one class throughout.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import (hash_words, mixed, settled, slices, split_words, text_bytes, window_hashes)
+from tessera.llm.common import settled, slices
 from tessera.llm.graph import components
+from tessera.llm.groups import by_document, grouped, hubs_of, possible, same_document, whole_sets
+from tessera.llm.shingles import digests, ngram_sets
 
 #: Text bytes that a task hashes at once.
 SLICE = 4 << 20
 
-#: Text bytes whose prefixes make a fragment for candidates (about 2 million n-grams), and fragments of whole sets.
-FRAGMENT_BYTES = 48 << 20
-SEGMENTS = 8
-
 #: An n-gram is frequent if the slices in which ``SLICE_LEAST`` sets or more hold it count it ``FREQUENT`` times. The
 #: ``MOST_FREQUENT`` most frequent ones go last in the order (8 bytes each, to every task). The order decides how
 #: much work there is, never which pairs are found.
 SLICE_LEAST, FREQUENT, MOST_FREQUENT = 2, 20, 1_000_000
 
 
-def ngram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's ``n``-word sequences; of the whole text if it has fewer words; empty
-    without words. A-Z count as lower case."""
-    codes, offsets, vocab = split_words(pc.ascii_lower(pc.fill_null(texts, "")))
-    words = hash_words(vocab)[codes]
-    grams = window_hashes(words, n)
-    out = []
-    for a, b in zip(offsets[:-1], offsets[1:]):
-        if b - a >= n:
-            g = np.sort(grams[a:b - n + 1])
-            out.append(g[np.diff(g, prepend=~g[:1]) != 0])
-        else:  # hashed with its length, so as not to equal any sequence of n words
-            out.append(mixed(window_hashes(words[a:b], b - a) + np.uint64(b - a)) if b > a else words[:0])
-    return out
-
-
-def digests(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each set in two numbers: sums over its hashes of two different mixings of them."""
-    size = np.array([len(g) for g in grams])
-    flat = np.concatenate(grams) if len(grams) else np.zeros(0, np.uint64)
-    ends = np.concatenate(([0], np.cumsum(size)))
-    out = []
-    for salt in (0x1B873593, 0x85EBCA6B):
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(flat + np.uint64(salt)), dtype=np.uint64)))
-        out.append((total[ends[1:]] - total[ends[:-1]]).view(np.int64))
-    return out[0], out[1]
-
-
 def needed(n: int, t: float) -> int:
     """``ceil(t n)``, exact for a ``t`` of whole percents."""
     return -(-round(t * 100) * n // 100)
@@ -109,14 +73,11 @@ def frequent_grams(grams: DataFrame) -> np.ndarray:
     return np.sort(rows.column("gram").to_numpy().view(np.uint64))
 
 
-def postings(docs: DataFrame, frequent: np.ndarray, n: int, t: float) -> DataFrame:
-    """``gram``, ``d1`` and ``n`` of the sets whose prefix holds an n-gram that another set's prefix holds too, and how
-    many do (``df``)."""
-    fragments = max(24, math.ceil(text_bytes(docs) / FRAGMENT_BYTES))
-    width = np.uint64((1 << 64) // fragments + 1)
+def prefixes(docs: DataFrame, frequent: np.ndarray, n: int, t: float) -> DataFrame:
+    """``gram``, ``d1`` and ``n`` for every n-gram of every set's prefix; equal sets of a slice once."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
             for part in slices(batch, limit=SLICE):
@@ -129,95 +90,33 @@ def postings(docs: DataFrame, frequent: np.ndarray, n: int, t: float) -> DataFra
                     g = grams[i]
                     first = len(g) - needed(len(g), t) + 1
                     late = often[np.minimum(np.searchsorted(often, g), len(often) - 1)] == g if len(often) else g < 0
-                    g = np.concatenate((g[~late], g[late]))[:first] if np.any(late[:]) else g[:first]
+                    g = np.concatenate((g[~late], g[late]))[:first]
                     kept.append(g)
                     owner.append(np.full(len(g), i))
-                flat, owner = np.concatenate(kept), np.concatenate(owner)
-                order = np.argsort(flat, kind="stable")
-                flat, owner = flat[order], owner[order]
-                cut = np.searchsorted(flat // width, np.arange(fragments + 1))
-                spans = list(zip(cut[:-1], cut[1:]))
+                owner = np.concatenate(owner)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(fragments, dtype=np.int32)),
-                     pa.array([flat[a:b].tobytes() for a, b in spans], pa.binary()),
-                     pa.array([owner[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary()),
-                     pa.array([d1.tobytes()] * fragments, pa.binary()),
-                     pa.array([sizes.astype("<u4").tobytes()] * fragments, pa.binary())],
-                    ["fragment", "grams", "owners", "d1", "n"])
-
-    def collisions(table: pa.Table) -> pa.Table:
-        grams, d1, n_of = [], [], []
-        for g, o, d, k in zip(*(table.column(c).to_pylist() for c in ("grams", "owners", "d1", "n"))):
-            o = np.frombuffer(o, "<u4")
-            grams.append(np.frombuffer(g, np.uint64))
-            d1.append(np.frombuffer(d, np.int64)[o])
-            n_of.append(np.frombuffer(k, "<u4")[o])
-        grams, d1, n_of = np.concatenate(grams), np.concatenate(d1), np.concatenate(n_of)
-        order = np.lexsort((d1, grams))
-        grams, d1, n_of = grams[order], d1[order], n_of[order]
-        new = (np.diff(grams, prepend=~grams[:1]) != 0) | (np.diff(d1, prepend=d1[:1]) != 0)
-        grams, d1, n_of = grams[new], d1[new], n_of[new]  # one set from several slices
-        heads = np.flatnonzero(np.diff(grams, prepend=~grams[:1]) != 0)
-        count = np.diff(np.append(heads, len(grams)))
-        df = np.repeat(count, count)
-        several = df > 1
-        return pa.table([pa.array(grams[several].view(np.int64)), pa.array(d1[several]),
-                         pa.array(n_of[several].astype(np.int64)), pa.array(df[several].astype(np.int64))],
-                        ["gram", "d1", "n", "df"])
-
-    return (docs.select("text").mapInArrow(prefixes, "fragment int, grams binary, owners binary, d1 binary, n binary")
-            .groupBy("fragment").applyInArrow(collisions, "gram long, d1 long, n long, df long"))
+                    [pa.array(np.concatenate(kept).view(np.int64)), pa.array(d1[owner]), pa.array(sizes[owner])],
+                    ["gram", "d1", "n"])
 
+    return docs.select("text").mapInArrow(run, "gram long, d1 long, n long")
 
-def segments(docs: DataFrame, n: int) -> DataFrame:
-    """``doc``, ``segment`` and ``grams`` (array) of whole sets, cut into ``SEGMENTS`` equal ranges of the hashes."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.arange(SEGMENTS, dtype=np.uint64) << np.uint64(61)
-        for batch in batches:
-            for part in slices(batch, limit=1 << 20):
-                ids, seg, lists = [], [], []
-                for doc, g in zip(part.column("doc_id").to_pylist(), ngram_sets(part.column("text"), n)):
-                    cut = [*np.searchsorted(g, edges), len(g)]
-                    for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
-                        if b > a:
-                            ids.append(doc)
-                            seg.append(k)
-                            lists.append(g[a:b].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seg, pa.int32()),
-                                                  pa.array(lists, pa.list_(pa.int64()))], ["doc", "segment", "grams"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc long, segment int, grams array<long>")
-
-
-def least_shared(t: float):
-    """Prefix n-grams that a pair of Jaccard ``t`` shares at least: beyond the prefixes, at most ``ceil(t n) - 1``
-    n-grams of the larger set can be common."""
-    p = round(t * 100)
-    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * p / (100 + p) - 1e-9)
-    return F.greatest(F.lit(1), overlap - F.ceil(F.greatest("n_a", "n_b") * p / 100 - 1e-9) + 1)
-
-
-def linked(docs: DataFrame, pairs: DataFrame, n: int, t: float) -> DataFrame:
-    """Those of ``pairs`` (``a``, ``b``, ``n_a``, ``n_b``) whose Jaccard is ``t`` or more. Only the texts of documents
-    in a pair are moved and cut into segments."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    segs = settled(segments(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-                            .dropDuplicates(["doc_id"]), n), large=True)
-    left = segs.select(F.col("doc").alias("a"), "segment", F.col("grams").alias("grams_a"))
-    right = segs.select(F.col("doc").alias("b"), "segment", F.col("grams").alias("grams_b"))
-    partial = (pairs.join(left, "a").join(right, ["b", "segment"])
-               .select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("part")))
-    both = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("both"))
-    p = round(t * 100)
-    return settled(both.filter(100 * F.col("both") >= p * (F.col("n_a") + F.col("n_b") - F.col("both")))
-                   .select("a", "b"), large=True)
+def postings(docs: DataFrame, frequent: np.ndarray, n: int, t: float) -> DataFrame:
+    """``gram``, ``d1`` and ``n`` of the sets whose prefix holds an n-gram that another set's prefix holds too."""
+    entries = settled(prefixes(docs, frequent, n, t), large=True)
+    several = settled(entries.groupBy("gram").agg(F.min("d1").alias("low"), F.max("d1").alias("high"))
+                      .filter("low <> high").select("gram"))
+    return entries.join(several, "gram", "left_semi").distinct()
 
 
-def with_shared(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """``pairs`` with ``c``, the prefix n-grams that both documents have."""
-    return (pairs.join(own.select(F.col("doc").alias("a"), F.col("grams").alias("grams_a")), "a")
-            .join(own.select(F.col("doc").alias("b"), F.col("grams").alias("grams_b")), "b")
-            .withColumn("c", F.size(F.array_intersect("grams_a", "grams_b"))))
+def prefix_pairs(posts: DataFrame, left: DataFrame) -> DataFrame:
+    """``x`` and ``hub`` for the buckets, those of the same sets once."""
+    members = posts.join(left, "x")
+    buckets = members.groupBy("gram").agg(
+        F.count("*").alias("c"), F.bit_xor(F.xxhash64("x")).alias("s1"),
+        F.bit_xor(F.xxhash64("x", F.lit(1))).alias("s2")).filter("c > 1")
+    one_each = settled(buckets.groupBy("c", "s1", "s2").agg(F.min("gram").alias("gram")).select("gram"))
+    return hubs_of(settled(members.join(one_each, "gram", "left_semi")), ["gram"])
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, t: float = 0.75) -> DataFrame:
@@ -225,65 +124,31 @@ def near_duplicates(docs: DataFrame, n: int = 5, t: float = 0.75) -> DataFrame:
     ``class_id`` (smallest ``doc_id`` with the same set).
 
     Two documents link when the Jaccard of their sets is ``t`` (whole percents) or more. Null, empty and wordless texts
-    have an empty set and link with nothing. Rows that repeat one ``doc_id`` are expected to repeat its text; rows
-    without ``doc_id`` come back with their set's size and no component. An empty table gives no rows; other columns
-    are not read.
+    have an empty set and link with nothing. Rows with one ``doc_id`` are one document: the links of each of its texts
+    count for all of them; a wordless row stands alone. Rows without ``doc_id`` come back with their set's size and no
+    ids. Ties need no rule. An empty table gives no rows; other columns are not read, whatever their names. Texts may
+    be of any length; one longer than a slice is handled alone.
     """
     sets, grams = survey(docs, n)
-    if sets.isEmpty():
-        return sets.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
-                           F.col("doc_id").alias("class_id"))
     p = round(t * 100)
     classes = settled(sets.filter("n > 0 and doc_id is not null").groupBy("d1", "d2", "n")
-                      .agg(F.min("doc_id").alias("doc")))
-    found = settled(postings(docs.filter("doc_id is not null"), frequent_grams(grams), n, t), large=True)
-    # From here on a set is its class's smallest document. (Two sets of one d1 both get its postings.)
-    posts = found.join(classes.select("d1", "n", "doc"), ["d1", "n"]).select("gram", "doc", "n", "df")
-    # ``rank``: place of the n-gram in its document's prefix by rarity, from 0; those that no other set has come first.
-    prefix = F.col("n") - F.ceil(F.col("n") * p / 100 - 1e-9) + 1
-    alone = prefix - F.count("*").over(Window.partitionBy("doc"))
-    posts = settled(posts.withColumn("rank", alone + F.row_number().over(Window.partitionBy("doc")
-                                                                         .orderBy("df", "gram")) - 1).drop("df"))
-    own = settled(posts.groupBy("doc").agg(F.collect_list("gram").alias("grams"),  # at most a document's prefix
-                                           (F.count("*") / F.first("n")).alias("score")))
-    scored = posts.join(own.select("doc", "score"), "doc")
-    near = (F.lit(100) * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b"))
-
-    hubs = settled(scored.groupBy("gram").agg(F.max(F.struct("score", "doc", "n")).alias("hub"))
-                   .select("gram", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("hub_n")))
-    first = (scored.join(hubs, "gram").filter("doc <> hub")
-             .select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"),
-                     F.when(F.col("doc") < F.col("hub"), F.col("n")).otherwise(F.col("hub_n")).alias("n_a"),
-                     F.when(F.col("doc") < F.col("hub"), F.col("hub_n")).otherwise(F.col("n")).alias("n_b"))
-             .filter(near).distinct())
-    counted = with_shared(first, own)
-    links = linked(docs, settled(counted.filter(F.col("c") >= least_shared(t)).select("a", "b", "n_a", "n_b")), n, t)
-
-    groups = components(links)
-    rest = posts.join(groups, posts["doc"] == groups["node"], "left").select(
-        "gram", "doc", "n", "rank", F.coalesce("component", "doc").alias("group"))
-    mixed_grams = rest.groupBy("gram").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x <> y")
-    rest = settled(rest.join(mixed_grams.select("gram"), "gram", "left_semi"))
-    # A linked pair shares least_shared of the prefix's n-grams, so one of them is among all but so many less one of
-    # the first document's rarest: common ones only bring documents together that share nearly nothing else.
-    x = rest.select("gram", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("group").alias("group_a"),
-                    (F.col("n") - F.ceil(F.col("n") * p / 100 - 1e-9) + 1 - F.col("rank")).alias("left_a"))
-    y = rest.select("gram", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("group").alias("group_b"))
-    second = (x.join(y, (x["gram"] == y["gram"]) & (x["a"] < y["b"]) & (x["group_a"] != y["group_b"])
-                     & near & (F.col("left_a") >= least_shared(t)))
-              .select("a", "b", "n_a", "n_b").distinct())
-    counted = with_shared(second, own)
-    more = linked(docs, settled(counted.filter(F.col("c") >= least_shared(t)).select("a", "b", "n_a", "n_b")), n, t)
-
-    final = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    named = (classes.join(final, classes["doc"] == final["node"], "left")
-             .select("d1", "d2", "n", F.col("doc").alias("class_id"),
-                     F.coalesce("component", "doc").alias("component")))
-    out = sets.join(settled(named), ["d1", "d2", "n"], "left")
-    doc = F.col("doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"),
-                      F.when(doc.isNotNull(), F.coalesce("component", doc)).alias("component_id"),
-                      F.when(doc.isNotNull(), F.coalesce("class_id", doc)).alias("class_id"))
+                      .agg(F.min("doc_id").alias("doc")).withColumn("node", F.monotonically_increasing_id()))
+    if classes.isEmpty():
+        own = F.when(F.col("doc_id").isNotNull(), F.col("doc_id"))
+        return sets.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.alias("class_id"))
+    with_id = docs.filter("doc_id is not null")
+    # From here on a set is its class. (Two sets of one d1 both get its postings.)
+    posts = settled(postings(with_id, frequent_grams(grams), n, t)
+                    .join(classes.select("d1", "n", F.col("node").alias("x")), ["d1", "n"]).select("gram", "x", "n"),
+                    large=True)
+    wanted = settled(posts.select(F.col("x").alias("node")).distinct().join(classes, "node"))
+    texts = with_id.select("doc_id", "text").join(wanted.select(F.col("doc").alias("doc_id")).distinct(), "doc_id",
+                                                  "left_semi")
+    full = settled(whole_sets(texts, n).join(wanted.select("d1", "d2", "n", "node"), ["d1", "d2", "n"])
+                   .dropDuplicates(["node"]).select("node", "n", "grams"), large=True)
+    left = possible(full, p)
+    groups = grouped(prefix_pairs(posts, left), full, left, components(same_document(sets, classes)), p)
+    return by_document(sets, classes, groups)
 
 
 def one_of_each(docs: DataFrame, n: int = 5, t: float = 0.75) -> DataFrame:

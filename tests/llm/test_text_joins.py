@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 
 from tessera.llm.graph import components
-from tessera.llm.jaccard import near_duplicates, ngram_sets, one_of_each
+from tessera.llm.jaccard import near_duplicates, one_of_each
+from tessera.llm.shingles import ngram_sets
 from tessera.llm.substrings import remove_duplicate_spans
 from tests.llm.cases import SCHEMA, corpus, rows
 
