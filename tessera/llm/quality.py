@@ -81,8 +81,13 @@ def held_out(doc_id: Column) -> Column:
 
 def _sample(docs: DataFrame, ids: Column, total: int, seed: int) -> DataFrame:
     """About ``SAMPLE`` of ``total`` rows by a hash of the id, the same rows whatever the partitions."""
-    share = min(1.0, SAMPLE / max(total, 1))
-    return docs.filter(F.pmod(F.xxhash64(F.lit(seed), ids), F.lit(1_000_000)) < int(share * 1_000_000))
+    return docs.filter(F.shiftrightunsigned(F.xxhash64(F.lit(seed), ids), 1) <= F.lit(sample_bound(total)))
+
+
+def sample_bound(total: int) -> int:
+    """Greatest 63-bit hash that is in a sample of ``SAMPLE`` of ``total`` rows."""
+    whole = (1 << 63) - 1
+    return whole if total <= SAMPLE else whole * SAMPLE // total
 
 
 def _collect(docs: DataFrame) -> np.ndarray:
@@ -144,8 +149,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict | No
     ids = F.col("doc_id")
     some = _sample(learn, ids, n_good, 1).join(_sample(good, ids, n_good, 1), "doc_id", "left_semi")
     pos, unl = _collect(some), _collect(_sample(learn, ids, n_docs, 2))
-    if not len(pos) or not len(unl):
-        return None
+    if not len(unl):
+        raise RuntimeError(f"no row of {n_docs} is in the sample")
+    if not len(pos):
+        return None  # labels of other documents only
     mean, scale = unl.mean(0), np.maximum(unl.std(0), LEAST_SCALE)
     pos, unl = (np.column_stack([_scaled(x, mean, scale), np.ones(len(x))]) for x in (pos, unl))
     prior = estimate_prior(pos, unl)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import secrets
 from tessera.llm.neighbours import nearest
-from tessera.llm.quality import NO_MODEL, features, kept, scored
+from tessera.llm.quality import NO_MODEL, SAMPLE, features, kept, sample_bound, scored
 from tessera.llm.urlfilter import RULES, Cascade, judge, rule_table
 from tests.llm.cases import SCHEMA, corpus, rows
 
@@ -153,3 +153,9 @@ def test_quality_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     out = scored(docs, labels).filter("held_out").join(labels, "doc_id").collect()
     assert len(out) > 30 and sum(r.predicted == r.quality for r in out) >= 0.95 * len(out)
+
+
+def test_sample_bound_at_every_size():
+    for total in (0, 1, SAMPLE, SAMPLE + 1, 10 ** 6, 10 ** 11, 10 ** 15):
+        expected = total * (sample_bound(total) + 1) / 2 ** 63
+        assert abs(expected - min(total, SAMPLE)) < 1e-3 * SAMPLE
