@@ -1,4 +1,4 @@
-"""Registered queries over keyed snapshots written from the driver tables."""
+"""Registered queries over keyed snapshots written from the driver tables, and over whole trees."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import hierarchy as H
+from tessera.operators import trees
 from tessera.operators.upsert import latest_by_key
 from tessera.plans.registry import register
 from tessera.plans.roles import ROLE_SQL, domain_tables, read
@@ -80,3 +81,41 @@ def q_snapshot_trees(spark, sf_dir):
     return mats.select("finish_code", "substrate", "sft_code", "step_order", "m.base_spec", "m.variant",
                        F.explode_outer("m.chemicals").alias("c")).select(
         "finish_code", "substrate", "sft_code", "step_order", "base_spec", "variant", "c.name", "c.pct_wt_high")
+
+
+@register("code_trees", ROLE_SQL + """,
+codes AS (SELECT fc.code, s.description AS substrate FROM finish_codes fc
+          JOIN substrates s ON fc.substrate_code = s.code AND fc.program = s.program
+          JOIN finish_applied fa ON fc.finish_applied_code = fa.code AND fc.program = fa.program),
+st AS (SELECT cs.finish_code, cs.step_order, cs.sft_code FROM finish_code_steps cs JOIN sft_steps x USING (sft_code)
+       JOIN codes ON cs.finish_code = codes.code),
+l AS (SELECT l.sft_code, l.base_spec, l.variant, row_number() OVER (PARTITION BY l.sft_code, l.base_spec, l.variant) AS k
+      FROM sft_material_links l JOIN materials m ON l.base_spec = m.base_spec
+           AND l.variant IS NOT DISTINCT FROM m.variant),
+mt AS (SELECT st.*, l.base_spec, l.variant, l.k FROM st JOIN l USING (sft_code)),
+r AS (SELECT code AS finish_code, NULL AS step_order, NULL AS sft_code, NULL AS base_spec, NULL AS variant, NULL AS k,
+             NULL AS lv, NULL AS name, 0 AS kind, CAST(code AS VARCHAR) AS line FROM codes
+      UNION ALL SELECT finish_code, step_order, sft_code, NULL, NULL, NULL, NULL, NULL, 1,
+                       CAST(sft_code AS VARCHAR) || '@' || CAST(step_order AS VARCHAR) FROM st
+      UNION ALL SELECT finish_code, step_order, sft_code, base_spec, variant, k, NULL, NULL, 2,
+                       CAST(base_spec AS VARCHAR) || '/' || coalesce(variant, '') FROM mt
+      UNION ALL SELECT finish_code, step_order, sft_code, mt.base_spec, mt.variant, k,
+                       coalesce(-c.default_hazard_level, 2147483647), c.name, 3, c.name || ' ' || CAST(c.cas AS VARCHAR)
+      FROM mt JOIN material_chemicals mc ON mt.base_spec = mc.base_spec AND mt.variant IS NOT DISTINCT FROM mc.variant
+           JOIN chemicals c ON mc.cas = c.cas)
+SELECT finish_code, count(*) FILTER (WHERE kind = 1) AS n_steps, count(*) FILTER (WHERE kind = 2) AS n_materials,
+       count(*) FILTER (WHERE kind = 3) AS n_chemicals,
+       sha256(string_agg(line || chr(10), '' ORDER BY step_order NULLS FIRST, sft_code NULLS FIRST,
+              base_spec NULLS FIRST, variant NULLS FIRST, k NULLS FIRST, lv NULLS FIRST, name NULLS FIRST, kind))
+       AS tree_sha
+FROM r GROUP BY finish_code
+""")
+def q_code_trees(spark, sf_dir):
+    """Q1, A11 at code grain: every code's whole tree, streamed in the order of its document into a digest."""
+    rows = trees.tree_rows(domain_tables(spark, sf_dir))
+    kind, text = F.col("kind"), lambda c: F.col(c).cast("string")
+    line = (F.when(kind == 0, text("finish_code"))
+            .when(kind == 1, F.concat(text("sft_code"), F.lit("@"), text("step_order")))
+            .when(kind == 2, F.concat(text("base_spec"), F.lit("/"), F.coalesce("variant", F.lit(""))))
+            .otherwise(F.concat("name", F.lit(" "), text("cas"))))
+    return trees.tree_digests(rows, line)
