@@ -116,11 +116,15 @@ def next_pairs(own: DataFrame, left: DataFrame) -> DataFrame:
     members = members.join(settled(main.select("bucket", "main.group", (F.col("all") - F.col("main.m")).alias("outside"))
                                    .withColumnRenamed("group", "main")), "bucket")
     few = members.filter(F.col("outside") <= SMALL)
+    own_buckets = few.groupBy("x").agg(F.collect_set("bucket").alias("buckets"))  # at most the n-grams of a set
+    few = settled(few.join(own_buckets, "x"))
     other = few.select("bucket", F.col("x").alias("hub"), F.col("n").alias("n_y"), F.col("most").alias("most_y"),
-                       F.col("group").alias("group_y"))
+                       F.col("group").alias("group_y"), F.col("buckets").alias("buckets_y"))
+    # A pair is made once, in the least bucket that holds both.
     both = (few.filter("group <> main").join(other, "bucket")
-            .filter("group <> group_y and (group_y = main or x > hub) and most >= n_y and most_y >= n")
-            .select("x", "hub").distinct().withColumn("go_on", F.lit(False)))
+            .filter("group <> group_y and (group_y = main or x > hub) and most >= n_y and most_y >= n"
+                    " and bucket = array_min(array_intersect(buckets, buckets_y))")
+            .select("x", "hub").withColumn("go_on", F.lit(False)))
     return (hubs_of(members.filter(F.col("outside") > SMALL), ["bucket"]).unionByName(both)
             .groupBy("x", "hub").agg(F.max("go_on").alias("go_on")))
 
