@@ -72,3 +72,17 @@ def last_position(positions: DataFrame, keys: Sequence[str], item_col: str = "it
                   pos_col: str = "pos") -> DataFrame:
     """An element repeated within one list keeps its last position."""
     return positions.groupBy(*keys, item_col).agg(F.max(pos_col).alias(pos_col))
+
+
+def list_last_positions(df: DataFrame, text_col: str, keep: Sequence[str], item_as: str = "item",
+                        pos_as: str = "pos") -> DataFrame:
+    """F9 + W2 + W3 within each row: every distinct element of its list with its last 1-based position. Row-local: sorted
+    within the row's array, no shuffle. (Lists of several rows of one key are put together by ``last_position``.)"""
+    arr = array_text(F.col(text_col))
+    placed = F.filter(F.transform(arr, lambda x, i: F.struct(x.alias("item"), (i + 1).alias("pos"))),
+                      lambda p: p["item"] != "")
+    # One-element array: the sorted list is computed once, and the lambda's variable stands for it.
+    last = F.transform(F.array(F.array_sort(placed)), lambda s: F.filter(
+        s, lambda p, i: F.coalesce(F.get(s, i + 1)["item"] != p["item"], F.lit(True))))
+    rows = df.select(*keep, F.explode(F.get(last, F.lit(0))).alias("_e"))
+    return rows.select(*keep, F.col("_e.item").alias(item_as), F.col("_e.pos").alias(pos_as))

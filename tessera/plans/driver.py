@@ -17,7 +17,7 @@ from tessera.operators import catalogue as C
 from tessera.operators import hierarchy as H
 from tessera.operators import textjobs as X
 from tessera.operators.joins import resolve
-from tessera.operators.upsert import last_position, latest_by_key, list_positions
+from tessera.operators.upsert import latest_by_key, list_last_positions
 from tessera.plans.registry import QUERIES, register  # noqa: F401
 from tessera.plans.roles import ROLE_SQL, LazyTables, domain_tables, read
 
@@ -764,7 +764,7 @@ SELECT doc_id, item, max(pos) AS pos FROM e GROUP BY doc_id, item
 def q_list_to_steps(spark, sf_dir):
     """F9 + W2 + W3: embedded list text -> (row, element, last 1-based position)."""
     d = read(spark, sf_dir, "documents")
-    lp = last_position(list_positions(d, "text", ["doc_id"]), ["doc_id"])
+    lp = list_last_positions(d, "text", ["doc_id"])
     return lp.select("doc_id", "item", F.col("pos").cast("long").alias("pos"))
 
 

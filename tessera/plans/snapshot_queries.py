@@ -1,4 +1,5 @@
-"""Registered queries over keyed snapshots written from the driver tables, and over whole trees."""
+"""Registered queries over keyed snapshots written from the driver tables, over whole trees, and of operators that no
+other query shows (P6, F8, F9, S21, V2)."""
 
 from __future__ import annotations
 
@@ -7,9 +8,10 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import audit as A
 from tessera.operators import hierarchy as H
 from tessera.operators import trees
-from tessera.operators.upsert import latest_by_key
+from tessera.operators.upsert import latest_by_key, list_last_positions
 from tessera.plans.registry import register
 from tessera.plans.roles import ROLE_SQL, domain_tables, read
 from tessera.session import checkpoint_dir
@@ -119,3 +121,64 @@ def q_code_trees(spark, sf_dir):
             .when(kind == 2, F.concat(text("base_spec"), F.lit("/"), F.coalesce("variant", F.lit(""))))
             .otherwise(F.concat("name", F.lit(" "), text("cas"))))
     return trees.tree_digests(rows, line)
+
+
+@register("requested_links", ROLE_SQL + """
+SELECT l.sft_code, count(*) AS n_links, count(DISTINCT l.base_spec) AS n_specs
+FROM sft_material_links l
+WHERE l.sft_code IN (SELECT sft_code FROM finish_code_steps WHERE finish_code IN
+                     (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))
+GROUP BY l.sft_code
+""")
+def q_requested_links(spark, sf_dir):
+    """The links that a table of requested codes (those of one segment) reaches, by semi joins level by level."""
+    codes = read(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("code"))
+    links = H._restrict(domain_tables(spark, sf_dir), codes)["sft_material_links"]
+    return links.groupBy("sft_code").agg(F.count(F.lit(1)).alias("n_links"),
+                                         F.count_distinct("base_spec").alias("n_specs"))
+
+
+@register("hazard_errors", """
+WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN substring(props, 1, length(props) - 1) ELSE props END AS raw
+           FROM events)
+SELECT event_id, raw, 'invalid JSON' AS error FROM e WHERE raw IS NOT NULL AND NOT json_valid(raw)
+""")
+def q_hazard_errors(spark, sf_dir):
+    """F8's error form: texts that are no JSON (here every third event's, cut short) with the raw text kept."""
+    raw = F.when(F.col("event_id") % 3 == 0, F.expr("substring(props, 1, length(props) - 1)")).otherwise(F.col("props"))
+    e = read(spark, sf_dir, "events").select("event_id", raw.alias("raw"))
+    _, valid = H.parsed_hazard(F.col("raw"))
+    return e.filter(~valid).select("event_id", "raw", F.lit("invalid JSON").alias("error"))
+
+
+@register("json_list_steps", """
+WITH l AS (SELECT doc_id, string_split(text, ' ') AS a FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, regexp_replace(unnest(a), '^\\s+|\\s+$', '', 'g') AS item, unnest(generate_series(1, len(a))) AS pos
+      FROM l)
+SELECT doc_id, item, max(pos) AS pos FROM e WHERE item <> '' GROUP BY doc_id, item
+""")
+def q_json_list_steps(spark, sf_dir):
+    """F9's JSON path, W2, W3: each document's words as a JSON array text, blanks keep their place."""
+    d = read(spark, sf_dir, "documents").filter("text is not null").select(
+        "doc_id", F.to_json(F.split("text", " ")).alias("list"))
+    out = list_last_positions(d, "list", ["doc_id"])
+    return out.select("doc_id", "item", F.col("pos").cast("long").alias("pos"))
+
+
+@register("audit_absent_tables", """
+SELECT 'orders' AS "table", 'o_custkey' AS "column", 'missing_parent_table' AS issue, CAST(NULL AS BIGINT) AS n,
+       'Parent table ''warehouse'' does not exist' AS details
+UNION ALL
+SELECT 'lineitem', 'l_orderkey', 'orphan_fk', count(*), CAST(count(*) AS VARCHAR)
+       || ' rows reference non-existent open_orders.o_orderkey values'
+FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')
+""")
+def q_audit_absent_tables(spark, sf_dir):
+    """An absent parent table is an issue, an absent child table none, and other keys are audited."""
+    orders = read(spark, sf_dir, "orders")
+    t = {"orders": orders, "open_orders": orders.filter("o_orderstatus = 'O'"),
+         "lineitem": read(spark, sf_dir, "lineitem")}
+    rules = A.Rules(foreign_keys=[A.ForeignKey("orders", ("o_custkey",), "warehouse", ("w_key",)),
+                                  A.ForeignKey("returns", ("r_orderkey",), "orders", ("o_orderkey",)),
+                                  A.ForeignKey("lineitem", ("l_orderkey",), "open_orders", ("o_orderkey",))])
+    return A.issues(spark, t, rules).select("table", "column", "issue", "n", "details")
