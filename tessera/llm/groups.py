@@ -84,7 +84,7 @@ def possible(sets: DataFrame, p: int) -> DataFrame:
         most = now.select("x", "n").join(alone, "x", "left").select("x", (F.floor(
             (F.col("n") - F.coalesce("alone", F.lit(0))) * (100 + p) / p + 1e-9) - F.col("n")).alias("most"),
             F.ceil(F.col("n") * p / 100 - 1e-9).alias("least"))
-        left = settled(most.filter("most >= least").drop("least"))
+        left = settled(most.filter("most >= least").drop("least"), large=True)
         after = left.count()
         if after > 0.9 * before:
             return left

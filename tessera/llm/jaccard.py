@@ -105,7 +105,7 @@ def postings(docs: DataFrame, frequent: np.ndarray, n: int, t: float) -> DataFra
     """``gram``, ``d1`` and ``n`` of the sets whose prefix holds an n-gram that another set's prefix holds too."""
     entries = settled(prefixes(docs, frequent, n, t), large=True)
     several = settled(entries.groupBy("gram").agg(F.min("d1").alias("low"), F.max("d1").alias("high"))
-                      .filter("low <> high").select("gram"))
+                      .filter("low <> high").select("gram"), large=True)
     return entries.join(several, "gram", "left_semi").distinct()
 
 
