@@ -32,7 +32,7 @@ def brute(pairs, percent):
 def families(seed=2):
     """Originals with chains and stars of edits, some of them between originals only; every size of difference."""
     rng, out, at = random.Random(seed), [], 5000
-    for f in range(8):
+    for f in range(12):
         words = [f"f{f}w{k}" for k in range(rng.choice([12, 40, 90, 200]))]
         line = [words]
         for _ in range(14):
