@@ -65,7 +65,17 @@ def settled(df: DataFrame, partition_by: str | None = None, large: bool = False)
         for _ in range(2):
             time.sleep(0.5)
             spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of ``settled`` tables that nothing will read again."""
+    for df in tables:
+        jvm, path = df.sparkSession.sparkContext._jvm, df.scratch_path
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import settled, slices
+from tessera.llm.common import discard, settled, slices
 from tessera.llm.graph import components
 from tessera.llm.groups import by_document, grouped, hubs_of, possible, same_document, whole_sets
 from tessera.llm.shingles import digests, ngram_sets
@@ -40,7 +40,8 @@ def needed(n: int, t: float) -> int:
 
 
 def survey(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """Per document its set's size and digest; and, per slice, n-grams that several of its sets hold."""
+    """Per document its set's size and digest and its text's hash ``t``; and, per slice, n-grams that several of its
+    sets hold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=SLICE):
@@ -49,7 +50,7 @@ def survey(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
                 k = part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(["set"] * k), part.column("doc_id"), pa.array([len(g) for g in grams], pa.int64()),
-                     pa.array(d1), pa.array(d2)], ["kind", "doc_id", "n", "d1", "d2"])
+                     pa.array(d1), pa.array(d2), part.column("t")], ["kind", "doc_id", "n", "d1", "d2", "t"])
                 _, one_each = np.unique(d1, return_index=True)
                 flat = np.sort(np.concatenate([grams[i] for i in one_each])) if k else np.zeros(0, np.uint64)
                 heads = np.flatnonzero(np.diff(flat, prepend=~flat[:1]) != 0)
@@ -58,11 +59,11 @@ def survey(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
                 m = int(often.sum())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(["gram"] * m, pa.string()), pa.nulls(m, pa.int64()), pa.array(count[often], pa.int64()),
-                     pa.array(flat[heads[often]].view(np.int64)), pa.nulls(m, pa.int64())],
-                    ["kind", "doc_id", "n", "d1", "d2"])
+                     pa.array(flat[heads[often]].view(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())],
+                    ["kind", "doc_id", "n", "d1", "d2", "t"])
 
-    out = settled(docs.select("doc_id", "text").mapInArrow(run, "kind string, doc_id long, n long, d1 long, d2 long"),
-                  partition_by="kind")
+    out = settled(docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+                  .mapInArrow(run, "kind string, doc_id long, n long, d1 long, d2 long, t long"), partition_by="kind")
     return (out.filter("kind = 'set'").drop("kind"),
             out.filter("kind = 'gram'").select(F.col("d1").alias("gram"), "n"))
 
@@ -101,12 +102,41 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, n: int, t: float) -> DataFra
     return docs.select("text").mapInArrow(run, "gram long, d1 long, n long")
 
 
-def postings(docs: DataFrame, frequent: np.ndarray, n: int, t: float) -> DataFrame:
-    """``gram``, ``d1`` and ``n`` of the sets whose prefix holds an n-gram that another set's prefix holds too."""
+def postings(docs: DataFrame, classes: DataFrame, frequent: np.ndarray, n: int, t: float) -> DataFrame:
+    """``gram``, ``x`` and ``n`` of the classes whose prefix holds an n-gram that another set's prefix holds too. (Two
+    sets of one ``d1`` both get its postings.)"""
     entries = settled(prefixes(docs, frequent, n, t), large=True)
     several = settled(entries.groupBy("gram").agg(F.min("d1").alias("low"), F.max("d1").alias("high"))
                       .filter("low <> high").select("gram"), large=True)
-    return entries.join(several, "gram", "left_semi").distinct()
+    posts = settled(entries.join(several, "gram", "left_semi").distinct()
+                    .join(classes.select("d1", "n", F.col("node").alias("x")), ["d1", "n"]).select("gram", "x", "n"),
+                    large=True)
+    discard(entries, several)
+    return posts
+
+
+def hopeful(texts: DataFrame, wanted: DataFrame, n: int, p: int) -> DataFrame:
+    """The rows of ``wanted`` but for those sets that hold too many n-grams of their own to link with any.
+
+    ``texts`` has the ``node`` and ``text`` of each of them, repeats allowed. As in ``groups.possible``, a set shares at
+    most the n-grams that another one of ``wanted`` has; here only those in the lower half of the hashes are looked at,
+    so the bound is looser, but no whole set has been written yet and half as much is shuffled.
+    """
+    half = np.uint64(1 << 63)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, limit=1 << 20):
+                grams = [g[:np.searchsorted(g, half)] for g in ngram_sets(part.column("text"), n)]
+                node = np.repeat(part.column("node").to_numpy(), [len(g) for g in grams])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(grams).view(np.int64))],
+                                                 ["node", "gram"])
+
+    alone = (texts.select("node", "text").mapInArrow(run, "node long, gram long")
+             .groupBy("gram").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last")
+             .groupBy("node").agg(F.count("*").alias("alone")))
+    shared = F.col("n") - F.coalesce("alone", F.lit(0))
+    return wanted.join(alone, "node", "left").filter(100 * shared >= p * F.col("n")).drop("alone")
 
 
 def prefix_pairs(posts: DataFrame, left: DataFrame) -> DataFrame:
@@ -132,19 +162,23 @@ def near_duplicates(docs: DataFrame, n: int = 5, t: float = 0.75) -> DataFrame:
     sets, grams = survey(docs, n)
     p = round(t * 100)
     classes = settled(sets.filter("n > 0 and doc_id is not null").groupBy("d1", "d2", "n")
-                      .agg(F.min("doc_id").alias("doc")).withColumn("node", F.monotonically_increasing_id()))
+                      .agg(F.min(F.struct("doc_id", "t")).alias("least"))
+                      .select("d1", "d2", "n", F.col("least.doc_id").alias("doc"), F.col("least.t").alias("t"))
+                      .withColumn("node", F.monotonically_increasing_id()))
     if classes.isEmpty():
         own = F.when(F.col("doc_id").isNotNull(), F.col("doc_id"))
         return sets.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.alias("class_id"))
     with_id = docs.filter("doc_id is not null")
-    # From here on a set is its class. (Two sets of one d1 both get its postings.)
-    posts = settled(postings(with_id, frequent_grams(grams), n, t)
-                    .join(classes.select("d1", "n", F.col("node").alias("x")), ["d1", "n"]).select("gram", "x", "n"),
-                    large=True)
+    # From here on a set is its class.
+    posts = postings(with_id, classes, frequent_grams(grams), n, t)
     wanted = settled(posts.select(F.col("x").alias("node")).distinct().join(classes, "node"))
-    texts = with_id.select("doc_id", "text").join(wanted.select(F.col("doc").alias("doc_id")).distinct(), "doc_id",
-                                                  "left_semi")
-    full = settled(whole_sets(texts, n).join(wanted.select("d1", "d2", "n", "node"), ["d1", "d2", "n"])
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        return with_id.select(F.col("doc_id").alias("doc"), "text", F.xxhash64("text").alias("t")).join(
+            wanted.select("doc", "t", "node"), ["doc", "t"])
+
+    wanted = settled(hopeful(texts_of(wanted), wanted, n, p), large=True)
+    full = settled(whole_sets(texts_of(wanted), n).join(wanted.select("d1", "d2", "n", "node"), ["d1", "d2", "n"])
                    .dropDuplicates(["node"]).select("node", "n", "grams"), large=True)
     left = possible(full, p)
     groups = grouped(prefix_pairs(posts, left), full, left, components(same_document(sets, classes)), p)
