@@ -7,6 +7,7 @@ between them, so the lengths of both, added up, are the places. Only texts in wh
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,21 +34,40 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SPAN = "array<struct<start:bigint,end:bigint,match:string>>"
 
 
+#: Matches whose lengths are added up one by one; whole blocks of them are added up once.
+BLOCK = 128
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once, however often and in whatever lambda ``body`` reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def total(lengths: Column, start: Column, n: Column) -> Column:
+    """Sum of ``n`` entries from place ``start`` (from 0)."""
+    return F.aggregate(F.slice(lengths, start + 1, n), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as ``(start, end, match)``, in code points; none without a match."""
-    between = F.slice(F.split(text, pattern, -1), 1, F.size(F.split(text, pattern, -1)) - 1)
-    pairs = F.arrays_zip(between.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
-    none = F.lit(None).cast(SPAN)
+    def spans(gaps: Column, found: Column) -> Column:
+        return let(F.zip_with(gaps, found, lambda g, m: (F.length(g) + F.length(m)).cast("long")),
+                   lambda lengths: let(blocks(lengths), lambda before: F.transform(
+                       found, lambda m, i: span(m, F.get(before, F.floor(i / BLOCK).cast("int"))
+                                                + total(lengths, i - i % BLOCK, i % BLOCK + 1)))))
 
-    def add(state, pair):
-        start = state["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["match"])
-        span = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), pair["match"].alias("match"))
-        return F.struct(end.cast("long").alias("at"), F.concat(state["found"], F.array(span)).alias("found"))
+    def blocks(lengths: Column) -> Column:
+        """What comes before each block of ``BLOCK`` entries."""
+        starts = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int"))
+        return let(F.transform(starts, lambda b: total(lengths, b * BLOCK, F.lit(BLOCK))),
+                   lambda sums: F.transform(sums, lambda _, b: total(sums, F.lit(0), b)))
 
-    walked = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("found")), add,
-                         lambda s: s["found"])
-    return F.coalesce(F.when(F.regexp_like(text, F.lit(pattern)), walked), F.coalesce(none, F.array().cast(SPAN)))
+    def span(match: Column, end: Column) -> Column:
+        return F.struct((end - F.length(match)).alias("start"), end.alias("end"), match.alias("match"))
+
+    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: let(
+        F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda gaps: spans(gaps, found)))
+    return F.coalesce(F.when(F.regexp_like(text, F.lit(pattern)), found.cast(SPAN)), F.array().cast(SPAN))
 
 
 def _term(n: Column) -> Column:
@@ -63,42 +83,46 @@ def best_window(candidate: Column, window: int = WINDOW) -> Column:
     of its digits, letters a-f, and others, kept likewise.
     """
     size = len(ALPHABET)
-    def code(i):
-        return F.call_function("instr", F.lit(ALPHABET), candidate.substr(i, F.lit(1))) - 1
 
-    def step(state, i):
-        new = code(i)
-        old = F.when(i > window, code(i - window)).otherwise(F.lit(-1))
+    def step(codes, state, i):
+        new = F.get(codes, i - 1)
+        old = F.when(i > window, F.get(codes, i - 1 - window)).otherwise(F.lit(-1))
         counts = state["counts"]
-        n_in, same = F.get(counts, new), new == old
+        n_in = F.get(counts, new)
         n_out = F.when(old >= 0, F.get(counts, F.greatest(old, F.lit(0)))).otherwise(F.lit(1))
-        total = F.when(same, state["total"]).otherwise(
+        total = F.when(new == old, state["total"]).otherwise(
             state["total"] + _term(n_in + 1) - _term(n_in) + _term(n_out - 1) - _term(n_out))
         after = F.transform(counts, lambda n, k: n + (k == new).cast("int") - (k == old).cast("int"))
-        digits = F.aggregate(F.slice(after, 53, 10), F.lit(0), lambda a, n: a + n)
-        low_af = F.aggregate(F.slice(after, 27, 6), F.lit(0), lambda a, n: a + n)
-        marks = F.aggregate(F.slice(after, 63, 5), F.lit(0), lambda a, n: a + n)
-        entropy = F.when(i >= window, F.lit(math.log2(window)) - total / window).otherwise(F.lit(0.0))
-        kind = (F.when(digits + low_af == window, F.lit("hex"))
-                .when((marks == 0) & (digits > 0), F.lit("alphanumeric"))
-                .when(digits > 0, F.lit("mixed")).otherwise(F.lit("letters")))
-        best = F.struct(*[F.greatest(state["best"][c], F.when(kind == c, entropy).otherwise(F.lit(0.0))).alias(c)
-                          for c in LEAST_ENTROPY])
-        return F.struct(after.alias("counts"), total.alias("total"), best.alias("best"))
+        return let(F.struct(after.alias("counts"), total.alias("total")), lambda now: F.struct(
+            now["counts"].alias("counts"), now["total"].alias("total"), best(state, now, i).alias("best")))
+
+    def best(state, now, i):
+        def held(first, n):
+            return F.aggregate(F.slice(now["counts"], first, n), F.lit(0), lambda a, n: a + n)
+
+        entropy = F.when(i >= window, F.lit(math.log2(window)) - now["total"] / window).otherwise(F.lit(0.0))
+        counted = F.struct(held(53, 10).alias("digits"), held(27, 6).alias("low_af"), held(63, 5).alias("marks"))
+        return let(F.struct(entropy.alias("entropy"), counted.alias("c")), lambda w: let(
+            F.when(w["c"]["digits"] + w["c"]["low_af"] == window, F.lit("hex"))
+            .when((w["c"]["marks"] == 0) & (w["c"]["digits"] > 0), F.lit("alphanumeric"))
+            .when(w["c"]["digits"] > 0, F.lit("mixed")).otherwise(F.lit("letters")),
+            lambda kind: F.struct(*[F.greatest(state["best"][c], F.when(kind == c, w["entropy"]).otherwise(F.lit(0.0)))
+                                    .alias(c) for c in LEAST_ENTROPY])))
 
     zero = F.struct(F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0.0).alias("total"),
                     F.struct(*[F.lit(0.0).alias(c) for c in LEAST_ENTROPY]).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), zero, step, lambda s: s["best"])
+    places = F.transform(F.split(candidate, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c) - 1)
+    return let(places, lambda codes: F.aggregate(F.sequence(F.lit(1), F.length(candidate)), zero,
+                                                 lambda state, i: step(codes, state, i), lambda s: s["best"]))
 
 
 def entropy_spans(text: Column) -> Column:
     """Spans of candidates with a window of high entropy for its class that the allow-list doesn't know."""
     def odd(span):
-        best = best_window(span["match"])
-        high = F.lit(False)
-        for kind, least in LEAST_ENTROPY.items():
-            high = high | (best[kind] >= least)
-        return ~F.regexp_like(span["match"], F.lit(ALLOWED)) & high
+        def high(best):
+            return F.greatest(*[best[kind] >= least for kind, least in LEAST_ENTROPY.items()])
+
+        return ~F.regexp_like(span["match"], F.lit(ALLOWED)) & let(best_window(span["match"]), high)
 
     return F.filter(matches(text, CANDIDATE), odd)
 
