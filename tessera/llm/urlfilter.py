@@ -42,11 +42,12 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest, r"^(?s)[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def candidate_keys(host: Column, path: Column, lengths: Sequence[int]) -> Column:
-    """Keys that could match, those of the longest host and then the longest path first."""
-    labels = F.split(host, r"\.", -1)
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)),
-                        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def candidate_keys(host: Column, path: Column, lengths: Sequence[int], most_labels: int) -> Column:
+    """Keys that could match, those of the longest host and then the longest path first. No rule's host has more than
+    ``most_labels`` labels, so no longer suffix of a host is built."""
+    last = F.substring_index(host, ".", -most_labels)
+    hosts = F.array(*[F.substring_index(last, ".", -k) for k in range(most_labels, 0, -1)])
+    hosts = F.array_distinct(hosts)  # a host of fewer labels comes out whole several times
     paths = F.filter(F.array(*[F.lit(n) for n in sorted(set(lengths), reverse=True)]), lambda n: n <= F.length(path))
     keys = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda n: F.concat(h, path.substr(F.lit(1), n)))))
     return F.when(host != "", keys).otherwise(F.array().cast("array<string>"))
@@ -130,14 +131,15 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
 
     Null urls and urls without ``://`` have an empty host and path and fit no rule, as does a url with an empty host.
     A key listed with both verdicts blocks. Repeated pages are judged alike; an empty table gives no rows; other
-    columns are not read. Rules need a path that begins with ``/``.
+    columns are not read. Rules need a path that begins with ``/``. Hosts may have any number of labels.
     """
-    rules = settled(rules.select(F.concat("host", "path").alias("key"), F.length("path").alias("n"), "verdict")
-                    .distinct())
+    rules = settled(rules.select(F.concat("host", "path").alias("key"), F.length("path").alias("n"),
+                                 F.size(F.split("host", r"\.", -1)).alias("labels"), "verdict").distinct())
     lengths = [r["n"] for r in rules.select("n").distinct().collect()]  # at most the longest rule path
+    most_labels = rules.agg(F.max("labels")).first()[0] or 1
     urls = (pages.select("page_id", F.col("url").alias("_url"))
             .select("page_id", url_host(F.col("_url")).alias("host"), url_path(F.col("_url")).alias("path")))
-    keyed = urls.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), lengths))
+    keyed = urls.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), lengths, most_labels))
     universe = keyed.select(F.explode("_keys").alias("key"))
     blocked, allowed = (Cascade(rules.filter(F.col("verdict") == v).select("key").distinct(), universe)
                         for v in ("block", "allow"))

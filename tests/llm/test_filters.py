@@ -43,6 +43,7 @@ def test_judge(spark, many):
             "http://org?x/", "http://é.org/È", "http://a.b.c.com/de", "http://.org/", "x://\n/fr/"]
     urls += [f"http://{'w.' * rng.randint(0, 3)}h{rng.randint(0, 900)}.org{rng.choice(['', '/', '/a', '/a/b/c', '/b'])}"
              for _ in range(500)]
+    urls += ["http://" + "a." * 20_000 + "example.org/es/x", "http://" + "a." * 20_000 + "net/"]
     pages = spark.createDataFrame([(i, u, "r", "v", "k") for i, u in enumerate(urls)],
                                   "page_id long, url string, rule string, verdict string, key string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge(pages, rule_table(spark, rules)).collect()}
@@ -106,6 +107,18 @@ def test_secret_scan(spark):
         assert [s for s in spans if s.startswith("entropy")] == found, t
 
 
+def test_secret_scan_of_long_candidates_and_many_matches(spark):
+    rng = random.Random(5)
+    image = "".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(100_000))
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(24, 40))) for _ in range(2_000)]
+    texts = [f"data {image}", " ".join(hexes)]
+    out = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows(enumerate(texts)), SCHEMA)).collect()}
+    assert out[0].spans == "entropy:5:100005"
+    want = [f"hex:{m.start()}:{m.end()}" for m in re.finditer(secrets.HEX, texts[1])]
+    assert [s for s in out[1].spans.split(",") if s.startswith("hex")] == want and out[1].n_hex == 2_000
+    assert out[1].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+
+
 def test_nearest_edges_and_recall(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((400, 16))
