@@ -69,11 +69,11 @@ def hubs_of(members: DataFrame, keys: list[str]) -> DataFrame:
                    .select("x", F.col("hub.x").alias("hub")).distinct().withColumn("go_on", F.lit(True)))
 
 
-def possible(sets: DataFrame, p: int) -> DataFrame:
+def possible(sets: DataFrame, p: int, worth: float = 0.1) -> DataFrame:
     """``x`` and ``most``, the size of the largest partner that a set can link with, for the sets that can have one.
 
     Of its ``n`` n-grams, a set shares at most those that another one of ``sets`` has, too. Every pass leaves some sets
-    out, whose n-grams then are nobody else's; passes go on while a tenth goes.
+    out, whose n-grams then are nobody else's; passes go on while a share of ``worth`` goes.
     """
     now = sets.select(F.col("node").alias("x"), "n", "grams")
     before = now.count()
@@ -86,7 +86,7 @@ def possible(sets: DataFrame, p: int) -> DataFrame:
             F.ceil(F.col("n") * p / 100 - 1e-9).alias("least"))
         left = settled(most.filter("most >= least").drop("least"), large=True)
         after = left.count()
-        if after > 0.9 * before:
+        if after > (1 - worth) * before:
             return left
         now, before = now.join(left.select("x"), "x", "left_semi"), after
 

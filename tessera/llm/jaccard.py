@@ -173,14 +173,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, t: float = 0.75) -> DataFrame:
     posts = postings(with_id, classes, frequent_grams(grams), n, t)
     wanted = settled(posts.select(F.col("x").alias("node")).distinct().join(classes, "node"))
 
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        return with_id.select(F.col("doc_id").alias("doc"), "text", F.xxhash64("text").alias("t")).join(
-            wanted.select("doc", "t", "node"), ["doc", "t"])
-
-    wanted = settled(hopeful(texts_of(wanted), wanted, n, p), large=True)
-    full = settled(whole_sets(texts_of(wanted), n).join(wanted.select("d1", "d2", "n", "node"), ["d1", "d2", "n"])
+    rows = with_id.select(F.col("doc_id").alias("doc"), "text", F.xxhash64("text").alias("t"))
+    texts = settled(rows.join(wanted.select("doc", "t", "node"), ["doc", "t"]).select("node", "text"), large=True)
+    wanted = settled(hopeful(texts, wanted, n, p), large=True)
+    mine = texts.join(wanted.select("node"), "node", "left_semi")
+    full = settled(whole_sets(mine, n).join(wanted.select("d1", "d2", "n", "node"), ["d1", "d2", "n"])
                    .dropDuplicates(["node"]).select("node", "n", "grams"), large=True)
-    left = possible(full, p)
+    discard(texts)
+    left = possible(full, p, worth=0.5)  # ``hopeful`` was a pass already
     groups = grouped(prefix_pairs(posts, left), full, left, components(same_document(sets, classes)), p)
     return by_document(sets, classes, groups)
 
