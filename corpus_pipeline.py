@@ -2,6 +2,9 @@
 
 Quality classifier (rejected documents go), exact dedup (one of equal texts stays), near dedup (one document of each
 group stays), mixing (documents in as many copies as their source's rate gives) and packing into sequences.
+
+All stages but the last return their rows with all columns of ``docs``, whatever those are called; they read ``doc_id``,
+``text`` and (mixing) ``source``. Texts may be of any length; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,24 +20,33 @@ from tessera.llm.quality import kept
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier accepts. A null text is scored as an empty one, equal texts alike. Without a
+    positive label there is no model and all stay."""
     return kept(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for every text, white space aside: the longest, then the one of the smallest ``doc_id``. Null texts equal
+    empty ones."""
     ship(spark)
     return deduplicated(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest ``doc_id`` of every group of near duplicates. Wordless texts and rows without ``doc_id`` all stay; rows
+    that repeat one ``doc_id`` stay or go together."""
     ship(spark)
     return one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row as often as its source's rate says; a null source is one of its own. Rows that repeat a ``doc_id`` share
+    its draw; wordless texts count nothing towards a target."""
     return repeated(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences (see ``packing.pack``); null and empty texts are one end token."""
     ship(spark)
     return pack(docs)
 

@@ -6,6 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline as P
+from tests.llm.cases import SCHEMA, corpus, rows
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
@@ -54,3 +55,40 @@ def test_stages(spark, tmp_path):
     assert abs(mixed - words) <= 0.1 * words
     assert len({(r.sequence_id >> 32, r.row_in_split) for r in got["packing"]}) == len(got["mixing"])
     assert P.run(spark, SF).columns == [f for f in got["packing"][0].asDict()]
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls, empty and long texts, ties, repeats, missing ids and clashing columns, through all stages."""
+    docs, got = spark.createDataFrame(rows(corpus()), SCHEMA), {}
+    columns = docs.columns
+    given = docs.collect()
+    for name, stage in P.STAGES[1:]:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert name == "packing" or docs.columns == columns
+        got[name] = docs.collect()
+    assert sorted(norm(r.text) for r in got["exact_dedup"]) == sorted({norm(r.text) for r in given})
+    named = {r.doc_id: shingles(r.text) for r in got["exact_dedup"] if r.doc_id is not None}
+    least = {i: i for i in named}
+    for _ in named:  # the smallest id that links reach
+        old = dict(least)
+        for a in named:
+            for b in named:
+                if 100 * len(named[a] & named[b]) >= 75 * len(named[a] | named[b]) > 0:
+                    least[a] = min(least[a], least[b])
+        if old == least:
+            break
+    nameless = sum(r.doc_id is None for r in got["exact_dedup"])
+    assert sorted(r.doc_id for r in got["near_dedup"] if r.doc_id is not None) == sorted(
+        i for i in least if least[i] == i)
+    assert sum(r.doc_id is None for r in got["near_dedup"]) == nameless
+    near = {tuple(r) for r in got["near_dedup"]}
+    assert {tuple(r) for r in got["mixing"]} <= near
+    assert len({(r.sequence_id >> 32, r.row_in_split) for r in got["packing"]}) == len(got["mixing"])
+    assert {r.doc_id for r in got["packing"]} == {r.doc_id for r in got["mixing"]}
+
+
+@pytest.mark.parametrize("n", range(1, 5))
+def test_stages_on_no_rows(spark, n):
+    docs = spark.createDataFrame([], SCHEMA)
+    assert P.STAGES[n][1](spark, docs, SF).count() == 0
