@@ -20,6 +20,9 @@ one array. Sort keys are placed first in each struct so ``array_sort`` orders th
 (H3) and are then dropped with ``transform``. A lookup for some codes first narrows
 every level by semi joins, so it never assembles trees it will not return.
 
+The nested levels carry the fields they are asked for and no others: a struct that is gathered
+into an array is shuffled whole, whatever is read of it later.
+
 Flat relational forms (``flat_tree``, ``code_chemicals``, ``tag_exposure``) reduce to
 distinct keys before each fan-out join.
 """
@@ -109,8 +112,14 @@ def _restrict(t: Mapping[str, DataFrame], codes: DataFrame | Sequence) -> dict[s
     return t
 
 
-def chemicals_per_material(t: dict[str, DataFrame]) -> DataFrame:
-    """Level 4 (J4 + A11): one row per material with its ordered chemicals array.
+#: What a nested chemical, and a nested material besides its chemicals, can have; all by default.
+CHEMICAL = ("name", "cas", "pct_wt_low", "pct_wt_high", "hazard_flags", "hazard_flags_valid", "hazard_flags_raw",
+            "default_hazard_level", "composition_notes")
+MATERIAL = ("base_spec", "variant", "description", "notes")
+
+
+def chemicals_per_material(t: dict[str, DataFrame], chemical: Sequence[str] = CHEMICAL) -> DataFrame:
+    """Level 4 (J4 + A11): one row per material with its ordered chemicals array, each with the fields ``chemical``.
 
     Hazard JSON is parsed once per chemical (the dimension), before the join, not once
     per composition row.
@@ -120,27 +129,25 @@ def chemicals_per_material(t: dict[str, DataFrame]) -> DataFrame:
     chp = ch.select("name", "cas", parsed.alias("_hf"), valid.alias("_hv"), F.col("hazard_flags").alias("_raw"),
                     "default_hazard_level")
     j = mc.join(chp, "cas")
+    named = {"hazard_flags": "_hf", "hazard_flags_valid": "_hv", "hazard_flags_raw": "_raw", "composition_notes": "notes"}
     item = F.struct(hazard_level_key(F.col("default_hazard_level"), F.col("name")).alias("_k"),
-                    F.struct(F.col("name"), F.col("cas"), F.col("pct_wt_low"), F.col("pct_wt_high"),
-                             F.col("_hf").alias("hazard_flags"), F.col("_hv").alias("hazard_flags_valid"),
-                             F.col("_raw").alias("hazard_flags_raw"), F.col("default_hazard_level"),
-                             F.col("notes").alias("composition_notes")).alias("v"))
+                    F.struct(*[F.col(named.get(f, f)).alias(f) for f in chemical]).alias("v"))
     g = j.groupBy("base_spec", "variant").agg(F.collect_list(item).alias("_c"))
     return g.select("base_spec", "variant", in_order(F.col("_c")).alias("chemicals"))
 
 
-def materials_per_step(t: dict[str, DataFrame]) -> DataFrame:
-    """Level 3 (J3 + J5): one row per step with its materials (each with chemicals)."""
+def materials_per_step(t: dict[str, DataFrame], material: Sequence[str] = MATERIAL,
+                       chemical: Sequence[str] = CHEMICAL) -> DataFrame:
+    """Level 3 (J3 + J5): one row per step with its materials (the fields ``material``, and the chemicals of each)."""
     mats = t["materials"]
-    chem = chemicals_per_material(t)
+    chem = chemicals_per_material(t, chemical)
     full = mats.join(chem, _nk(mats, chem, ["base_spec", "variant"], ["variant"]), "left") \
         .select(mats["base_spec"], mats["variant"], mats["description"], mats["notes"],
                 F.coalesce(chem["chemicals"], F.array()).alias("chemicals"))
     links = t["sft_material_links"]
     j = links.join(full, _nk(links, full, ["base_spec", "variant"], ["variant"]), "inner")
     item = F.struct(F.struct(links["base_spec"].alias("k1"), links["variant"].alias("k2")).alias("_k"),
-                    F.struct(links["base_spec"].alias("base_spec"), links["variant"].alias("variant"),
-                             full["description"].alias("description"), full["notes"].alias("notes"),
+                    F.struct(*[(links if f in ("base_spec", "variant") else full)[f].alias(f) for f in material],
                              full["chemicals"].alias("chemicals")).alias("v"))
     g = j.groupBy(links["sft_code"]).agg(F.collect_list(item).alias("_m"))
     return g.select("sft_code", in_order(F.col("_m")).alias("materials"))
@@ -161,16 +168,18 @@ def steps_per_code(t: dict[str, DataFrame], order_cols: Sequence[str] = ("step_o
     return g.select("finish_code", "program", in_order(F.col("_s")).alias("steps"))
 
 
-def step_documents(t: dict[str, DataFrame], codes: DataFrame | None = None) -> DataFrame:
+def step_documents(t: dict[str, DataFrame], codes: DataFrame | None = None, material: Sequence[str] = MATERIAL,
+                   chemical: Sequence[str] = CHEMICAL) -> DataFrame:
     """Q1 at step grain: one row per (code, step) with its materials and chemicals nested.
 
     Each group holds one step's materials, so no code's whole tree is gathered in one
-    task; ``hierarchy`` is this collected per code.
+    task; ``hierarchy`` is this collected per code. ``material`` and ``chemical`` are the
+    fields that the nested levels have.
     """
     if codes is not None:
         t = _restrict(t, codes)
     cs, st = t["finish_code_steps"], t["sft_steps"]
-    mps = materials_per_step(t)
+    mps = materials_per_step(t, material, chemical)
     j = cs.join(st, "sft_code").join(mps, "sft_code", "left")
     return j.select("finish_code", "program", "sft_code", "step_order", "parent_group", "description",
                     "associated_specs", "source_doc", "last_review", "notes",

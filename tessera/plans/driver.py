@@ -128,7 +128,7 @@ FROM finish_code_steps cs JOIN sft_steps st ON cs.sft_code = st.sft_code LEFT JO
 def q_hierarchy_steps(spark, sf_dir):
     """Q1 at step grain (J5, A11, O3): per (code, step) its materials in order, each with its
     chemicals in order, written out from the nested column; a step without links has none."""
-    d = H.step_documents(domain_tables(spark, sf_dir))
+    d = H.step_documents(domain_tables(spark, sf_dir), material=("base_spec", "variant"), chemical=("name",))
     material = F.transform("materials", lambda m: F.concat(
         m["base_spec"].cast("string"), F.lit("/"), F.coalesce(m["variant"], F.lit("")), F.lit("["),
         F.array_join(F.transform(m["chemicals"], lambda c: c["name"]), ","), F.lit("]")))
