@@ -174,7 +174,7 @@ def q_material_profiles(spark, sf_dir):
     """The nested chemical level of the hierarchy (A11, O3) per material: one array per
     material (part in one variant), ordered level desc (NULL last), name asc."""
     t = domain_tables(spark, sf_dir)
-    cpm = H.chemicals_per_material(t)
+    cpm = H.chemicals_per_material(t, ("name", "default_hazard_level", "pct_wt_high"))
     return cpm.select("base_spec", "variant", F.size("chemicals").cast("long").alias("n_chemicals"),
                       F.array_join(F.transform("chemicals", lambda x: x["name"]), ",").alias("chemical_names"),
                       F.col("chemicals")[0]["default_hazard_level"].alias("top_level"),

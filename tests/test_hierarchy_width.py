@@ -56,3 +56,10 @@ def test_fields_of_the_nested_levels(spark, sf):
     assert some == {k: [type(m)(notes=m["notes"], variant=m["variant"], chemicals=[
         type(m)(cas=c["cas"], hazard_flags_raw=c["hazard_flags_raw"]) for c in m["chemicals"]]) for m in ms]
         for k, ms in whole.items()}
+
+
+def test_profiles_gather_only_what_they_return(spark, sf):
+    df = QUERIES["material_profiles"](spark, sf)
+    assert "un_number" not in plan(df)  # the hazard text
+    assert sorted((tuple(r) for r in df.collect()), key=str) == [
+        (10, "V5", 1, "S5", 1, 8.0), (10, None, 2, "S4,S8", 5, 8.0), (12, "V5", 1, "S5", 1, 0.0)]
