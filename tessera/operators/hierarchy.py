@@ -302,30 +302,26 @@ def flat_tree(t: dict[str, DataFrame]) -> DataFrame:
     cs, st = t["finish_code_steps"].alias("cs"), t["sft_steps"].alias("st")
     links, mats = t["sft_material_links"].alias("l"), t["materials"].alias("m")
     mc, ch = t["material_chemicals"].alias("mc"), t["chemicals"].alias("c")
-    # Chemicals attach to the composition, and both to the materials, before the links meet
-    # them: m LEFT (mc LEFT c) equals (m LEFT mc) LEFT c as mc.cas = c.cas rejects NULL mc rows,
-    # and (l LEFT m) LEFT mc by m's key equals l LEFT (m LEFT mc). The widest frame is thus
-    # joined once by its material key. The codes' texts come last.
-    comp = mc.join(ch, F.col("mc.cas") == F.col("c.cas"), "left").select(
-        F.col("mc.base_spec").alias("_cb"), F.col("mc.variant").alias("_cv"), F.col("mc.pct_wt_low"),
-        F.col("mc.pct_wt_high"), F.col("c.name"), F.col("c.cas"), F.col("c.hazard_flags")).alias("k")
-    full = mats.join(comp, (F.col("m.base_spec") == F.col("k._cb")) & F.col("m.variant").eqNullSafe(F.col("k._cv")),
-                     "left").select("m.base_spec", "m.variant", "k.name", "k.cas", "k.hazard_flags",
-                                    "k.pct_wt_low", "k.pct_wt_high").alias("k")
-    j = (cs.join(st, F.col("cs.sft_code") == F.col("st.sft_code"))
-         .select("cs.finish_code", "cs.program", "cs.step_order", "st.sft_code", "st.description").alias("st")
+    # The composition attaches to the materials before the links meet them: (l LEFT m) LEFT mc by
+    # m's key equals l LEFT (m LEFT mc). The codes join the steps, whose rows are fewest. The
+    # chemicals' texts come last, as their key is one of mc's columns: no other join carries them.
+    full = mats.join(mc, (F.col("m.base_spec") == F.col("mc.base_spec")) & F.col("m.variant").eqNullSafe(
+        F.col("mc.variant")), "left").select("m.base_spec", "m.variant", F.col("mc.cas").alias("_cas"),
+                                             "mc.pct_wt_low", "mc.pct_wt_high").alias("k")
+    j = (cs.join(e, (F.col("e.code") == F.col("cs.finish_code")) & (F.col("e.program") == F.col("cs.program")))
+         .join(st, F.col("cs.sft_code") == F.col("st.sft_code"))
          .join(links, F.col("st.sft_code") == F.col("l.sft_code"), "left")
          .join(full, (F.col("l.base_spec") == F.col("k.base_spec"))
                & F.col("l.variant").eqNullSafe(F.col("k.variant")), "left")
-         .join(e, (F.col("e.code") == F.col("st.finish_code")) & (F.col("e.program") == F.col("st.program"))))
+         .join(ch, F.col("k._cas") == F.col("c.cas"), "left"))
     return j.select(
         F.col("e.code").alias("finish_code"), F.col("e.substrate_code"), F.col("e.substrate_description")
         .alias("substrate_desc"), F.col("e.finish_applied_code"),
         F.col("e.finish_applied_description").alias("finish_applied_desc"), F.col("e.seq_id"),
         F.col("st.sft_code").alias("sft_code"), F.col("st.description").alias("sft_desc"),
-        F.col("st.step_order").alias("step_order"), F.col("k.base_spec").alias("base_spec"),
-        F.col("k.variant").alias("variant"), F.col("k.name").alias("chemical_name"), F.col("k.cas").alias("cas"),
-        F.col("k.hazard_flags").alias("hazard_flags"), F.col("k.pct_wt_low").alias("pct_wt_low"),
+        F.col("cs.step_order").alias("step_order"), F.col("k.base_spec").alias("base_spec"),
+        F.col("k.variant").alias("variant"), F.col("c.name").alias("chemical_name"), F.col("c.cas").alias("cas"),
+        F.col("c.hazard_flags").alias("hazard_flags"), F.col("k.pct_wt_low").alias("pct_wt_low"),
         F.col("k.pct_wt_high").alias("pct_wt_high"))
 
 

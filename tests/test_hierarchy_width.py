@@ -63,3 +63,15 @@ def test_profiles_gather_only_what_they_return(spark, sf):
     assert "un_number" not in plan(df)  # the hazard text
     assert sorted((tuple(r) for r in df.collect()), key=str) == [
         (10, "V5", 1, "S5", 1, 8.0), (10, None, 2, "S4,S8", 5, 8.0), (12, "V5", 1, "S5", 1, 0.0)]
+
+
+def test_flat_tree_joins_the_chemicals_last(spark, sf):
+    df = QUERIES["hierarchy_flat"](spark, sf)
+    first = next(line for line in plan(df).splitlines() if "Join" in line)
+    assert "LeftOuter" in first and "cas" in first  # the hazard text goes through no other join
+    rows = [(r["finish_code"], r["sft_code"], r["base_spec"], r["variant"], r["chemical_name"], r["cas"],
+             r["pct_wt_low"]) for r in df.collect()]
+    assert sorted(rows, key=str) == sorted([
+        (1, 100, 10, None, "S4", 4, 1.0), (1, 100, 10, None, "S8", 8, 5.0), (1, 100, 10, "V5", "S5", 5, 1.0),
+        (2, 101, 10, None, "S4", 4, 1.0), (2, 101, 10, None, "S8", 8, 5.0), (2, 101, 11, "V6", None, None, 0.0),
+        (2, 101, None, None, None, None, None), (2, 102, None, None, None, None, None)], key=str)
