@@ -2,11 +2,13 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import pyarrow as pa
 import pytest
 
+from tessera.llm import groups, jaccard
 from tessera.llm.graph import components
 from tessera.llm.jaccard import near_duplicates, one_of_each
 from tessera.llm.shingles import ngram_sets
@@ -96,6 +98,46 @@ def test_near_duplicates(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def loose_group(n):
+    """Copies of a text with one to eight of 110 words changed: some link with many, some with none."""
+    r = random.Random(3)
+    out = []
+    for k in range(n):
+        words = [f"v{i}" for i in range(110)]
+        for i in r.sample(range(110), r.randint(1, 8)):
+            words[i] = f"{k}x{i}"
+        out.append((5000 + k, " ".join(words)))
+    return out
+
+
+def test_a_large_loose_group_takes_few_comparisons(spark, monkeypatch):
+    pairs, compared, made = loose_group(300), groups.compared, []
+
+    def counted(found, *rest):
+        made.append(found.count())
+        return compared(found, *rest)
+
+    for module in (groups, jaccard):
+        monkeypatch.setattr(module, "compared", counted, raising=False)
+    out = near_duplicates(spark.createDataFrame(rows(pairs), SCHEMA)).collect()
+    want = brute(pairs)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
+    assert 20 < len({c for _, c in want.values()}) < 200
+    assert len(made) <= 2 and sum(made) <= 2 * jaccard.SKETCHES * len(pairs) / 2, made
+
+
+@pytest.mark.parametrize("few", [jaccard.FEW, 2])
+def test_the_prefix_join_needs_no_sketch(spark, monkeypatch, few):
+    """All links are found where the MinHash keys find none, whether sets of a bucket meet each other or a hub."""
+    sketched = jaccard.sketch_pairs
+    monkeypatch.setattr(jaccard, "sketch_pairs", lambda *a: sketched(*a).limit(0))
+    monkeypatch.setattr(jaccard, "FEW", few)
+    pairs = loose_group(60) + near_group(30) + corpus()[:40]
+    out = near_duplicates(spark.createDataFrame(rows(pairs), SCHEMA)).collect()
+    want = brute(pairs)
+    assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in out if r.doc_id is not None)
+
+
 def test_sets_of_short_texts_differ_from_long_ones():
     got = ngram_sets(pa.array(["a b c", "A B C", "a b c d e", "a b c d e f", None, " \t"]), 5)
     assert got[0].tolist() == got[1].tolist() != got[2].tolist()
