@@ -138,6 +138,46 @@ def test_the_prefix_join_needs_no_sketch(spark, monkeypatch, few):
     assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in out if r.doc_id is not None)
 
 
+@pytest.mark.parametrize("extra, short, words", [(0, 40, 1), (10, 6, 1 << 18), (40, 64, 1), (90, 40, 3)])
+def test_no_link_is_lost_before_whole_sets_are_made(spark, monkeypatch, extra, short, words):
+    """Longer prefixes, hashes that fall together and a full table of bits only change how many candidates are left."""
+    for name, value in (("EXTRA", extra), ("SHORT", short), ("WORDS", words)):
+        monkeypatch.setattr(jaccard, name, value)
+    pairs = loose_group(50) + near_group(20) + corpus()[:40]
+    out = near_duplicates(spark.createDataFrame(rows(pairs), SCHEMA)).collect()
+    want = brute(pairs)
+    assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in out if r.doc_id is not None)
+
+
+@pytest.mark.parametrize("p", [1, 5, 50, 75, 85, 100])
+def test_prefixes_hold_what_linked_sets_share(p):
+    """The worst case: the common n-grams come last in both sets."""
+    for small in range(1, 120):
+        for large in range(small, min(120, 100 * small // p) + 1):
+            common = -(-p * (small + large) // (100 + p))  # of Jaccard p percents
+            if common <= small:
+                left_out = max(n - jaccard.prefix_size(n, p) for n in (small, large))
+                assert common - left_out >= max(1, min(jaccard.EXTRA, p) * large // 100)
+
+
+def test_texts_that_share_little_are_left_out_at_once(spark, monkeypatch):
+    """Pairs with a passage in common, which is much less than a link takes: no n-grams and no texts are written."""
+    made, settled = [], jaccard.settled
+
+    def counted(df, *more, **named):
+        out = settled(df, *more, **named)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "settled", counted)
+    r = random.Random(4)
+    pairs = [(i, " ".join([f"{i}x{r.random()}" for _ in range(110)] + [f"p{i // 2}x{k}" for k in range(8)]))
+             for i in range(60)]
+    out = near_duplicates(spark.createDataFrame(rows(pairs), SCHEMA)).collect()
+    assert {(x.doc_id, x.component_id) for x in out} == {(i, i) for i, _ in pairs}
+    assert max(made) <= 4 * len(pairs) and 0 in made, made
+
+
 def test_sets_of_short_texts_differ_from_long_ones():
     got = ngram_sets(pa.array(["a b c", "A B C", "a b c d e", "a b c d e f", None, " \t"]), 5)
     assert got[0].tolist() == got[1].tolist() != got[2].tolist()
