@@ -27,6 +27,10 @@ from tessera.llm.shingles import digests, ngram_sets
 #: Half keys in each of the two collections.
 SIDE = 20
 
+#: Rows of all tables that a task makes and sorts, about.
+TABLE_ROWS = 1 << 19
+
+
 def width(t: float) -> int:
     """Minhashes in a half key: as many as leave a pair at the threshold about every second half key."""
     return max(1, math.floor(math.log(0.5) / math.log(t))) if t < 1 else 16
@@ -80,8 +84,11 @@ def shared_halves(classes: DataFrame) -> DataFrame:
 
 
 def table_pairs(mine: DataFrame, left: DataFrame) -> DataFrame:
-    """``x`` and ``hub`` for the buckets of all tables."""
-    tables = (mine.join(left, "x").select("x", "n", "most", "b", F.explode("a").alias("a"))
+    """``x`` and ``hub`` for the buckets of all tables. A set is up to ``SIDE * SIDE`` rows there, so the sets are dealt
+    out by the rows that they become: their own few bytes would put millions of rows into a task."""
+    own = settled(mine.join(left, "x"))
+    rows = own.agg(F.sum(F.size("a") * F.size("b"))).first()[0] or 0
+    tables = (own.repartition(rows // TABLE_ROWS + 1, "x").select("x", "n", "most", "b", F.explode("a").alias("a"))
               .select("x", "n", "most", "a", F.explode("b").alias("b"))
               .select("x", "n", "most", F.xxhash64("a", "b").alias("key")))
     return hubs_of(tables, ["key"])

@@ -3,8 +3,11 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from tessera.llm.tensored import SIDE, half_keys, near_duplicates, width
+from tessera.llm import tensored
+from tessera.llm.groups import hubs_of
+from tessera.llm.tensored import SIDE, half_keys, near_duplicates, table_pairs, width
 from tests.llm.cases import SCHEMA, corpus, rows
 from tests.llm.test_text_joins import near_group, shingles
 
@@ -88,3 +91,24 @@ def test_half_keys_meet_as_often_as_they_should():
     assert ((keys[:, 0] == keys[:, 1])[:, :SIDE].any(1) & (keys[:, 0] == keys[:, 1])[:, SIDE:].any(1)).all()
     assert [width(t) for t in (0.5, 0.75, 0.85, 0.95, 1)] == [1, 2, 4, 13, 16]
     assert 2 * (1 - 0.85 ** k) ** SIDE < 1e-6
+
+
+def test_a_task_makes_a_bounded_number_of_table_rows(spark, monkeypatch):
+    """Sets are few bytes until they become a row for each table: 300 of them 120,000 rows."""
+    made = []
+    monkeypatch.setattr(tensored, "TABLE_ROWS", 10_000, raising=False)
+    monkeypatch.setattr(tensored, "hubs_of", lambda tables, keys: made.append(tables) or hubs_of(tables, keys))
+    halves = {x: ([x % 150 * 100 + k for k in range(SIDE)], [-x % 150 * 100 - k - 1 for k in range(SIDE)])
+              for x in range(300)}
+    mine = spark.createDataFrame([(x, 50 + x // 150, a, b) for x, (a, b) in halves.items()],
+                                 "x long, n long, a array<long>, b array<long>")
+    left = spark.createDataFrame([(x, 60) for x in halves if x != 7], "x long, most long")
+    pairs = table_pairs(mine, left).select("x", "hub").collect()
+    assert sorted(map(tuple, pairs)) == [(x + 150, x) for x in range(150) if x != 7]
+    rows = [r["count"] for r in made[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(rows) == 299 * SIDE * SIDE and max(rows) < 30_000
+
+
+def test_no_set_that_others_may_link_with(spark):
+    empty = spark.createDataFrame([], "x long, n long, a array<long>, b array<long>")
+    assert table_pairs(empty, spark.createDataFrame([], "x long, most long")).count() == 0
